@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("simhash",)
+_MODULES = ("mixing", "tokens", "packing", "quality", "langid", "simhash")
 
 
 def _gather(name: str) -> dict:
