@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("mixing", "tokens", "packing", "quality", "langid", "simhash")
+_MODULES = ("mixing", "tokens", "packing", "url_filter", "quality", "langid", "media", "simhash", "licenses", "html_extract")
 
 
 def _gather(name: str) -> dict:
