@@ -10,7 +10,10 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +79,18 @@ def discard(df: DataFrame) -> None:
             _drop(path)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in pieces of about ``size`` bytes of the text column; a longer text is a piece of its own."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("int64")
+        ends = lengths.cumsum() // size
+        start = 0
+        for stop in [*((ends[1:] != ends[:-1]).nonzero()[0] + 1).tolist(), batch.num_rows]:
+            if stop > start:
+                yield batch.slice(start, stop - start)
+            start = stop
+
+
 def word_count(text) -> F.Column:
     """Number of words of a text column; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

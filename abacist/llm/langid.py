@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from abacist.llm.common import table
+from abacist.llm.common import sliced, table
 
 #: N-grams of a profile and of a document that are ranked.
 RANKS = 300
@@ -64,7 +64,7 @@ def count_grams(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
             np.add.at(n, where, np.concatenate([k for _, k in held[lang]]))
             return codes, n
 
-        for batch in batches:
+        for batch in sliced(batches, 1):
             by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by.setdefault(lang, []).append(grams(text))
@@ -121,7 +121,7 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], *, text_col: str =
     rest = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 0):
             found = [predict(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*rest, pred_col, score_col])
 
