@@ -140,8 +140,9 @@ def keep_known(docs: DataFrame, *, least_score: float = 0.1, id_col: str = "doc_
     Profiles come from the documents' own labels, but for the held-out fifth.
     """
     learned = profiles(docs.where(~held_out(id_col)), lang_col=lang_col, text_col=text_col)
-    marked = identify(docs.withColumn("__text", F.col(text_col)), learned, text_col="__text", pred_col="__lang", score_col="__score")
-    return marked.where((F.col("__lang") != "und") & (F.col("__score") >= least_score)).select(docs.columns)
+    rows = docs.select(F.col(text_col).alias("__text"), F.struct("*").alias("__row"))
+    marked = identify(rows, learned, text_col="__text")
+    return marked.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("__row.*")
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,12 +114,12 @@ def mix(docs: DataFrame, *, schedules=SCHEDULES, share: float = 1.5, cap: int =
 
 def mixed(docs: DataFrame, *, schedules=SCHEDULES, share: float = 1.5, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` as training meets them: each row as often as the mix takes it, range-sorted by position."""
-    rows = docs.select("*", F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("__source"), word_count(F.col(text_col)).alias("__size"))
+    rows = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("__source"), word_count(F.col(text_col)).alias("__size"))
     sizes = staged(rows.select(F.col("__id").alias("id"), F.col("__source").alias("source"), F.col("__size").alias("size")), "sizes")
     of_source, groups, digits = _plan(sizes, schedules=schedules, share=share, cap=float(cap))
     placed = place(rows, of_source, groups, digits, passes=cap, schedules=schedules)
-    copies = placed.select(*docs.columns, F.explode("__positions").alias("__position"))
-    return copies.orderBy("__position", id_col).select(docs.columns)
+    copies = placed.select("__row", "__id", F.explode("__positions").alias("__position"))
+    return copies.orderBy("__position", "__id").select("__row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -322,11 +322,12 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     order = F.struct(F.col("rep").isNull(), "rep", "h", "n")
     best = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).groupBy("root").agg(F.min(order).alias("o"))
     keep = staged(best.select(F.col("o.rep").alias("__rep"), F.col("o.h").alias("__h"), F.col("o.n").alias("__n")), "keep")
-    rows = docs.join(keep, docs[id_col].eqNullSafe(keep["__rep"]) & (_digest(text_col) == keep["__h"]))
+    own = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__id"), _digest(text_col).alias("__digest"))
+    rows = own.join(keep, own["__id"].eqNullSafe(keep["__rep"]) & (own["__digest"] == keep["__h"]))
     if keep.where("__n > 1").isEmpty():
-        return rows.select(docs.columns)
+        return rows.select("__row.*")
     once = rows.where("__n > 1").dropDuplicates(["__rep", "__h"])
-    return rows.where("__n = 1").unionByName(once).select(docs.columns)
+    return rows.where("__n = 1").unionByName(once).select("__row.*")
 
 
 # ---------------------------------------------------------------- query
