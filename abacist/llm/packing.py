@@ -13,23 +13,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from abacist.llm.common import discard, staged, table
-from abacist.llm.tokens import crc32_of, token_bytes
+from abacist.llm.common import staged, table
+from abacist.llm.tokens import crc32_of, offsets, token_bytes
 
 LENGTH = 2048
 
 
-def offsets_of(parts: DataFrame, part: str, total: str) -> DataFrame:
-    """(part, before): the prefix sum of ``total`` over the partitions, of which there is one row each."""
-    sums = parts.groupBy(part).agg(F.sum(total).alias("n"))
-    line = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, 0)
-    return sums.select(part, (F.sum("n").over(line) - F.col("n")).alias("before"))
-
-
 def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 1, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece of a document: its place in the document and in its sequence, and a checksum.
 
@@ -38,7 +31,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 1, length: int = LENG
     unless the last sequence ends at a power of two.  With ``with_ids`` the ids come along.
     """
     kept = staged(token_bytes(docs, tokenizer, end_id=end_id, id_col=id_col, text_col=text_col), "ids", compression="zstd")
-    before = offsets_of(kept, "part", "n")
+    before = offsets(kept, "n")
     total = kept.agg(F.sum("n")).first()[0] or 0
     last = total % length
     last_padded = last if last & (last - 1) == 0 and last else length
@@ -48,13 +41,14 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 1, length: int = LENG
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            part, n, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            at = start + np.array([before[p] for p in part.tolist()])
             first, final = at // length, (at + n - 1) // length
             doc = np.repeat(np.arange(len(n)), final - first + 1)
             seq = np.arange(len(doc)) - np.repeat(np.cumsum(final - first + 1) - (final - first + 1), final - first + 1) + first[doc]
             start = np.maximum(seq * length - at[doc], 0)
             stop = np.minimum((seq + 1) * length - at[doc], n[doc])
-            blobs = batch.column(3).to_pylist()
+            blobs = batch.column(4).to_pylist()
             ids = [np.frombuffer(b, dtype=np.uint16) for b in blobs]
             crc = [crc32_of(ids[d][a:b]) for d, a, b in zip(doc.tolist(), start.tolist(), stop.tolist())]
             padded = np.where(seq == total // length, last_padded, length)
@@ -63,8 +57,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 1, length: int = LENG
                 cols.append(pa.array([ids[d][a:b].astype("<u4").tobytes() for d, a, b in zip(doc.tolist(), start.tolist(), stop.tolist())], pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
 
-    placed = kept.join(before, "part").select("id", "n", (F.col("before") + F.col("start")).alias("at"), "ids")
-    return placed.mapInArrow(cut, T.StructType(fields))
+    return kept.select("id", "part", "n", "start", "ids").mapInArrow(cut, T.StructType(fields))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Token ids of whole texts, and their compact file format.
 
-Tokenising: a pre-tokeniser never joins text across a blank, so a text is cut at blanks and each
-distinct piece is encoded once per worker; the pieces' ids are then strung together.  Texts with
-control separators that libraries class differently go through the tokenizer whole.
+Tokenising: a pre-tokeniser cuts a text before any merge, so a text may be cut at a subset of those
+cuts and each distinct piece encoded once: pieces are numbered per batch, looked up in a memory of
+two generations (what has not come up for a generation is forgotten), and new ones are encoded
+many at a time.  The pieces' ids are strung together by numpy.  Texts beyond Latin letters are cut
+at blanks only, and texts with the four separators that libraries class differently stay whole.
 
 File format: ids are replaced by their frequency rank.  Four ranks share a control byte of four
 2-bit lengths; control bytes and data bytes (1 to 4 per rank, little end first) are kept apart.  A
@@ -12,10 +14,13 @@ up in a table, and gathers the data bytes at their running sums.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,83 +29,171 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from abacist.llm.common import discard, staged, table
+from abacist.llm.common import sliced, staged, table
 
-#: Pieces that a worker remembers; later ones are encoded each time they come.
-REMEMBERED = 400_000
+#: Pieces of a generation of a worker's memory.
+REMEMBERED = 300_000
 #: Ids of one block of the file format, about; a longer document is a block of its own.
 BLOCK_IDS = 1 << 18
 #: Four lengths (1 to 4) of every control byte.
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.int64)
 _ODD = re.compile("[\x1c-\x1f]")
+_LATIN = re.compile("[\x00-\x1b\x20-\u024f\u2013-\u2026\u20ac]*")
 _SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Cuts of Latin text, all of them also made by the byte-level and the word-end pre-tokeniser.
+_FINE = {
+    False: re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W_]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"),
+    True: re.compile(r"'(?:[stmdSTMD]|[rR][eE]|[vV][eE]|[lL][lL])|[^\W\d_]+|\d|(?:[^\s\w]|_)+"),
+}
+_PLAIN = {False: re.compile(r" ?\S+"), True: re.compile(r"[^\W\d_]+")}
+#: New pieces that are encoded as one text.
+TOGETHER = 256
+
+
+class Encoder:
+    """A tokenizer file with the memory of its pieces."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.t = Tokenizer.from_file(path)
+        self.t.encode_special_tokens = True  # their strings in a text are ordinary text
+        suffix = json.loads(self.t.to_str())["model"].get("end_of_word_suffix")
+        self.words = bool(suffix)
+        vocabulary = self.t.get_vocab()
+        if len(vocabulary) > 1 << 16:
+            raise ValueError("over 65,536 ids")
+        self.ends = np.zeros(1 << 16, dtype=bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        else:
+            self.ends[self.t.encode("\n", add_special_tokens=False).ids] = True
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def cut(self, text: str) -> list[str]:
+        if _ODD.search(text):
+            return [text]
+        if _LATIN.fullmatch(text):
+            return _FINE[self.words].findall(text)
+        return text.split() if self.words else _SPACED.findall(text)
+
+    def fresh(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece.  Plain pieces go together, apart by word ends or by line feeds."""
+        out: dict[str, bytes] = {}
+        plain = [p for p in pieces if _PLAIN[self.words].fullmatch(p)]
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        joined = self.t.encode_batch_fast([(" " if self.words else "\n").join(g) for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, joined):
+            ids = np.array(e.ids, dtype="<u2")
+            at = np.flatnonzero(self.ends[ids])
+            if len(at) != len(group) - (not self.words):
+                continue
+            stop = np.append(at, len(ids)) if not self.words else at + 1
+            start = np.append(0, at + 1)[: len(group)]
+            raw = ids.tobytes()
+            out.update(zip(group, [raw[2 * x : 2 * y] for x, y in zip(start.tolist(), stop.tolist())]))
+        rest = [p for p in pieces if p not in out]
+        out.update(zip(rest, [np.array(e.ids, dtype="<u2").tobytes() for e in self.t.encode_batch_fast(rest, add_special_tokens=False)]))
+        return [out[p] for p in pieces]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each text has."""
+        pieces = [self.cut(x) for x in texts]
+        numbered = pa.array([p for some in pieces for p in some], pa.string()).dictionary_encode()
+        values = numbered.dictionary.to_pylist()
+        blobs: list = [None] * len(values)
+        missing = []
+        for i, p in enumerate(values):
+            ids = self.new.get(p)
+            if ids is None:
+                ids = self.old.get(p)
+                if ids is None:
+                    missing.append(i)
+                    continue
+                self.new[p] = ids
+            blobs[i] = ids
+        for i, ids in zip(missing, self.fresh([values[i] for i in missing])):
+            blobs[i] = ids
+            if len(values[i]) <= 40:
+                self.new[values[i]] = ids
+        if len(self.new) > REMEMBERED:
+            self.old, self.new = self.new, {}
+        size = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 2
+        data = np.frombuffer(b"".join(blobs), dtype="<u2")
+        number = numbered.indices.to_numpy(zero_copy_only=False)
+        each = size[number]
+        done = np.cumsum(each)
+        ids = data[np.arange(done[-1] if len(done) else 0) + np.repeat((np.cumsum(size) - size)[number] - (done - each), each)]
+        last = np.append(0, done)[np.cumsum([len(p) for p in pieces], dtype=np.int64)]
+        return ids, np.diff(np.append(0, last))
 
 
 @lru_cache(4)
-def _loaded(path: str):
-    import json
-
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    spec = json.load(open(path))
-    drops = (spec.get("normalizer") or {}).get("type") == "Sequence"
-    return t, (str.split if drops else _SPACED.findall), {}
+def _loaded(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as 16-bit little-endian bytes."""
-    t, cut, memo = _loaded(path)
-    odd = [bool(_ODD.search(x)) for x in texts]
-    pieces = [[x] if o else cut(x) for x, o in zip(texts, odd)]
-    new = list(set().union(*pieces) - memo.keys())
-    fresh = {}
-    for i in range(0, len(new), 10_000):
-        part = new[i : i + 10_000]
-        fresh |= {p: np.array(e.ids, dtype="<u2").tobytes() for p, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False))}
-    out = []
-    for p in pieces:
-        out.append(b"".join([memo[x] if x in memo else fresh[x] for x in p]))
-    if len(memo) < REMEMBERED:
-        memo.update({k: v for k, v in fresh.items() if len(k) <= 40})
-    return out
+    ids, n = _loaded(path).encode(texts)
+    return [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])] if len(n) else []
+
+
+def offsets(rows: DataFrame, count: str) -> dict[int, int]:
+    """part -> the sum of ``count`` over the parts before it.  One number per partition is collected."""
+    sums = sorted(tuple(r) for r in rows.groupBy("part").agg(F.sum(count)).collect())
+    return dict(zip([p for p, _ in sums], accumulate([n for _, n in sums], initial=0)))
 
 
 def crc32_of(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def token_bytes(docs: DataFrame, tokenizer: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, part, start, n, ids): each text's ids with the end id, and its place in its partition."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("part", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
+def token_bytes(docs: DataFrame, tokenizer: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text", counted: bool = False) -> DataFrame:
+    """(id, part, start, n, ids): each text's ids with the end id, and its place in its partition.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+    With ``counted`` a last row of each partition has only ``counts``: how often each id came, 64-bit.
+    """
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in ("part", "start", "n")], T.StructField("ids", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         part, done, end = TaskContext.get().partitionId(), 0, np.array([end_id], dtype="<u2").tobytes()
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                some = batch.slice(i, 500)
-                blobs = [b + end for b in encode([x or "" for x in some.column(1).to_pylist()], tokenizer)]
-                n = np.array([len(b) // 2 for b in blobs], dtype=np.int64)
-                start = done + np.cumsum(n) - n
-                done += int(n.sum())
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.full(len(n), part)), pa.array(start), pa.array(n), pa.array(blobs, pa.binary())], schema.names)
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+        total, kind = np.zeros(1 << 16, dtype=np.int64), None
+        encoder = _loaded(tokenizer)
+        for some in sliced(batches, 1, 1 << 22):
+            kind = some.column(0).type
+            ids, n = encoder.encode([x or "" for x in some.column(1).to_pylist()])
+            if counted:
+                total += np.bincount(ids, minlength=1 << 16)
+                total[end_id] += len(n)
+            raw, stop = ids.tobytes(), np.cumsum(n)
+            blobs = [raw[2 * a : 2 * b] + end for a, b in zip((stop - n).tolist(), stop.tolist())]
+            n = n + 1
+            start = done + np.cumsum(n) - n
+            done += int(n.sum())
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.full(len(n), part)), pa.array(start), pa.array(n), pa.array(blobs, pa.binary()), pa.nulls(len(n), pa.binary())], schema.names)
+        if counted and done:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *[pa.nulls(1, pa.int64())] * 3, pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], schema.names)
+
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return out if counted else out.drop("counts")
 
 
 # ---------------------------------------------------------------- the format
 def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of unsigned 32-bit ranks."""
     r = np.ascontiguousarray(ranks, dtype="<u4")
-    size = 1 + (r > 0xFF) + (r > 0xFFFF) + (r > 0xFFFFFF)
+    wide = 2 if not len(r) or int(r.max()) <= 0xFFFF else 4
+    size = (r > 0xFF).astype(np.uint8)
+    if wide == 4:
+        size += (r > 0xFFFF).astype(np.uint8) + (r > 0xFFFFFF).astype(np.uint8)
     codes = np.zeros(-(-len(r) // 4) * 4, dtype=np.uint8)
-    codes[: len(r)] = size - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
-    data = r.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    codes[: len(r)] = size
+    c = codes.reshape(-1, 4)
+    control = c[:, 0] | c[:, 1] << 2 | c[:, 2] << 4 | c[:, 3] << 6
+    data = r.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide)[np.arange(wide, dtype=np.uint8) <= size[:, None]]
     return control.tobytes(), data.tobytes()
 
 
@@ -118,19 +211,17 @@ def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def id_counts(kept: DataFrame) -> DataFrame:
-    """(token, n) over all documents; one row per partition and id is summed."""
+    """(token, n) over all documents, from the counts that each partition has left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << 16, dtype=np.int64)
         for batch in batches:
             for b in batch.column(0).to_pylist():
-                n += np.bincount(np.frombuffer(b, dtype="<u2"), minlength=1 << 16) if len(b) > 1 << 17 else 0
-            small = b"".join(b for b in batch.column(0).to_pylist() if len(b) <= 1 << 17)
-            n += np.bincount(np.frombuffer(small, dtype="<u2"), minlength=1 << 16)
+                n += np.frombuffer(b, dtype=np.int64)
         ids = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n[ids])], ["token", "n"])
 
-    return kept.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return kept.select("counts").where("counts is not null").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def write_blocks(docs: DataFrame, tokenizer: str, *, end_id: int, path: str | None = None, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
@@ -139,8 +230,9 @@ def write_blocks(docs: DataFrame, tokenizer: str, *, end_id: int, path: str | No
     The ranks (at most 65,536, the ids a tokenizer file may use here) are the one thing collected.
     Null ids come first; rows that repeat an id stay side by side.
     """
-    kept = staged(token_bytes(docs, tokenizer, end_id=end_id, id_col=id_col, text_col=text_col).select("id", "n", "ids"), "ids", compression="zstd")
-    by_rank = np.array([r[0] for r in id_counts(kept).orderBy(F.col("n").desc(), "token").collect()], dtype=np.int64)
+    both = staged(token_bytes(docs, tokenizer, end_id=end_id, id_col=id_col, text_col=text_col, counted=True).select("id", "n", "ids", "counts"), "ids", compression="zstd")
+    kept = both.where("ids is not null").select("id", "n", "ids")
+    by_rank = np.array([r[0] for r in id_counts(both).orderBy(F.col("n").desc(), "token").collect()], dtype=np.int64)
     rank = np.zeros(1 << 16, dtype="<u4")
     rank[by_rank] = np.arange(len(by_rank))
     id_type = docs.schema[id_col].dataType
@@ -186,10 +278,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, *, end_id: int, path: str | No
 
 def read_blocks(written: DataFrame, by_rank: np.ndarray, *, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """One row per document of the files: id, start, n_tokens, ids_crc32 (and the ids, 32-bit little-endian)."""
-    from abacist.llm.packing import offsets_of
-
-    before = offsets_of(written.select("part", "n_ids"), "part", "n_ids")
-    joined = written.join(before, "part").select("doc_ids", "lengths", "n_ids", (F.col("before") + F.col("ids_before")).alias("at"), "control", "data")
+    before = offsets(written, "n_ids")
     fields = [T.StructField(id_col, written.schema["doc_ids"].dataType.elementType), *[T.StructField(c, T.LongType()) for c in ("start", "n_tokens", "ids_crc32")]]
     if with_ids:
         fields.append(T.StructField("ids", T.BinaryType()))
@@ -197,17 +286,18 @@ def read_blocks(written: DataFrame, by_rank: np.ndarray, *, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                docs, lengths, n, at, control, data = (batch.column(i)[row] for i in range(6))
+                part, ids_before, n, docs, lengths, control, data = (batch.column(i)[row] for i in range(7))
+                at = before[part.as_py()] + ids_before.as_py()
                 size = np.array(lengths.as_py(), dtype=np.int64)
                 ids = by_rank[unpack_ranks(control.as_py(), data.as_py(), n.as_py())].astype("<u4")
                 stop = np.cumsum(size)
                 parts = [ids[a:b] for a, b in zip((stop - size).tolist(), stop.tolist())]
-                cols = [docs.values, pa.array(at.as_py() + stop - size), pa.array(size), pa.array([crc32_of(x) for x in parts], pa.int64())]
+                cols = [docs.values, pa.array(at + stop - size), pa.array(size), pa.array([crc32_of(x) for x in parts], pa.int64())]
                 if with_ids:
                     cols.append(pa.array([x.tobytes() for x in parts], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
 
-    return joined.mapInArrow(run, T.StructType(fields))
+    return written.select("part", "ids_before", "n_ids", "doc_ids", "lengths", "control", "data").mapInArrow(run, T.StructType(fields))
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
