@@ -71,6 +71,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     count = lambda pattern: F.regexp_count(t, F.lit(pattern))
     counted = {
+        "__letters": count(r"\p{L}"),
         "__n_words": n.cast("long"),
         "__word_chars": F.length(F.array_join("__w", "")).cast("long"),
         "__n_symbols": (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]", ""))).cast("long"),
@@ -82,15 +83,15 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "__repeat_ratio": share(F.col("__n_repeat_words"), n),
         "__mean_word_chars": share(F.col("__word_chars"), n),
         "__symbol_ratio": share(F.col("__n_symbols"), n),
-        "__shout_ratio": share(count("!"), n),
-        "__upper_ratio": share(count(r"\p{Lu}"), count(r"\p{L}")),
-        "__letter_ratio": share(count(r"\p{L}"), F.col("__word_chars")),
+        "__shout_ratio": share(F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit(""))), n),
+        "__upper_ratio": share(count(r"\p{Lu}"), F.col("__letters")),
+        "__letter_ratio": share(F.col("__letters"), F.col("__word_chars")),
         "__stop_word_ratio": share(stops, n),
         "__dup_line_ratio": share(F.col("__n_dup_lines"), lines),
         "__ellipsis_line_ratio": share(F.size(F.filter("__l", lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))), lines),
         "__bullet_line_ratio": share(F.size(F.filter("__l", lambda x: F.substring(F.ltrim(x), 1, 1).isin("-", "*", "•", "·"))), lines),
     }
-    return d.withColumns(ratios).drop("__w", "__l")
+    return d.withColumns(ratios).drop("__w", "__l", "__letters")
 
 
 def verdict(rules=RULES) -> F.Column:
@@ -120,7 +121,8 @@ def keep_good(docs: DataFrame, *, rules=RULES, text_col: str = "text") -> DataFr
     """``docs`` that meet every rule, all columns as they were."""
     # a generator keeps the condition above the projection, so that its counts are made once
     passed = F.explode(F.when(verdict(rules), F.array(F.lit(1))))
-    return measured(docs, text_col).select(*docs.columns, passed.alias("__passed")).drop("__passed")
+    rows = measured(docs.select(F.struct("*").alias("__row"), F.col(text_col).alias("__text")), "__text")
+    return rows.select("__row", passed).select("__row.*")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
