@@ -45,7 +45,7 @@ def g_computation(df: DataFrame, y: str, treat: str, x: list[str]) -> dict[str,
 
 
 def fold_of(k: int, seed: int, *keys) -> Column:
-    return F.floor(uniform(seed, *keys) * k).cast("int")
+    return F.floor(uniform(seed, F.lit("fold"), *keys) * k).cast("int")
 
 
 def aipw(df: DataFrame, y: str, treat: str, x: list[str], key: str, folds: int = 5, seed: int = 0, trim: float = 0.01) -> dict[str, float]:

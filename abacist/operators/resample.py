@@ -22,7 +22,7 @@ def bootstrap(df: DataFrame, statistic, keys: list[str], replicates: int = 200,
     out, step = [], 50
     for a in range(0, replicates, step):
         some = range(a, min(a + step, replicates))
-        row = df.agg(*[statistic(poisson1(seed + 7919 * b, *[F.col(k) for k in keys]).cast("double")) for b in some]).first()
+        row = df.agg(*[statistic(poisson1(seed, F.lit("bootstrap"), F.lit(b), *[F.col(k) for k in keys]).cast("double")) for b in some]).first()
         out += list(zip(some, row))
     return df.sparkSession.createDataFrame([(b, float(v)) for b, v in out if v is not None], "replicate int, value double")
 
@@ -48,7 +48,7 @@ def permutation(df: DataFrame, y: str, treat: str, key: str, strata: list[str] =
     gap = lambda t: F.sum(t * F.col("y")) / F.sum(t) - F.sum((1 - t) * F.col("y")) / F.sum(1 - t)
     seen, far, n = d.agg(gap(F.col("t"))).first()[0], 0, 0
     for a in range(0, replicates, 50):
-        draws = [(uniform(seed + 104729 * b, F.col("k")) < F.col("p")).cast("double") for b in range(a, min(a + 50, replicates))]
+        draws = [(uniform(seed, F.lit("permutation"), F.lit(b), F.col("k")) < F.col("p")).cast("double") for b in range(a, min(a + 50, replicates))]
         got = [v for v in d.agg(*[gap(t) for t in draws]).first() if v is not None]
         far, n = far + sum(abs(v) >= abs(seen) for v in got), n + len(got)
     return {"estimate": seen, "p_value": (far + 1) / (n + 1)}

@@ -52,11 +52,11 @@ def rake(df: DataFrame, margins: dict[str, dict], weight: str | None = None, tol
     cols = list(margins)
     base = num(weight) if weight else F.lit(1.0)
     d = df.withColumn("__w", base)
-    grid = d.groupBy(*cols).agg(F.sum("__w").alias("b")).collect()
+    grid = d.groupBy(*cols).agg(F.sum("__w").alias("__b")).collect()
     if len(grid) > 100_000:
         raise ValueError("too many distinct cells")
-    total = sum(r.b for r in grid)
-    cell = {tuple(r[: len(cols)]): r.b / total for r in grid}
+    total = sum(r["__b"] for r in grid)
+    cell = {tuple(r[: len(cols)]): r["__b"] / total for r in grid}
     factor = dict.fromkeys(cell, 1.0)
     for _ in range(most):
         before = dict(factor)
