@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from abacist.llm.common import sliced, table
 
@@ -118,15 +117,17 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], *, text_col: str =
             best = min(best, (int(away.sum()), lang))
         return best[1], 1 - best[0] / most
 
-    rest = [c for c in docs.columns if c != text_col]
+    kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 0):
-            found = [predict(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*rest, pred_col, score_col])
+    @F.arrow_udf("lang string, score double")
+    def guess(texts: pa.Array) -> pa.Array:
+        found = []
+        for some in sliced([pa.RecordBatch.from_arrays([texts], ["text"])], 0):
+            found += [predict(t) for t in some.column(0).to_pylist()]
+        return pa.array([{"lang": lang, "score": score} for lang, score in found], kind)
 
-    schema = T.StructType([*[docs.schema[c] for c in rest], T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
-    return docs.select(text_col, *rest).mapInArrow(run, schema)
+    marked = docs.withColumn("__guess", guess(F.col(text_col)))
+    return marked.select(*[c for c in docs.columns if c != text_col], F.col("__guess.lang").alias(pred_col), F.col("__guess.score").alias(score_col))
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
@@ -140,6 +141,7 @@ def keep_known(docs: DataFrame, *, least_score: float = 0.1, id_col: str = "doc_
     Profiles come from the documents' own labels, but for the held-out fifth.
     """
     learned = profiles(docs.where(~held_out(id_col)), lang_col=lang_col, text_col=text_col)
+    # only the text goes to Python; the rows stay with the JVM
     rows = docs.select(F.col(text_col).alias("__text"), F.struct("*").alias("__row"))
     marked = identify(rows, learned, text_col="__text")
     return marked.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("__row.*")
