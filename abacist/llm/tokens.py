@@ -239,13 +239,13 @@ def write_blocks(docs: DataFrame, tokenizer: str, *, end_id: int, path: str | No
     schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("block", T.LongType()), T.StructField("ids_before", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("doc_ids", T.ArrayType(id_type)), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("control", T.BinaryType()), T.StructField("data", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, block, done = TaskContext.get().partitionId(), 0, 0
+        part, block, done, held = TaskContext.get().partitionId(), 0, 0, 0
         ids, lengths, blobs = [], [], []
 
         def flush() -> pa.RecordBatch:
-            nonlocal block, done
+            nonlocal block, done, held
             control, data = pack_ranks(rank[np.frombuffer(b"".join(blobs), dtype="<u2")])
-            n = sum(lengths)
+            n, held = held, 0
             row = {"part": [part], "block": [block], "ids_before": [done], "n_ids": [n], "doc_ids": [list(ids)], "lengths": [list(lengths)], "control": [control], "data": [data]}
             block, done = block + 1, done + n
             for x in (ids, lengths, blobs):
@@ -261,7 +261,8 @@ def write_blocks(docs: DataFrame, tokenizer: str, *, end_id: int, path: str | No
                 ids.append(i)
                 lengths.append(n)
                 blobs.append(b)
-                if sum(lengths) >= BLOCK_IDS:
+                held += n
+                if held >= BLOCK_IDS:
                     yield flush()
         if ids:
             yield flush()
@@ -269,16 +270,16 @@ def write_blocks(docs: DataFrame, tokenizer: str, *, end_id: int, path: str | No
     p = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = kept.repartitionByRange(p, "id").sortWithinPartitions(F.col("id").asc_nulls_first()).mapInArrow(run, schema)
     if path:
-        blocks.write.option("compression", "zstd").parquet(path)
+        blocks.write.option("compression", "none").parquet(path)
         written = docs.sparkSession.read.schema(schema).parquet(path)
     else:
-        written = staged(blocks, "blocks", compression="zstd")
+        written = staged(blocks, "blocks", compression="none")
     return written, by_rank
 
 
 def read_blocks(written: DataFrame, by_rank: np.ndarray, *, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """One row per document of the files: id, start, n_tokens, ids_crc32 (and the ids, 32-bit little-endian)."""
-    before = offsets(written, "n_ids")
+    before, token = offsets(written, "n_ids"), by_rank.astype("<u4")
     fields = [T.StructField(id_col, written.schema["doc_ids"].dataType.elementType), *[T.StructField(c, T.LongType()) for c in ("start", "n_tokens", "ids_crc32")]]
     if with_ids:
         fields.append(T.StructField("ids", T.BinaryType()))
@@ -289,12 +290,12 @@ def read_blocks(written: DataFrame, by_rank: np.ndarray, *, id_col: str = "doc_i
                 part, ids_before, n, docs, lengths, control, data = (batch.column(i)[row] for i in range(7))
                 at = before[part.as_py()] + ids_before.as_py()
                 size = np.array(lengths.as_py(), dtype=np.int64)
-                ids = by_rank[unpack_ranks(control.as_py(), data.as_py(), n.as_py())].astype("<u4")
+                raw = memoryview(token[unpack_ranks(control.as_py(), data.as_py(), n.as_py())].tobytes())
                 stop = np.cumsum(size)
-                parts = [ids[a:b] for a, b in zip((stop - size).tolist(), stop.tolist())]
-                cols = [docs.values, pa.array(at + stop - size), pa.array(size), pa.array([crc32_of(x) for x in parts], pa.int64())]
+                parts = [raw[4 * a : 4 * b] for a, b in zip((stop - size).tolist(), stop.tolist())]
+                cols = [docs.values, pa.array(at + stop - size), pa.array(size), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
                 if with_ids:
-                    cols.append(pa.array([x.tobytes() for x in parts], pa.binary()))
+                    cols.append(pa.array([bytes(x) for x in parts], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
 
     return written.select("part", "ids_before", "n_ids", "doc_ids", "lengths", "control", "data").mapInArrow(run, T.StructType(fields))
