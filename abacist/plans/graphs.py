@@ -9,12 +9,22 @@ from abacist.plans.registry import Tables, one, query
 from abacist.sources import io, simulate
 from abacist.streaming import folds
 
-EDGES = "SELECT c_nationkey AS src, s_nationkey AS dst, count(*)::DOUBLE AS w FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE o_custkey % 23 = l_suppkey % 23 AND o_orderkey % 7 = 0 GROUP BY 1, 2"
+EDGES = "SELECT c_nationkey AS src, s_nationkey AS dst, count(*)::DOUBLE AS w FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2"
 
 
 def _edges(t: Tables):
-    j = t.orders.where("o_orderkey % 7 = 0").join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    return j.where("o_custkey % 23 = l_suppkey % 23").groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.count("*").cast("double").alias("w"))
+    """Trade: lines that customers of one nation bought from suppliers of another."""
+    j = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    return j.groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.count("*").cast("double").alias("w"))
+
+
+PAIRS = "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey"
+
+
+def _pairs(t: Tables):
+    """Parts bought together: in one order."""
+    a, b = (t.lineitem.select("l_orderkey", F.col("l_partkey").alias(c)) for c in ("src", "dst"))
+    return a.join(b, "l_orderkey").where("src < dst").select("src", "dst").distinct()
 
 
 @query("network_degrees", f"WITH e AS ({EDGES}), b AS (SELECT src AS node, 1 o, 0 i, w ow, 0 iw FROM e UNION ALL SELECT dst, 0, 1, 0, w FROM e) SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, sum(ow)::DOUBLE AS out_weight, sum(iw)::DOUBLE AS in_weight FROM b GROUP BY 1")
@@ -35,17 +45,19 @@ def _(t):
     return graph.pagerank(_edges(t))
 
 
-UNDIRECTED = f"u AS (SELECT DISTINCT least(src, dst) a, greatest(src, dst) b FROM ({EDGES}) WHERE src <> dst), s AS (SELECT a, b FROM u UNION ALL SELECT b, a FROM u)"
+UNDIRECTED = "u AS (SELECT DISTINCT least(src, dst) a, greatest(src, dst) b FROM ({edges}) WHERE src <> dst), s AS (SELECT a, b FROM u UNION ALL SELECT b, a FROM u)"
+REGIONAL = f"SELECT src, dst FROM ({EDGES}) JOIN nation x ON x.n_nationkey = src JOIN nation y ON y.n_nationkey = dst WHERE x.n_regionkey = y.n_regionkey"
 
 
-@query("triangles", f"WITH {UNDIRECTED}, d AS (SELECT a AS node, count(*) degree FROM s GROUP BY 1), t AS (SELECT x.a AS node, count(*) AS n FROM s x JOIN s y ON x.a = y.a AND x.b < y.b JOIN u z ON z.a = x.b AND z.b = y.b GROUP BY 1) SELECT node, coalesce(n, 0) AS triangles, degree, round(CASE WHEN degree > 1 THEN 2*coalesce(n, 0)/(degree*(degree-1)) ELSE 0 END, 8) AS clustering FROM d LEFT JOIN t USING (node)", 8)
+@query("triangles", f"WITH {UNDIRECTED.format(edges=PAIRS)}, d AS (SELECT a AS node, count(*) degree FROM s GROUP BY 1), t AS (SELECT x.a AS node, count(*) AS n FROM s x JOIN s y ON x.a = y.a AND x.b < y.b JOIN u z ON z.a = x.b AND z.b = y.b GROUP BY 1) SELECT node, coalesce(n, 0) AS triangles, degree, round(CASE WHEN degree > 1 THEN 2*coalesce(n, 0)/(degree*(degree-1)) ELSE 0 END, 8) AS clustering FROM d LEFT JOIN t USING (node)", 8)
 def _(t):
-    return graph.triangles(_edges(t))
+    return graph.triangles(_pairs(t))
 
 
-@query("components", f"WITH RECURSIVE {UNDIRECTED}, r AS (SELECT a AS node, a AS root FROM s UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.node) SELECT node, min(root) AS component FROM r GROUP BY 1")
+@query("components", f"WITH RECURSIVE {UNDIRECTED.format(edges=REGIONAL)}, r AS (SELECT a AS node, a AS root FROM s UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.node) SELECT node, min(root) AS component FROM r GROUP BY 1")
 def _(t):
-    return graph.connected(_edges(t).where("src <> dst"))
+    x, y = (t.nation.select(F.col("n_nationkey").alias(c), F.col("n_regionkey").alias(f"r_{c}")) for c in ("src", "dst"))
+    return graph.connected(_edges(t).join(x, "src").join(y, "dst").where("r_src = r_dst and src <> dst"))
 
 
 @query("assortativity", f"WITH e AS ({EDGES}), b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) SELECT round(corr(x.n_regionkey, y.n_regionkey), 8) AS r FROM b JOIN nation x ON x.n_nationkey = src JOIN nation y ON y.n_nationkey = dst", 8)
@@ -59,12 +71,12 @@ def _(t):
     return graph.exposure(_edges(t), t.nation.select(F.col("n_nationkey").alias("node"), (F.col("n_regionkey") == 1).cast("int").alias("t")))
 
 
-POINTS = "SELECT s_suppkey AS id, s_suppkey % 10 AS x, s_suppkey // 10 AS y, s_acctbal AS v FROM supplier WHERE s_suppkey < 100"
+POINTS = "SELECT s_suppkey AS id, s_suppkey % 10 AS x, s_suppkey // 10 AS y, s_acctbal AS v FROM supplier"
 NEAR = f"p AS ({POINTS}), w AS (SELECT a.id i, b.id j, 1.0 w FROM p a JOIN p b ON a.id <> b.id AND sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) <= 1.5)"
 
 
 def _points(t: Tables):
-    return t.supplier.where("s_suppkey < 100").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 10).alias("x"), F.floor(F.col("s_suppkey") / 10).alias("y"), F.col("s_acctbal").alias("v"))
+    return t.supplier.select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 10).alias("x"), F.floor(F.col("s_suppkey") / 10).alias("y"), F.col("s_acctbal").alias("v"))
 
 
 @query("distance_band", f"WITH {NEAR} SELECT i, j, w::DOUBLE AS w FROM w")

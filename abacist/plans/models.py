@@ -280,7 +280,8 @@ def _(t):
 @query("did_bacon")
 def _(t):
     p = _panel(t)
-    full = p.groupBy("i").count().where("count = (select 7)")
+    periods = p.select("t").distinct().count()
+    full = p.groupBy("i").count().where(F.col("count") == periods)  # the decomposition needs a balanced panel
     return did.bacon(p.join(full, "i", "left_semi"), "y", "g", "i", "t")
 
 

@@ -537,6 +537,7 @@ def _(t):
 
 @query("synthetic_control")
 def _(t):
-    d = t.lineitem.where("l_suppkey < 20").groupBy(F.col("l_suppkey").alias("u"), F.year("l_shipdate").alias("t")).agg(F.avg("l_extendedprice").alias("y"))
-    r = series.synthetic_control(d, "y", "u", "t", 0, 1999)
+    d = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("s_nationkey").alias("u"), F.year("l_shipdate").alias("t")).agg(F.avg("l_extendedprice").alias("y"))
+    first = d.agg(F.min("u")).first()[0]
+    r = series.synthetic_control(d, "y", "u", "t", first, 1999)
     return one(t.spark, {k: r[k] for k in ("att", "p_value", "pre_rmse")})
