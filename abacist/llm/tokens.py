@@ -174,6 +174,7 @@ def token_bytes(docs: DataFrame, tokenizer: str, *, end_id: int, id_col: str = "
             start = done + np.cumsum(n) - n
             done += int(n.sum())
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.full(len(n), part)), pa.array(start), pa.array(n), pa.array(blobs, pa.binary()), pa.nulls(len(n), pa.binary())], schema.names)
+        encoder.old, encoder.new = encoder.new, {}  # an idle worker keeps one generation
         if counted and done:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *[pa.nulls(1, pa.int64())] * 3, pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], schema.names)
 
