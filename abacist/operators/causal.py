@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from abacist.functions import dist
 from abacist.functions.columns import clip, num, uniform
-from abacist.operators.core import DataInsufficient, Fit, gram, inverse, names_of, solve_ls, usable
+from abacist.operators.core import DataInsufficient, Fit, gram, in_cells, inverse, names_of, running, solve_ls, usable
 from abacist.operators.regression import glm, ols, predicted
 
 
@@ -180,9 +180,10 @@ def lee(df: DataFrame, y: str, treat: str, selected: str) -> dict[str, float]:
     keep = math.floor(r[1 - more].p / r[more].p * r[more].n)
     v = d.where((F.col("t") == more) & (F.col("s") == 1)).where("y is not null").groupBy("y").agg(F.count("*").alias("n"))
     out = []
-    for order in (F.col("y").asc(), F.col("y").desc()):
-        before = F.coalesce(F.sum("n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        out.append(v.withColumn("k", F.least("n", F.greatest(F.lit(keep) - before, F.lit(0)))).agg(F.sum(F.col("k") * F.col("y"))).first()[0] / keep)
+    v = in_cells(v, "y")
+    for down in (False, True):
+        before = F.col("run_n") - F.col("n")
+        out.append(running(v, "y", {"n": F.col("n")}, down=down).withColumn("k", F.least("n", F.greatest(F.lit(keep) - before, F.lit(0)))).agg(F.sum(F.col("k") * F.col("y"))).first()[0] / keep)
     gaps = [m - r[0.0].m for m in out] if more == 1 else [r[1.0].m - m for m in out]
     return {"lower": min(gaps), "upper": max(gaps), "trimmed": 1 - keep / r[more].n}
 
@@ -263,7 +264,7 @@ def targeting(df: DataFrame, effect: str, fractions: list[float] = [0.1, 0.25, 0
     """Total effect of treating the highest fraction by predicted effect (positive only) against a random draw."""
     v = df.select(num(effect).alias("e")).dropna().groupBy("e").agg(F.count("*").alias("n"))
     n, mean = v.agg(F.sum("n"), F.sum(F.col("n") * F.col("e")) / F.sum("n")).first()
-    v = v.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(F.col("e").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("e > 0")
+    v = running(v, "e", {"n": F.col("n")}, down=True).withColumn("before", F.col("run_n") - F.col("n")).where("e > 0")
     gain = [F.coalesce(F.sum(F.col("e") * F.least("n", F.greatest(F.lit(math.floor(f * n)) - F.col("before"), F.lit(0)))), F.lit(0.0)) for f in fractions]
     r = v.agg(*gain).first()
     return df.sparkSession.createDataFrame([(f, math.floor(f * n), g, math.floor(f * n) * mean) for f, g in zip(fractions, r)], "fraction double, budget long, gain double, random double")

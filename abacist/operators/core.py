@@ -202,3 +202,39 @@ def lagged_meat(df: DataFrame, scores: list[Column], order: list[str], lags: int
     sums += [F.sum(F.col(f"__s{i}") * F.col(f"__l{q}_{j}")) for q in range(1, lags + 1) for i in range(k) for j in range(k)]
     v = np.array([x or 0.0 for x in lagged.agg(*sums).first()]).reshape(lags + 1, k, k)
     return v[0] + sum((1 - q / (lags + 1)) * (v[q] + v[q].T) for q in range(1, lags + 1))
+
+
+# ---------------------------------------------------------------- running sums without a global sort
+def in_cells(df: DataFrame, order: str, cells: int | None = None) -> DataFrame:
+    """``df`` with ``__cell``: the quantile cell of ``order`` (double, not null); equal values share a cell.
+
+    The cuts are approximate quantiles from one aggregation, so a cell holds about an equal share of
+    the rows however the values are spread.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    n = cells or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = df.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 100 * n)).first()[0] or [0.0]
+    splits = [-math.inf, *sorted({float(c) for c in cuts}), math.inf]
+    return Bucketizer(splits=splits, inputCol=order, outputCol="__cell").transform(df)
+
+
+def running(df: DataFrame, order: str, values: dict[str, Column], by: list[str] = [], *, down: bool = False, fn: str = "sum") -> DataFrame:
+    """``df`` with ``run_<name>``, the running sum (max, min) of each value along ``order``, and ``all_<name>``, that of the group.
+
+    ``order`` is a double column that does not repeat within a group; ``down`` runs from its highest
+    value.  No task sorts a whole group: windows run inside quantile cells, and what lies before a
+    cell comes from a window over one row per cell.
+    """
+    d = (df if "__cell" in df.columns else in_cells(df, order)).withColumns({f"__v_{n}": c for n, c in values.items()})
+    f = {"sum": F.sum, "max": F.max, "min": F.min}[fn]
+    along = lambda c: F.col(c).desc() if down else F.col(c).asc()
+    totals = d.groupBy(*by, "__cell").agg(*[f(f"__v_{n}").alias(f"__v_{n}") for n in values])
+    before = Window.partitionBy(*by).orderBy(along("__cell")).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*by)
+    keys = [*by, "__cell"]
+    base = totals.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[f(f"__v_{n}").over(before).alias(f"__b_{n}") for n in values], *[f(f"__v_{n}").over(every).alias(f"all_{n}") for n in values])
+    met = [d[k].eqNullSafe(base[f"__k_{k}"]) for k in keys]
+    inside = Window.partitionBy(*keys).orderBy(along(order)).rowsBetween(Window.unboundedPreceding, 0)
+    both = {"sum": lambda a, b: a + F.coalesce(b, F.lit(0)), "max": F.greatest, "min": F.least}[fn]
+    return d.join(base, met).select(*df.columns, *[both(f(f"__v_{n}").over(inside), F.col(f"__b_{n}")).alias(f"run_{n}") for n in values], *[f"all_{n}" for n in values])

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abacist.functions import dist
 from abacist.functions.columns import num
+from abacist.operators.core import running
 
 
 def sumstats(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
@@ -67,14 +68,20 @@ def pwcorr(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(out, "a string, b string, r double, n long, p_value double")
 
 
-def rank(col: str, by: list[str] | None = None, ties: str = "average", ascending: bool = True) -> Column:
-    """Rank within groups; ties: average, min, max, dense, first is not offered (it has no order).  Null stays null."""
-    c = F.col(col) if ascending else -F.col(col)
-    w = Window.partitionBy(*[F.col(b) for b in by or []], F.col(col).isNull()).orderBy(c)
-    same = Window.partitionBy(*[F.col(b) for b in by or []], c)
-    low, n = F.rank().over(w), F.count("*").over(same)
-    out = {"min": low, "max": low + n - 1, "average": low + (n - 1) / 2, "dense": F.dense_rank().over(w)}[ties]
-    return F.when(F.col(col).isNotNull(), out.cast("double"))
+def ranked(df: DataFrame, col: str, ranks: dict[str, str], by: list[str] = [], ascending: bool = True) -> DataFrame:
+    """``df`` with ranks of ``col`` within groups: ``ranks`` names each new column and its rule for ties.
+
+    Ties: average, min, max or dense (first is not offered, it has no order).  A null or NaN has no
+    rank.  Ranks come from the distinct values, and are joined to the rows.
+    """
+    keys = [F.col(b).alias(f"__by_{b}") for b in by]
+    per = df.select(*keys, num(col).alias("__value")).where("__value is not null").groupBy(*[f"__by_{b}" for b in by], "__value").agg(F.count("*").alias("__n"))
+    per = running(per, "__value", {"n": F.col("__n"), "dense": F.lit(1)}, [f"__by_{b}" for b in by], down=not ascending)
+    high, n = F.col("run_n"), F.col("__n")
+    rule = {"min": high - n + 1, "max": high, "average": high - (n - 1) / 2, "dense": F.col("run_dense")}
+    per = per.select(*[f"__by_{b}" for b in by], "__value", *[rule[r].cast("double").alias(name) for name, r in ranks.items()])
+    met = [df[b].eqNullSafe(per[f"__by_{b}"]) for b in by] + [num(df[col]) == per["__value"]]
+    return df.join(per, met, "left").drop("__value", *[f"__by_{b}" for b in by])
 
 
 def balance_table(df: DataFrame, treat: str, cols: list[str], weight: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from abacist.functions import dist
 from abacist.functions.columns import num
+from abacist.operators.core import running
 
 
 def cells(df: DataFrame, exposure: str, outcome: str, by: list[str] = []) -> DataFrame:
@@ -69,10 +70,8 @@ def indirect_standardise(df: DataFrame, events: str, population: str, stratum: s
 
 def roc(df: DataFrame, score: str, label: str) -> DataFrame:
     """ROC points, one per distinct score; ties are one step."""
-    t = _scores(df, score, label)
-    down = Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)  # over distinct scores
-    total = Window.partitionBy()
-    return t.select(F.col("s").alias("threshold"), (F.sum("p").over(down) / F.sum("p").over(total)).alias("tpr"), (F.sum("n").over(down) / F.sum("n").over(total)).alias("fpr"))
+    t = running(_scores(df, score, label), "s", {"p": F.col("p"), "n": F.col("n")}, down=True)
+    return t.select(F.col("s").alias("threshold"), (F.col("run_p") / F.col("all_p")).alias("tpr"), (F.col("run_n") / F.col("all_n")).alias("fpr"))
 
 
 def _scores(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -82,9 +81,8 @@ def _scores(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def auc(df: DataFrame, score: str, label: str) -> dict[str, float]:
     """Area under the curve (ties count half) with Hanley and McNeil's standard error."""
-    t = _scores(df, score, label)
-    below = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    r = t.withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0.0))).agg(F.sum(F.col("p") * (F.col("under") + F.col("n") / 2)), F.sum("p"), F.sum("n")).first()
+    t = running(_scores(df, score, label), "s", {"n": F.col("n")})
+    r = t.withColumn("under", F.col("run_n") - F.col("n")).agg(F.sum(F.col("p") * (F.col("under") + F.col("n") / 2)), F.sum("p"), F.sum("n")).first()
     a, p, n = r[0] / (r[1] * r[2]), r[1], r[2]
     q1, q2 = a / (2 - a), 2 * a * a / (1 + a)
     return {"auc": a, "std_error": math.sqrt((a * (1 - a) + (p - 1) * (q1 - a * a) + (n - 1) * (q2 - a * a)) / (p * n)), "positives": p, "negatives": n}
@@ -127,3 +125,28 @@ def bradford_rate_ratio(df: DataFrame, exposure: str, events: str, person_time:
     r = d.agg(s("e", 1).alias("e1"), s("t", 1).alias("t1"), s("e", 0).alias("e0"), s("t", 0).alias("t0"))
     ratio, se = (F.col("e1") / F.col("t1")) / (F.col("e0") / F.col("t0")), F.sqrt(1 / F.col("e1") + 1 / F.col("e0"))
     return r.select((F.col("e1") / F.col("t1")).alias("rate1"), (F.col("e0") / F.col("t0")).alias("rate0"), ratio.alias("ratio"), (ratio * F.exp(-z * se)).alias("ratio_low"), (ratio * F.exp(z * se)).alias("ratio_high"), (F.col("e1") / F.col("t1") - F.col("e0") / F.col("t0")).alias("difference"))
+
+
+def attributable(table: DataFrame) -> DataFrame:
+    """Attributable fractions (of the exposed, of the population) and the number needed to harm, per row of a table a, b, c, d."""
+    a, b, c, d = (F.col(x) for x in "abcd")
+    r1, r0, r = a / (a + b), c / (c + d), (a + c) / (a + b + c + d)
+    return table.withColumns({"attributable_exposed": (r1 - r0) / r1, "attributable_population": (r - r0) / r, "number_needed": F.when(r1 != r0, 1 / F.abs(r1 - r0))})
+
+
+def breslow_day(df: DataFrame, exposure: str, outcome: str, strata: list[str]) -> tuple[float, int, float]:
+    """(chi-square, df, p) of equal odds ratios over strata."""
+    t = cells(df, exposure, outcome, strata).where("a + b > 0 and c + d > 0 and a + c > 0 and b + d > 0")
+    n = F.col("a") + F.col("b") + F.col("c") + F.col("d")
+    num_, den = t.agg(F.sum(F.col("a") * F.col("d") / n), F.sum(F.col("b") * F.col("c") / n)).first()
+    psi = num_ / den
+    m1, n1 = (F.col("a") + F.col("c")).cast("double"), (F.col("a") + F.col("b")).cast("double")
+    # expected a solves psi = a (n - m1 - n1 + a) / ((m1 - a) (n1 - a))
+    if abs(psi - 1) < 1e-12:
+        e = m1 * n1 / n
+    else:
+        q = psi * (m1 + n1) + (n - m1 - n1)
+        e = (q - F.sqrt(q * q - 4 * psi * (psi - 1) * m1 * n1)) / (2 * (psi - 1))
+    v = 1 / (1 / e + 1 / (m1 - e) + 1 / (n1 - e) + 1 / (n - m1 - n1 + e))
+    stat, k = t.agg(F.sum((F.col("a") - e) ** 2 / v), F.count("*")).first()
+    return stat, k - 1, dist.chi2_sf(stat, k - 1)

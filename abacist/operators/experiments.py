@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from abacist.functions import dist
 from abacist.functions.columns import clip, num, uniform
 from abacist.operators.causal import fold_of
-from abacist.operators.core import DataInsufficient, Fit, gram, names_of, solve_ls, usable
+from abacist.operators.core import DataInsufficient, Fit, gram, names_of, running, solve_ls, usable
 from abacist.operators.regression import glm, iv, ols, predicted
 
 
@@ -68,8 +68,8 @@ def uplift_curve(df: DataFrame, y: str, treat: str, score: str, points: int = 10
     """Cumulative gain by predicted uplift at equal shares of the rows (Qini), from distinct scores."""
     d = df.select(num(y).alias("y"), num(treat).alias("t"), num(score).alias("s")).dropna()
     per = d.groupBy("s").agg(F.count("*").alias("n"), F.sum("t").alias("n1"), F.sum(F.col("t") * F.col("y")).alias("y1"), F.sum((1 - F.col("t")) * F.col("y")).alias("y0"))
-    run, all_ = Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    c = per.select((F.sum("n").over(run) / F.sum("n").over(all_)).alias("share"), *[F.sum(v).over(run).alias(v) for v in ("n", "n1", "y1", "y0")])
+    c = running(per, "s", {v: F.col(v) for v in ("n", "n1", "y1", "y0")}, down=True)
+    c = c.select((F.col("run_n") / F.col("all_n")).alias("share"), *[F.col(f"run_{v}").alias(v) for v in ("n", "n1", "y1", "y0")])
     gain = F.col("y1") - F.when(F.col("n") > F.col("n1"), F.col("y0") * F.col("n1") / (F.col("n") - F.col("n1"))).otherwise(0.0)
     return c.withColumn("gain", gain).groupBy(F.ceil(F.round(F.col("share") * points, 9)).alias("bin")).agg(F.max("share").alias("share"), F.max_by("gain", "share").alias("gain"))
 
@@ -219,8 +219,8 @@ def policy_tree(df: DataFrame, y: str, treat: str, x: list[str], bins: int = 32,
 def rosenbaum(df: DataFrame, gap: str, gamma: float) -> float:
     """Upper bound on the p-value of Wilcoxon's signed rank test of matched differences under hidden bias ``gamma``."""
     d = df.select(num(gap).alias("g")).where("g is not null and g <> 0").groupBy(F.abs("g").alias("a")).agg(F.count("*").alias("n"), F.count(F.when(F.col("g") > 0, 1)).alias("up"))
-    low = F.coalesce(F.sum("n").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = d.withColumn("rank", low + (F.col("n") + 1) / 2).agg(F.sum(F.col("up") * F.col("rank")), F.sum(F.col("n") * F.col("rank")), F.sum(F.col("n") * F.col("rank") ** 2)).first()
+    d = running(d, "a", {"n": F.col("n")})
+    r = d.withColumn("rank", F.col("run_n") - (F.col("n") - 1) / 2).agg(F.sum(F.col("up") * F.col("rank")), F.sum(F.col("n") * F.col("rank")), F.sum(F.col("n") * F.col("rank") ** 2)).first()
     p = gamma / (1 + gamma)
     return 1 - dist.norm_cdf((r[0] - p * r[1]) / math.sqrt(p * (1 - p) * r[2]))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -189,3 +190,39 @@ def conley_meat(d: DataFrame, scores: list, x: str, y: str, radius: float):
     j = left.join(right, "c").where(gap <= radius).withColumn("w", 1 - gap / radius)
     row = j.agg(*[F.sum(F.col("w") * F.col(f"a{p_}") * F.col(f"b{q}")) for p_ in range(k) for q in range(k)]).first()
     return np.array(row).reshape(k, k)
+
+
+def modularity(edges: DataFrame, community: DataFrame) -> float:
+    """Newman's modularity of an undirected weighted graph; ``community`` is (node, c), edges are listed once."""
+    c = community.select("node", "c")
+    e = edges.select("src", "dst", F.col("w").cast("double").alias("w") if "w" in edges.columns else F.lit(1.0).alias("w"))
+    e = e.join(c.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(c.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst")
+    ends = e.select(F.explode(F.array("cs", "cd")).alias("c"), "w").groupBy("c").agg(F.sum("w").alias("k"))
+    m, inside = e.agg(F.sum("w"), F.sum(F.when(F.col("cs") == F.col("cd"), F.col("w")).otherwise(0.0))).first()
+    squares = ends.agg(F.sum(F.col("k") ** 2)).first()[0]
+    return inside / m - squares / (4 * m * m)
+
+
+def core_numbers(edges: DataFrame, most: int = 100) -> DataFrame:
+    """(node, core): the largest k whose k-core holds the node, for k up to ``most``; each peeling is a written table."""
+    spark = edges.sparkSession
+    u = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    s = written(u.unionByName(u.select(F.col("b").alias("a"), F.col("a").alias("b"))), spark)
+    done = []
+    for k in range(1, most + 1):
+        while True:
+            weak = s.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") < k + 1).select("a")
+            if weak.isEmpty():
+                break
+            weak = written(weak, spark)
+            done.append(weak.select(F.col("a").alias("node"), F.lit(k).alias("core")))
+            left = s.join(weak, "a", "left_anti").join(weak.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b")
+            gone = s.join(weak, "a", "left_anti").join(left.select("a").distinct(), "a", "left_anti").select("a").distinct()
+            gone = written(gone, spark)
+            done.append(gone.select(F.col("a").alias("node"), F.lit(k).alias("core")))
+            s = written(left, spark)
+        if s.isEmpty():
+            break
+    else:
+        done.append(s.select(F.col("a").alias("node"), F.lit(most).alias("core")).distinct())
+    return reduce(DataFrame.unionByName, done) if done else s.select(F.col("a").alias("node"), F.lit(0).alias("core"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abacist.functions.columns import num
-from abacist.operators.core import grouped_gram, names_of, solve_ls, usable
+from abacist.operators.core import grouped_gram, names_of, running, solve_ls, usable
 
 
 def _values(df: DataFrame, y: str, weight: str | None, by: list[str]) -> DataFrame:
@@ -20,16 +20,15 @@ def _values(df: DataFrame, y: str, weight: str | None, by: list[str]) -> DataFra
 def gini(df: DataFrame, y: str, weight: str | None = None, by: list[str] = []) -> DataFrame:
     """Gini coefficient per group, from running sums over distinct values."""
     v = _values(df, y, weight, by)
-    run = Window.partitionBy(*by).orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
-    v = v.withColumn("mid", F.sum("w").over(run) - F.col("w") / 2)
+    v = running(v, "y", {"w": F.col("w")}, by).withColumn("mid", F.col("run_w") - F.col("w") / 2)
     return v.groupBy(*by).agg((2 * F.sum(F.col("w") * F.col("y") * F.col("mid")) / (F.sum("w") * F.sum(F.col("w") * F.col("y"))) - 1).alias("gini"))
 
 
 def lorenz(df: DataFrame, y: str, points: int = 10, weight: str | None = None) -> DataFrame:
     """Cumulative share of y held by the lowest shares of the population."""
     v = _values(df, y, weight, [])
-    run, all_ = Window.orderBy("y").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    v = v.select((F.sum("w").over(run) / F.sum("w").over(all_)).alias("p"), (F.sum(F.col("w") * F.col("y")).over(run) / F.sum(F.col("w") * F.col("y")).over(all_)).alias("share"))
+    v = running(v, "y", {"w": F.col("w"), "y": F.col("w") * F.col("y")})
+    v = v.select((F.col("run_w") / F.col("all_w")).alias("p"), (F.col("run_y") / F.col("all_y")).alias("share"))
     return v.groupBy(F.ceil(F.round(F.col("p") * points, 9)).alias("bin")).agg(F.max("p").alias("p"), F.max("share").alias("share"))
 
 
@@ -74,8 +73,7 @@ def poverty(df: DataFrame, y: str, line: float, by: list[str] = []) -> DataFrame
 def concentration(df: DataFrame, y: str, rank_by: str) -> float:
     """Concentration index of y over the ranking by another variable (ties share their mid rank)."""
     d = df.select(num(y).alias("y"), num(rank_by).alias("r")).dropna().groupBy("r").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
-    run = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("mid", F.sum("n").over(run) - F.col("n") / 2)
+    d = running(d, "r", {"n": F.col("n")}).withColumn("mid", F.col("run_n") - F.col("n") / 2)
     s, sy, n = d.agg(F.sum(F.col("s") * F.col("mid")), F.sum("s"), F.sum("n")).first()
     return 2 * s / (n * sy) - 1
 
@@ -152,8 +150,7 @@ def dfl(df: DataFrame, y: str, x: list[str], group: str, quantiles: list[float]
     out = []
     for name, part, weight in (("group0", d.where("g = 0"), None), ("counterfactual", d.where("g = 0"), "w"), ("group1", d.where("g = 1"), None)):
         v = part.groupBy(y).agg(F.sum(F.col(weight) if weight else F.lit(1.0)).alias("w"))
-        run = Window.orderBy(y).rowsBetween(Window.unboundedPreceding, 0)
-        v = v.withColumn("p", F.sum("w").over(run) / F.sum("w").over(Window.partitionBy()))
+        v = running(v, y, {"w": F.col("w")}).withColumn("p", F.col("run_w") / F.col("all_w"))
         r = v.agg(*[F.min(F.when(F.col("p") >= q, F.col(y))) for q in quantiles]).first()
         out += [(name, q, float(x_)) for q, x_ in zip(quantiles, r)]
     return df.sparkSession.createDataFrame(out, "distribution string, quantile double, value double")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from abacist.functions import dist
 from abacist.functions.columns import num, poisson1, uniform
+from abacist.operators.core import running
 
 
 def bootstrap(df: DataFrame, statistic, keys: list[str], replicates: int = 200, seed: int = 0) -> DataFrame:
@@ -93,20 +94,19 @@ def wild_cluster(df: DataFrame, y: str, x: list[str], focus: str, cluster: str,
 
 
 def adjust(df: DataFrame, p: str, method: str = "bh") -> DataFrame:
-    """Adds ``p_adjusted``: bonferroni, holm, bh or by, as running extremes over the ordered p-values."""
-    n = F.count(p).over(Window.partitionBy())
-    up = Window.orderBy(p)
-    k = F.row_number().over(up)
-    d = df.where(F.col(p).isNotNull()).withColumns({"__n": n, "__k": k})
+    """Adds ``p_adjusted``: bonferroni, holm, bh or by, as running extremes over the distinct p-values."""
+    d = df.where(F.col(p).isNotNull())
+    per = running(d.groupBy(num(p).alias("__p")).agg(F.count("*").alias("__n")), "__p", {"n": F.col("__n")})
+    value, n = F.col("__p"), F.col("all_n")
     if method == "bonferroni":
-        out = F.col(p) * F.col("__n")
-    elif method == "holm":
-        out = F.max(F.col(p) * (F.col("__n") - F.col("__k") + 1)).over(up.rowsBetween(Window.unboundedPreceding, 0))
+        per = per.withColumn("__out", value * n)
+    elif method == "holm":  # of equal p-values the first has the largest factor
+        per = running(per.select("__p", (value * (n - F.col("run_n") + F.col("__n"))).alias("v")), "__p", {"v": F.col("v")}, fn="max").withColumnRenamed("run_v", "__out")
     else:
-        c = F.lit(1.0) if method == "bh" else F.aggregate(F.sequence(F.lit(1), F.col("__n").cast("int")), F.lit(0.0), lambda a, x: a + 1 / x)
-        d = d.withColumn("__v", F.col(p) * F.col("__n") / F.col("__k") * c)
-        out = F.min("__v").over(Window.orderBy(F.col("__k").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    return d.withColumn("p_adjusted", F.least(out, F.lit(1.0))).drop("__n", "__k", "__v")
+        total = 1.0 if method == "bh" else sum(1 / i for i in range(1, d.count() + 1))
+        per = running(per.select("__p", (value * n / F.col("run_n") * total).alias("v")), "__p", {"v": F.col("v")}, down=True, fn="min").withColumnRenamed("run_v", "__out")
+    per = per.select("__p", F.least("__out", F.lit(1.0)).alias("p_adjusted"))
+    return d.join(per, num(p) == F.col("__p")).drop("__p")
 
 
 def combine_p(df: DataFrame, p: str) -> dict[str, float]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from abacist.functions import dist
 from abacist.functions.columns import num
-from abacist.operators.core import DataInsufficient, Fit
+from abacist.operators.core import DataInsufficient, Fit, running
 from abacist.operators.regression import ols
 
 
@@ -130,9 +130,8 @@ def mr(df: DataFrame, bx: str, by: str, se_y: str) -> dict[str, float]:
     slope, inter = (r[0] * r[4] - r[1] * r[2]) / det, (r[3] * r[2] - r[1] * r[4]) / det
     rss = r[5] - inter * r[2] - slope * r[4]
     s2 = max(rss / (r[6] - 2), 1.0) if r[6] > 2 else math.nan
-    v = d.select((F.col("y") / F.col("x")).alias("ratio"), (F.col("x") ** 2 / F.col("s") ** 2).alias("w"))
-    run, all_ = Window.orderBy("ratio").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    v = v.withColumn("p", (F.sum("w").over(run) - F.col("w") / 2) / F.sum("w").over(all_))
+    v = d.groupBy((F.col("y") / F.col("x")).alias("ratio")).agg(F.sum(F.col("x") ** 2 / F.col("s") ** 2).alias("w"))
+    v = running(v, "ratio", {"w": F.col("w")}).withColumn("p", (F.col("run_w") - F.col("w") / 2) / F.col("all_w"))
     lo = v.where("p <= 0.5").agg(F.max(F.struct("p", "ratio")).alias("a")).first().a
     hi = v.where("p > 0.5").agg(F.min(F.struct("p", "ratio")).alias("a")).first().a
     median = lo.ratio + (hi.ratio - lo.ratio) * (0.5 - lo.p) / (hi.p - lo.p) if lo and hi else (lo or hi).ratio

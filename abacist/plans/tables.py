@@ -41,7 +41,7 @@ def _(t):
 
 @query("rank", "SELECT o_orderkey, rank() OVER w + (count(*) OVER (PARTITION BY o_orderstatus, o_totalprice) - 1) / 2.0::DOUBLE AS average, dense_rank() OVER w::DOUBLE AS dense FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_totalprice)")
 def _(t):
-    return t.orders.select("o_orderkey", describe.rank("o_totalprice", ["o_orderstatus"]).alias("average"), describe.rank("o_totalprice", ["o_orderstatus"], "dense").alias("dense"))
+    return describe.ranked(t.orders, "o_totalprice", {"average": "average", "dense": "dense"}, ["o_orderstatus"]).select("o_orderkey", "average", "dense")
 
 
 @query("row_statistics", "SELECT l_orderkey, l_linenumber, round(list_sum(v), 6) AS total, round(list_avg(v), 6) AS mean, round(list_max(v), 6) AS most, round(list_min(v), 6) AS least, round(list_stddev_samp(v), 6) AS sd, len(v)::INT AS n FROM (SELECT l_orderkey, l_linenumber, list_filter([l_quantity, nullif(l_discount, 0), l_tax], lambda x: x IS NOT NULL) AS v FROM lineitem)")
