@@ -185,3 +185,39 @@ def imputation(df: DataFrame, y: str, first: str, unit: str, time: str, tol: flo
     if gaps.where("tau is null").limit(1).count():
         raise DataInsufficient("a treated unit or period has no untreated row")
     return gaps.withColumn("e", F.col("t") - F.col("g")).rollup("e").agg(F.avg("tau").alias("att"), F.count("*").alias("n"))
+
+
+def local_projection_did(df: DataFrame, y: str, first: str, unit: str, time: str, horizons: range = range(-3, 4)) -> DataFrame:
+    """(horizon, att, std_error): long differences from the period before treatment on treatment, with clean controls and period effects.
+
+    At horizon h a period's newly treated units meet the units untreated until h periods later; the
+    regression with period effects comes from cell sums per period.
+    """
+    p = _panel(df, y, first, unit, time)
+    base = p.select(F.col("i").alias("bi"), (F.col("t") + 1).alias("bt"), F.col("y").alias("y0"))
+    start = p.select("i", "t", "g").join(base, (F.col("i") == F.col("bi")) & (F.col("t") == F.col("bt"))).select("i", "t", "g", "y0")
+    rows = []
+    for h in horizons:
+        if h == -1:
+            continue
+        late = p.select(F.col("i").alias("li"), (F.col("t") - h).alias("lt"), F.col("y").alias("y1"))
+        new = F.col("g") == F.col("t")
+        d = start.join(late, (F.col("i") == F.col("li")) & (F.col("t") == F.col("lt"))).where(new | F.col("g").isNull() | (F.col("g") > F.col("t") + max(h, 0)))
+        d = d.select("t", F.coalesce(new, F.lit(False)).cast("double").alias("d"), (F.col("y1") - F.col("y0")).alias("dy"))
+        per = d.groupBy("t").agg(F.count("*").alias("n"), F.covar_pop("d", "dy").alias("c"), F.var_pop("d").alias("v"), F.var_pop("dy").alias("q")).where("v > 0")
+        n, c, v, q, k = per.agg(F.sum("n"), F.sum(F.col("n") * F.col("c")), F.sum(F.col("n") * F.col("v")), F.sum(F.col("n") * F.col("q")), F.count("*")).first()
+        if v:
+            b, free = c / v, n - k - 1
+            rows.append((h, b, math.sqrt(max(q - b * c, 0.0) / free / v) if free > 0 else math.nan))
+    return df.sparkSession.createDataFrame(rows, "horizon int, att double, std_error double")
+
+
+def pretrends(df: DataFrame, y: str, first: str, unit: str, time: str, window: tuple[int, int] = (-4, 4)) -> dict[str, float]:
+    """Joint Wald test that the event-time effects before treatment are zero."""
+    fit = event_study(df, y, first, unit, time, window)
+    at = [i for i, name in enumerate(fit.names) if name.startswith("e-")]
+    if not at:
+        raise DataInsufficient("no period before the reference")
+    b, v = fit.beta[at], fit.vcov[np.ix_(at, at)]
+    stat = float(b @ np.linalg.pinv(v) @ b)
+    return {"chi2": stat, "df": len(at), "p_value": dist.chi2_sf(stat, len(at))}

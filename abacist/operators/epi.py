@@ -150,3 +150,22 @@ def breslow_day(df: DataFrame, exposure: str, outcome: str, strata: list[str]) -
     v = 1 / (1 / e + 1 / (m1 - e) + 1 / (n1 - e) + 1 / (n - m1 - n1 + e))
     stat, k = t.agg(F.sum((F.col("a") - e) ** 2 / v), F.count("*")).first()
     return stat, k - 1, dist.chi2_sf(stat, k - 1)
+
+
+def fisher_exact(a: int, b: int, c: int, d: int) -> dict[str, float]:
+    """Two-sided exact test of a 2 x 2 table: tables no more likely than this one, under fixed margins."""
+    n, r, k = a + b + c + d, a + b, a + c
+    choose = lambda m, i: math.lgamma(m + 1) - math.lgamma(i + 1) - math.lgamma(m - i + 1)
+    log = lambda i: choose(r, i) + choose(n - r, k - i) - choose(n, k)
+    own, least, most = log(a), max(0, k - (n - r)), min(r, k)
+    mode = min(max((r + 1) * (k + 1) // (n + 2), least), most)
+    p = 0.0
+    # outwards from the likeliest table; what is left out weighs under 1e-18
+    for way in (range(mode, most + 1), range(mode - 1, least - 1, -1)):
+        for i in way:
+            v = log(i)
+            if v < -45 and v < own - 1e-7:
+                break
+            if v <= own + 1e-7:
+                p += math.exp(v)
+    return {"odds_ratio": a * d / (b * c) if b * c else math.inf, "p_value": min(1.0, p)}

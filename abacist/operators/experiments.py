@@ -273,3 +273,62 @@ def vector_autoregression(df: DataFrame, series: list[str], time: str, lags: int
         v = rss / (g.rows - len(b)) * np.diag(bread)
         rows += [(c, n, float(q), float(math.sqrt(u))) for n, q, u in zip(["Intercept", *x], b, v)]
     return df.sparkSession.createDataFrame(rows, "equation string, term string, estimate double, std_error double")
+
+
+def neyman(df: DataFrame, y: str, stratum: str, n: int) -> DataFrame:
+    """(stratum, size, share, sample): rows to draw per stratum, in proportion to its size times its spread."""
+    d = df.select(F.col(stratum).alias("stratum"), num(y).alias("y")).where("stratum is not null").groupBy("stratum").agg(F.count("*").alias("size"), F.coalesce(F.stddev("y"), F.lit(0.0)).alias("sd"))
+    total = d.agg(F.sum(F.col("size") * F.col("sd"))).first()[0]
+    share = F.col("size") * F.col("sd") / total
+    return d.select("stratum", "size", share.alias("share"), F.round(share * n).cast("long").alias("sample"))
+
+
+def prediction_powered_mean(df: DataFrame, y: str, prediction: str) -> dict[str, float]:
+    """Mean of an outcome known for some rows, with a prediction for all: the prediction's mean plus its mean error where known."""
+    d = df.select(num(y).alias("y"), num(prediction).alias("f")).where("f is not null")
+    e = F.col("y") - F.col("f")
+    f = F.when(F.col("y").isNull(), F.col("f"))
+    mf, vf, nf, me, ve, ne = d.agg(F.avg(f), F.var_samp(f), F.count(f), F.avg(e), F.var_samp(e), F.count(e)).first()
+    if not nf or not ne:
+        raise DataInsufficient("rows with and without an outcome are needed")
+    return {"mean": mf + me, "std_error": math.sqrt(vf / nf + ve / ne), "known": ne, "predicted": nf}
+
+
+def pairwise_means(df: DataFrame, y: str, group: str) -> DataFrame:
+    """Differences of all pairs of groups with Welch errors; groups are few."""
+    m = df.select(F.col(group).alias("g"), num(y).alias("y")).dropna().groupBy("g").agg(F.avg("y").alias("m"), F.var_samp("y").alias("v"), F.count("*").alias("n"))
+    a, b = (m.select(*[F.col(c).alias(f"{c}_{s}") for c in m.columns]) for s in "ab")
+    gap = F.sqrt(F.col("v_a") / F.col("n_a") + F.col("v_b") / F.col("n_b"))
+    return a.join(b, F.col("g_a") < F.col("g_b")).select(F.col("g_a").alias("a"), F.col("g_b").alias("b"), (F.col("m_b") - F.col("m_a")).alias("difference"), gap.alias("std_error"))
+
+
+def frontier(df: DataFrame, y: str, x: list[str], cost: bool = False) -> dict[str, float]:
+    """Stochastic frontier with half-normal inefficiency by moments: least squares, then its residuals' second and third moments.
+
+    Residuals skewed the wrong way give an inefficiency of zero.
+    """
+    from abacist.operators.regression import _residuals
+
+    d, fit = _residuals(df, y, x)
+    m2, m3, n = d.agg(F.avg(F.col("__e") ** 2), F.avg(F.col("__e") ** 3), F.count("*")).first()
+    m3 = m3 if cost else -m3
+    su = (max(m3, 0.0) / (math.sqrt(2 / math.pi) * (4 / math.pi - 1))) ** (1 / 3)
+    sv2 = max(m2 - (1 - 2 / math.pi) * su * su, 0.0)
+    shift = su * math.sqrt(2 / math.pi)
+    return {"intercept": fit["Intercept"] + (-shift if cost else shift), **{c: fit[c] for c in x}, "sigma_u": su, "sigma_v": math.sqrt(sv2), "gamma": su * su / (su * su + sv2) if su + sv2 else 0.0}
+
+
+def stepwise(df: DataFrame, y: str, x: list[str], criterion: str = "bic") -> list[tuple[str, float]]:
+    """Forward selection by AIC or BIC on one Gram matrix: (column, criterion after it) in order of choice."""
+    d = usable(df, names_of([y, *x]))
+    g = gram(d, [y, *x])
+    cost = math.log(g.n) if criterion == "bic" else 2.0
+    score = lambda some: g.n * math.log(max(solve_ls(g, 0, some)[2], 1e-300) / g.n) + cost * (len(some) + 1)
+    chosen, best, out = [], score([]), []
+    while len(chosen) < len(x):
+        at, i = min((score([*chosen, i]), i) for i in range(1, len(x) + 1) if i not in chosen)
+        if at >= best:
+            break
+        chosen, best = [*chosen, i], at
+        out.append((x[i - 1], at))
+    return out

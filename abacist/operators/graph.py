@@ -226,3 +226,106 @@ def core_numbers(edges: DataFrame, most: int = 100) -> DataFrame:
     else:
         done.append(s.select(F.col("a").alias("node"), F.lit(most).alias("core")).distinct())
     return reduce(DataFrame.unionByName, done) if done else s.select(F.col("a").alias("node"), F.lit(0).alias("core"))
+
+
+def _walk(edges: DataFrame, step, start: float, tol: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """Repeat ``step(edges, scores)`` until no score moves by ``tol``; scores are (node, x), each round is a written table."""
+    spark = edges.sparkSession
+    e = written(edges.groupBy("src", "dst").agg(F.sum("w").alias("w")), spark)
+    x = written(e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct().withColumn("x", F.lit(start)), spark)
+    for _ in range(most):
+        new = written(step(e, x), spark)
+        moved = new.join(x.withColumnRenamed("x", "old"), "node").agg(F.max(F.abs(F.col("x") - F.col("old")))).first()[0]
+        x = new
+        if moved is None or moved < tol:
+            break
+    return e, x
+
+
+def _pulled(e: DataFrame, x: DataFrame, along: str = "src", to: str = "dst") -> DataFrame:
+    """(node, x): weighted sums over in-links of the scores at their other end; 0 without any."""
+    s = e.join(x.withColumnRenamed("node", along), along).groupBy(F.col(to).alias("__to")).agg(F.sum(F.col("w") * F.col("x")).alias("__s"))
+    return x.select("node").join(s, F.col("node") == F.col("__to"), "left").select("node", F.coalesce("__s", F.lit(0.0)).alias("x"))
+
+
+def _scaled(x: DataFrame) -> DataFrame:
+    norm = x.agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("__norm"))
+    return x.crossJoin(F.broadcast(norm)).select("node", F.when(F.col("__norm") > 0, F.col("x") / F.col("__norm")).otherwise(0.0).alias("x"))  # one row
+
+
+def eigenvector_centrality(edges: DataFrame, tol: float = 1e-9, most: int = 200) -> DataFrame:
+    """(node, x) of unit length over in-links; a node's own score is added in each step, which keeps bipartite graphs from swinging."""
+
+    def step(e, x):
+        return _scaled(_pulled(e, x).join(x.withColumnRenamed("x", "own"), "node").select("node", (F.col("x") + F.col("own")).alias("x")))
+
+    return _walk(edges, step, 1.0, tol, most)[1]
+
+
+def katz_centrality(edges: DataFrame, alpha: float = 0.01, tol: float = 1e-9, most: int = 200) -> DataFrame:
+    """(node, x) of unit length; walks of each length count by powers of ``alpha``, below the inverse of the largest eigenvalue."""
+    return _scaled(_walk(edges, lambda e, x: _pulled(e, x).select("node", (1 + alpha * F.col("x")).alias("x")), 1.0, tol, most)[1])
+
+
+def hits(edges: DataFrame, tol: float = 1e-9, most: int = 200) -> DataFrame:
+    """(node, hub, authority), each of unit length."""
+    e, a = _walk(edges, lambda e, x: _scaled(_pulled(e, _pulled(e, x, "dst", "src"))), 1.0, tol, most)
+    h = _scaled(_pulled(e, a, "dst", "src"))
+    return h.withColumnRenamed("x", "hub").join(a.withColumnRenamed("x", "authority"), "node")
+
+
+def path_lengths(edges: DataFrame, sources: DataFrame, most: int = 100) -> DataFrame:
+    """(source, node, steps): links on the shortest directed path from each of ``sources`` (node); unreachable nodes have no row."""
+    spark = edges.sparkSession
+    e = written(edges.select("src", "dst").distinct(), spark)
+    seen = written(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("steps")).distinct(), spark)
+    edge = seen
+    for k in range(1, most + 1):
+        near = edge.join(e, edge["node"] == e["src"]).select("source", F.col("dst").alias("node")).distinct()
+        edge = written(near.join(seen, ["source", "node"], "left_anti").withColumn("steps", F.lit(k)), spark)
+        if edge.isEmpty():
+            break
+        seen = written(seen.unionByName(edge), spark)
+    return seen
+
+
+def closeness(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, closeness) of ``sources`` by outgoing paths, scaled by the share of nodes they reach."""
+    n = edges.select(F.explode(F.array("src", "dst")).alias("v")).agg(F.count_distinct("v")).first()[0]
+    p = path_lengths(edges, sources).where("steps > 0").groupBy(F.col("source").alias("node")).agg(F.count("*").alias("r"), F.sum("steps").alias("s"))
+    return p.select("node", (F.col("r") / F.col("s") * F.col("r") / (n - 1)).alias("closeness"))
+
+
+def transitivity(edges: DataFrame) -> float:
+    """Closed triples over all triples."""
+    t, d = triangles(edges).agg(F.sum("triangles"), F.sum(F.col("degree") * (F.col("degree") - 1) / 2)).first()
+    return t / d if d else 0.0
+
+
+def rook(grid: DataFrame, queen: bool = False) -> DataFrame:
+    """(i, j, w) of neighbours on an integer grid (id, x, y): shared edges, or corners too; an equality join per direction."""
+    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (queen or not a or not b)]
+    around = F.explode(F.array(*[F.struct((F.col("x") + a).cast("long").alias("x"), (F.col("y") + b).cast("long").alias("y")) for a, b in steps]))
+    left = grid.select(F.col("id").alias("i"), around.alias("at"))
+    right = grid.select(F.col("id").alias("j"), F.struct(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).alias("at"))
+    return left.join(right, "at").select("i", "j", F.lit(1.0).alias("w"))
+
+
+def join_counts(w: DataFrame, values: DataFrame) -> dict[str, float]:
+    """Weights of neighbour pairs that are both 1, both 0 or mixed (each pair once), of 0/1 values (id, v)."""
+    a, b = (values.select(F.col("id").alias(c), num("v").alias(f"v{c}")) for c in "ij")
+    j = w.join(a, "i").join(b, "j")
+    both = F.col("vi") * F.col("vj")
+    r = j.agg(F.sum(F.col("w") * both) / 2, F.sum(F.col("w") * (1 - F.col("vi")) * (1 - F.col("vj"))) / 2, F.sum(F.col("w") * (F.col("vi") - F.col("vj")) ** 2) / 2).first()
+    return {"bb": r[0] or 0.0, "ww": r[1] or 0.0, "bw": r[2] or 0.0}
+
+
+def local_getis(w: DataFrame, values: DataFrame) -> DataFrame:
+    """(id, z): standardised local G of each unit's neighbours, itself left out."""
+    v = values.select("id", num("v").alias("v")).dropna()
+    n, s, q = v.agg(F.count("*"), F.sum("v"), F.sum(F.col("v") ** 2)).first()
+    near = w.join(v.select(F.col("id").alias("j"), F.col("v").alias("vj")), "j").groupBy("i").agg(F.sum(F.col("w") * F.col("vj")).alias("g"), F.sum("w").alias("k"), F.sum(F.col("w") ** 2).alias("k2"))
+    j = near.join(v.select(F.col("id").alias("i"), "v"), "i")
+    m = (s - F.col("v")) / (n - 1)
+    sd = F.sqrt((q - F.col("v") ** 2) / (n - 1) - m * m)
+    return j.select(F.col("i").alias("id"), ((F.col("g") - F.col("k") * m) / (sd * F.sqrt(((n - 1) * F.col("k2") - F.col("k") ** 2) / (n - 2)))).alias("z"))

@@ -115,3 +115,31 @@ def local_randomisation(df: DataFrame, y: str, running: str, cutoff: float, wind
     r = {x.s: x for x in d.groupBy((F.col("x") >= 0).cast("int").alias("s")).agg(F.avg("y").alias("m"), F.var_samp("y").alias("v"), F.count("*").alias("n")).collect()}
     se = math.sqrt(r[1].v / r[1].n + r[0].v / r[0].n)
     return {"estimate": r[1].m - r[0].m, "std_error": se, "p_value": dist.two_sided((r[1].m - r[0].m) / se)}
+
+
+def checks(df: DataFrame, y: str, running: str, cutoff: float = 0.0, covariates: list[str] = [], placebos: list[float] = [], factors: list[float] = [0.5, 1.0, 2.0], donut: float = 0.0) -> DataFrame:
+    """(check, at, estimate, std_error, p_value): covariate balance, placebo cutoffs on one side each, other bandwidths, a donut hole."""
+    h = rule_of_thumb(usable(df, {"y": F.col(y), "x": num(running) - cutoff}))
+    x = num(running)
+    cases = [("balance", c, df, c, cutoff, h) for c in covariates]
+    cases += [("placebo", str(p), df.where(x < cutoff if p < cutoff else x >= cutoff), y, p, h) for p in placebos]
+    cases += [("bandwidth", str(f), df, y, cutoff, f * h) for f in factors]
+    if donut:
+        cases.append(("donut", str(donut), df.where(F.abs(x - cutoff) >= donut), y, cutoff, h))
+    rows = []
+    for kind, at, d, value, c, width in cases:
+        r = rd(d, value, running, c, width)
+        rows.append((kind, at, r["estimate"], r["std_error"], r["p_value"]))
+    return df.sparkSession.createDataFrame(rows, "check string, at string, estimate double, std_error double, p_value double")
+
+
+def multi_cutoff(df: DataFrame, y: str, running: str, cutoff: str, bandwidth: float | None = None) -> DataFrame:
+    """(cutoff, estimate, std_error, n) at each cutoff of the column, and pooled by rows near it; cutoffs are few."""
+    cuts = sorted(float(r[0]) for r in df.select(num(cutoff)).dropna().distinct().collect())
+    rows = []
+    for c in cuts:
+        r = rd(df.where(num(cutoff) == c), y, running, c, bandwidth)
+        rows.append((str(c), r["estimate"], r["std_error"], r["n_left"] + r["n_right"]))
+    n = sum(r[3] for r in rows)
+    rows.append(("pooled", sum(r[1] * r[3] for r in rows) / n, math.sqrt(sum((r[2] * r[3]) ** 2 for r in rows)) / n, n))
+    return df.sparkSession.createDataFrame(rows, "cutoff string, estimate double, std_error double, n double")

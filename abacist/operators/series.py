@@ -175,3 +175,46 @@ def icc(df: DataFrame, y: str, cluster: str) -> float:
     within = ss / (n - k)
     n0 = (n - nn / n) / (k - 1)
     return (between - within) / (between + (n0 - 1) * within)
+
+
+def synthetic_did(df: DataFrame, y: str, unit: str, time: str, treated: list, start) -> dict[str, float]:
+    """Arkhangelsky and others' estimator: unit and time weights, then a weighted difference in differences.
+
+    The balanced units x periods matrix is bounded as in ``synthetic_control``.
+    """
+    us, ts, m = _wide(df, y, unit, time)
+    keep = ~np.isnan(m).any(axis=0)
+    us, m = [u for u, k in zip(us, keep) if k], m[:, keep]
+    pre, own = np.array([t < start for t in ts]), np.array([u in set(treated) for u in us])
+    donors, t0 = m[:, ~own], int(pre.sum())
+    goal, n1, t1 = m[:, own].mean(axis=1), int(own.sum()), int((~pre).sum())
+    noise = np.diff(donors[pre], axis=0).std(ddof=1)
+    zeta = (n1 * t1) ** 0.25 * noise
+    flat = lambda a: a - a.mean(axis=0)  # noqa: E731  an intercept
+    n0 = donors.shape[1]
+    omega = simplex(np.concatenate([flat(goal[pre]), np.zeros(n0)]), np.vstack([flat(donors[pre]), zeta * math.sqrt(t0) * np.eye(n0)]))
+    small = 1e-6 * noise
+    lam = simplex(np.concatenate([flat(donors[~pre].mean(axis=0)), np.zeros(t0)]), np.vstack([flat(donors[pre].T), small * math.sqrt(n0) * np.eye(t0)]))
+    change = lambda a: a[~pre].mean(axis=0) - lam @ a[pre]
+    return {"att": float(change(goal) - change(donors) @ omega), "donors_used": float((omega > 1e-4).sum()), "periods_used": float((lam > 1e-4).sum())}
+
+
+def mr_leave_one_out(df: DataFrame, variant: str, bx: str, by: str, se_y: str) -> DataFrame:
+    """(variant, ivw, std_error) without each variant in turn, from sums less the variant's own part."""
+    d = df.select(F.col(variant).alias("variant"), num(bx).alias("x"), num(by).alias("y"), num(se_y).alias("s")).dropna().where("x <> 0 and s > 0")
+    d = d.select("variant", (F.col("x") ** 2 / F.col("s") ** 2).alias("xx"), (F.col("x") * F.col("y") / F.col("s") ** 2).alias("xy"))
+    xx, xy = d.agg(F.sum("xx"), F.sum("xy")).first()
+    left = xx - F.col("xx")
+    return d.where(left > 0).select("variant", ((xy - F.col("xy")) / left).alias("ivw"), (1 / F.sqrt(left)).alias("std_error"))
+
+
+def panel_unit_root(df: DataFrame, y: str, unit: str, time: str) -> dict[str, float]:
+    """Mean over units of the Dickey-Fuller t with an intercept, from each unit's sums (Im, Pesaran and Shin's t-bar)."""
+    w = Window.partitionBy("u").orderBy("t")
+    d = df.select(F.col(unit).alias("u"), F.col(time).alias("t"), num(y).alias("y")).dropna()
+    d = d.select("u", F.lag("y").over(w).alias("x"), (F.col("y") - F.lag("y").over(w)).alias("dy")).dropna()
+    per = d.groupBy("u").agg(F.count("*").alias("n"), F.regr_sxx("dy", "x").alias("xx"), F.regr_sxy("dy", "x").alias("xy"), F.regr_syy("dy", "x").alias("yy")).where("n > 3 and xx > 0")
+    b = F.col("xy") / F.col("xx")
+    t = b / F.sqrt((F.col("yy") - b * F.col("xy")) / (F.col("n") - 2) / F.col("xx"))
+    r = per.agg(F.avg(t), F.count("*")).first()
+    return {"t_bar": r[0], "units": r[1]}

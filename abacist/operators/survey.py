@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,3 +84,16 @@ def post_stratify(df: DataFrame, stratum: str, targets: dict, weight: str) -> Da
     t = df.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], f"`{stratum}` {kind}, __t double")
     s = df.groupBy(stratum).agg(F.sum(num(weight)).alias("__s")).join(t, stratum)
     return df.join(F.broadcast(s) if len(targets) <= 10_000 else s, stratum).withColumn("post_weight", num(weight) * F.col("__t") / F.col("__s")).drop("__t", "__s")
+
+
+def calibrate(df: DataFrame, totals: dict[str, float], weight: str) -> DataFrame:
+    """Adds ``calibrated``: linear calibration of weights to known totals of columns (use a column of ones for the count)."""
+    x = list(totals)
+    w = num(weight)
+    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+    row = df.agg(*[F.sum(w * num(c)) for c in x], *[F.sum(w * num(x[i]) * num(x[j])) for i, j in pairs]).first()
+    m = np.zeros((len(x), len(x)))
+    for (i, j), v in zip(pairs, row[len(x) :]):
+        m[i, j] = m[j, i] = v
+    lam = np.linalg.solve(m, np.array([totals[c] for c in x]) - np.array(row[: len(x)], dtype=float))
+    return df.withColumn("calibrated", w * (1 + sum((F.lit(float(a)) * num(c) for a, c in zip(lam, x)), F.lit(0.0))))

@@ -10,19 +10,22 @@ from pyspark.sql import functions as F
 from abacist.functions.columns import num, uniform
 
 
+def _gone(df: DataFrame, c: str) -> Column:
+    """Null, or NaN in a column that can hold it."""
+    return F.col(c).isNull() | F.isnan(c) if dict(df.dtypes)[c] in ("double", "float") else F.col(c).isNull()
+
+
 def missing_table(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """One row per column: present, missing (null or NaN) and the share missing; one scan."""
     cols = cols or df.columns
-    kinds = dict(df.dtypes)
-    gone = {c: F.col(c).isNull() | F.isnan(c) if kinds[c] in ("double", "float") else F.col(c).isNull() for c in cols}
-    one = df.agg(F.count("*").alias("__n"), *[F.count(F.when(g, 1)).alias(c) for c, g in gone.items()])
+    one = df.agg(F.count("*").alias("__n"), *[F.count(F.when(_gone(df, c), 1)).alias(c) for c in cols])
     long = one.select("__n", F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("missing")) for c in cols])).alias("v"))
     return long.select("v.variable", (F.col("__n") - F.col("v.missing")).alias("present"), "v.missing", F.when(F.col("__n") > 0, F.col("v.missing") / F.col("__n")).alias("share"))
 
 
 def missing_patterns(df: DataFrame, cols: list[str]) -> DataFrame:
     """Rows per pattern of presence, as a string of + and . in the order of ``cols``."""
-    return df.groupBy(F.concat(*[F.when(num(c).isNull() & F.col(c).cast("string").isNull(), ".").otherwise("+") for c in cols]).alias("pattern")).agg(F.count("*").alias("n"))
+    return df.groupBy(F.concat(*[F.when(_gone(df, c), ".").otherwise("+") for c in cols]).alias("pattern")).agg(F.count("*").alias("n"))
 
 
 def codebook(df: DataFrame, cols: list[str]) -> DataFrame:
