@@ -214,7 +214,7 @@ def in_cells(df: DataFrame, order: str, cells: int | None = None) -> DataFrame:
     from pyspark.ml.feature import Bucketizer
 
     n = cells or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = df.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 100 * n)).first()[0] or [0.0]
+    cuts = df.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 10 * n)).first()[0] or [0.0]
     splits = [-math.inf, *sorted({float(c) for c in cuts}), math.inf]
     return Bucketizer(splits=splits, inputCol=order, outputCol="__cell").transform(df)
 
