@@ -62,7 +62,9 @@ def _(t):
     return _slopes(regression.regress("y ~ a + b", _line(t), cluster="g"), t)
 
 
-@query("ols_twoway_cluster")
+@query("ols_twoway_cluster", fwl(LINE.replace("AS g", "AS g, l_partkey AS p"), "cluster").split(", g AS (")[0] + """, z AS (SELECT t, sum(r*r) rr, any_value(n) n FROM l GROUP BY t),
+s1 AS (SELECT t, sum(s*s)*count(*)/(count(*) - 1.0) q FROM (SELECT t, g, sum(r*e) s FROM l GROUP BY t, g) GROUP BY t), s2 AS (SELECT t, sum(s*s)*count(*)/(count(*) - 1.0) q FROM (SELECT t, p, sum(r*e) s FROM l GROUP BY t, p) GROUP BY t), s3 AS (SELECT t, sum(s*s)*count(*)/(count(*) - 1.0) q FROM (SELECT t, g, p, sum(r*e) s FROM l GROUP BY t, g, p) GROUP BY t)
+SELECT t AS term, round(CASE WHEN t = 'a' THEN b1 ELSE b2 END, 6) AS estimate, round(sqrt((s1.q + s2.q - s3.q)*(n - 1.0)/(n - 3))/rr, 6) AS std_error FROM z JOIN s1 USING (t) JOIN s2 USING (t) JOIN s3 USING (t), k""")
 def _(t):
     return _slopes(regression.regress("y ~ a + b", _line(t), cluster=["g", "p"]), t)
 
@@ -117,9 +119,9 @@ def _(t):
     return _slopes(panel.random_effects(_panel(t), "y", ["x"], "i"), t)
 
 
-@query("panel_mundlak")
+@query("panel_mundlak", f"WITH d AS (SELECT y, x, avg(x) OVER w AS m, y - avg(y) OVER w AS yw, x - avg(x) OVER w AS xw FROM ({PANEL}) WINDOW w AS (PARTITION BY i)), k AS (SELECT sum(xw*yw)/sum(xw*xw) b, covar_pop(m, y)/var_pop(m) g FROM d) SELECT 'x' AS term, round(b, 5) AS estimate FROM k UNION ALL SELECT 'mean_x', round(g - b, 5) FROM k", 5)
 def _(t):
-    return _slopes(panel.mundlak(_panel(t), "y", ["x"], "i"), t)
+    return _slopes(panel.mundlak(_panel(t), "y", ["x"], "i"), t).select("term", "estimate")
 
 
 BINARY = "SELECT (l_returnflag = 'R')::INT AS y, (l_quantity > 25)::INT AS x FROM lineitem"
@@ -272,7 +274,10 @@ def _(t):
     return did.aggte(did.att_gt(_panel(t), "y", "g", "i", "t"), "calendar")
 
 
-@query("did_notyettreated")
+LATER = CELLS.replace("(x.g = pr.g OR x.g IS NULL)", "(x.g = pr.g OR x.g IS NULL OR x.g > greatest(pr.t, pr.base))").replace("(x.g IS NOT NULL) AS tr", "coalesce(x.g = pr.g, false) AS tr")
+
+
+@query("did_notyettreated", f'WITH {LATER} SELECT "group", "time", round(att, 4) AS att, round(std_error, 4) AS std_error, n_treated, n_control FROM ce', 4)
 def _(t):
     return did.att_gt(_panel(t), "y", "g", "i", "t", control="notyettreated")
 
@@ -285,7 +290,11 @@ def _(t):
     return did.bacon(p.join(full, "i", "left_semi"), "y", "g", "i", "t")
 
 
-@query("did_twfe")
+TWO_WAY = """avg({c}) OVER (PARTITION BY i) - avg({c}) OVER (PARTITION BY t) + avg({c}) OVER ()"""
+
+
+@query("did_twfe", f"""WITH p AS (SELECT *, (g IS NOT NULL AND t >= g)::INT::DOUBLE AS d FROM ({PANEL})), w AS (SELECT i, t, y - {TWO_WAY.format(c='y')} AS y, d - {TWO_WAY.format(c='d')} AS d FROM p), k AS (SELECT sum(d*y)/sum(d*d) b, sum(d*d) dd, count(*) n, count(DISTINCT t) p FROM w),
+c AS (SELECT i, sum(d*(y - b*d)) s FROM w, k GROUP BY i) SELECT 'd' AS term, round(any_value(b), 4) AS estimate, round(sqrt(sum(s*s)*count(*)/(count(*) - 1.0)*any_value((n - 1.0)/(n - p - 1)))/any_value(dd), 4) AS std_error FROM c, k""", 4)
 def _(t):
     return did.twfe(_panel(t), "y", "d", "i", "t").frame(t.spark).select("term", "estimate", "std_error")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from abacist.operators import experiments as X
 from abacist.operators import graph, likelihood
 from abacist.plans.graphs import _points
-from abacist.plans.models import _panel, _slopes
+from abacist.plans.models import PANEL, _panel, _slopes
 from abacist.plans.registry import Tables, one, query
 
 
@@ -54,7 +54,7 @@ def _(t):
     return one(t.spark, {"slope": f["l_quantity"], "sigma_e": f.extra["sigma_e"], "sigma_u": f.extra["sigma_u"]})
 
 
-@query("anderson_hsiao")
+@query("anderson_hsiao", f"WITH d AS (SELECT i, y - lag(y) OVER w dy, lag(y) OVER w - lag(y, 2) OVER w l, lag(y, 2) OVER w z FROM ({PANEL}) WINDOW w AS (PARTITION BY i ORDER BY t)), f AS (SELECT i, dy - avg(dy) OVER () dy, l - avg(l) OVER () l, z - avg(z) OVER () z FROM d WHERE z IS NOT NULL), k AS (SELECT sum(z*dy)/sum(z*l) b, sum(z*l) zl, count(*) n FROM f), c AS (SELECT i, sum(z*(dy - b*l)) s FROM f, k GROUP BY i) SELECT 'lag_dy' AS term, round(any_value(b), 5) AS estimate, round(sqrt(sum(s*s)*count(*)/(count(*) - 1.0)*any_value((n - 1.0)/(n - 2)))/abs(any_value(zl)), 5) AS std_error FROM c, k", 5)
 def _(t):
     return _slopes(likelihood.anderson_hsiao(_panel(t), "y", "i", "t"), t)
 
@@ -105,7 +105,7 @@ def _(t):
     return _slopes(X.marginal_structural(_panel(t).withColumn("a", (F.col("x") > 25.5).cast("double")), "y", "a", "i", "t", ["x"]), t)
 
 
-@query("bartik")
+@query("bartik", "WITH h AS (SELECT l_linenumber c, avg(l_discount) h FROM lineitem GROUP BY 1), n AS (SELECT l_suppkey r, l_linenumber c, count(*)::DOUBLE n FROM lineitem GROUP BY 1, 2), z AS (SELECT r, sum(n*h)/sum(n) z FROM n JOIN h USING (c) GROUP BY 1), d AS (SELECT l_suppkey r, avg(l_extendedprice) y, avg(l_quantity) x FROM lineitem GROUP BY 1), f AS (SELECT y - avg(y) OVER () y, x - avg(x) OVER () x, z - avg(z) OVER () z FROM d JOIN z USING (r)), k AS (SELECT sum(z*y)/sum(z*x) b, sum(z*x) zx, count(*)::DOUBLE n FROM f) SELECT 'x' AS term, round(any_value(b), 3) AS estimate, round(sqrt(sum(z*z*power(y - b*x, 2))*any_value(n/(n-2)))/abs(any_value(zx)), 3) AS std_error FROM f, k", 3)
 def _(t):
     s = t.lineitem.groupBy("l_suppkey", "l_linenumber").agg(F.count("*").alias("n"))
     total = t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("total"))

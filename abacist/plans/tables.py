@@ -85,7 +85,10 @@ def _surv(t: Tables):
 RISK = f"d AS ({SURV}), e AS (SELECT g, time::DOUBLE AS time, sum(event)::DOUBLE AS deaths, count(*)::DOUBLE AS leave FROM d GROUP BY 1, 2), r AS (SELECT *, sum(leave) OVER (PARTITION BY g ORDER BY time DESC) AS at_risk FROM e)"
 
 
-@query("kaplan_meier", f"""WITH {RISK}, s AS (SELECT *, exp(sum(CASE WHEN deaths < at_risk THEN ln(1 - deaths/at_risk) ELSE 0 END) OVER w) * (1 - max((deaths >= at_risk)::INT) OVER w) AS survival, sum(CASE WHEN at_risk > deaths THEN deaths/(at_risk*(at_risk-deaths)) ELSE 0 END) OVER w AS v FROM r WINDOW w AS (PARTITION BY g ORDER BY time))
+CURVE = f"""{RISK}, s AS (SELECT *, exp(sum(CASE WHEN deaths < at_risk THEN ln(1 - deaths/at_risk) ELSE 0 END) OVER w) * (1 - max((deaths >= at_risk)::INT) OVER w) AS survival, sum(CASE WHEN at_risk > deaths THEN deaths/(at_risk*(at_risk-deaths)) ELSE 0 END) OVER w AS v FROM r WINDOW w AS (PARTITION BY g ORDER BY time))"""
+
+
+@query("kaplan_meier", f"""WITH {CURVE}
 SELECT g, time, at_risk, deaths, round(survival, 6) AS survival, round(survival*sqrt(v), 6) AS std_error, round(greatest(survival - 1.959963984540054*survival*sqrt(v), 0), 6) AS ci_low, round(least(survival + 1.959963984540054*survival*sqrt(v), 1), 6) AS ci_high FROM s WHERE deaths > 0""")
 def _(t):
     return survival.kaplan_meier(_surv(t), "time", "event", ["g"])
@@ -102,14 +105,14 @@ def _(t):
     return one(t.spark, {"chi2": survival.logrank(_surv(t), "time", "event", "g")[0]})
 
 
-@query("median_survival")
+@query("median_survival", f"WITH {CURVE} SELECT g, min(time) AS median FROM s WHERE survival <= 0.5 AND deaths > 0 GROUP BY g")
 def _(t):
     return survival.median_survival(_surv(t), "time", "event", ["g"])
 
 
-@query("rmst")
+@query("rmst", f"WITH {CURVE}, b AS (SELECT *, coalesce(lag(survival) OVER (PARTITION BY g ORDER BY time), 1) AS before FROM s) SELECT g, round(100 - coalesce(sum(CASE WHEN time < 100 THEN (100 - time)*before*deaths/at_risk END), 0), 6) AS rmst FROM b GROUP BY g")
 def _(t):
-    return survival.rmst(_surv(t), "time", "event", 20.0, ["g"])
+    return survival.rmst(_surv(t), "time", "event", 100.0, ["g"])
 
 
 @query("cox")
@@ -413,7 +416,7 @@ def _(t):
     return one(t.spark, rd.rd(_rd(t), "y", "x", bandwidth=1.0, order=2, derivative=1))
 
 
-@query("rd_plot")
+@query("rd_plot", "WITH d AS (SELECT (o_totalprice-250000)/100000 x, (o_custkey % 97)::DOUBLE y FROM orders), m AS (SELECT min(x) lo, max(x) hi FROM d) SELECT (x >= 0)::INT AS side, CASE WHEN x >= 0 THEN least(floor(x/(hi/20)), 19) ELSE greatest(floor(x/(-lo/20)), -20) END::BIGINT AS bin, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM d, m GROUP BY 1, 2")
 def _(t):
     return rd.rd_plot(_rd(t), "y", "x")
 
