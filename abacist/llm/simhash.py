@@ -128,8 +128,8 @@ def _canonical(x: np.ndarray, cuts: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
-def _links(batches: Iterator[pa.RecordBatch], limit: int, width: int, cuts: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, number, vid, f...) rows -> links (a, b), or, of groups beyond BLOCK, their rows (key, vid, f...)."""
+def _links(batches: Iterator[pa.RecordBatch], limit: int, width: int, cuts: list[tuple[int, int]], block: int, short_run: int) -> Iterator[pa.RecordBatch]:
+    """Sorted (key, vid, f...) rows -> links (a, b), or, of every group beyond ``block``, its rows (key, vid, f...)."""
     names = ["a", "b", "hot", *[f"f{i}" for i in range(width)]]
 
     def pack(a, b, hot=None, fp=None) -> pa.RecordBatch:
@@ -142,9 +142,9 @@ def _links(batches: Iterator[pa.RecordBatch], limit: int, width: int, cuts: list
         size = np.diff(np.concatenate([edge, [len(key)]]))
         run = np.repeat(np.arange(len(edge)), size)
         number = key >> 22
-        short = size[run] <= SHORT
+        short = size[run] <= min(short_run, block)
         found: list[np.ndarray] = []
-        for k in range(1, SHORT):
+        for k in range(1, short_run):
             i = np.flatnonzero((run[k:] == run[:-k]) & short[:-k]) if k < len(run) else ()
             if not len(i):
                 break
@@ -160,8 +160,11 @@ def _links(batches: Iterator[pa.RecordBatch], limit: int, width: int, cuts: list
             yield pack(vid[plain[:, 0]], vid[plain[:, 1]])
         else:
             crowded = np.zeros(len(size), dtype=bool)
-        for r in np.flatnonzero(((size > SHORT) & (size <= BLOCK)) | crowded):
+        for r in np.flatnonzero((size > min(short_run, block)) | crowded):
             at = slice(edge[r], edge[r] + size[r])
+            if size[r] > block:
+                yield pack(vid[at], np.zeros(size[r], dtype=np.int64), key[at], fp[at])
+                continue
             links = np.array(forest(fp[at], limit), dtype=np.int64).reshape(-1, 2)
             yield pack(vid[at][links[:, 0]], vid[at][links[:, 1]])
 
@@ -186,7 +189,7 @@ def _links(batches: Iterator[pa.RecordBatch], limit: int, width: int, cuts: list
         if last:
             yield from solve(key[:last], vid[:last], fp[:last])
         key, vid, fp = key[last:], vid[last:], fp[last:]
-        if len(key) > BLOCK:
+        if len(key) > block:
             hot = int(key[0])
             yield pack(vid, np.zeros(len(vid), dtype=np.int64), key, fp)
         else:
@@ -195,8 +198,9 @@ def _links(batches: Iterator[pa.RecordBatch], limit: int, width: int, cuts: list
         yield from solve(*held[0])
 
 
-def spanning_links(uniq: DataFrame, limit: int, width: int, cuts: list[tuple[int, int]]) -> DataFrame:
+def spanning_links(uniq: DataFrame, limit: int, width: int, cuts: list[tuple[int, int]], *, block: int | None = None, short: int | None = None) -> DataFrame:
     """Links (a, b) between ``uniq`` rows (vid, f0[, f1]) whose components are those of all links found."""
+    block, short = block or BLOCK, short or SHORT
     fields = [f"f{i}" for i in range(width)]
     keys = [
         (F.lit(((w * len(cuts) + s) * 64 + p) << 22) + (F.shiftrightunsigned(f"f{w}", off).bitwiseAND(F.lit(((1 << n) - 1) & ~(1 << p))))).cast("long")
@@ -206,9 +210,9 @@ def spanning_links(uniq: DataFrame, limit: int, width: int, cuts: list[tuple[int
     ]
     keyed = uniq.select(F.explode(F.array(*keys)).alias("key"), "vid", *fields)
     schema = "a long, b long, hot long, " + ", ".join(f"{f} long" for f in fields)
-    found = staged(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _links(it, limit, width, cuts), schema), "links")
+    found = staged(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _links(it, limit, width, cuts, block, short), schema), "links")
     rest = found.where(F.col("hot").isNotNull()).select(F.col("hot").alias("key"), F.col("a").alias("vid"), *fields)
-    blocks = rest.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK // 2)).cast("int").alias("m"))
+    blocks = rest.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block // 2)).cast("int").alias("m"))
     dealt = rest.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("vid"), F.col("m")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
 

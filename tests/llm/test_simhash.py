@@ -2,6 +2,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from abacist.llm import simhash
@@ -66,6 +68,42 @@ def test_links_span_dense_groups(spark, monkeypatch, block):
     assert [roots.get(i, i) for i in range(len(fps))] == grouped(list(range(len(fps))), fps, 4)
 
 
+def runs_of(sizes, batch):
+    """Batches of sorted index rows: run i has key i << 22 and ``sizes[i]`` fingerprints, all within 4 bits of a centre."""
+    rng, key, fps = random.Random(5), [], []
+    for i, n in enumerate(sizes):
+        centre, seen = rng.getrandbits(64), {}
+        while len(seen) < n:
+            seen[centre ^ sum({1 << rng.randrange(64) for _ in range(4)})] = None
+        key += [i << 22] * n
+        fps += seen
+    t = pa.table({"key": key, "vid": list(range(len(key))), "f0": np.array(fps, dtype=np.uint64).view(np.int64)})
+    return t.to_batches(max_chunksize=batch), fps
+
+
+@pytest.mark.parametrize("batch", [10_000, 3000])
+def test_every_group_beyond_the_block_is_handed_on(batch):
+    """5000 rows inside one batch, or over several, come out as hot rows, once each; the others as links."""
+    batches, fps = runs_of([10, 5000, 3, 100], batch)
+    out = pa.Table.from_batches(list(simhash._links(iter(batches), 4, 1, simhash.segments(4), simhash.BLOCK, simhash.SHORT)))
+    hot = out.filter(pc.is_valid(out["hot"]))
+    assert sorted(hot["a"].to_pylist()) == list(range(10, 5010)) and set(hot["hot"].to_pylist()) == {1 << 22}
+    assert dict(zip(hot["a"].to_pylist(), hot["f0"].to_numpy().view(np.uint64).tolist())) == {i: fps[i] for i in range(10, 5010)}
+    links = out.filter(pc.is_null(out["hot"]))
+    assert not set(range(10, 5010)) & {*links["a"].to_pylist(), *links["b"].to_pylist()}
+
+
+def test_workers_get_the_block(spark):
+    """Groups of 500 fingerprints under one masked segment, in the middle of a batch, dealt in blocks of 100: components of all pairs."""
+    rng = random.Random(11)
+    low = rng.getrandbits(32)
+    fps = list(dict.fromkeys([low | rng.getrandbits(10) << 40 for _ in range(2000)]))[:500] + [rng.getrandbits(64) for _ in range(100)]
+    uniq = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "vid long, f0 long")
+    links = simhash.spanning_links(uniq, 1, 1, [(0, 32), (32, 32)], block=200, short=8)
+    roots = {r.vid: r.root for r in simhash.components(links).collect()}
+    assert [roots.get(i, i) for i in range(len(fps))] == grouped(list(range(len(fps))), fps, 1)
+
+
 def test_components_of_a_path(spark):
     n = 300
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001)], "a long, b long")
