@@ -128,8 +128,11 @@ def _canonical(x: np.ndarray, cuts: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
-def _links(batches: Iterator[pa.RecordBatch], limit: int, width: int, cuts: list[tuple[int, int]], block: int, short_run: int) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, vid, f...) rows -> links (a, b), or, of every group beyond ``block``, its rows (key, vid, f...)."""
+def _links(batches: Iterator[pa.RecordBatch], limit: int, width: int, cuts: list[tuple[int, int]], block: int, short_run: int, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """Sorted (key, vid, f...) rows -> links (a, b), or, of every group beyond ``block``, its rows (key, vid, f...).
+
+    With ``keep`` the rows of groups for which a forest stands in come out as well, with b = 1.
+    """
     names = ["a", "b", "hot", *[f"f{i}" for i in range(width)]]
 
     def pack(a, b, hot=None, fp=None) -> pa.RecordBatch:
@@ -167,6 +170,8 @@ def _links(batches: Iterator[pa.RecordBatch], limit: int, width: int, cuts: list
                 continue
             links = np.array(forest(fp[at], limit), dtype=np.int64).reshape(-1, 2)
             yield pack(vid[at][links[:, 0]], vid[at][links[:, 1]])
+            if keep and len(links):
+                yield pack(vid[at], np.ones(size[r], dtype=np.int64), key[at], fp[at])
 
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     hot: int | None = None
@@ -200,6 +205,11 @@ def _links(batches: Iterator[pa.RecordBatch], limit: int, width: int, cuts: list
 
 def spanning_links(uniq: DataFrame, limit: int, width: int, cuts: list[tuple[int, int]], *, block: int | None = None, short: int | None = None) -> DataFrame:
     """Links (a, b) between ``uniq`` rows (vid, f0[, f1]) whose components are those of all links found."""
+    return _index_links(uniq, limit, width, cuts, block=block, short=short)[0]
+
+
+def _index_links(uniq: DataFrame, limit: int, width: int, cuts: list[tuple[int, int]], *, block: int | None = None, short: int | None = None, keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Spanning links, and with ``keep`` the rows (key, vid) of the groups not all of whose pairs are among them."""
     block, short = block or BLOCK, short or SHORT
     fields = [f"f{i}" for i in range(width)]
     keys = [
@@ -210,8 +220,9 @@ def spanning_links(uniq: DataFrame, limit: int, width: int, cuts: list[tuple[int
     ]
     keyed = uniq.select(F.explode(F.array(*keys)).alias("key"), "vid", *fields)
     schema = "a long, b long, hot long, " + ", ".join(f"{f} long" for f in fields)
-    found = staged(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _links(it, limit, width, cuts, block, short), schema), "links")
-    rest = found.where(F.col("hot").isNotNull()).select(F.col("hot").alias("key"), F.col("a").alias("vid"), *fields)
+    found = staged(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _links(it, limit, width, cuts, block, short, keep), schema), "links")
+    cut = found.where(F.col("hot").isNotNull())
+    rest = cut.where("b = 0").select(F.col("hot").alias("key"), F.col("a").alias("vid"), *fields)
     blocks = rest.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block // 2)).cast("int").alias("m"))
     dealt = rest.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("vid"), F.col("m")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
@@ -226,7 +237,91 @@ def spanning_links(uniq: DataFrame, limit: int, width: int, cuts: list[tuple[int
 
     more = dealt.groupBy("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).applyInPandas(pair, "a long, b long")
     links = found.where(F.col("hot").isNull()).select("a", "b")
-    return (links.unionByName(more) if not rest.isEmpty() else links).distinct()
+    return (links.unionByName(more) if not rest.isEmpty() else links).distinct(), cut.select(F.col("hot").alias("key"), F.col("a").alias("vid"))
+
+
+# ---------------------------------------------------------------- pairs that a forest leaves out
+#: Bits of the parity bitmap of a set: as many bits as two bitmaps differ in, the sets differ in elements, at least.
+PARITY = 1024
+
+
+def parity(hashes: np.ndarray) -> bytes:
+    return np.packbits(np.bincount(hashes & (PARITY - 1), minlength=PARITY) & 1).tobytes()
+
+
+def _open_pairs(batches: Iterator[pa.RecordBatch], limit: int, similarity: float, cuts: list[tuple[int, int]], cap: int) -> Iterator[pa.RecordBatch]:
+    """Sorted (key, lo, hi, own, vid, root, size, bits, f0, f1) rows -> pairs (a, b) of one group and two roots.
+
+    They are candidates under their first shared key, and neither set sizes nor bitmaps exclude the
+    similarity.  A row with over ``cap`` such pairs to one root gives the ``cap`` closest, and a row with ``more``.
+    """
+
+    def solve(key: int, within: bool, own, vid, root, size, bits, fp) -> Iterator[pa.RecordBatch]:
+        a, b, capped = [], [], []
+        for i in range(len(vid) - 1):
+            j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (within | (own[i + 1 :] != own[i])))
+            x = fp[j] ^ fp[i]
+            ok = _distance(x) <= limit
+            j, x = j[ok], x[ok]
+            if not len(j):
+                continue
+            apart = _distance(bits[j] ^ bits[i])
+            ok = np.maximum(apart, np.abs(size[j] - size[i])) <= (size[j] + size[i]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+            j, x, apart = j[ok], x[ok], apart[ok]
+            ok = _canonical(x, cuts) == key >> 22
+            j, apart = j[ok], apart[ok]
+            if len(j) > cap:
+                order = np.lexsort((apart, root[j]))
+                j = j[order]
+                first = np.concatenate([[True], root[j][1:] != root[j][:-1]])
+                at = np.arange(len(j))
+                near = at - np.maximum.accumulate(np.where(first, at, 0)) < cap
+                if not near.all():
+                    capped.append(i)
+                j = j[near]
+            a.append(np.full(len(j), vid[i]))
+            b.append(vid[j])
+        if a:
+            more = vid[np.array(capped, dtype=np.int64)]
+            a, b = np.concatenate([*a, more]), np.concatenate([*b, more])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.arange(len(a)) >= len(a) - len(more))], ["a", "b", "more"])
+
+    held: pa.Table | None = None
+
+    def runs(t: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held
+        ids = np.stack([t.column(i).to_numpy() for i in range(3)], axis=1)
+        edge = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)]))
+        stop = [*edge[1:].tolist(), len(ids)]
+        cols = [t.column(i).to_numpy() for i in (3, 4, 5, 6)]
+        bits = np.frombuffer(b"".join(t.column(7).to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
+        fp = np.stack([t.column(i).to_numpy() for i in (8, 9)], axis=1).view(np.uint64)
+        for n, (i, k) in enumerate(zip(edge.tolist(), stop)):
+            if n == len(edge) - 1 and not last:
+                held = t.slice(i)
+            else:
+                yield from solve(int(ids[i, 0]), bool(ids[i, 1] == ids[i, 2]), *[c[i:k] for c in cols], bits[i:k], fp[i:k])
+
+    for batch in batches:
+        if batch.num_rows:
+            t = pa.Table.from_batches([batch])
+            t, held = (t if held is None else pa.concat_tables([held, t])), None
+            yield from runs(t, False)
+    if held is not None:
+        yield from runs(held, True)
+
+
+def open_pairs(cut: DataFrame, rows: DataFrame, limit: int, similarity: float, cuts: list[tuple[int, int]], *, cap: int, block: int | None = None) -> DataFrame:
+    """(a, b, more) of the groups ``cut`` (key, vid) that hold several roots; ``rows`` has (vid, root, size, bits, f0, f1)."""
+    of = cut.join(rows.select("vid", "root"), "vid")
+    m = F.ceil(F.count("*") / F.lit((block or BLOCK) // 2)).cast("int").alias("m")
+    several = of.groupBy("key").agg(m, F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key", "m")
+    dealt = of.drop("root").join(several, "key").withColumn("own", F.pmod(F.xxhash64("vid"), F.col("m")).cast("long"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m").cast("long") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "vid").join(rows, "vid")
+    dealt = dealt.select("key", "lo", "hi", "own", "vid", "root", "size", "bits", "f0", "f1")
+    parts = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return parts.mapInArrow(lambda it: _open_pairs(it, limit, similarity, cuts, cap), "a long, b long, more boolean")
 
 
 # ---------------------------------------------------------------- connected components
@@ -277,19 +372,24 @@ def simhash_components(docs: DataFrame, *, shingle: int = 4, distance: int = 4,
 
 
 # ---------------------------------------------------------------- near-duplicate removal
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bits_apart: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bits_apart: int = 20, cap: int = 4, block: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(h, rep, n, root): each distinct text (md5), its smallest id, the rows with that id, its group.
 
     Candidates: 128-bit SimHash over the set of words, met in six segments under one-bit-masked
     variants and verified at ``bits_apart`` bits.  A candidate link counts if the texts' sets of
     ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Jaccard does not follow the Hamming forest of a large group, so its links are a first round only.
+    Further rounds verify the pairs of such groups that still lie in two components, ``cap`` to a row
+    and component and more each round, until no candidate of two components is left unverified.
     """
     fps = staged(fingerprints(docs, kind="words", id_col=id_col, text_col=text_col), "fps")
     text_key = ["h", "f0", "f1"]
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "n")).alias("first")
     uniq = fps.groupBy(*text_key, "id").agg(F.count("*").alias("n")).groupBy(*text_key).agg(first)
     uniq = staged(uniq.select(*text_key, F.col("first.id").alias("rep"), F.col("first.n").alias("n"), F.monotonically_increasing_id().alias("vid")), "uniq")
-    links = staged(spanning_links(uniq, bits_apart, 2, segments(4)), "candidates")
+    links, cut = _index_links(uniq, bits_apart, 2, segments(4), block=block, keep=True)
+    links = staged(links, "candidates")
     used = links.select(F.col("a").alias("vid")).unionByName(links.select(F.col("b").alias("vid"))).distinct()
     wanted = uniq.join(used, "vid").select("vid", "rep", "h")
 
@@ -297,14 +397,31 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             found = [sorted({xxhash.xxh64_intdigest(s, SEED) - (1 << 63) for s in shingles((t or b"").lower().split(), shingle)}) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["vid", "s"])
+            bits = [parity(np.array(s, dtype=np.int64)) for s in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64())), pa.array([len(s) for s in found], pa.int64()), pa.array(bits, pa.binary())], ["vid", "s", "size", "bits"])
 
-    held = staged(_with_text(docs, wanted, id_col, text_col).dropDuplicates(["vid"]).select("vid", "text").mapInArrow(sets, "vid long, s array<long>"), "sets")
+    held = staged(_with_text(docs, wanted, id_col, text_col).dropDuplicates(["vid"]).select("vid", "text").mapInArrow(sets, "vid long, s array<long>, size long, bits binary"), "sets")
     left, right = (held.select(F.col("vid").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
     shared = F.size(F.array_intersect("sa", "sb"))
     alike = shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)
-    linked = links.join(left, "a").join(right, "b").where(alike).select("a", "b")
-    return uniq.join(components(staged(linked, "linked")), "vid", "left").select("h", "rep", "n", F.coalesce("root", "vid").alias("root"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return pairs.join(left, "a").join(right, "b").where(alike).select("a", "b")
+
+    linked = staged(verified(links), "linked")
+    known = held.select("vid", "size", "bits").join(uniq.select("vid", "f0", "f1"), "vid")
+    none = cut.isEmpty()
+    while True:
+        roots = staged(components(linked), "roots")
+        if none:
+            break
+        rows = known.join(roots, "vid", "left").withColumn("root", F.coalesce("root", "vid"))
+        pairs = staged(open_pairs(cut, rows, bits_apart, similarity, segments(4), cap=cap, block=block), "pairs")
+        if pairs.isEmpty():
+            break
+        linked = staged(linked.unionByName(verified(pairs.where("not more").select("a", "b"))), "linked")
+        none, cap = pairs.where("more").isEmpty(), cap * 16
+    return uniq.join(roots, "vid", "left").select("h", "rep", "n", F.coalesce("root", "vid").alias("root"))
 
 
 def _digest(text) -> F.Column:

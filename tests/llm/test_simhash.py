@@ -129,3 +129,21 @@ def test_keep_one(spark, small, odd_docs, no_docs):
     got = [r.doc_id for r in out.collect()]
     assert got.count(7) == 1 and 0 in got and 1 not in got and 2 not in got and None in got and len({3, 4} & set(got)) == 1
     assert simhash.keep_one(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("how", [{}, {"cap": 1, "block": 20}])
+def test_keep_one_verifies_all_candidates_of_a_word_set(spark, how):
+    """Texts over the same words in three orders: near-copies of each order are one group, whichever row comes first."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(3):
+        rng.shuffle(words)
+        for i in range(20):
+            copy = words[:]
+            copy[6 * i], copy[6 * i + 1] = copy[6 * i + 1], copy[6 * i]
+            texts.append(" ".join(copy))
+    own = [f"v{i}" for i in range(100)]
+    texts += [" ".join([*own[50:], *own[:50][::-1]]), " ".join(own), " ".join([own[1], own[0], *own[2:]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs, **how).collect()) == [0, 20, 40, 60, 61]
