@@ -23,14 +23,15 @@ from abacist.llm.tokens import crc32_of, offsets, token_bytes
 LENGTH = 2048
 
 
-def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 1, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 1, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, in_order: bool = False) -> DataFrame:
     """One row per piece of a document: its place in the document and in its sequence, and a checksum.
 
     A null or empty text is its end id alone.  Repeated rows and ids are documents of their own.
     Every id lies in exactly one piece.  ``padded`` is the sequence's stored length: ``length``,
     unless the last sequence ends at a power of two.  With ``with_ids`` the ids come along.
+    With ``in_order`` documents read back from files that Spark wrote keep the order of writing.
     """
-    kept = staged(token_bytes(docs, tokenizer, end_id=end_id, id_col=id_col, text_col=text_col), "ids", compression="zstd")
+    kept = staged(token_bytes(docs, tokenizer, end_id=end_id, id_col=id_col, text_col=text_col, in_order=in_order), "ids", compression="zstd")
     before = offsets(kept, "n")
     total = kept.agg(F.sum("n")).first()[0] or 0
     last = total % length

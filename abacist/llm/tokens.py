@@ -150,16 +150,38 @@ def crc32_of(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def token_bytes(docs: DataFrame, tokenizer: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text", counted: bool = False) -> DataFrame:
+_WRITTEN = re.compile(r"part-(\d{1,6})-[^/]*?(?:[.-]c(\d{1,3}))?(?:\.\w+)*\.parquet")
+
+
+def file_order(docs: DataFrame) -> bool:
+    """Whether ``docs`` is a plain scan of Parquet files that Spark wrote in one go, in the order of their numbers."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return False
+    found = [_WRITTEN.fullmatch(os.path.basename(f)) for f in docs.inputFiles()]
+    return all(found) and len({(m[1], m[2] or "0") for m in found}) == len(found) > 0
+
+
+def _file_row() -> F.Column:
+    """The row's number over all files: 20 bits of part, 10 bits of file within it, 33 bits of row."""
+    name = F.col("_metadata.file_name")
+    part = F.regexp_extract(name, r"part-(\d+)-", 1)
+    number = F.shiftleft(part.cast("long"), 10) + F.coalesce(F.expr("try_cast(nullif(regexp_extract(_metadata.file_name, '[.-]c([0-9]{1,3})[.]', 1), '') as bigint)"), F.lit(0))
+    return F.shiftleft(number, 33) + F.col("_metadata.row_index")
+
+
+def token_bytes(docs: DataFrame, tokenizer: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text", counted: bool = False, in_order: bool = False) -> DataFrame:
     """(id, part, start, n, ids): each text's ids with the end id, and its place in its partition.
 
+    With ``in_order``, of a table that Spark wrote, ``part`` is instead a run of rows of one file, numbered by file and
+    first row: Spark reads files largest first, and only these numbers follow the order of writing.
+
     With ``counted`` a last row of each partition has only ``counts``: how often each id came, 64-bit.
     """
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in ("part", "start", "n")], T.StructField("ids", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        part, done, end = TaskContext.get().partitionId(), 0, np.array([end_id], dtype="<u2").tobytes()
+        part, done, after, end = TaskContext.get().partitionId(), 0, None, np.array([end_id], dtype="<u2").tobytes()
         total, kind = np.zeros(1 << 16, dtype=np.int64), None
         encoder = _loaded(tokenizer)
         for some in sliced(batches, 1, 1 << 22):
@@ -171,14 +193,25 @@ def token_bytes(docs: DataFrame, tokenizer: str, *, end_id: int, id_col: str = "
             raw, stop = ids.tobytes(), np.cumsum(n)
             blobs = [raw[2 * a : 2 * b] + end for a, b in zip((stop - n).tolist(), stop.tolist())]
             n = n + 1
-            start = done + np.cumsum(n) - n
-            done += int(n.sum())
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.full(len(n), part)), pa.array(start), pa.array(n), pa.array(blobs, pa.binary()), pa.nulls(len(n), pa.binary())], schema.names)
+            parts, start = np.full(len(n), part), done + np.cumsum(n) - n
+            if written:
+                at = some.column(2).to_numpy()
+                new = at != np.append(at[0] if after is None else after, at[:-1] + 1)
+                new[0] |= after is None
+                first = np.maximum.accumulate(np.where(new, np.arange(len(n)), -1))
+                parts = np.where(first < 0, part, at[first])
+                start = np.where(first < 0, start, start - start[first])
+                part, done, after = int(parts[-1]), int(start[-1] + n[-1]), int(at[-1]) + 1
+            else:
+                done += int(n.sum())
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(parts), pa.array(start), pa.array(n), pa.array(blobs, pa.binary()), pa.nulls(len(n), pa.binary())], schema.names)
         encoder.old, encoder.new = encoder.new, {}  # an idle worker keeps one generation
         if counted and done:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *[pa.nulls(1, pa.int64())] * 3, pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], schema.names)
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    written = in_order and file_order(docs)
+    place = [_file_row().alias("at")] if written else []
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *place).mapInArrow(run, schema)
     return out if counted else out.drop("counts")
 
 

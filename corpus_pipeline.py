@@ -35,8 +35,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 ids."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Pieces of documents in sequences of 2048 ids, in training order."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), in_order=True)
 
 
 STAGES = [("language", language), ("quality", good), ("near_duplicates", distinct), ("mixing", mix), ("packing", pack)]

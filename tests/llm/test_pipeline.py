@@ -1,5 +1,8 @@
+import public_tokenizers
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from abacist.llm import langid, quality, simhash
+from abacist.llm import langid, packing, quality, simhash
 
 
 def test_stages(spark, small):
@@ -35,3 +38,18 @@ def test_empty_and_odd_tables(spark, odd_docs, no_docs, small):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, small)
         docs.count()
+
+
+def test_packing_follows_the_order_of_writing(spark, tmp_path):
+    """Files of growing size, which Spark reads largest first: sequences follow the sorted order that was written."""
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('word', id, ' '), cast(5 + id as int))").alias("text"))
+    for most in (0, 40):
+        path = f"{tmp_path}/{most}"
+        docs.repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id").write.option("maxRecordsPerFile", most).parquet(path)
+        rows = packing.pack(spark.read.parquet(path), public_tokenizers.path("word_bpe_49k.json"), in_order=True).collect()
+        order = [r.doc_id for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset))]
+        assert order == sorted(order) and set(order) == set(range(600))
+        ends = {}
+        for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+            assert r.offset == ends.get(r.sequence_id, 0)
+            ends[r.sequence_id] = r.offset + r.length
