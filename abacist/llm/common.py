@@ -62,13 +62,17 @@ def release() -> None:
 atexit.register(release)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a scratch table."""
+    _made.append(f"{scratch_root(spark)}/abacist/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
 def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a scratch Parquet table and read it back."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/abacist/{name}-{uuid.uuid4().hex}"
+    path = scratch_folder(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:

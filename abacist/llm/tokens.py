@@ -1,10 +1,10 @@
 """Token ids of whole texts, and their compact file format.
 
 Tokenising: a pre-tokeniser cuts a text before any merge, so a text may be cut at a subset of those
-cuts and each distinct piece encoded once: pieces are numbered per batch, looked up in a memory of
-two generations (what has not come up for a generation is forgotten), and new ones are encoded
-many at a time.  The pieces' ids are strung together by numpy.  Texts beyond Latin letters are cut
-at blanks only, and texts with the four separators that libraries class differently stay whole.
+cuts and each distinct piece encoded once.  Arrow cuts a batch of texts before blanks and signs,
+numbers the runs and looks them up in the worker's memory; the pieces of new runs are encoded many at
+a time, and Arrow strings the runs' ids together.  Texts with the four separators that libraries class
+differently stay whole, and those with blanks after other space are cut in Python.
 
 File format: ids are replaced by their frequency rank.  Four ranks share a control byte of four
 2-bit lengths; control bytes and data bytes (1 to 4 per rank, little end first) are kept apart.  A
@@ -24,37 +24,44 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from abacist.llm.common import sliced, staged, table
+from abacist.llm.common import scratch_folder, sliced, staged, table
 
-#: Pieces of a generation of a worker's memory.
-REMEMBERED = 300_000
+#: Bytes of runs and ids that a worker remembers, at most; of more, the half that was met last stays.
+REMEMBERED = 1 << 25
 #: Ids of one block of the file format, about; a longer document is a block of its own.
 BLOCK_IDS = 1 << 18
 #: Four lengths (1 to 4) of every control byte.
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.int64)
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = re.compile("[\x02\x1c-\x1f]")
 _LATIN = re.compile("[\x00-\x1b\x20-\u024f\u2013-\u2026\u20ac]*")
 _SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Texts in which blanks are no cuts: odd separators, or (byte level only) a blank after other space.
+_WHOLE = {True: "[\x02\x1c-\x1f]", False: "[\x02\x1c-\x1f]|[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] "}
+#: Marks the cuts, which are before blanks and between a letter and a sign or line feed.
+_CUT = "\x02"
+_SIGNS = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([!-/:-@\\[-`{-~\n])"
 #: Cuts of Latin text, all of them also made by the byte-level and the word-end pre-tokeniser.
 _FINE = {
     False: re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W_]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"),
     True: re.compile(r"'(?:[stmdSTMD]|[rR][eE]|[vV][eE]|[lL][lL])|[^\W\d_]+|\d|(?:[^\s\w]|_)+"),
 }
-_PLAIN = {False: re.compile(r" ?\S+"), True: re.compile(r"[^\W\d_]+")}
+#: Pieces that either pre-tokeniser leaves whole, so that it may be left out.
+_LETTERS = re.compile("( ?)[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: New pieces that are encoded as one text.
 TOGETHER = 256
 
 
 class Encoder:
-    """A tokenizer file with the memory of its pieces."""
+    """A tokenizer file with a memory of runs of characters."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -68,8 +75,11 @@ class Encoder:
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         else:
             self.ends[self.t.encode("\n", add_special_tokens=False).ids] = True
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.plain = Tokenizer.from_str(self.t.to_str())
+        self.plain.encode_special_tokens = True
+        cut = pre_tokenizers.WhitespaceSplit() if self.words else pre_tokenizers.Split("\n", "isolated")
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([cut, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.runs, self.ids = pa.array([], pa.string()), pa.array([], pa.binary())
 
     def cut(self, text: str) -> list[str]:
         if _ODD.search(text):
@@ -78,12 +88,13 @@ class Encoder:
             return _FINE[self.words].findall(text)
         return text.split() if self.words else _SPACED.findall(text)
 
-    def fresh(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece.  Plain pieces go together, apart by word ends or by line feeds."""
+    def pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of each piece.  Letters go together, apart by word ends or by line feeds."""
         out: dict[str, bytes] = {}
-        plain = [p for p in pieces if _PLAIN[self.words].fullmatch(p)]
-        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
-        joined = self.t.encode_batch_fast([(" " if self.words else "\n").join(g) for g in groups], add_special_tokens=False)
+        # in a text of words the blanks are cut away, at byte level a piece keeps its own
+        letters = [p for p in pieces if (m := _LETTERS.fullmatch(p)) and not (self.words and m[1])]
+        groups = [letters[i : i + TOGETHER] for i in range(0, len(letters), TOGETHER)]
+        joined = self.plain.encode_batch_fast([(" " if self.words else "\n").join(g) for g in groups], add_special_tokens=False)
         for group, e in zip(groups, joined):
             ids = np.array(e.ids, dtype="<u2")
             at = np.flatnonzero(self.ends[ids])
@@ -95,38 +106,50 @@ class Encoder:
             out.update(zip(group, [raw[2 * x : 2 * y] for x, y in zip(start.tolist(), stop.tolist())]))
         rest = [p for p in pieces if p not in out]
         out.update(zip(rest, [np.array(e.ids, dtype="<u2").tobytes() for e in self.t.encode_batch_fast(rest, add_special_tokens=False)]))
-        return [out[p] for p in pieces]
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return out
+
+    def composed(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, strung together from those of its distinct pieces."""
+        cuts = [[x] if _LETTERS.fullmatch(x) else self.cut(x) for x in texts]
+        known = self.pieces(list({p for c in cuts for p in c}))
+        return [known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c]) for c in cuts]
+
+    def spaced(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that may be cut before every blank, and how many each text has."""
+        texts = pc.replace_substring(texts, " ", _CUT if self.words else _CUT + " ")
+        lists = pc.split_pattern(pc.replace_substring_regex(texts, _SIGNS, f"\\1{_CUT}\\2"), _CUT)
+        numbered = lists.flatten().dictionary_encode()
+        values = numbered.dictionary
+        n = len(self.runs)
+        while n and self.runs.nbytes + self.ids.nbytes > REMEMBERED:
+            half = pa.array(np.arange(n - n // 2, n))
+            self.runs, self.ids, n = self.runs.take(half), self.ids.take(half), n // 2
+        at = pc.index_in(values, value_set=self.runs)
+        missing = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+        at = pc.fill_null(at, 0).to_numpy().copy()
+        if len(missing):
+            added = values.take(pa.array(missing))
+            blobs = pa.array(self.composed(added.to_pylist()), pa.binary())
+            at[missing] = len(self.runs) + np.arange(len(missing))
+            self.runs, self.ids = pa.concat_arrays([self.runs, added]), pa.concat_arrays([self.ids, blobs])
+        strung = self.ids.take(pa.array(at)).take(numbered.indices)
+        stop = np.frombuffer(strung.buffers()[1], dtype="<i4", count=len(strung) + 1) // 2
+        ids = np.frombuffer(strung.buffers()[2] or b"", dtype="<u2", count=int(stop[-1]))
+        return ids, np.diff(stop[np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64))]).astype(np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each text has."""
-        pieces = [self.cut(x) for x in texts]
-        numbered = pa.array([p for some in pieces for p in some], pa.string()).dictionary_encode()
-        values = numbered.dictionary.to_pylist()
-        blobs: list = [None] * len(values)
-        missing = []
-        for i, p in enumerate(values):
-            ids = self.new.get(p)
-            if ids is None:
-                ids = self.old.get(p)
-                if ids is None:
-                    missing.append(i)
-                    continue
-                self.new[p] = ids
-            blobs[i] = ids
-        for i, ids in zip(missing, self.fresh([values[i] for i in missing])):
-            blobs[i] = ids
-            if len(values[i]) <= 40:
-                self.new[values[i]] = ids
-        if len(self.new) > REMEMBERED:
-            self.old, self.new = self.new, {}
-        size = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 2
-        data = np.frombuffer(b"".join(blobs), dtype="<u2")
-        number = numbered.indices.to_numpy(zero_copy_only=False)
-        each = size[number]
-        done = np.cumsum(each)
-        ids = data[np.arange(done[-1] if len(done) else 0) + np.repeat((np.cumsum(size) - size)[number] - (done - each), each)]
-        last = np.append(0, done)[np.cumsum([len(p) for p in pieces], dtype=np.int64)]
-        return ids, np.diff(np.append(0, last))
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        whole = pc.match_substring_regex(texts, _WHOLE[self.words]).to_numpy(zero_copy_only=False)
+        ids, n = self.spaced(texts.filter(pa.array(~whole)) if whole.any() else texts)
+        if not whole.any():
+            return ids, n
+        blobs = self.composed(texts.filter(pa.array(whole)).to_pylist())
+        size = np.zeros(len(whole), dtype=np.int64)
+        size[~whole], size[whole] = n, [len(b) // 2 for b in blobs]
+        out, own = np.empty(size.sum(), dtype="<u2"), np.repeat(whole, size)
+        out[~own], out[own] = ids, np.frombuffer(b"".join(blobs), dtype="<u2")
+        return out, size
 
 
 @lru_cache(4)
@@ -136,7 +159,7 @@ def _loaded(path: str) -> Encoder:
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as 16-bit little-endian bytes."""
-    ids, n = _loaded(path).encode(texts)
+    ids, n = _loaded(path).encode(pa.array(texts, pa.string()))
     return [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])] if len(n) else []
 
 
@@ -184,9 +207,9 @@ def token_bytes(docs: DataFrame, tokenizer: str, *, end_id: int, id_col: str = "
         part, done, after, end = TaskContext.get().partitionId(), 0, None, np.array([end_id], dtype="<u2").tobytes()
         total, kind = np.zeros(1 << 16, dtype=np.int64), None
         encoder = _loaded(tokenizer)
-        for some in sliced(batches, 1, 1 << 22):
+        for some in sliced(batches, 1, 1 << 23):
             kind = some.column(0).type
-            ids, n = encoder.encode([x or "" for x in some.column(1).to_pylist()])
+            ids, n = encoder.encode(some.column(1))
             if counted:
                 total += np.bincount(ids, minlength=1 << 16)
                 total[end_id] += len(n)
@@ -205,7 +228,6 @@ def token_bytes(docs: DataFrame, tokenizer: str, *, end_id: int, id_col: str = "
             else:
                 done += int(n.sum())
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array(parts), pa.array(start), pa.array(n), pa.array(blobs, pa.binary()), pa.nulls(len(n), pa.binary())], schema.names)
-        encoder.old, encoder.new = encoder.new, {}  # an idle worker keeps one generation
         if counted and done:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), *[pa.nulls(1, pa.int64())] * 3, pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], schema.names)
 
@@ -259,8 +281,9 @@ def id_counts(kept: DataFrame) -> DataFrame:
 
 
 def write_blocks(docs: DataFrame, tokenizer: str, *, end_id: int, path: str | None = None, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """Write all documents in ascending id order in the block format; the written table and the ids by rank.
+    """Write all documents in ascending id order in the block format; what ``open_blocks`` gives for its folder.
 
+    ``path`` (a scratch folder if none is named) gets the blocks and, beside them, the table of ranks.
     The ranks (at most 65,536, the ids a tokenizer file may use here) are the one thing collected.
     Null ids come first; rows that repeat an id stay side by side.
     """
@@ -303,12 +326,16 @@ def write_blocks(docs: DataFrame, tokenizer: str, *, end_id: int, path: str | No
 
     p = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = kept.repartitionByRange(p, "id").sortWithinPartitions(F.col("id").asc_nulls_first()).mapInArrow(run, schema)
-    if path:
-        blocks.write.option("compression", "none").parquet(path)
-        written = docs.sparkSession.read.schema(schema).parquet(path)
-    else:
-        written = staged(blocks, "blocks", compression="none")
-    return written, by_rank
+    path = path or scratch_folder(docs.sparkSession, "blocks")
+    blocks.write.option("compression", "none").parquet(f"{path}/blocks")
+    docs.sparkSession.createDataFrame(list(enumerate(by_rank.tolist())), "rank long, token long").coalesce(1).write.parquet(f"{path}/ranks")
+    return open_blocks(docs.sparkSession, path)
+
+
+def open_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
+    """The blocks of a folder that ``write_blocks`` wrote, and the ids by rank."""
+    ranks = spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()
+    return spark.read.parquet(f"{path}/blocks"), np.array([r["token"] for r in ranks], dtype=np.int64)
 
 
 def read_blocks(written: DataFrame, by_rank: np.ndarray, *, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:

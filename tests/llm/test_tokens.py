@@ -58,6 +58,27 @@ def test_op2_odd_rows(spark, odd_docs, no_docs):
     assert tokens.read_blocks(*tokens.write_blocks(no_docs, BYTES, end_id=2)).count() == 0
 
 
+def test_another_session_decodes(spark, small, tmp_path):
+    """The folder alone is enough: ranks and blocks are read back through a session that did not write them."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    tokens.write_blocks(docs, BYTES, end_id=2, path=f"{tmp_path}/ids")
+    other = spark.newSession()
+    rows = {r.doc_id: r for r in tokens.read_blocks(*tokens.open_blocks(other, f"{tmp_path}/ids"), with_ids=True).collect()}
+    for i, x in expected(BYTES, [tuple(r) for r in docs.select("doc_id", "text").collect()], 2):
+        assert bytes(rows[i].ids) == x.tobytes() and rows[i].n_tokens == len(x)
+
+
+def test_a_small_memory_changes_nothing(monkeypatch, spark, small):
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()]
+    want = [x.astype("<u2").tobytes() for x in whole(BYTES, texts)]
+    encoder = tokens.Encoder(BYTES)
+    monkeypatch.setattr(tokens, "REMEMBERED", 3000)
+    for i in range(0, len(texts), 20):
+        ids, n = encoder.encode(tokens.pa.array(texts[i : i + 20], tokens.pa.string()))
+        assert [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])] == want[i : i + 20]
+        assert encoder.runs.nbytes < 3_000_000
+
+
 def check_packing(pieces, docs):
     """Every id in exactly one piece, no gap in a sequence, padding in the last one only."""
     by_seq, by_doc = {}, {}
