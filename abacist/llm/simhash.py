@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from abacist.llm.common import discard, staged, table
+from abacist.llm.common import discard, sliced, staged, table
 
 #: Fingerprints of one index group that are compared inside one task.
 BLOCK = 4096
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = 4, kind: str = "shingles", i
     fields = [f"f{i}" for i in range(width)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             rows = [shingle_fingerprint(t, shingle) if kind == "shingles" else word_set_fingerprint(t) for t in texts]
             h = [hashlib.md5(t or b"").digest() for t in texts]
@@ -131,6 +131,8 @@ def _canonical(x: np.ndarray, cuts: list[tuple[int, int]]) -> np.ndarray:
 def _links(batches: Iterator[pa.RecordBatch], limit: int, width: int, cuts: list[tuple[int, int]], block: int, short_run: int, keep: bool = False) -> Iterator[pa.RecordBatch]:
     """Sorted (key, vid, f...) rows -> links (a, b), or, of every group beyond ``block``, its rows (key, vid, f...).
 
+    A link comes out under the first key that its ends share and under no other: the ends of one that is
+    left out are joined by the forest of that earlier key, so the components stay the same.
     With ``keep`` the rows of groups for which a forest stands in come out as well, with b = 1.
     """
     names = ["a", "b", "hot", *[f"f{i}" for i in range(width)]]
@@ -169,7 +171,8 @@ def _links(batches: Iterator[pa.RecordBatch], limit: int, width: int, cuts: list
                 yield pack(vid[at], np.zeros(size[r], dtype=np.int64), key[at], fp[at])
                 continue
             links = np.array(forest(fp[at], limit), dtype=np.int64).reshape(-1, 2)
-            yield pack(vid[at][links[:, 0]], vid[at][links[:, 1]])
+            own = links[_canonical(fp[at][links[:, 0]] ^ fp[at][links[:, 1]], cuts) == number[edge[r]]]
+            yield pack(vid[at][own[:, 0]], vid[at][own[:, 1]])
             if keep and len(links):
                 yield pack(vid[at], np.ones(size[r], dtype=np.int64), key[at], fp[at])
 
@@ -232,6 +235,7 @@ def _index_links(uniq: DataFrame, limit: int, width: int, cuts: list[tuple[int,
 
         fp = np.stack([pdf[f].to_numpy() for f in fields], axis=1).view(np.uint64)
         links = np.array(forest(fp, limit), dtype=np.int64).reshape(-1, 2)
+        links = links[_canonical(fp[links[:, 0]] ^ fp[links[:, 1]], cuts) == pdf["key"].iloc[0] >> 22]
         vid = pdf["vid"].to_numpy()
         return pd.DataFrame({"a": vid[links[:, 0]], "b": vid[links[:, 1]]})
 
@@ -372,7 +376,7 @@ def simhash_components(docs: DataFrame, *, shingle: int = 4, distance: int = 4,
 
 
 # ---------------------------------------------------------------- near-duplicate removal
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bits_apart: int = 20, cap: int = 4, block: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bits_apart: int = 32, cap: int = 4, block: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(h, rep, n, root): each distinct text (md5), its smallest id, the rows with that id, its group.
 
     Candidates: 128-bit SimHash over the set of words, met in six segments under one-bit-masked
@@ -394,7 +398,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
     wanted = uniq.join(used, "vid").select("vid", "rep", "h")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             found = [sorted({xxhash.xxh64_intdigest(s, SEED) - (1 << 63) for s in shingles((t or b"").lower().split(), shingle)}) for t in texts]
             bits = [parity(np.array(s, dtype=np.int64)) for s in found]

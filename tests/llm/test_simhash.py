@@ -93,6 +93,39 @@ def test_every_group_beyond_the_block_is_handed_on(batch):
     assert not set(range(10, 5010)) & {*links["a"].to_pylist(), *links["b"].to_pylist()}
 
 
+@pytest.mark.parametrize("bits, limit, n", [(64, 4, 1500), (128, 20, 1500)])
+def test_dense_ball_gives_few_links(spark, bits, limit, n):
+    """A ball of near copies meets under every key: its links stay linear in its size, and join all that all pairs join."""
+    rng = random.Random(bits)
+    centre, ball = rng.getrandbits(bits), set()
+    while len(ball) < n:
+        ball.add(centre ^ sum({1 << rng.randrange(bits) for _ in range(limit // 2)}))
+    fps = list(ball)
+    width = bits // 64
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(i, *[signed(f >> 64 * w & (1 << 64) - 1) for w in range(width)]) for i, f in enumerate(fps)]
+    uniq = spark.createDataFrame(rows, "vid long, " + ", ".join(f"f{w} long" for w in range(width)))
+    for block in (simhash.BLOCK, 400):
+        links = simhash.spanning_links(uniq, limit, width, simhash.segments(4), block=block).collect()
+        assert block < n or len(links) <= 8 * n
+        roots = {r.vid: r.root for r in simhash.components(spark.createDataFrame(links)).collect()}
+        cuts, parent = simhash.segments(4), list(range(n))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        a = np.array([[f >> 64 * w & (1 << 64) - 1 for w in range(width)] for f in fps], dtype=np.uint64)
+        for i in range(n):
+            x = a[i + 1 :] ^ a[i]
+            near = np.flatnonzero((np.bitwise_count(x).sum(1) <= limit) & (simhash._canonical(x, cuts) >= 0)) if len(x) else ()
+            for j in near:
+                p, q = sorted((find(i), find(i + 1 + int(j))))
+                parent[q] = p
+        assert [roots.get(i, i) for i in range(n)] == [find(i) for i in range(n)]
+
+
 def test_workers_get_the_block(spark):
     """Groups of 500 fingerprints under one masked segment, in the middle of a batch, dealt in blocks of 100: components of all pairs."""
     rng = random.Random(11)
