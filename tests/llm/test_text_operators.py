@@ -264,8 +264,106 @@ def test_tree_matching_is_largest():
             return 0
         return max(forest(x[1:], y), forest(x, y[1:]), forest(x[1:], y[1:]) + best(x[0], y[0]))
 
-    plain = lambda t: (t[0], [plain(c) for c in t[1]], [])
+    def arrays(t):
+        label, parent, stack = [], [], [(t, -1)]
+        while stack:
+            (name, kids), p = stack.pop(0)
+            label.append(ord(name))
+            parent.append(p)
+            stack += [(c, len(label) - 1) for c in kids]
+        return label, parent
+
     for _ in range(200):
         a, b = tree(3), tree(3)
-        n, pairs = html_extract.match(plain(a), plain(b))
-        assert n == best(a, b) == len(pairs)
+        (x, px), (y, py) = arrays(a), arrays(b)
+        met = html_extract.Reference(x, px).align(y, py)
+        assert len(met) == best(a, b) and len(set(met.values())) == len(met)
+        assert all(x[i] == y[j] and (j == 0 or met[py[j]] == px[i]) for j, i in met.items())
+        order = sorted(met)
+        assert all((met[i] < met[j]) for i in order for j in order if py[i] == py[j] and i < j)
+
+
+def brute_extract(pages):
+    """The method in plain loops: every page of a layout aligned with the reference, texts counted at its nodes."""
+    from collections import Counter, defaultdict
+
+    made = [html_extract.Page(h or "") for _, _, h in pages]
+    layouts = defaultdict(list)
+    for (_, host, _), p in zip(pages, made):
+        layouts[host, p.layout].append(p)
+
+    def nested(p, i=0):
+        return p.label[i], i, [nested(p, j) for j in range(len(p.parent)) if p.parent[j] == i]
+
+    def match(a, b):
+        if a[0] != b[0]:
+            return 0, []
+        best = {}
+        for i in range(len(a[2]) + 1):
+            for j in range(len(b[2]) + 1):
+                options = [(0, [])]
+                if i:
+                    options.append(best[i - 1, j])
+                if j:
+                    options.append(best[i, j - 1])
+                if i and j:
+                    n, pairs = match(a[2][i - 1], b[2][j - 1])
+                    if n:
+                        options.append((best[i - 1, j - 1][0] + n, best[i - 1, j - 1][1] + pairs))
+                best[i, j] = max(options, key=lambda o: o[0])
+        n, pairs = best[len(a[2]), len(b[2])]
+        return n + 1, [*pairs, (a[1], b[1])]
+
+    fixed = {}
+    for key, all_of in layouts.items():
+        distinct = {(tuple(p.label), tuple(p.parent), tuple(p.at), tuple(p.digest)): p for p in all_of}.values()
+        if len(distinct) < html_extract.MIN_PAGES:
+            continue
+        trees = Counter((tuple(p.label), tuple(p.parent)) for p in distinct)
+        if len(trees) > 1 and trees.most_common(2)[0][1] == trees.most_common(2)[1][1]:
+            continue  # ties are not tested here
+        ref = next(p for p in distinct if (tuple(p.label), tuple(p.parent)) == trees.most_common(1)[0][0])
+        seen = Counter()
+        for p in distinct:
+            met = {j: i for i, j in match(nested(ref), nested(p))[1]}
+            seen.update({(met[a], t) for a, t in zip(p.at, p.digest) if a in met})
+        fixed[key] = ref, {k for k, n in seen.items() if n >= max(html_extract.MIN_PAGES, html_extract.CONSTANT * len(distinct))}
+    out = []
+    for (i, host, _), p in zip(pages, made):
+        template = set()
+        if (host, p.layout) in fixed:
+            ref, known = fixed[host, p.layout]
+            met = {j: i for i, j in match(nested(ref), nested(p))[1]}
+            template = {k for k, (a, t) in enumerate(zip(p.at, p.digest)) if (met.get(a), t) in known}
+        out.append((i, html_extract.content(p.region, p.text, p.up, p.above, template), html_extract.content(p.region, p.text, p.up, p.above, set())))
+    return out
+
+
+def test_template_decides(spark):
+    """Notices inside an article, hosts without an article or without role names, a stub page, two layouts, copies."""
+    notice, bar = "<p>Sign up for our letter, it is free of charge</p>", "<div class=q1><ul><li><a>Start</a><li><a>About us</a></ul></div>"
+    pages = []
+    for i in range(12):
+        pages.append((i, "a", f"<body>{bar}<article><h1>Title {i}</h1><p>Own text {i * 7} of it</p>{notice}<p>and more of {i}</p></article></body>"))
+        pages.append((100 + i, "b", f"<body>{bar}<div class=q2><p>Story {i} runs on for long enough to be text</p><p>End {i}</p></div><div class=q3><p>Nobody but us owns all this and more of it, say we all</p></div></body>"))
+        if i < 8:
+            pages.append((200 + i, "b", f"<body><table class=w><tr><td>Another {i} way to lay out a page<td>with its text {i}</table><div class=z><p>Owned by us in this other way, too</p></div></body>"))
+        pages.append((300 + i, "c", "<body><article><p>One and the same text on all</p></article></body>"))
+    pages += [(400, "a", "<p></p>"), (401, "b", "<p>stub</p>"), (402, "b", None), (403, "a", "<body><article>" + "".join(f"<h2>{i}</h2><p>x{i}</p>" for i in range(300)) + notice + "</article></body>")]
+    table = spark.createDataFrame([(i, f"http://{h}.test/{i}", html) for i, h, html in pages], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(table.repartition(5)).collect()}
+    want = brute_extract(pages)
+    assert got == {i: t for i, t, _ in want}
+    assert sum(t != bare for _, t, bare in want) >= 24  # without the template these would differ
+    assert got[3] == "Title 3\nOwn text 21 of it\nand more of 3" and got[103] == "Story 3 runs on for long enough to be text\nEnd 3"
+    assert got[203] == "Another 3 way to lay out a page\nwith its text 3" and got[305] == "One and the same text on all" and got[402] == ""
+    assert got[403].count("\n") == 599
+
+
+def test_deep_and_wide_trees_align():
+    """Neither 3000 levels nor 3000 unlike children are cut."""
+    deep = html_extract.Page("<div>" * 3000 + "deep")
+    met = html_extract.Reference(deep.label, deep.parent).align(deep.label, deep.parent)
+    assert met == {i: i for i in range(len(deep.label))} and len(met) == 3001
+    wide = html_extract.Page("".join(f"<div class=c{i % 7}>x</div>" for i in range(3000)))
+    assert len(html_extract.Reference(wide.label, wide.parent).align(wide.label, wide.parent)) == 3001
