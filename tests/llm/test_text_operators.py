@@ -145,7 +145,7 @@ def brute_judge(rows, labels):
             if x:
                 x = re.sub(r"^[0-9]+(?=\.[A-Za-z0-9]{1,5}$|$)", "<n>", x)
                 out.append(re.sub(r"^[0-9a-fA-F-]{8,}(?=\.[A-Za-z0-9]{1,5}$|$)", "<h>", x))
-        return tuple(out) if len(out) <= url_filter.DEPTH else (*out[: url_filter.DEPTH], "**")
+        return tuple(out)
 
     urls = []
     for i, url in rows:
@@ -186,7 +186,11 @@ def brute_judge(rows, labels):
         hp = (hosts[host][1] + prior * base) / (hosts[host][0] + prior)
         t = name[host, seg]
         purity = (temps[host, t][1] + prior * hp) / (temps[host, t][0] + prior)
-        out.append((i, host, path, best[1], best[2] or ("block" if purity >= url_filter.REJECT_AT else "allow"), t, round(purity, 9)))
+        b, n = temps[host, t][1], temps[host, t][0]
+        z, p = url_filter.DIFFERS, b / n if n else 0
+        floor = (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n) if n else 0
+        worse = purity * (1 - base) >= url_filter.ODDS * base * (1 - purity) and floor > base
+        out.append((i, host, path, best[1], best[2] or ("block" if worse else "allow"), t, round(purity, 9)))
     return sorted(out, key=repr)
 
 
@@ -214,6 +218,32 @@ def test_url_tree_splits_and_rejects(spark):
     assert url_filter.judge(urls.where("false"), table).count() == 0 and url_filter.judge(urls).where("verdict = 'block' and rule is null").count() == 0
 
 
+def test_blocked_pages_are_worse_on_held_out_labels(spark):
+    """Labels that follow host and branch: half of them are shown, the other half tells blocked pages from allowed ones."""
+    import random
+
+    rng = random.Random(8)
+    rows, labels = [], {}
+    for i in range(6000):
+        host, part = rng.choice(["a.test", "b.test", "bad.test"]), rng.choice(["news", "shop", "old"])
+        rows.append((i, f"http://{host}/{part}/{rng.randrange(50)}/{i}"))
+        labels[i] = int(rng.random() < (0.55 if host == "bad.test" or (host, part) == ("b.test", "old") else 0.15))
+    shown = spark.createDataFrame([(i, b) for i, b in labels.items() if i % 2], "id long, bad int")
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), shown).collect()
+    share = {}
+    for v in ("block", "allow"):
+        held = [labels[r.page_id] for r in got if r.verdict == v and r.page_id % 2 == 0]
+        assert len(held) > 300
+        share[v] = sum(held) / len(held)
+    assert share["block"] > 0.45 and share["allow"] < 0.2
+
+
+def test_labels_that_say_nothing_block_nothing(spark, small):
+    """The given labels do not depend on the url; the method then blocks next to nothing."""
+    rows = url_filter.op4_url_filter(spark, small).where("rule is null").collect()
+    assert sum(r.verdict == "block" for r in rows) <= 0.05 * len(rows)
+
+
 # ---------------------------------------------------------------- HTML
 def article_of(html):
     from html import unescape
@@ -301,15 +331,16 @@ def brute_extract(pages):
         best = {}
         for i in range(len(a[2]) + 1):
             for j in range(len(b[2]) + 1):
-                options = [(0, [])]
-                if i:
-                    options.append(best[i - 1, j])
-                if j:
-                    options.append(best[i, j - 1])
+                options = []  # of equal ones the first: later children pair first
                 if i and j:
                     n, pairs = match(a[2][i - 1], b[2][j - 1])
                     if n:
                         options.append((best[i - 1, j - 1][0] + n, best[i - 1, j - 1][1] + pairs))
+                if i:
+                    options.append(best[i - 1, j])
+                if j:
+                    options.append(best[i, j - 1])
+                options.append((0, []))
                 best[i, j] = max(options, key=lambda o: o[0])
         n, pairs = best[len(a[2]), len(b[2])]
         return n + 1, [*pairs, (a[1], b[1])]
@@ -349,7 +380,7 @@ def test_template_decides(spark):
         if i < 8:
             pages.append((200 + i, "b", f"<body><table class=w><tr><td>Another {i} way to lay out a page<td>with its text {i}</table><div class=z><p>Owned by us in this other way, too</p></div></body>"))
         pages.append((300 + i, "c", "<body><article><p>One and the same text on all</p></article></body>"))
-    pages += [(400, "a", "<p></p>"), (401, "b", "<p>stub</p>"), (402, "b", None), (403, "a", "<body><article>" + "".join(f"<h2>{i}</h2><p>x{i}</p>" for i in range(300)) + notice + "</article></body>")]
+    pages += [(400, "a", "<p></p>"), (401, "b", "<p>stub</p>"), (402, "b", None), (403, "a", f"<body>{bar}<article>" + "".join(f"<h2>{i}</h2><p>x{i}</p>" for i in range(300)) + notice + "</article></body>")]
     table = spark.createDataFrame([(i, f"http://{h}.test/{i}", html) for i, h, html in pages], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_extract.extract(table.repartition(5)).collect()}
     want = brute_extract(pages)
