@@ -417,11 +417,11 @@ def wrappers(rows: DataFrame) -> DataFrame:
     Pages that are copies of each other count once.  The reference is the layout's most frequent tree.
     """
     key = ["host", "layout"]
-    trees = rows.select(*key, "tree", "page").distinct().groupBy(*key, "tree").agg(F.count("*").alias("n"))
-    most = trees.groupBy(*key).agg(F.sum("n").alias("pages"), F.max(F.struct("n", "tree")).getField("tree").alias("tree")).where(F.col("pages") >= MIN_PAGES)
-    shape = rows.join(most, [*key, "tree"], "left_semi").groupBy(*key, "tree").agg(F.first("label").alias("ref_label"), F.first("parent").alias("ref_parent"))
-    refs = staged(most.join(shape, [*key, "tree"]).drop("tree"), "references")
-    once = rows.join(refs.select(*key), key, "left_semi").groupBy(*key, "page").agg(*[F.first(c).alias(c) for c in ("label", "parent", "at", "digest")])
+    once = staged(rows.groupBy(*key, "page").agg(*[F.first(c).alias(c) for c in ("tree", "label", "parent", "at", "digest")]), "distinct")
+    trees = once.groupBy(*key, "tree").agg(F.count("*").alias("n"), F.min("page").alias("page"))
+    most = trees.groupBy(*key).agg(F.sum("n").alias("pages"), F.max(F.struct("n", "tree", "page")).getField("page").alias("page")).where(F.col("pages") >= MIN_PAGES)
+    shape = once.select(*key, "page", F.col("label").alias("ref_label"), F.col("parent").alias("ref_parent"))
+    refs = staged(most.join(shape, [*key, "page"]).drop("page"), "references")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         references, seen = _References(), {}
@@ -444,7 +444,7 @@ def wrappers(rows: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    ready = once.drop("page").join(refs.select(*key, "ref_label", "ref_parent"), key).select(*key, "label", "parent", "at", "digest", "ref_label", "ref_parent")
+    ready = once.join(refs.select(*key, "ref_label", "ref_parent"), key).select(*key, "label", "parent", "at", "digest", "ref_label", "ref_parent")
     counted = ready.mapInArrow(count, "host string, layout long, node int, digest long, n long").groupBy(*key, "node", "digest").agg(F.sum("n").alias("n"))
     fixed = counted.join(refs.select(*key, "pages"), key).where((F.col("n") >= MIN_PAGES) & (F.col("n") >= CONSTANT * F.col("pages")))
     # each of a layout's pages has at most 1 / CONSTANT times its own blocks' worth of them: bounded by a page
