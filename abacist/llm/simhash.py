@@ -116,6 +116,18 @@ def forest(fp: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return out
 
 
+def _trees(links: np.ndarray, vid: np.ndarray) -> list[list[int]]:
+    """The vids of each tree of a forest; those without a link are in none."""
+    label = np.arange(len(vid))
+    member: dict[int, list[int]] = {}
+    for a, b in links.tolist():
+        x, y = sorted((int(label[a]), int(label[b])), key=lambda k: len(member.get(k, (k,))))
+        moved = member.pop(x, [x])
+        label[moved] = y
+        member.setdefault(y, [y]).extend(moved)
+    return [vid[t].tolist() for t in member.values()]
+
+
 def _canonical(x: np.ndarray, cuts: list[tuple[int, int]]) -> np.ndarray:
     """Of pairs with xor ``x`` (n x words): the number of the first index key that both share."""
     out = np.full(len(x), -1, dtype=np.int64)
@@ -133,14 +145,15 @@ def _links(batches: Iterator[pa.RecordBatch], limit: int, width: int, cuts: list
 
     A link comes out under the first key that its ends share and under no other: the ends of one that is
     left out are joined by the forest of that earlier key, so the components stay the same.
-    With ``keep`` the rows of groups for which a forest stands in come out as well, with b = 1.
+    With ``keep`` each tree of a forest that stands in for a group comes out as well: a row with the key and the tree's vids.
     """
-    names = ["a", "b", "hot", *[f"f{i}" for i in range(width)]]
+    names = ["a", "b", "hot", *[f"f{i}" for i in range(width)], "tree"]
 
-    def pack(a, b, hot=None, fp=None) -> pa.RecordBatch:
+    def pack(a, b, hot=None, fp=None, tree=None) -> pa.RecordBatch:
         n = len(a)
         none = [pa.nulls(n, pa.int64())] * width
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(n, pa.int64()) if hot is None else pa.array(hot, pa.int64()), *(none if fp is None else [pa.array(fp[:, i].view(np.int64)) for i in range(width)])], names)
+        trees = pa.nulls(n, pa.list_(pa.int64())) if tree is None else pa.array(tree, pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(n, pa.int64()) if hot is None else pa.array(hot, pa.int64()), *(none if fp is None else [pa.array(fp[:, i].view(np.int64)) for i in range(width)]), trees], names)
 
     def solve(key: np.ndarray, vid: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -174,7 +187,8 @@ def _links(batches: Iterator[pa.RecordBatch], limit: int, width: int, cuts: list
             own = links[_canonical(fp[at][links[:, 0]] ^ fp[at][links[:, 1]], cuts) == number[edge[r]]]
             yield pack(vid[at][own[:, 0]], vid[at][own[:, 1]])
             if keep and len(links):
-                yield pack(vid[at], np.ones(size[r], dtype=np.int64), key[at], fp[at])
+                trees = _trees(links, vid[at])
+                yield pack([t[0] for t in trees], np.ones(len(trees), dtype=np.int64), np.full(len(trees), key[edge[r]]), tree=trees)
 
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     hot: int | None = None
@@ -212,7 +226,7 @@ def spanning_links(uniq: DataFrame, limit: int, width: int, cuts: list[tuple[int
 
 
 def _index_links(uniq: DataFrame, limit: int, width: int, cuts: list[tuple[int, int]], *, block: int | None = None, short: int | None = None, keep: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Spanning links, and with ``keep`` the rows (key, vid) of the groups not all of whose pairs are among them."""
+    """Spanning links, and with ``keep`` the trees (key, vids) of the groups not all of whose pairs are among them."""
     block, short = block or BLOCK, short or SHORT
     fields = [f"f{i}" for i in range(width)]
     keys = [
@@ -222,7 +236,7 @@ def _index_links(uniq: DataFrame, limit: int, width: int, cuts: list[tuple[int,
         for p in range(n)
     ]
     keyed = uniq.select(F.explode(F.array(*keys)).alias("key"), "vid", *fields)
-    schema = "a long, b long, hot long, " + ", ".join(f"{f} long" for f in fields)
+    schema = "a long, b long, hot long, " + ", ".join(f"{f} long" for f in fields) + ", tree array<long>"
     found = staged(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _links(it, limit, width, cuts, block, short, keep), schema), "links")
     cut = found.where(F.col("hot").isNotNull())
     rest = cut.where("b = 0").select(F.col("hot").alias("key"), F.col("a").alias("vid"), *fields)
@@ -241,7 +255,8 @@ def _index_links(uniq: DataFrame, limit: int, width: int, cuts: list[tuple[int,
 
     more = dealt.groupBy("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).applyInPandas(pair, "a long, b long")
     links = found.where(F.col("hot").isNull()).select("a", "b")
-    return (links.unionByName(more) if not rest.isEmpty() else links).distinct(), cut.select(F.col("hot").alias("key"), F.col("a").alias("vid"))
+    large = rest.groupBy("key", "vid").agg(F.array("vid").alias("tree")).drop("vid")
+    return (links.unionByName(more) if not rest.isEmpty() else links).distinct(), cut.where("b = 1").select(F.col("hot").alias("key"), "tree").unionByName(large)
 
 
 # ---------------------------------------------------------------- pairs that a forest leaves out
@@ -256,7 +271,7 @@ def parity(hashes: np.ndarray) -> bytes:
 def _open_pairs(batches: Iterator[pa.RecordBatch], limit: int, similarity: float, cuts: list[tuple[int, int]], cap: int) -> Iterator[pa.RecordBatch]:
     """Sorted (key, lo, hi, own, vid, root, size, bits, f0, f1) rows -> pairs (a, b) of one group and two roots.
 
-    They are candidates under their first shared key, and neither set sizes nor bitmaps exclude the
+    They are candidates under their first shared key (under any, if the key is negative), and neither set sizes nor bitmaps exclude the
     similarity.  A row with over ``cap`` such pairs to one root gives the ``cap`` closest, and a row with ``more``.
     """
 
@@ -272,7 +287,8 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], limit: int, similarity: float
             apart = _distance(bits[j] ^ bits[i])
             ok = np.maximum(apart, np.abs(size[j] - size[i])) <= (size[j] + size[i]) * ((1 - similarity) / (1 + similarity)) + 1e-6
             j, x, apart = j[ok], x[ok], apart[ok]
-            ok = _canonical(x, cuts) == key >> 22
+            first = _canonical(x, cuts)
+            ok = first == key >> 22 if key >= 0 else first >= 0
             j, apart = j[ok], apart[ok]
             if len(j) > cap:
                 order = np.lexsort((apart, root[j]))
@@ -316,8 +332,8 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], limit: int, similarity: float
 
 
 def open_pairs(cut: DataFrame, rows: DataFrame, limit: int, similarity: float, cuts: list[tuple[int, int]], *, cap: int, block: int | None = None) -> DataFrame:
-    """(a, b, more) of the groups ``cut`` (key, vid) that hold several roots; ``rows`` has (vid, root, size, bits, f0, f1)."""
-    of = cut.join(rows.select("vid", "root"), "vid")
+    """(a, b, more) of the groups ``cut`` (key, tree) that hold several roots; ``rows`` has (vid, root, size, bits, f0, f1)."""
+    of = cut.select("key", F.explode("tree").alias("vid")).join(rows.select("vid", "root"), "vid")
     m = F.ceil(F.count("*") / F.lit((block or BLOCK) // 2)).cast("int").alias("m")
     several = of.groupBy("key").agg(m, F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key", "m")
     dealt = of.drop("root").join(several, "key").withColumn("own", F.pmod(F.xxhash64("vid"), F.col("m")).cast("long"))
@@ -415,12 +431,23 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
     linked = staged(verified(links), "linked")
     known = held.select("vid", "size", "bits").join(uniq.select("vid", "f0", "f1"), "vid")
     none = cut.isEmpty()
+    if not none:
+        # a tree lies within one component of all candidate links: one with one root needs no second look, and one
+        # that fits a block is compared as a whole, not under each of its keys
+        near = staged(components(links).withColumnRenamed("root", "near"), "near")
+        cut = staged(cut.withColumn("vid", F.col("tree")[0]).join(near, "vid").drop("vid"), "trees")
+        crowded = cut.select("near").distinct()
     while True:
         roots = staged(components(linked), "roots")
         if none:
             break
         rows = known.join(roots, "vid", "left").withColumn("root", F.coalesce("root", "vid"))
-        pairs = staged(open_pairs(cut, rows, bits_apart, similarity, segments(4), cap=cap, block=block), "pairs")
+        of = rows.join(near, "vid")
+        mixed = of.groupBy("near").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size"))
+        mixed = mixed.where("least <> most").join(crowded, "near", "left_semi").select("near", (F.col("size") > (block or BLOCK)).alias("large"))
+        small = of.join(mixed.where("not large"), "near").select((-1 - F.col("near")).alias("key"), F.array("vid").alias("tree"))
+        large = cut.join(mixed.where("large"), "near", "left_semi").select("key", "tree")
+        pairs = staged(open_pairs(large.unionByName(small), rows, bits_apart, similarity, segments(4), cap=cap, block=block), "pairs")
         if pairs.isEmpty():
             break
         linked = staged(linked.unionByName(verified(pairs.where("not more").select("a", "b"))), "linked")
