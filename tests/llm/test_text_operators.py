@@ -17,6 +17,25 @@ def test_op6_held_out_accuracy(spark, small):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_identify_against_two_loops(spark, small):
+    """Out-of-place distances by position lookups, document by document."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    learned = langid.profiles(docs.where(~langid.held_out()))
+    place = {lang: {int(c): i for i, c in enumerate(codes)} for lang, codes in learned.items()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.op6_langid(spark, small).collect()}
+    for r in docs.collect():
+        count = {}
+        for g in langid.grams(r.text).tolist():
+            count[g] = count.get(g, 0) + 1
+        own = sorted(count, key=lambda g: (-count[g], g))[: langid.RANKS]
+        want = ("und", 0.0)
+        if own:
+            away = {lang: sum(abs(at[g] - i) if g in at else langid.RANKS for i, g in enumerate(own)) for lang, at in place.items()}
+            best = min(away, key=lambda lang: (away[lang], lang))
+            want = (best, 1 - away[best] / (len(own) * langid.RANKS))
+        assert got[r.doc_id][0] == want[0] and abs(got[r.doc_id][1] - want[1]) < 1e-12
+
+
 def test_profiles_against_counting(spark):
     from collections import Counter
 
