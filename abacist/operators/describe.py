@@ -33,11 +33,15 @@ def chi2_independence(df: DataFrame, row: str, col: str) -> tuple[float, int, fl
     cells = df.select(row, col).dropna().groupBy(row, col).count()
     r, c = cells.groupBy(row).agg(F.sum("count").alias("r")), cells.groupBy(col).agg(F.sum("count").alias("c"))
     shape = cells.agg(F.count_distinct(row), F.count_distinct(col), F.sum("count")).first()
-    shift = 0.5 if shape[0] == shape[1] == 2 else 0.0
-    full = r.crossJoin(c).join(cells, [row, col], "left").fillna(0, ["count"])  # a grid of the table's own levels
-    e = F.col("r") * F.col("c") / shape[2]
-    gap = F.abs(F.col("count") - e)
-    stat = full.agg(F.sum(F.pow(gap - F.least(gap, F.lit(shift)), F.lit(2)) / e)).first()[0]
+    met = cells.join(r, row).join(c, col)
+    if shape[0] == shape[1] == 2:
+        full = r.crossJoin(c).join(cells, [row, col], "left").fillna(0, ["count"])  # four cells
+        e = F.col("r") * F.col("c") / shape[2]
+        gap = F.abs(F.col("count") - e)
+        stat = full.agg(F.sum(F.pow(gap - F.least(gap, F.lit(0.5)), F.lit(2)) / e)).first()[0]
+    else:  # empty cells need no row: they are in the margins
+        share = met.agg(F.sum(F.col("count") * F.col("count") / (F.col("r").cast("double") * F.col("c")))).first()[0]
+        stat = shape[2] * (share - 1) if shape[2] else None
     free = (shape[0] - 1) * (shape[1] - 1)
     return stat, free, dist.chi2_sf(stat, free)
 

@@ -134,12 +134,21 @@ def checks(df: DataFrame, y: str, running: str, cutoff: float = 0.0, covariates:
 
 
 def multi_cutoff(df: DataFrame, y: str, running: str, cutoff: str, bandwidth: float | None = None) -> DataFrame:
-    """(cutoff, estimate, std_error, n) at each cutoff of the column, and pooled by rows near it; cutoffs are few."""
+    """(cutoff, estimate, std_error, n) at each cutoff of the column, and pooled by rows near it; cutoffs are few.
+
+    A cutoff without enough rows on both sides has nulls and n 0, and no weight.
+    """
     cuts = sorted(float(r[0]) for r in df.select(num(cutoff)).dropna().distinct().collect())
     rows = []
     for c in cuts:
-        r = rd(df.where(num(cutoff) == c), y, running, c, bandwidth)
-        rows.append((str(c), r["estimate"], r["std_error"], r["n_left"] + r["n_right"]))
-    n = sum(r[3] for r in rows)
-    rows.append(("pooled", sum(r[1] * r[3] for r in rows) / n, math.sqrt(sum((r[2] * r[3]) ** 2 for r in rows)) / n, n))
+        try:
+            r = rd(df.where(num(cutoff) == c), y, running, c, bandwidth)
+            rows.append((str(c), r["estimate"], r["std_error"], r["n_left"] + r["n_right"]))
+        except DataInsufficient:
+            rows.append((str(c), None, None, 0.0))
+    met = [r for r in rows if r[3]]
+    n = sum(r[3] for r in met)
+    if not n:
+        raise DataInsufficient("no cutoff has rows on both sides")
+    rows.append(("pooled", sum(r[1] * r[3] for r in met) / n, math.sqrt(sum((r[2] * r[3]) ** 2 for r in met)) / n, n))
     return df.sparkSession.createDataFrame(rows, "cutoff string, estimate double, std_error double, n double")

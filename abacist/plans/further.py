@@ -29,21 +29,14 @@ def _(t):
     return graph.hits(_edges(t))
 
 
-LINKS = f"SELECT src, dst FROM ({EDGES}) WHERE (src * 7 + dst * 3) % 5 = 0"
-
-
-def _links(t):
-    return _edges(t).where((F.col("src") * 7 + F.col("dst") * 3) % 5 == 0)
-
-
-@query("path_lengths", f"WITH RECURSIVE e AS ({LINKS}), r AS (SELECT 0 AS node, 0 AS steps UNION SELECT e.dst, r.steps + 1 FROM r JOIN e ON e.src = r.node WHERE r.steps < 30) SELECT 0 AS source, node, min(steps) AS steps FROM r GROUP BY node")
+@query("path_lengths", f"WITH RECURSIVE e AS (SELECT src, dst FROM ({EDGES})), r AS (SELECT 0 AS node, 0 AS steps UNION SELECT e.dst, r.steps + 1 FROM r JOIN e ON e.src = r.node WHERE r.steps < 30) SELECT 0 AS source, node, min(steps) AS steps FROM r GROUP BY node")
 def _(t):
-    return graph.path_lengths(_links(t), t.spark.createDataFrame([(0,)], "node int"))
+    return graph.path_lengths(_edges(t), t.spark.createDataFrame([(0,)], "node int"))
 
 
-@query("closeness", f"WITH RECURSIVE e AS ({LINKS}), r AS (SELECT 0 AS node, 0 AS steps UNION SELECT e.dst, r.steps + 1 FROM r JOIN e ON e.src = r.node WHERE r.steps < 30), d AS (SELECT node, min(steps) s FROM r GROUP BY node), n AS (SELECT count(DISTINCT v) n FROM (SELECT src v FROM e UNION ALL SELECT dst FROM e)) SELECT 0 AS node, round(count(*)/sum(s)*count(*)/(any_value(n) - 1), 8) AS closeness FROM d, n WHERE s > 0", 8)
+@query("closeness", f"WITH RECURSIVE e AS (SELECT src, dst FROM ({EDGES})), r AS (SELECT 0 AS node, 0 AS steps UNION SELECT e.dst, r.steps + 1 FROM r JOIN e ON e.src = r.node WHERE r.steps < 30), d AS (SELECT node, min(steps) s FROM r GROUP BY node), n AS (SELECT count(DISTINCT v) n FROM (SELECT src v FROM e UNION ALL SELECT dst FROM e)) SELECT 0 AS node, round(count(*)/sum(s)*count(*)/(any_value(n) - 1), 8) AS closeness FROM d, n WHERE s > 0", 8)
 def _(t):
-    return graph.closeness(_links(t), t.spark.createDataFrame([(0,)], "node int"))
+    return graph.closeness(_edges(t), t.spark.createDataFrame([(0,)], "node int"))
 
 
 @query("transitivity", f"WITH {UNDIRECTED.format(edges=PAIRS)}, d AS (SELECT sum(n*(n-1)/2.0) d FROM (SELECT count(*)::DOUBLE n FROM s GROUP BY a)), t AS (SELECT count(*)::DOUBLE n FROM s x JOIN s y ON x.a = y.a AND x.b < y.b JOIN u z ON z.a = x.b AND z.b = y.b) SELECT round(n/d, 8) AS transitivity FROM d, t", 8)
@@ -158,7 +151,7 @@ def _(t):
 
 @query("rd_multi_cutoff")
 def _(t):
-    d = t.orders.select(F.col("o_totalprice").alias("y"), (F.col("o_custkey") % 1000).alias("x"), F.when(F.col("o_orderstatus") == "F", 300).otherwise(600).alias("c"))
+    d = t.orders.select(F.col("o_totalprice").alias("y"), (F.col("o_orderkey") % 1000).alias("x"), F.when(F.col("o_orderstatus") == "F", 300).otherwise(600).alias("c"))
     return rd.multi_cutoff(d, "y", "x", "c", 150.0)
 
 
