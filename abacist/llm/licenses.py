@@ -2,6 +2,8 @@
 
 A text is cut into sentences, each sentence is normalised (lower case, letters and digits only) and
 mapped to the identifier of a known licence sentence.  Runs of unknown sentences become one mark.
+A text is read twice, line by line and unwrapped: without comment leaders, lines joined to paragraphs,
+and with up to two unknown sentences in a row (a list mark, an address) passed over.
 The sequence of identifiers is then matched against ordered rules: an earlier rule takes the
 identifiers it covers, so that a full licence text is not reported again as its own fragments.
 """
@@ -90,6 +92,16 @@ def sentences(text) -> F.Column:
     return F.filter(F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^a-z0-9]+", " "))), lambda s: s != "")
 
 
+#: Comment leaders at the start of a line; blank lines, which end a paragraph.
+_LEADER, _BLANK = r"\n[ \t]*(//+|#+|\*+|;+|--+)[ \t]*", r"\n[ \t\r]*\n"
+
+
+def unwrapped(text) -> F.Column:
+    """One line per paragraph."""
+    bare = F.regexp_replace(F.concat(F.lit("\n"), text), _LEADER, "\n")
+    return F.replace(F.replace(F.regexp_replace(bare, _BLANK, "\u0001"), F.lit("\n"), F.lit(" ")), F.lit("\u0001"), F.lit("\n"))
+
+
 def _pieces() -> dict[str, str]:
     """Normalised sentence -> identifier; a sentence that the cutting rule splits is known by its parts."""
     out = {}
@@ -110,20 +122,26 @@ def scan(docs: DataFrame, *, rules=RULES, id_col: str = "doc_id", text_col: str
     """One row per document: id, n_sentences, n_known, identifiers (unknown runs as ``?``), licenses.
 
     ``licenses`` lists the rules' licences once each, in rule order, joined by commas; empty if none.
+    The other columns are of the text read line by line; a rule may fit that or the unwrapped text.
     Null and empty texts have no sentences.  Repeated rows repeat; extra columns are ignored.
     """
     known = _pieces()
     lookup = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    d = docs.select(id_col, sentences(F.coalesce(F.col(text_col), F.lit(""))).alias("__s"))
-    named = F.transform("__s", lambda s: F.when(s.isin(*known), lookup[s]).otherwise(F.lit("?")))
-    d = d.select(id_col, F.size("__s").cast("long").alias("n_sentences"), named.alias("__names"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    d = docs.select(F.col(id_col), sentences(text).alias("__s"), sentences(unwrapped(text)).alias("__p"))
+    named = lambda c: F.transform(c, lambda s: F.when(s.isin(*known), lookup[s]).otherwise(F.lit("?")))
+    d = d.select(id_col, F.size("__s").cast("long").alias("n_sentences"), named("__s").alias("__names"), F.array_join(named("__p"), " ").alias("__p"))
+    passed = F.regexp_replace(F.regexp_replace(F.concat(F.lit(" "), "__p", F.lit(" ")), r"( \?){3,}", " !"), r" \?", "")
+    d = d.withColumn("__p", F.when(F.regexp_like("__p", F.lit("[a-z]")), passed))
     joined = F.regexp_replace(F.array_join("__names", " "), r"\?( \?)+", "?")
-    d = d.select(id_col, "n_sentences", F.size(F.filter("__names", lambda x: x != "?")).cast("long").alias("n_known"), joined.alias("identifiers"))
+    d = d.select(id_col, "n_sentences", F.size(F.filter("__names", lambda x: x != "?")).cast("long").alias("n_known"), joined.alias("identifiers"), "__p")
     d = d.withColumn("__left", F.when(F.col("n_known") > 0, F.concat(F.lit(" "), "identifiers", F.lit(" "))))
     found = []
     for i, (name, rule) in enumerate(rules):
         want = " " + " ".join(_sequence(rule)) + " "
-        d = d.withColumn(f"__f{i}", F.when(F.col("__left").contains(want), F.lit(name))).withColumn("__left", F.replace("__left", F.lit(want), F.lit(" ! ")))
+        fits = F.coalesce(F.col("__left").contains(want), F.lit(False)) | F.coalesce(F.col("__p").contains(want), F.lit(False))
+        d = d.withColumn(f"__f{i}", F.when(fits, F.lit(name)))
+        d = d.withColumns({c: F.replace(c, F.lit(want), F.lit(" ! ")) for c in ("__left", "__p")})
         found.append(F.col(f"__f{i}"))
     names = F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull()))
     return d.select(id_col, "n_sentences", "n_known", "identifiers", F.array_join(names, ",").alias("licenses"))
@@ -140,7 +158,7 @@ def _sql() -> str:
     steps, at = [], "r0"
     for i, (name, rule) in enumerate(RULES):
         want = quote(" " + " ".join(_sequence(rule)) + " ")
-        steps.append(f"r{i + 1} AS (SELECT * EXCLUDE (rest), CASE WHEN contains(rest, {want}) THEN {quote(name)} END AS f{i}, replace(rest, {want}, ' ! ') AS rest FROM {at})")
+        steps.append(f"r{i + 1} AS (SELECT * EXCLUDE (rest, para), CASE WHEN coalesce(contains(rest, {want}), false) OR coalesce(contains(para, {want}), false) THEN {quote(name)} END AS f{i}, replace(rest, {want}, ' ! ') AS rest, replace(para, {want}, ' ! ') AS para FROM {at})")
         at = f"r{i + 1}"
     found = ", ".join(f"f{i}" for i in range(len(RULES)))
     order = list(dict.fromkeys(n for n, _ in RULES))
@@ -150,11 +168,17 @@ WITH known(s, name) AS (VALUES {pairs}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 s AS (SELECT rid, doc_id, list_filter(list_transform(string_split(regexp_replace(t, '([.!?:;])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)),
         lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS s FROM d),
+w AS (SELECT rid, replace(replace(regexp_replace(regexp_replace(chr(10) || t, '{_LEADER}', chr(10), 'g'), '{_BLANK}', chr(1), 'g'), chr(10), ' '), chr(1), chr(10)) AS t FROM d),
+ws AS (SELECT rid, list_filter(list_transform(string_split(regexp_replace(t, '([.!?:;])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)),
+        lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS s FROM w),
+wu AS (SELECT rid, unnest(s) AS x, unnest(range(1, len(s) + 1)) AS i FROM ws),
+p AS (SELECT rid, string_agg(coalesce(name, '?'), ' ' ORDER BY i) AS names, count(name) AS k FROM wu LEFT JOIN known ON wu.x = known.s GROUP BY rid),
 u AS (SELECT rid, unnest(s) AS x, unnest(range(1, len(s) + 1)) AS i FROM s),
 n AS (SELECT rid, string_agg(coalesce(name, '?'), ' ' ORDER BY i) AS names, count(name) AS k FROM u LEFT JOIN known ON u.x = known.s GROUP BY rid),
-r0 AS (SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_sentences, CAST(coalesce(k, 0) AS BIGINT) AS n_known,
-        regexp_replace(coalesce(names, ''), '\?( \?)+', '?', 'g') AS identifiers, CASE WHEN k > 0 THEN ' ' || regexp_replace(names, '\?( \?)+', '?', 'g') || ' ' END AS rest
-       FROM s LEFT JOIN n USING (rid)),
+r0 AS (SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_sentences, CAST(coalesce(n.k, 0) AS BIGINT) AS n_known,
+        regexp_replace(coalesce(n.names, ''), '\?( \?)+', '?', 'g') AS identifiers, CASE WHEN n.k > 0 THEN ' ' || regexp_replace(n.names, '\?( \?)+', '?', 'g') || ' ' END AS rest,
+        CASE WHEN p.k > 0 THEN regexp_replace(regexp_replace(' ' || p.names || ' ', '( \?){{3,}}', ' !', 'g'), ' \?', '', 'g') END AS para
+       FROM s LEFT JOIN n USING (rid) LEFT JOIN p USING (rid)),
 {", ".join(steps)}
 SELECT doc_id, n_sentences, n_known, identifiers, array_to_string(list_filter([{picks}], lambda x: x IS NOT NULL), ',') AS licenses FROM {at}
 """

@@ -144,6 +144,24 @@ def test_licence_rules(spark):
     assert [r.licenses for r in sorted(rows)] == list(cases.values())
 
 
+@pytest.mark.parametrize("leader", ["", "# ", " * ", "// "])
+def test_wrapped_licences(spark, leader):
+    """Texts wrapped at 72 columns, with comment leaders, list marks and addresses between their sentences."""
+    import textwrap
+
+    s = licenses.SENTENCES
+    wrap = lambda *parts: "\n".join(leader + line for part in parts for line in [*textwrap.wrap(part, 72), ""])
+    cases = {
+        wrap("MIT License", "Copyright (c) 2020 A", s["mit_grant"], s["mit_notice"], s["mit_warranty"] + " " + s["mit_liability"]): "MIT",
+        wrap(s["bsd_grant"], "1. " + s["bsd_source"], "2. " + s["bsd_binary"], "3. " + s["bsd_endorse"]): "BSD-3-Clause",
+        wrap("Copyright 2020 A. " + s["apache2_grant"] + " " + s["apache2_copy"], "http://www.apache.org/licenses/LICENSE-2.0", s["apache2_as_is"] + " " + s["apache2_see"]): "Apache-2.0",
+        wrap(s["gpl_free"], s["gpl_hope"] + " " + s["gpl_more"]): "GPL-3.0-or-later",
+        wrap("Nothing of the kind is said in this text, which is wrapped too, and long enough for it to have two lines"): "",
+    }
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()
+    assert [r.licenses for r in sorted(rows)] == list(cases.values())
+
+
 # ---------------------------------------------------------------- URL filter
 def split_url(url):
     if url is None or "://" not in url:
