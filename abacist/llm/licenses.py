@@ -49,6 +49,15 @@ SENTENCES = {
     "bsd_source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd_binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd_endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "isc_grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "unlicense_notice": "This is free and unencumbered software released into the public domain.",
+    "lgpl21_free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl3_free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "isc_spdx": "SPDX-License-Identifier: ISC",
+    "bsd2_spdx": "SPDX-License-Identifier: BSD-2-Clause",
+    "bsd3_spdx": "SPDX-License-Identifier: BSD-3-Clause",
+    "mpl2_spdx": "SPDX-License-Identifier: MPL-2.0",
+    "rights_reserved": "All rights reserved.",
     "mpl2_notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 #: Fixed values: (licence, identifiers in order), tried in this order.
@@ -79,6 +88,15 @@ RULES = (
     ("CC-BY-NC-4.0", ("cc_by_nc_ref",)),
     ("CC0-1.0", ("cc0_ref",)),
     ("MPL-2.0", ("mpl2_notice",)),
+    ("MPL-2.0", ("mpl2_spdx",)),
+    ("ISC", ("isc_grant",)),
+    ("ISC", ("isc_spdx",)),
+    ("Unlicense", ("unlicense_notice",)),
+    ("LGPL-2.1-or-later", ("lgpl21_free",)),
+    ("AGPL-3.0-or-later", ("agpl3_free",)),
+    ("BSD-2-Clause", ("bsd2_spdx",)),
+    ("BSD-3-Clause", ("bsd3_spdx",)),
+    ("All-Rights-Reserved", ("rights_reserved",)),
 )
 
 
@@ -102,20 +120,25 @@ def unwrapped(text) -> F.Column:
     return F.replace(F.replace(F.regexp_replace(bare, _BLANK, "\u0001"), F.lit("\n"), F.lit(" ")), F.lit("\u0001"), F.lit("\n"))
 
 
+def _parts(name: str) -> list[str]:
+    """A sentence as the cutting rule splits it."""
+    return [p for p in (normalised(x) for x in re.split(r"(?<=[.!?:;])[ \t\r]+", SENTENCES[name])) if p]
+
+
 def _pieces() -> dict[str, str]:
-    """Normalised sentence -> identifier; a sentence that the cutting rule splits is known by its parts."""
-    out = {}
-    for name, text in SENTENCES.items():
-        parts = [p for p in (normalised(x) for x in re.split(r"(?<=[.!?:;])[ \t\r]+", text)) if p]
+    """Normalised sentence -> identifier; of a sentence that is split, each part has one, and parts that are equal share it."""
+    out: dict[str, str] = {}
+    for name in SENTENCES:
+        parts = _parts(name)
         for i, p in enumerate(parts):
-            out[p] = name if len(parts) == 1 else f"{name}_{i}"
+            out.setdefault(p, name if len(parts) == 1 else f"{name}_{i}")
     return out
 
 
 def _sequence(rule: tuple[str, ...]) -> list[str]:
     """The rule's identifiers, with those of split sentences spelled out."""
-    names = list(_pieces().values())
-    return [x for r in rule for x in ([r] if r in names else sorted((n for n in names if re.fullmatch(rf"{r}_\d+", n)), key=lambda n: int(n.rsplit("_", 1)[1])))]
+    known = _pieces()
+    return [known[p] for r in rule for p in _parts(r)]
 
 
 def scan(docs: DataFrame, *, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

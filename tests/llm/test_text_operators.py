@@ -139,6 +139,10 @@ def test_licence_rules(spark):
         full("gpl_free") + " other words. " + s["gpl_more"]: "GPL-3.0-or-later",
         "Text. Released under the MIT license. More text.\nlicensed UNDER the Apache License, version 2.0.": "MIT,Apache-2.0",
         "He was released under bail.": "",
+        "// SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
+        "SPDX-License-Identifier: MIT": "MIT",
+        "Boston has a school. MIT. It is large.": "",
+        "Copyright 2020 A. All rights reserved.": "All-Rights-Reserved",
     }
     rows = licenses.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()
     assert [r.licenses for r in sorted(rows)] == list(cases.values())
