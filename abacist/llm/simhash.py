@@ -29,6 +29,8 @@ BLOCK = 4096
 #: Runs up to this length are compared by shifts over the whole Arrow batch.
 SHORT = 32
 SEED = 42
+#: Bits of an index key that hold the segment; its number is above them.
+KEY_BITS = 32
 
 
 def segments(distance: int, bits: int = 64) -> list[tuple[int, int]]:
@@ -159,7 +161,7 @@ def _links(batches: Iterator[pa.RecordBatch], limit: int, width: int, cuts: list
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([edge, [len(key)]]))
         run = np.repeat(np.arange(len(edge)), size)
-        number = key >> 22
+        number = key >> KEY_BITS
         short = size[run] <= min(short_run, block)
         found: list[np.ndarray] = []
         for k in range(1, short_run):
@@ -230,7 +232,7 @@ def _index_links(uniq: DataFrame, limit: int, width: int, cuts: list[tuple[int,
     block, short = block or BLOCK, short or SHORT
     fields = [f"f{i}" for i in range(width)]
     keys = [
-        (F.lit(((w * len(cuts) + s) * 64 + p) << 22) + (F.shiftrightunsigned(f"f{w}", off).bitwiseAND(F.lit(((1 << n) - 1) & ~(1 << p))))).cast("long")
+        (F.lit(((w * len(cuts) + s) * 64 + p) << KEY_BITS) + (F.shiftrightunsigned(f"f{w}", off).bitwiseAND(F.lit(((1 << n) - 1) & ~(1 << p))))).cast("long")
         for w in range(width)
         for s, (off, n) in enumerate(cuts)
         for p in range(n)
@@ -249,7 +251,7 @@ def _index_links(uniq: DataFrame, limit: int, width: int, cuts: list[tuple[int,
 
         fp = np.stack([pdf[f].to_numpy() for f in fields], axis=1).view(np.uint64)
         links = np.array(forest(fp, limit), dtype=np.int64).reshape(-1, 2)
-        links = links[_canonical(fp[links[:, 0]] ^ fp[links[:, 1]], cuts) == pdf["key"].iloc[0] >> 22]
+        links = links[_canonical(fp[links[:, 0]] ^ fp[links[:, 1]], cuts) == pdf["key"].iloc[0] >> KEY_BITS]
         vid = pdf["vid"].to_numpy()
         return pd.DataFrame({"a": vid[links[:, 0]], "b": vid[links[:, 1]]})
 
@@ -288,7 +290,7 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], limit: int, similarity: float
             ok = np.maximum(apart, np.abs(size[j] - size[i])) <= (size[j] + size[i]) * ((1 - similarity) / (1 + similarity)) + 1e-6
             j, x, apart = j[ok], x[ok], apart[ok]
             first = _canonical(x, cuts)
-            ok = first == key >> 22 if key >= 0 else first >= 0
+            ok = first == key >> KEY_BITS if key >= 0 else first >= 0
             j, apart = j[ok], apart[ok]
             if len(j) > cap:
                 order = np.lexsort((apart, root[j]))
