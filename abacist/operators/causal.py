@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from abacist.functions import dist
 from abacist.functions.columns import clip, num, uniform
-from abacist.operators.core import DataInsufficient, Fit, gram, in_cells, inverse, names_of, running, solve_ls, usable
+from abacist.operators.core import DataInsufficient, Fit, gram, grouped_gram, in_cells, inverse, merged, names_of, running, solve_ls, usable
 from abacist.operators.regression import glm, ols, predicted
 
 
@@ -48,32 +48,73 @@ def fold_of(k: int, seed: int, *keys) -> Column:
     return F.floor(uniform(seed, F.lit("fold"), *keys) * k).cast("int")
 
 
+def _by_fold(coefs: dict[int, np.ndarray], x: list[str]) -> Column:
+    """Constant and slopes of the row's fold, applied to ``x``."""
+    at = lambda j: F.element_at(F.array(*[F.lit(float(coefs[f][j])) for f in sorted(coefs)]), F.col("__f") + 1)
+    return sum((at(j + 1) * F.col(c) for j, c in enumerate(x)), at(0))
+
+
+def _fold_logit(d: DataFrame, treat: str, x: list[str], folds: int, tol: float = 1e-9, most: int = 50) -> dict[int, np.ndarray]:
+    """Logit coefficients fitted on the rows outside each fold: every Newton step of all folds is one aggregation.
+
+    Covariates are scaled to mean 0 and spread 1 while fitting; a fold leaves the sums once it has converged.
+    """
+    stats = d.agg(*[F.avg(c) for c in x], *[F.stddev(c) for c in x]).first()
+    k, mid, sd = len(x) + 1, np.array(stats[: len(x)], dtype=float), np.array([s or 1.0 for s in stats[len(x) :]], dtype=float)
+    z = [F.lit(1.0), *[(F.col(c) - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(x, mid, sd)]]
+    d = d.select("__f", F.col(treat).alias("__t"), *[v.alias(f"__z{i}") for i, v in enumerate(z)])
+    z = [F.col(f"__z{i}") for i in range(k)]
+    beta, open_ = {f: np.zeros(k) for f in range(folds)}, set(range(folds))
+    for _ in range(most):
+        live = sorted(open_)
+        p = d.select("*", *[(1 / (1 + F.exp(-sum((F.lit(b) * v for b, v in zip(beta[f].tolist(), z)), F.lit(0.0))))).alias(f"__p{f}") for f in live])
+        sums = []
+        for f in live:
+            rest = lambda v: F.sum(F.when(F.col("__f") != f, v))  # noqa: E731, B023  used at once
+            m = F.col(f"__p{f}")
+            sums += [rest((F.col("__t") - m) * v) for v in z] + [rest(m * (1 - m) * z[i] * z[j]) for i in range(k) for j in range(i, k)]
+        row = iter(p.agg(*sums).first())
+        for f in live:
+            score, info = np.array([next(row) or 0.0 for _ in range(k)]), np.zeros((k, k))
+            for i in range(k):
+                for j in range(i, k):
+                    info[i, j] = info[j, i] = next(row) or 0.0
+            step = inverse(info) @ score
+            beta[f] = beta[f] + step
+            if np.abs(step).max() < tol:
+                open_.discard(f)
+        if not open_:
+            break
+    else:
+        raise DataInsufficient("the treatment model does not converge: an arm may be separated")
+    return {f: np.concatenate([[b[0] - (b[1:] * mid / sd).sum()], b[1:] / sd]) for f, b in beta.items()}
+
+
 def aipw(df: DataFrame, y: str, treat: str, x: list[str], key: str, folds: int = 5, seed: int = 0, trim: float = 0.01) -> dict[str, float]:
-    """Augmented inverse weighting with cross-fitted linear outcome and logit treatment models."""
+    """Augmented inverse weighting with cross-fitted linear outcome and logit treatment models.
+
+    One Gram by fold and arm gives all outcome models, the treatment models take one scan per Newton step.
+    """
     d = usable(df, names_of([y, treat, *x]), (key,)).withColumn("__f", fold_of(folds, seed, F.col(key)))
-    cols = {c: F.col(c) for c in x}
-    e = m1 = m0 = None
-    for f in range(folds):
-        rest, here = d.where(F.col("__f") != f), F.col("__f") == f
-        ps = predicted(glm(rest, treat, x, family="logit"), cols)
-        a, b = (ols(rest.where(F.col(treat) == v), y, x).predict(cols) for v in (1, 0))
-        e, m1, m0 = (F.when(here, new) if old is None else old.when(here, new) for old, new in ((e, ps), (m1, a), (m0, b)))
-    e, t, v = clip(e, trim, 1 - trim), F.col(treat), F.col(y)
-    psi = m1 - m0 + t * (v - m1) / e - (1 - t) * (v - m0) / (1 - e)
-    est, var, n = d.select(psi.alias("p")).agg(F.avg("p"), F.var_samp("p"), F.count("*")).first()
+    g = grouped_gram(d, [y, *x], ["__f", treat])
+    rest = lambda f, v: merged([p for (h, t), p in g.items() if h != f and t == v])
+    arm = {v: _by_fold({f: solve_ls(rest(f, v), 0, list(range(1, len(x) + 1)))[0] for f in range(folds)}, x) for v in (0, 1)}
+    e = clip(1 / (1 + F.exp(-_by_fold(_fold_logit(d, treat, x, folds), x))), trim, 1 - trim)
+    m = d.select(F.col(y).alias("v"), F.col(treat).alias("t"), arm[1].alias("m1"), arm[0].alias("m0"), e.alias("e"))
+    psi = F.expr("m1 - m0 + t * (v - m1) / e - (1 - t) * (v - m0) / (1 - e)")
+    est, var, n = m.select(psi.alias("p")).agg(F.avg("p"), F.var_samp("p"), F.count("*")).first()
     se = math.sqrt(var / n)
     return {"estimate": est, "std_error": se, "p_value": dist.two_sided(est / se), "n": float(n)}
 
 
 def dml_plr(df: DataFrame, y: str, treat: str, x: list[str], key: str, folds: int = 5, seed: int = 0) -> dict[str, float]:
-    """Partially linear model: residual on residual with cross-fitted linear nuisances."""
+    """Partially linear model: residual on residual with cross-fitted linear nuisances, all from one Gram by fold."""
     d = usable(df, names_of([y, treat, *x]), (key,)).withColumn("__f", fold_of(folds, seed, F.col(key)))
-    cols, ry, rt = {c: F.col(c) for c in x}, None, None
-    for f in range(folds):
-        rest, here = d.where(F.col("__f") != f), F.col("__f") == f
-        a, b = ols(rest, y, x).predict(cols), ols(rest, treat, x).predict(cols)
-        ry, rt = (F.when(here, new) if old is None else old.when(here, new) for old, new in ((ry, a), (rt, b)))
-    r = d.select((F.col(y) - ry).alias("u"), (F.col(treat) - rt).alias("v"))
+    g = grouped_gram(d, [y, treat, *x], ["__f"])
+    rest = {f: merged([p for (h,), p in g.items() if h != f]) for f in range(folds)}
+    on = list(range(2, len(x) + 2))
+    fitted = [_by_fold({f: solve_ls(rest[f], i, on)[0] for f in range(folds)}, x) for i in (0, 1)]
+    r = d.select((F.col(y) - fitted[0]).alias("u"), (F.col(treat) - fitted[1]).alias("v"))
     uv, vv, n = r.agg(F.sum(F.col("u") * F.col("v")), F.sum(F.col("v") ** 2), F.count("*")).first()
     theta = uv / vv
     m = r.agg(F.sum(F.col("v") ** 2 * (F.col("u") - theta * F.col("v")) ** 2)).first()[0]

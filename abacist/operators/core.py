@@ -125,6 +125,16 @@ def grouped_gram(df: DataFrame, names: list[str], by: list[str]) -> dict[tuple,
     return out
 
 
+def merged(grams: list[Gram]) -> Gram:
+    """The Gram of the rows of all given ones together."""
+    n = sum(g.n for g in grams)
+    if not n:
+        raise DataInsufficient("no usable rows")
+    mean = sum(g.n * g.mean for g in grams) / n
+    cross = sum(g.cross + g.n * np.outer(g.mean - mean, g.mean - mean) for g in grams)
+    return Gram(n, mean, cross, sum(g.rows for g in grams))
+
+
 def moments(g: Gram, x: list[int], intercept: bool = True) -> np.ndarray:
     """X'X over the columns ``x`` with the constant first."""
     m = g.mean[x]
@@ -238,3 +248,35 @@ def running(df: DataFrame, order: str, values: dict[str, Column], by: list[str]
     inside = Window.partitionBy(*keys).orderBy(along(order)).rowsBetween(Window.unboundedPreceding, 0)
     both = {"sum": lambda a, b: a + F.coalesce(b, F.lit(0)), "max": F.greatest, "min": F.least}[fn]
     return d.join(base, met).select(*df.columns, *[both(f(f"__v_{n}").over(inside), F.col(f"__b_{n}")).alias(f"run_{n}") for n in values], *[f"all_{n}" for n in values])
+
+
+def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list[str] = []) -> DataFrame:
+    """One row per group: ``by``, and ``q_<col>``, the exact interpolated quantiles at ``probs`` of each column, as an array.
+
+    The rows are first aggregated to distinct values; running counts inside quantile cells place each
+    rank, so that no task holds a column or a whole group.  Nulls and NaN count as missing; a group
+    without a value in any column has no row (one row of nulls where ``by`` is empty).
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    keys = [f"__by_{b}" for b in by]
+    d = df.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], *[num(c).alias(f"__c{i}") for i, c in enumerate(cols)])
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = d.agg(*[F.percentile_approx(f"__c{i}", [j / n for j in range(1, n)], 10 * n) for i in range(len(cols))]).first()
+    splits = [[-math.inf, *sorted({float(c) for c in row or [0.0]}), math.inf] for row in cuts]
+    d = Bucketizer(splitsArray=splits, inputCols=[f"__c{i}" for i in range(len(cols))], outputCols=[f"__b{i}" for i in range(len(cols))], handleInvalid="keep").transform(d)
+    long = d.select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("__var"), F.col(f"__c{i}").alias("__value"), F.col(f"__b{i}").alias("__cell")) for i in range(len(cols))])))
+    per = long.where("__value is not null").groupBy(*keys, "__var", "__cell", "__value").agg(F.count("*").alias("__n"))
+    per = running(per, "__value", {"n": F.col("__n")}, [*keys, "__var"])
+    picks = []
+    for j, p in enumerate(probs):
+        at = (F.col("all_n") - 1) * F.lit(float(p))
+        holds = lambda r: (F.col("run_n") - F.col("__n") <= r) & (r < F.col("run_n"))
+        picks += [F.max(F.when(holds(F.floor(at)), F.col("__value"))).alias(f"lo{j}"), F.max(F.when(holds(F.ceil(at)), F.col("__value"))).alias(f"hi{j}")]
+    picked = per.groupBy(*keys, "__var").agg(F.first("all_n").alias("all_n"), *picks)
+    found = []
+    for j, p in enumerate(probs):
+        at, lo, hi = (F.col("all_n") - 1) * F.lit(float(p)), F.col(f"lo{j}"), F.col(f"hi{j}")
+        found.append(F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi))
+    wide = picked.select(*keys, "__var", F.array(*found).alias("__q")).groupBy(*keys).agg(*[F.max(F.when(F.col("__var") == i, F.col("__q"))).alias(f"q_{c}") for i, c in enumerate(cols)])
+    return wide.select(*[F.col(k).alias(b) for b, k in zip(by, keys)], *[f"q_{c}" for c in cols])

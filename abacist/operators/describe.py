@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 
 from abacist.functions import dist
 from abacist.functions.columns import num
-from abacist.operators.core import running
+from abacist.operators.core import quantiles, running
 
 
 def sumstats(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
-    """n, mean, sd, min, quartiles, max of each column, per group; one aggregation, one row per column."""
-    stats = [("n", F.count), ("mean", F.avg), ("sd", F.stddev), ("min", F.min), ("p25", lambda c: F.percentile(c, F.lit(0.25))), ("median", lambda c: F.percentile(c, F.lit(0.5))), ("p75", lambda c: F.percentile(c, F.lit(0.75))), ("max", F.max)]
+    """n, mean, sd, min, quartiles, max of each column, per group, one row per column; quartiles are exact."""
     by = by or []
-    d = df.select(*by, *[num(c).alias(c) for c in cols])
-    wide = d.groupBy(*by).agg(*[f(F.col(c)).alias(f"{c}|{s}") for c in cols for s, f in stats])
-    one = F.array(*[F.struct(F.lit(c).alias("variable"), *[F.col(f"`{c}|{s}`").alias(s) for s, _ in stats]) for c in cols])
-    return wide.select(*by, F.inline(one))
+    simple = [("n", F.count), ("mean", F.avg), ("sd", F.stddev), ("min", F.min), ("max", F.max)]
+    wide = df.select(*[F.col(b).alias(f"__k_{b}") for b in by], *[num(c).alias(c) for c in cols]).groupBy(*[f"__k_{b}" for b in by]).agg(*[f(F.col(c)).alias(f"{c}|{s}") for c in cols for s, f in simple])
+    q = quantiles(df, cols, [0.25, 0.5, 0.75], by)
+    both = wide.join(q, [wide[f"__k_{b}"].eqNullSafe(q[b]) for b in by], "left") if by else wide.crossJoin(F.broadcast(q))  # one row each
+    value = lambda c, s: F.col(f"`{c}|{s}`").alias(s)
+    part = lambda c, i, s: F.col(f"`q_{c}`")[i].alias(s)
+    rows = [F.struct(F.lit(c).alias("variable"), *[value(c, s) for s in ("n", "mean", "sd", "min")], *[part(c, i, s) for i, s in enumerate(("p25", "median", "p75"))], value(c, "max")) for c in cols]
+    return both.select(*[F.col(f"__k_{b}").alias(b) for b in by], F.inline(F.array(*rows)))
 
 
 def tab(df: DataFrame, row: str, col: str) -> DataFrame:
@@ -49,8 +52,10 @@ def chi2_independence(df: DataFrame, row: str, col: str) -> tuple[float, int, fl
 def winsor(df: DataFrame, cols: list[str], lower: float = 0.01, upper: float = 0.99, by: list[str] | None = None, trim: bool = False, suffix: str = "_w") -> DataFrame:
     """Adds each column clipped (or set to null with ``trim``) at its exact percentiles, per group."""
     by = by or []
-    cuts = df.groupBy(*by).agg(*[F.percentile(num(c), F.array(F.lit(lower), F.lit(upper))).alias(f"__{c}") for c in cols])
-    out = df.join(F.broadcast(cuts), by) if by and cuts.limit(10_001).count() <= 10_000 else df.join(cuts, by) if by else df.crossJoin(F.broadcast(cuts))
+    cuts = quantiles(df, cols, [lower, upper], by)
+    cuts = cuts.select(*[F.col(b).alias(f"__k_{b}") for b in by], *[F.col(f"q_{c}").alias(f"__{c}") for c in cols])
+    met = [df[b].eqNullSafe(cuts[f"__k_{b}"]) for b in by]
+    out = (df.join(cuts, met, "left") if by else df.crossJoin(F.broadcast(cuts))).drop(*[f"__k_{b}" for b in by])  # one row without groups
     for c in cols:
         lo, hi, v = F.col(f"__{c}")[0], F.col(f"__{c}")[1], num(c)
         kept = F.when((v >= lo) & (v <= hi), v) if trim else F.when(v < lo, lo).when(v > hi, hi).otherwise(v)
@@ -109,7 +114,7 @@ def balance_table(df: DataFrame, treat: str, cols: list[str], weight: str | None
 def binscatter(df: DataFrame, y: str, x: str, bins: int = 20) -> DataFrame:
     """Means of y and x in equal-count bins of x, cut at exact quantiles (no global sort of the rows)."""
     d = df.select(num(y).alias("y"), num(x).alias("x")).dropna()
-    cuts = d.agg(F.percentile("x", F.array(*[F.lit(i / bins) for i in range(1, bins)]))).first()[0] or []
+    cuts = quantiles(d, ["x"], [i / bins for i in range(1, bins)]).first()[0] or []
     at = F.lit(1)
     for c in sorted(set(cuts)):
         at = at + (F.col("x") > F.lit(c)).cast("int")
@@ -119,7 +124,8 @@ def binscatter(df: DataFrame, y: str, x: str, bins: int = 20) -> DataFrame:
 def kdensity(df: DataFrame, x: str, points: int = 512, bandwidth: float | None = None, cells: int = 4096) -> DataFrame:
     """Gaussian kernel density on a grid, from a fine histogram (rows are read twice, never sorted)."""
     d = df.select(num(x).alias("x")).dropna()
-    n, sd, lo, hi, q = d.agg(F.count("*"), F.stddev("x"), F.min("x"), F.max("x"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.75)))).first()
+    n, sd, lo, hi = d.agg(F.count("*"), F.stddev("x"), F.min("x"), F.max("x")).first()
+    q = quantiles(d, ["x"], [0.25, 0.75]).first()[0]
     spread = min(sd, (q[1] - q[0]) / 1.349) if q[1] > q[0] else sd
     h = bandwidth or 0.9 * spread * n ** -0.2
     step = (hi - lo) / cells or 1.0

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from abacist.functions.columns import num, uniform
+from abacist.operators.core import quantiles
 
 
 def _gone(df: DataFrame, c: str) -> Column:
@@ -104,7 +105,7 @@ def cut(col: str, edges: list[float], right: bool = True) -> Column:
 
 def quantile_groups(df: DataFrame, col: str, groups: int, name: str = "quantile") -> DataFrame:
     """Adds the number of the quantile group (exact cuts; a value at a cut belongs below)."""
-    cuts = df.agg(F.percentile(num(col), F.array(*[F.lit(i / groups) for i in range(1, groups)]))).first()[0] or []
+    cuts = quantiles(df, [col], [i / groups for i in range(1, groups)]).first()[0] or []
     at = F.lit(1)
     for c in sorted(set(cuts)):
         at = at + (num(col) > F.lit(c)).cast("int")
