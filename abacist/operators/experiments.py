@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from abacist.functions import dist
 from abacist.functions.columns import clip, num, uniform
 from abacist.operators.causal import fold_of
-from abacist.operators.core import DataInsufficient, Fit, gram, names_of, running, solve_ls, usable
+from abacist.operators.core import DataInsufficient, Fit, gram, names_of, quantiles, running, solve_ls, usable
 from abacist.operators.regression import glm, iv, ols, predicted
 
 
@@ -192,8 +192,9 @@ def dose_response(df: DataFrame, y: str, dose: str, x: list[str], points: int =
     r = d.withColumn("r", density(F.col(dose)))
     t = F.col(dose)
     fit = ols(r, y, [("t", t), ("t2", t * t), ("r", F.col("r")), ("r2", F.col("r") ** 2), ("tr", t * F.col("r"))])
-    grid = d.agg(F.percentile(dose, F.array(*[F.lit((i + 0.5) / points) for i in range(points)]))).first()[0]
+    grid = quantiles(d, [dose], [(i + 0.5) / points for i in range(points)]).first()[0]
     means = d.agg(*[F.avg(fit.predict({"t": F.lit(g), "t2": F.lit(g * g), "r": density(F.lit(g)), "r2": density(F.lit(g)) ** 2, "tr": F.lit(g) * density(F.lit(g))})) for g in grid]).first()
+    d.unpersist()
     return df.sparkSession.createDataFrame([(float(g), float(m)) for g, m in zip(grid, means)], "dose double, outcome double")
 
 
@@ -206,13 +207,14 @@ def policy_tree(df: DataFrame, y: str, treat: str, x: list[str], bins: int = 32,
     s = d.withColumn("__g", m1 - m0 + t * (F.col(y) - m1) / e - (1 - t) * (F.col(y) - m0) / (1 - e))
     total, n = s.agg(F.sum("__g"), F.count("*")).first()
     best = {"value": max(total, 0.0) / n, "feature": None, "cut": None, "treat_above": total > 0}
-    for c in x:
-        cuts = sorted(set(d.agg(F.percentile(c, F.array(*[F.lit(i / bins) for i in range(1, bins)]))).first()[0]))
+    for c, found in zip(x, quantiles(d, x, [i / bins for i in range(1, bins)]).first()):
+        cuts = sorted(set(found))
         left = s.agg(*[F.sum(F.when(F.col(c) <= q, F.col("__g")).otherwise(0.0)) for q in cuts]).first()
         for q, v in zip(cuts, left):
             for above, value in ((True, total - v), (False, v)):
                 if value / n > best["value"]:
                     best = {"value": value / n, "feature": c, "cut": q, "treat_above": above}
+    d.unpersist()
     return best
 
 

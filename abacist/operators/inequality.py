@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abacist.functions.columns import num
-from abacist.operators.core import grouped_gram, names_of, running, solve_ls, usable
+from abacist.operators.core import grouped_gram, names_of, quantiles, running, solve_ls, usable
 
 
 def _values(df: DataFrame, y: str, weight: str | None, by: list[str]) -> DataFrame:
@@ -118,8 +118,9 @@ def rif_regression(df: DataFrame, y: str, x: list[str], quantile: float = 0.5, *
     from abacist.operators.regression import ols
 
     d = usable(df, names_of([y, *x]))
-    n, sd, q, iqr = d.agg(F.count("*"), F.stddev(y), F.percentile(y, F.lit(quantile)), F.percentile(y, F.array(F.lit(0.25), F.lit(0.75)))).first()
-    h = 0.9 * min(sd, (iqr[1] - iqr[0]) / 1.349 or sd) * n**-0.2
+    n, sd = d.agg(F.count("*"), F.stddev(y)).first()
+    q, low, high = quantiles(d, [y], [quantile, 0.25, 0.75]).first()[0]
+    h = 0.9 * min(sd, (high - low) / 1.349 or sd) * n**-0.2
     z = (F.col(y) - q) / h
     f = d.agg(F.avg(F.exp(-z * z / 2)) / (h * math.sqrt(2 * math.pi))).first()[0]
     rif = q + (quantile - (F.col(y) <= q).cast("double")) / f
@@ -173,11 +174,13 @@ def dominance(df: DataFrame, y: str, group: str) -> dict[str, float]:
 def quantile_gap(df: DataFrame, y: str, x: list[str], group: str, quantile: float = 0.5) -> DataFrame:
     """Two-fold decomposition of the gap of a quantile: recentered influence functions per group, then Oaxaca's."""
     d = usable(df, names_of([y, *x, group]))
+    cuts = {r[0]: r[1] for r in quantiles(d.where(F.col(group).isin(0, 1)), [y], [quantile, 0.25, 0.75], [group]).collect()}  # two groups
     parts = []
     for g in (0, 1):
         own = d.where(F.col(group) == g)
-        q, sd, n, s = own.agg(F.percentile(y, quantile), F.stddev(y), F.count("*"), F.percentile(y, F.array(F.lit(0.25), F.lit(0.75)))).first()
-        h = 0.9 * min(sd, (s[1] - s[0]) / 1.349 or sd) * n**-0.2
+        sd, n = own.agg(F.stddev(y), F.count("*")).first()
+        q, low, high = cuts[g]
+        h = 0.9 * min(sd, (high - low) / 1.349 or sd) * n**-0.2
         z = (F.col(y) - q) / h
         density = own.agg(F.avg(F.exp(-z * z / 2)) / (h * math.sqrt(2 * math.pi))).first()[0]
         parts.append(own.withColumn("rif", F.lit(q) + (quantile - (F.col(y) <= q).cast("double")) / density))

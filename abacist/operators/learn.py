@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from abacist.functions import dist
 from abacist.operators.causal import fold_of
-from abacist.operators.core import Fit, gram, names_of, usable
+from abacist.operators.core import Fit, gram, names_of, quantiles, usable
 from abacist.operators.regression import ols
 
 
@@ -80,7 +80,7 @@ def conformal(df: DataFrame, y: str, x: list[str], key: str, alpha: float = 0.1,
     r = d.where("__f = 1").select(F.abs(F.col(y) - fit.predict({c: F.col(c) for c in x})).alias("r"))
     n = r.count()
     level = min(1.0, math.ceil((n + 1) * (1 - alpha)) / n)
-    return fit, r.agg(F.percentile("r", F.lit(level))).first()[0]
+    return fit, quantiles(r, ["r"], [level]).first()[0][0]
 
 
 def pca(df: DataFrame, x: list[str], k: int = 2) -> tuple[np.ndarray, np.ndarray]:

@@ -120,11 +120,15 @@ def dummies(df: DataFrame, col: str, levels: list) -> DataFrame:
 # ---------------------------------------------------------------- imputation
 def impute(df: DataFrame, cols: list[str], how: str = "mean", by: list[str] = []) -> DataFrame:
     """Missing values by the group's mean or median (exact); groups without a value stay missing."""
-    f = {"mean": F.avg, "median": F.median}[how]
     keys = [F.col(b).alias(f"__by_{b}") for b in by]
-    m = df.groupBy(*keys).agg(*[f(num(c)).alias(f"__m_{c}") for c in cols])
+    if how == "mean":
+        m = df.groupBy(*keys).agg(*[F.avg(num(c)).alias(f"__m_{c}") for c in cols])
+    elif how == "median":
+        m = quantiles(df, cols, [0.5], by).select(*keys, *[F.col(f"q_{c}")[0].alias(f"__m_{c}") for c in cols])
+    else:
+        raise ValueError(how)
     met = reduce(lambda a, b: a & b, [df[b].eqNullSafe(m[f"__by_{b}"]) for b in by], F.lit(True))
-    j = df.join(m, met) if by else df.crossJoin(F.broadcast(m))  # one row
+    j = df.join(m, met, "left") if by else df.crossJoin(F.broadcast(m))  # one row
     return j.select(*[F.coalesce(num(df[c]), F.col(f"__m_{c}")).alias(c) if c in cols else df[c] for c in df.columns])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from abacist.functions import dist
 from abacist.functions.columns import num
-from abacist.operators.core import DataInsufficient, Fit, names_of, running, usable
+from abacist.operators.core import DataInsufficient, Fit, names_of, quantiles, running, usable
 
 
 def weighted_quantiles(df: DataFrame, y: str, weight: str, quantiles: list[float], by: list[str] = []) -> DataFrame:
@@ -197,6 +197,6 @@ def qq(df: DataFrame, y: str, group: str, points: int = 9) -> DataFrame:
     """Quantiles of two groups side by side (exact, linear)."""
     d = df.select(num(y).alias("y"), num(group).alias("g")).dropna()
     at = [i / (points + 1) for i in range(1, points + 1)]
-    rows = {r[0]: r[1] for r in d.groupBy("g").agg(F.percentile("y", F.array(*[F.lit(a) for a in at]))).collect()}
+    rows = {r[0]: r[1] for r in quantiles(d.where("g in (0, 1)"), ["y"], at, ["g"]).collect()}  # two groups
     return df.sparkSession.createDataFrame([(a, b, c) for a, b, c in zip(at, rows[0.0], rows[1.0])], "quantile double, group0 double, group1 double")
 

@@ -66,3 +66,11 @@ def test_cross_fitting_equals_a_fit_per_fold(spark):
     theta = (u @ w) / (w @ w)
     got = causal.dml_plr(d, "y", "t", on, "id", folds)
     assert (got["estimate"], got["std_error"]) == pytest.approx((theta, math.sqrt((w**2 * (u - theta * w) ** 2).sum()) / (w @ w)), rel=1e-8)
+
+
+def test_median_imputation_keeps_every_row(spark):
+    from abacist.operators import tabulate
+
+    d = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 4.0), (None, 2.0), (None, None), ("b", None)], "g string, v double")
+    got = sorted((tuple(r) for r in tabulate.impute(d, ["v"], "median", ["g"]).collect()), key=repr)
+    assert got == sorted([("a", 1.0), ("a", 2.5), ("a", 4.0), (None, 2.0), (None, 2.0), ("b", None)], key=repr)
