@@ -43,22 +43,30 @@ _made: list[str] = []
 atexit.register(_release)
 
 
+def with_levels(df: DataFrame, aggregates: dict[str, Column], level: str) -> DataFrame:
+    """``df`` with aggregates of the row's level: combined on the map side and joined, so that a level with most rows is no single task."""
+    m = df.groupBy(F.col(level).alias("__level")).agg(*[a.alias(n) for n, a in aggregates.items()])
+    return df.join(m, F.col(level) == F.col("__level")).drop("__level")
+
+
 def drop_singletons(df: DataFrame, effects: list[str]) -> DataFrame:
     """Rows whose level occurs once in some effect go, until none is left."""
+    if len(effects) == 1:
+        return with_levels(df, {"__n": F.count("*")}, effects[0]).where("__n > 1").drop("__n")
     while True:
         out = df
         for f in effects:
             out = out.withColumn("__n", F.count("*").over(Window.partitionBy(f))).where("__n > 1").drop("__n")
         before, after = df.count(), out.count()
         df = out
-        if before == after or len(effects) == 1:
+        if before == after:
             return df
 
 
 def demean(df: DataFrame, cols: list[str], effects: list[str], weight: str | None = None, tol: float = 1e-9, most: int = 500) -> DataFrame:
     """Columns net of fixed effects.
 
-    One effect: a single window pass.  Several: sweeps over the effects on a table of distinct cells
+    One effect: means per level, joined.  Several: sweeps over the effects on a table of distinct cells
     would need the rows anyway, so each round sweeps all effects once and joins Irons-Tuck
     extrapolation; rounds are written to the shared folder to cut lineage.
     """
@@ -71,7 +79,8 @@ def demean(df: DataFrame, cols: list[str], effects: list[str], weight: str | Non
         return d
 
     if len(effects) == 1:
-        return sweep(df, cols)
+        d = with_levels(df, {f"__m_{c}": F.sum(w * F.col(c)) / F.sum(w) for c in cols}, effects[0])
+        return d.withColumns({c: F.col(c) - F.col(f"__m_{c}") for c in cols}).drop(*[f"__m_{c}" for c in cols])
     spark, d = df.sparkSession, df
     for _ in range(most):
         one = [f"__1{c}" for c in cols]
@@ -159,14 +168,14 @@ def random_effects(df: DataFrame, y: str, x: list[str], unit: str) -> Fit:
 
     d = usable(df, names_of([y, *x]), (unit,))
     fe = feols(d, y, x, [unit])
-    over = Window.partitionBy(unit)
     means = d.groupBy(unit).agg(F.count("*").alias("T"), *[F.avg(c).alias(c) for c in [y, *x]])
     be = ols(means, y, x)
     harmonic = means.agg(F.count("*") / F.sum(1 / F.col("T"))).first()[0]
     s_e = fe.extra["rss"] / (fe.n - fe.extra["absorbed"] - len(x))
     s_u = max(be.extra["rss"] / (be.n - len(x) - 1) - s_e / harmonic, 0.0)
-    theta = 1 - F.sqrt(F.lit(s_e) / (F.lit(s_e) + F.count("*").over(over) * F.lit(s_u)))
-    q = d.select(theta.alias("__t"), *[(F.col(c) - theta * F.avg(c).over(over)).alias(c) for c in [y, *x]])
+    theta = 1 - F.sqrt(F.lit(s_e) / (F.lit(s_e) + F.col("__n") * F.lit(s_u)))
+    leveled = with_levels(d, {"__n": F.count("*"), **{f"__m_{c}": F.avg(c) for c in [y, *x]}}, unit)
+    q = leveled.select(theta.alias("__t"), *[(F.col(c) - theta * F.col(f"__m_{c}")).alias(c) for c in [y, *x]])
     fit = ols(q.withColumn("__one", 1 - F.col("__t")), y, [("Intercept", F.col("__one")), *x], intercept=False)
     fit.extra |= {"sigma_e": math.sqrt(s_e), "sigma_u": math.sqrt(s_u)}
     return fit
@@ -177,7 +186,7 @@ def mundlak(df: DataFrame, y: str, x: list[str], unit: str) -> Fit:
     from abacist.operators.regression import ols
 
     d = usable(df, names_of([y, *x]), (unit,))
-    return ols(d.withColumns({f"mean_{c}": F.avg(c).over(Window.partitionBy(unit)) for c in x}), y, [*x, *[f"mean_{c}" for c in x]], cluster=unit)
+    return ols(with_levels(d, {f"mean_{c}": F.avg(c) for c in x}, unit), y, [*x, *[f"mean_{c}" for c in x]], cluster=unit)
 
 
 def lag_lead(df: DataFrame, col: str, unit: str, time: str, lags: int = 1, leads: int = 0) -> DataFrame:
