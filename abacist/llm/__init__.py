@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("mixing", "tokens", "packing", "url_filter", "quality", "langid", "media", "simhash", "licenses", "html_extract")
+_MODULES = ("mixing", "tokens", "packing", "url_filter", "quality", "langid", "media", "simhash", "licenses", "html_extract", "alignment", "hard_negatives", "decontaminate")
 
 
 def _gather(name: str) -> dict:
