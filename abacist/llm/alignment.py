@@ -12,7 +12,6 @@ of the blocks.  A second pass meets each block's documents with its counted pair
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,6 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +31,9 @@ from abacist.llm import tokens
 from abacist.llm.common import sliced, staged, table
 
 #: Tokens of a block of documents, about; a longer document is a block of its own.
-BLOCK = 1 << 21
-#: Bytes of text that are tokenised at once; a longer text by itself.
-SLICE = 1 << 22
+BLOCK = 1 << 20
+#: Bytes of text that are tokenised and merged at once; a longer text by itself.
+SLICE = 1 << 21
 #: Ids of either side are below this.
 IDS = 1 << 16
 
@@ -64,8 +64,7 @@ class ByteSide:
 
     def __init__(self, path: str):
         self.encoder, byte = tokens.Encoder(path), byte_level()
-        entries = json.loads(self.encoder.t.to_str())["model"]["vocab"]
-        self.bytes = Bytes({i: bytes(byte[c] for c in token) for token, i in entries.items() if all(c in byte for c in token)})
+        self.bytes = Bytes({i: bytes(byte[c] for c in token) for token, i in self.encoder.t.get_vocab(with_added_tokens=False).items()})
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return self.encoder.encode(pc.binary_join_element_wise(pa.scalar(" "), texts, pa.scalar("")))
@@ -93,6 +92,12 @@ def sides(a: str, b: str) -> tuple[ByteSide, PieceSide]:
     return ByteSide(a), PieceSide(b)
 
 
+@lru_cache(2)
+def sizes(a: str, b: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of every id on both sides, without keeping the tokenizers."""
+    return ByteSide(a).bytes.size, PieceSide(b).bytes.size
+
+
 def _agrees(side: Bytes, ids: np.ndarray, n: np.ndarray, raw: bytes, at: np.ndarray) -> np.ndarray:
     """Which texts are the bytes of their tokens; text i is ``raw[at[i]:at[i + 1]]``."""
     own, upto = side.joined(ids), np.append(0, np.cumsum(side.size[ids]))[np.append(0, np.cumsum(n))]
@@ -137,18 +142,22 @@ def written(m: Merge, a: np.ndarray, b: np.ndarray, stop: np.ndarray) -> list[st
     return [raw[x : max(y - 1, x)].decode() for x, y in zip(at[:-1], at[1:])]
 
 
-def _ends(side: Bytes, ids: np.ndarray) -> np.ndarray:
-    return np.cumsum(side.size[ids])
+def _ends(size: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return np.cumsum(size[ids])
 
 
-def _upto(blobs: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a column of 16-bit ids, and how many there are up to each row's end."""
-    return np.frombuffer(b"".join(blobs), dtype="<u2"), np.cumsum([len(x) // 2 for x in blobs], dtype=np.int64)
+def _squeezed(ids: np.ndarray) -> bytes:
+    """16-bit ids, low bytes before high bytes, compressed."""
+    return zstandard.compress(ids.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes(), 3)
+
+
+def _spread(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), dtype=np.uint8).reshape(2, -1).T).view("<u2").ravel()
 
 
 def tokenised(docs: DataFrame, a: str, b: str) -> DataFrame:
-    """(block, id, ids_a, ids_b) of each document, and (block, pairs, docs) of each block: 32-bit id pairs, documents that hold them."""
-    schema = "block long, id string, ids_a binary, ids_b binary, pairs binary, docs binary"
+    """(block, ids, n_a, n_b, ids_a, ids_b) of some documents, and (block, pairs, docs) of each block: 32-bit id pairs, documents that hold them."""
+    schema = "block long, ids array<string>, n_a array<long>, n_b array<long>, ids_a binary, ids_b binary, pairs binary, docs binary"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -159,7 +168,7 @@ def tokenised(docs: DataFrame, a: str, b: str) -> DataFrame:
             pairs, at = np.unique(np.concatenate([p for p, _ in counted]), return_inverse=True)
             n = np.bincount(at, weights=np.concatenate([c for _, c in counted]), minlength=len(pairs)).astype("<i4")
             counted.clear()
-            return pd.DataFrame({"block": [block], "id": [None], "ids_a": [None], "ids_b": [None], "pairs": [pairs.astype("<u4").tobytes()], "docs": [n.tobytes()]})
+            return pd.DataFrame({"block": [block], **dict.fromkeys(("ids", "n_a", "n_b", "ids_a", "ids_b"), [None]), "pairs": [pairs.astype("<u4").tobytes()], "docs": [n.tobytes()]})
 
         for frame in frames:
             ids = frame["id"]
@@ -174,13 +183,12 @@ def tokenised(docs: DataFrame, a: str, b: str) -> DataFrame:
                 good = (size > 1) & _agrees(one.bytes, ids_a, n_a, raw, at) & _agrees(two.bytes, ids_b, n_b, raw, at)
                 ids_a, ids_b = ids_a[np.repeat(good, n_a)], ids_b[np.repeat(good, n_b)]
                 n_a, n_b = n_a * good, n_b * good
-                m = Merge(_ends(one.bytes, ids_a), _ends(two.bytes, ids_b))
+                m = Merge(_ends(one.bytes.size, ids_a), _ends(two.bytes.size, ids_b))
                 doc = np.searchsorted(np.cumsum(size * good), m.end)
                 held_by = np.unique(doc << 32 | ids_a[m.a].astype(np.int64) << 16 | ids_b[m.b])
                 counted.append(np.unique((held_by & 0xFFFFFFFF).astype(np.uint32), return_counts=True))
-                blobs = [[x.astype("<u2").tobytes() for x in np.split(i, np.cumsum(n)[:-1])] for i, n in ((ids_a, n_a), (ids_b, n_b))]
                 rows = ids.iloc[some.column(0).to_numpy()]
-                yield pd.DataFrame({"block": block, "id": rows.array, "ids_a": blobs[0], "ids_b": blobs[1], "pairs": None, "docs": None})
+                yield pd.DataFrame({"block": [block], "ids": [rows.tolist()], "n_a": [n_a], "n_b": [n_b], "ids_a": [_squeezed(ids_a)], "ids_b": [_squeezed(ids_b)], "pairs": [None], "docs": [None]})
                 held += len(ids_a)
                 if held >= BLOCK:
                     yield flush()
@@ -227,7 +235,7 @@ def align(docs: DataFrame, a: str, b: str, *, id_col: str = "doc_id", text_col:
     A null or empty text, or one whose joined tokens are not blank+text, has no tokens: zeros and an empty string.  Repeated
     rows and ids are documents of their own.  Of an empty table nothing comes out.  Only the two columns are read.
     """
-    kept = staged(tokenised(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), a, b), "ids", compression="zstd")
+    kept = staged(tokenised(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), a, b), "ids", compression="none")
     by_block = pair_rows(kept)
     counts = staged(pair_counts(by_block), "pairs")
     counted = by_block.join(counts, "pair").select("block", "pair", "docs", "best_a", "best_b")
@@ -237,29 +245,33 @@ def align(docs: DataFrame, a: str, b: str, *, id_col: str = "doc_id", text_col:
         schema.add("links", T.DataType.fromDDL(_LINK_SQL))
 
     def run(rows: pa.Table, own: pa.Table) -> pa.Table:
-        one, two = sides(a, b)
-        (ids_a, upto_a), (ids_b, upto_b) = (_upto(rows[c].to_pylist()) for c in ("ids_a", "ids_b"))
-        end_a = _ends(one.bytes, ids_a)
-        m = Merge(end_a, _ends(two.bytes, ids_b))
+        order = np.argsort(own["pair"].to_numpy())
+        known = {c: own[c].to_numpy()[order] for c in own.column_names}
+        return pa.concat_tables([stretch(r, known) for r in rows.to_pylist()])
+
+    def stretch(row: dict, known: dict[str, np.ndarray]) -> pa.Table:
+        size_a, size_b = sizes(a, b)
+        ids_a, ids_b = _spread(row["ids_a"]), _spread(row["ids_b"])
+        upto_a, upto_b = np.cumsum(row["n_a"]), np.cumsum(row["n_b"])
+        end_a = _ends(size_a, ids_a)
+        m = Merge(end_a, _ends(size_b, ids_b))
         byte = np.append(0, end_a)[upto_a]
         links, groups = np.searchsorted(m.end, byte, "right"), np.searchsorted(m.group_end, byte, "right")
-        pair = own["pair"].to_numpy()
-        order = np.argsort(pair)
-        at = np.searchsorted(pair[order], ids_a[m.a].astype(np.int64) << 16 | ids_b[m.b])
-        n, best = own["docs"].to_numpy()[order][at], own["best_a"].to_numpy()[order][at]
+        at = np.searchsorted(known["pair"], ids_a[m.a].astype(np.int64) << 16 | ids_b[m.b])
+        n, best = known["docs"][at], known["best_a"][at]
         upto = lambda x: np.append(0, np.cumsum(x, dtype=np.int64))[links]
         each = lambda x: pa.array(np.diff(np.append(0, x)), pa.int64())
-        cols = [rows["id"], *map(each, (upto_a, upto_b, groups, links, upto(best), upto(n))), pa.array(written(m, ids_a, ids_b, upto_a + upto_b), pa.string())]
+        cols = [pa.array(row["ids"], pa.string()), *map(each, (upto_a, upto_b, groups, links, upto(best), upto(n))), pa.array(written(m, ids_a, ids_b, upto_a + upto_b), pa.string())]
         if with_links:
             doc = np.searchsorted(links, np.arange(len(m.end)), "right")
             before = np.append(0, byte)[doc]
             start = np.append(0, m.end[:-1])[: len(m.end)]
-            parts = [ids_a[m.a].astype(np.int32), ids_b[m.b].astype(np.int32), start - before, m.end - before, n, best, own["best_b"].to_numpy()[order][at]]
+            parts = [ids_a[m.a].astype(np.int32), ids_b[m.b].astype(np.int32), start - before, m.end - before, n, best, known["best_b"][at]]
             flat = pa.StructArray.from_arrays([pa.array(x) for x in parts], fields=list(_LINK))
             cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, links), pa.int32()), flat))
         return pa.Table.from_arrays(cols, names)
 
-    left = kept.where("ids_a is not null").select("block", "id", "ids_a", "ids_b")
+    left = kept.where("ids_a is not null").select("block", "ids", "n_a", "n_b", "ids_a", "ids_b")
     found = left.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(run, schema)
     return found.withColumn(id_col, F.col(id_col).cast(docs.schema[id_col].dataType)), counts
 

@@ -71,6 +71,7 @@ def rows(odd_docs):
 def test_against_all_token_pairs(spark, rows, monkeypatch, block):
     """Every group, link and count, in one block of documents or in many."""
     monkeypatch.setattr(alignment, "BLOCK", block)
+    monkeypatch.setattr(alignment, "SLICE", block)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     expected, links, held, best = brute(rows)
     found, pairs = alignment.align(docs, A, B, with_links=True)
