@@ -53,57 +53,21 @@ def drop_singletons(df: DataFrame, effects: list[str]) -> DataFrame:
     """Rows whose level occurs once in some effect go, until none is left."""
     if len(effects) == 1:
         return with_levels(df, {"__n": F.count("*")}, effects[0]).where("__n > 1").drop("__n")
-    while True:
-        out = df
-        for f in effects:
-            out = out.withColumn("__n", F.count("*").over(Window.partitionBy(f))).where("__n > 1").drop("__n")
-        before, after = df.count(), out.count()
-        df = out
-        if before == after:
-            return df
-
-
-def demean(df: DataFrame, cols: list[str], effects: list[str], weight: str | None = None, tol: float = 1e-9, most: int = 500) -> DataFrame:
-    """Columns net of fixed effects.
-
-    One effect: means per level, joined.  Several: sweeps over the effects on a table of distinct cells
-    would need the rows anyway, so each round sweeps all effects once and joins Irons-Tuck
-    extrapolation; rounds are written to the shared folder to cut lineage.
-    """
-    w = F.col(weight) if weight else F.lit(1.0)
+    from abacist.operators.absorb import prune
 
-    def sweep(d: DataFrame, names: list[str]) -> DataFrame:
-        for f in effects:
-            over = Window.partitionBy(f)
-            d = d.withColumns({c: F.col(c) - F.sum(w * F.col(c)).over(over) / F.sum(w).over(over) for c in names})
-        return d
+    return prune(df, effects)[0]
 
-    if len(effects) == 1:
-        d = with_levels(df, {f"__m_{c}": F.sum(w * F.col(c)) / F.sum(w) for c in cols}, effects[0])
-        return d.withColumns({c: F.col(c) - F.col(f"__m_{c}") for c in cols}).drop(*[f"__m_{c}" for c in cols])
-    spark, d = df.sparkSession, df
-    for _ in range(most):
-        one = [f"__1{c}" for c in cols]
-        two = [f"__2{c}" for c in cols]
-        nxt = sweep(d.withColumns({a: F.col(c) for a, c in zip(one, cols)}), one)
-        nxt = sweep(nxt.withColumns({b: F.col(a) for a, b in zip(one, two)}), two)
-        nxt = written(nxt, spark)
-        aggs = []
-        for c, a, b in zip(cols, one, two):
-            d1, d2 = F.col(a) - F.col(c), F.col(b) - 2 * F.col(a) + F.col(c)
-            step = F.col(b) - F.col(a)
-            aggs += [F.sum(step * d2), F.sum(d2 * d2), F.max(F.abs(step)), F.stddev(c)]
-        row = nxt.agg(*aggs).first()
-        moved, out = 0.0, {}
-        for k, (c, a, b) in enumerate(zip(cols, one, two)):
-            dot, sq, worst, sd = row[4 * k : 4 * k + 4]
-            moved = max(moved, (worst or 0.0) / max(sd or 1.0, 1e-300))
-            coef = dot / sq if sq and sq > 1e-300 else 0.0
-            out[c] = F.col(b) - F.lit(coef) * (F.col(b) - F.col(a))
-        d = nxt.withColumns(out).drop(*one, *two)
-        if moved < tol:
-            break
-    return sweep(d, cols)
+
+def demean(df: DataFrame, cols: list[str], effects: list[str], weight: str | None = None) -> DataFrame:
+    """Columns net of fixed effects: means per level, joined, of one effect; of several, what ``absorb`` solves on level tables."""
+    if len(effects) > 1:
+        from abacist.operators.absorb import absorbed, handed_out
+
+        part = absorbed(df, cols, effects, weight)
+        return handed_out(df, part.levels, {c: F.col(c) - F.col(f"a_{c}") for c in cols}, cols)
+    w = F.col(weight) if weight else F.lit(1.0)
+    d = with_levels(df, {f"__m_{c}": F.sum(w * F.col(c)) / F.sum(w) for c in cols}, effects[0])
+    return d.withColumns({c: F.col(c) - F.col(f"__m_{c}") for c in cols}).drop(*[f"__m_{c}" for c in cols])
 
 
 def feols(df: DataFrame, y, x: list, effects: list[str], *, vcov: str = "nonrobust", cluster: list[str] | str | None = None, weights: str | None = None, **_) -> Fit:

@@ -123,13 +123,20 @@ def ols(df: DataFrame, y, x: list, *, vcov: str = "nonrobust", cluster: list[str
 
 
 def regress(formula: str, df: DataFrame, **how) -> Fit:
-    """``ols`` by formula; ``| f1 + f2`` absorbs fixed effects."""
+    """``ols`` by formula, or ``glm`` with ``family=``; ``| f1 + f2`` absorbs fixed effects (least squares and Poisson)."""
     y, terms, absorbed, intercept = parse(formula)
+    family = how.get("family")
+    if absorbed and family not in (None, "poisson"):
+        raise ValueError(f"effects are absorbed in least squares and Poisson models, not {family}")
+    if absorbed and family:
+        from abacist.operators.absorb import fepois
+
+        return fepois(df, outcome(y), terms, absorbed, **{k: v for k, v in how.items() if k != "family"})
     if absorbed:
         from abacist.operators.panel import feols
 
         return feols(df, outcome(y), terms, absorbed, **how)
-    return ols(df, outcome(y), terms, intercept=intercept, **how)
+    return glm(df, outcome(y), terms, **how) if family else ols(df, outcome(y), terms, intercept=intercept, **how)
 
 
 # ---------------------------------------------------------------- GLM
