@@ -33,7 +33,7 @@ from abacist.llm.common import sliced, staged, table
 #: Tokens of a block of documents, about; a longer document is a block of its own.
 BLOCK = 1 << 20
 #: Bytes of text that are tokenised and merged at once; a longer text by itself.
-SLICE = 1 << 21
+SLICE = 1 << 20
 #: Ids of either side are below this.
 IDS = 1 << 16
 
@@ -171,8 +171,10 @@ def tokenised(docs: DataFrame, a: str, b: str) -> DataFrame:
             return pd.DataFrame({"block": [block], **dict.fromkeys(("ids", "n_a", "n_b", "ids_a", "ids_b"), [None]), "pairs": [pairs.astype("<u4").tobytes()], "docs": [n.tobytes()]})
 
         for frame in frames:
-            ids = frame["id"]
-            for some in sliced(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(len(frame))), pa.array(frame["text"], pa.string(), from_pandas=True)], ["at", "text"])]), 1, SLICE):
+            ids, n = frame["id"], len(frame)
+            batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(frame["text"], pa.string(), from_pandas=True)], ["at", "text"])
+            del frame  # its strings
+            for some in sliced(iter([batch]), 1, SLICE):
                 texts = pc.fill_null(some.column(1), "")
                 spaced = pc.binary_join_element_wise(pa.scalar(" "), texts, pa.scalar(""))
                 size = pc.binary_length(spaced).to_numpy().astype(np.int64)
