@@ -166,6 +166,8 @@ def entropy_balance(df: DataFrame, treat: str, x: list[str], tol: float = 1e-10,
             break
         h = np.array(r[k + 1 :]).reshape(k, k) / r[0] - np.outer(m, m)
         lam = lam - np.linalg.solve(h, m)
+    else:
+        raise DataInsufficient(f"balancing weights did not converge in {most} steps")
     full = F.exp(sum((F.lit(a) * v for a, v in zip(lam.tolist(), z)), F.lit(0.0))) * (n1 / r[0])
     return d.withColumn("weight", F.when(F.col(treat) == 1, 1.0).otherwise(full))
 

@@ -162,24 +162,14 @@ def sun_abraham(df: DataFrame, y: str, first: str, unit: str, time: str, window:
     return df.sparkSession.createDataFrame(rows, "e int, att double, std_error double, p_value double")
 
 
-def imputation(df: DataFrame, y: str, first: str, unit: str, time: str, tol: float = 1e-8, most: int = 200) -> DataFrame:
-    """Unit and time effects from untreated rows, then the mean gap of treated rows by event time (and overall, e null)."""
+def imputation(df: DataFrame, y: str, first: str, unit: str, time: str) -> DataFrame:
+    """Unit and time effects from untreated rows, solved on their level tables, then the mean gap of treated rows by event time (and overall, e null)."""
+    from abacist.operators.absorb import absorbed
+
     p = _panel(df, y, first, unit, time)
-    spark = df.sparkSession
-    free = written(p.where("g is null or t < g").select("i", "t", "y"), spark)
-    times = free.select("t").distinct().withColumn("b", F.lit(0.0))
-    last = None
-    for _ in range(most):
-        units = free.join(times, "t").groupBy("i").agg(F.avg(F.col("y") - F.col("b")).alias("a"))
-        times = free.join(units, "i").groupBy("t").agg(F.avg(F.col("y") - F.col("a")).alias("b"))
-        b = sorted((r.t, r.b) for r in times.collect())  # one number per period
-        if len({t for t, _ in b}) > 100_000:
-            raise ValueError("too many periods")
-        times = spark.createDataFrame(b, "t double, b double")
-        if last and max(abs((x[1] - b[0][1]) - (z[1] - last[0][1])) for x, z in zip(b, last)) < tol:
-            break
-        last = b
-    units = free.join(times, "t").groupBy("i").agg(F.avg(F.col("y") - F.col("b")).alias("a"))
+    free = written(p.where("g is null or t < g").select("i", "t", "y"), df.sparkSession)
+    levels = absorbed(free, ["y"], ["i", "t"]).levels
+    units, times = (levels[c].select(F.col("__level").alias(c), F.col("e_y").alias(e)) for c, e in (("i", "a"), ("t", "b")))
     treated = p.where("t >= g")
     gaps = treated.join(units, "i", "left").join(times, "t", "left").withColumn("tau", F.col("y") - F.col("a") - F.col("b"))
     if gaps.where("tau is null").limit(1).count():

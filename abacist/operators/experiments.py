@@ -92,6 +92,8 @@ def tmle(df: DataFrame, y: str, treat: str, x: list[str], trim: float = 0.01) ->
         eps += u / i
         if abs(u / i) < 1e-10:
             break
+    else:
+        raise DataInsufficient("the targeting step did not converge")
     s = lambda a, b: 1 / (1 + F.exp(-(F.col(a) + F.lit(eps) * F.col(b))))
     p1, p0 = s("q1", "h1"), s("q0", "h0")
     ic = h * (F.col("__y") - F.when(t == 1, p1).otherwise(p0)) + p1 - p0

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from abacist.functions import dist
 from abacist.functions.columns import num
+from abacist.operators.core import DataInsufficient
 from abacist.operators.panel import written
 
 
@@ -47,6 +48,8 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tol: float = 1e-10, most:
         rank = new
         if moved < tol:
             break
+    else:
+        raise DataInsufficient(f"ranks did not settle in {most} rounds")
     total = rank.agg(F.sum("rank")).first()[0]
     return rank.withColumn("rank", F.col("rank") / total)
 
@@ -203,33 +206,28 @@ def modularity(edges: DataFrame, community: DataFrame) -> float:
     return inside / m - squares / (4 * m * m)
 
 
-def core_numbers(edges: DataFrame, most: int = 100) -> DataFrame:
-    """(node, core): the largest k whose k-core holds the node, for k up to ``most``; each peeling is a written table."""
+def core_numbers(edges: DataFrame) -> DataFrame:
+    """(node, core): the largest k whose k-core holds the node; each peeling is a written table, and a round starts at the least degree left."""
     spark = edges.sparkSession
     u = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     s = written(u.unionByName(u.select(F.col("b").alias("a"), F.col("a").alias("b"))), spark)
-    done = []
-    for k in range(1, most + 1):
-        while True:
-            weak = s.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") < k + 1).select("a")
-            if weak.isEmpty():
-                break
-            weak = written(weak, spark)
-            done.append(weak.select(F.col("a").alias("node"), F.lit(k).alias("core")))
-            left = s.join(weak, "a", "left_anti").join(weak.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b")
-            gone = s.join(weak, "a", "left_anti").join(left.select("a").distinct(), "a", "left_anti").select("a").distinct()
-            gone = written(gone, spark)
-            done.append(gone.select(F.col("a").alias("node"), F.lit(k).alias("core")))
-            s = written(left, spark)
-        if s.isEmpty():
+    done, k = [], 0
+    while True:
+        degree = written(s.groupBy("a").agg(F.count("*").alias("n")), spark)
+        least = degree.agg(F.min("n")).first()[0]
+        if least is None:
             break
-    else:
-        done.append(s.select(F.col("a").alias("node"), F.lit(most).alias("core")).distinct())
+        k = max(k, least)
+        weak = degree.where(F.col("n") <= k).select("a")
+        left = written(s.join(weak, "a", "left_anti").join(weak.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"), spark)
+        # nodes that lost all their links to the peeled ones go with them
+        done.append(degree.select("a").join(left.select("a").distinct(), "a", "left_anti").select(F.col("a").alias("node"), F.lit(k).alias("core")))
+        s = left
     return reduce(DataFrame.unionByName, done) if done else s.select(F.col("a").alias("node"), F.lit(0).alias("core"))
 
 
 def _walk(edges: DataFrame, step, start: float, tol: float, most: int) -> tuple[DataFrame, DataFrame]:
-    """Repeat ``step(edges, scores)`` until no score moves by ``tol``; scores are (node, x), each round is a written table."""
+    """Repeat ``step(edges, scores)`` until no score moves by ``tol``, or raise; scores are (node, x), each round is a written table."""
     spark = edges.sparkSession
     e = written(edges.groupBy("src", "dst").agg(F.sum("w").alias("w")), spark)
     x = written(e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct().withColumn("x", F.lit(start)), spark)
@@ -238,8 +236,8 @@ def _walk(edges: DataFrame, step, start: float, tol: float, most: int) -> tuple[
         moved = new.join(x.withColumnRenamed("x", "old"), "node").agg(F.max(F.abs(F.col("x") - F.col("old")))).first()[0]
         x = new
         if moved is None or moved < tol:
-            break
-    return e, x
+            return e, x
+    raise DataInsufficient(f"scores did not settle in {most} rounds")
 
 
 def _pulled(e: DataFrame, x: DataFrame, along: str = "src", to: str = "dst") -> DataFrame:
@@ -274,19 +272,116 @@ def hits(edges: DataFrame, tol: float = 1e-9, most: int = 200) -> DataFrame:
     return h.withColumnRenamed("x", "hub").join(a.withColumnRenamed("x", "authority"), "node")
 
 
-def path_lengths(edges: DataFrame, sources: DataFrame, most: int = 100) -> DataFrame:
+def path_lengths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, node, steps): links on the shortest directed path from each of ``sources`` (node); unreachable nodes have no row."""
+    return counted_paths(edges, sources).select("source", "node", "steps")
+
+
+def counted_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, node, steps, paths): shortest directed paths from each of ``sources`` (node) and how many there are.
+
+    All sources search at once, a level of nodes a round, until no node is new.  A round joins the last level only, and
+    looks for its nodes among those that were seen.
+    """
     spark = edges.sparkSession
     e = written(edges.select("src", "dst").distinct(), spark)
-    seen = written(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("steps")).distinct(), spark)
-    edge = seen
-    for k in range(1, most + 1):
-        near = edge.join(e, edge["node"] == e["src"]).select("source", F.col("dst").alias("node")).distinct()
-        edge = written(near.join(seen, ["source", "node"], "left_anti").withColumn("steps", F.lit(k)), spark)
-        if edge.isEmpty():
+    edge = written(sources.select(F.col("node").alias("source"), "node").distinct().select("*", F.lit(0).alias("steps"), F.lit(1.0).alias("paths")), spark)
+    levels, k = [edge], 0
+    while not edge.isEmpty():
+        k += 1
+        near = edge.join(e, edge["node"] == e["src"]).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        for seen in levels:
+            near = near.join(seen.select("source", "node"), ["source", "node"], "left_anti")
+        edge = written(near.select("source", "node", F.lit(k).alias("steps"), "paths"), spark)
+        # not a table of its own for every level
+        levels = [*levels, edge] if len(levels) < 4 else [written(reduce(DataFrame.unionByName, levels), spark), edge]
+    return reduce(DataFrame.unionByName, levels)
+
+
+def betweenness_centrality(edges: DataFrame, sources: DataFrame | None = None, *, normalised: bool = False) -> DataFrame:
+    """(node, betweenness): over pairs of other nodes, the share of their shortest directed paths that pass through the node.
+
+    Paths are counted from all ``sources`` (node; by default every node) at once; then shares run back from the farthest
+    level, one round a level.  ``normalised`` divides by the number of ordered pairs of other nodes.
+    """
+    spark = edges.sparkSession
+    e = written(edges.where("src <> dst").select("src", "dst").distinct(), spark)
+    nodes = written(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), spark)
+    p = written(counted_paths(e, nodes if sources is None else sources), spark)
+    depth = p.agg(F.max("steps")).first()[0] or 0
+    share, rounds = None, []
+    for k in range(depth, 0, -1):
+        far = p.where(F.col("steps") == k).select("source", F.col("node").alias("dst"), F.col("paths").alias("__to"))
+        far = far.withColumn("__d", F.lit(0.0)) if share is None else far.join(share.select("source", F.col("node").alias("dst"), F.col("share").alias("__got")), ["source", "dst"], "left").withColumn("__d", F.coalesce("__got", F.lit(0.0)))
+        near = p.where(F.col("steps") == k - 1).select("source", F.col("node").alias("src"), F.col("paths").alias("__from"))
+        back = far.join(e, "dst").join(near, ["source", "src"])
+        share = written(back.groupBy("source", F.col("src").alias("node")).agg(F.sum(F.col("__from") / F.col("__to") * (1 + F.col("__d"))).alias("share")), spark)
+        rounds.append(share)
+    total = reduce(DataFrame.unionByName, rounds).where("node <> source").groupBy(F.col("node").alias("__n")).agg(F.sum("share").alias("__b")) if rounds else nodes.where("false").select(F.col("node").alias("__n"), F.lit(0.0).alias("__b"))
+    n = nodes.count()
+    scale = 1.0 / max((n - 1) * (n - 2), 1) if normalised else 1.0
+    return nodes.join(total, F.col("node") == F.col("__n"), "left").select("node", (F.coalesce("__b", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def communities(edges: DataFrame, *, resolution: float = 1.0, rounds: int = 100) -> DataFrame:
+    """(node, community): local moves that raise modularity, then the same on the graph of communities, until nothing rises.
+
+    Links count in both directions.  In a round each node weighs the communities of its neighbours by the links it has
+    there against what chance would give, and moves to the best if that gains.  Of the nodes that want to move those
+    drawn by hash do, so that neighbours do not keep trading places, and a round that does not raise modularity is
+    drawn anew; ``rounds`` bounds the rounds of one level, beyond which an error says so.  A community is named by its smallest node.
+    """
+    spark = edges.sparkSession
+    both = edges.select("src", "dst", "w").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    e = written(both.groupBy("src", "dst").agg(F.sum("w").alias("w")), spark)
+    total = e.agg(F.sum("w")).first()[0]
+    if not total:
+        return e.select(F.col("src").alias("node"), F.col("src").alias("community"))
+    names = written(e.select(F.col("src").alias("node")).distinct().select("node", F.col("node").alias("community")), spark)
+
+    def score(e: DataFrame, at: DataFrame) -> float:
+        c = at.select(F.col("node").alias("__n"), F.col("c").alias("__c"))
+        own = e.join(at, F.col("src") == F.col("node")).join(c, F.col("dst") == F.col("__n"))
+        inside = own.agg(F.sum(F.when(F.col("c") == F.col("__c"), F.col("w")).otherwise(0.0))).first()[0]
+        return inside / total - resolution * at.groupBy("c").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") ** 2)).first()[0] / total**2
+
+    def local(e: DataFrame) -> tuple[DataFrame, bool]:
+        degree = e.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"))
+        at = written(degree.select("node", "k", F.col("node").alias("c")), spark)
+        best, rose, still = score(e, at), False, 0
+        for r in range(rounds):
+            links = e.where("src <> dst").join(at.select(F.col("node").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("node"), "c").agg(F.sum("w").alias("to"))
+            size = at.groupBy("c").agg(F.sum("k").alias("size"))
+            mine = at.select("node", "k", F.col("c").alias("own"))
+            # a node's own community without itself, which it may have no link to
+            every = links.unionByName(mine.select("node", F.col("own").alias("c"), F.lit(0.0).alias("to"))).groupBy("node", "c").agg(F.sum("to").alias("to"))
+            every = every.join(mine, "node").join(size, "c")
+            gain = F.col("to") - resolution * F.col("k") * (F.col("size") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / total
+            pick = every.withColumn("gain", gain).groupBy("node", "k", "own").agg(F.max(F.struct(F.col("gain"), (F.col("c") == F.col("own")).alias("stay"), F.col("c"))).alias("b"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("now"))
+            wants = F.col("b.gain") > F.col("now") + 1e-12 * total
+            drawn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
+            pick = written(pick.select("node", "k", "own", wants.alias("wants"), F.when(wants & drawn, F.col("b.c")).otherwise(F.col("own")).alias("c")), spark)
+            if not pick.where("wants").limit(1).count():
+                return at, rose
+            new = score(e, pick)
+            if new > best + 1e-12:
+                at, best, rose, still = pick.select("node", "k", "c"), new, True, 0
+            else:
+                still += 1
+                if still == 10:  # ten draws in a row: what single nodes gain, they lose together
+                    return at, rose
+        raise DataInsufficient(f"communities did not settle in {rounds} rounds")
+
+    while True:
+        at, rose = local(e)
+        if not rose:
             break
-        seen = written(seen.unionByName(edge), spark)
-    return seen
+        at = written(at.select("node", "c"), spark)
+        names = written(names.join(at.select(F.col("node").alias("community"), "c"), "community").select("node", F.col("c").alias("community")), spark)
+        to = at.select(F.col("node").alias("dst"), F.col("c").alias("__d"))
+        e = written(e.join(at.select(F.col("node").alias("src"), F.col("c").alias("__s")), "src").join(to, "dst").groupBy(F.col("__s").alias("src"), F.col("__d").alias("dst")).agg(F.sum("w").alias("w")), spark)
+    first = names.groupBy("community").agg(F.min("node").alias("first"))
+    return names.join(first, "community").select("node", F.col("first").alias("community"))
 
 
 def closeness(edges: DataFrame, sources: DataFrame) -> DataFrame:

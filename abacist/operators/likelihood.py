@@ -32,6 +32,8 @@ def _newton(d: DataFrame, k: int, pieces, start: np.ndarray, most: int = 60, tol
         if last is not None and abs(row[0] - last) < tol * (abs(last) + 0.1):
             break
         last, b = row[0], b + step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
+    else:
+        raise DataInsufficient(f"Newton's method did not converge in {most} steps")
     return b, np.linalg.inv(-h), row[0]
 
 
@@ -113,6 +115,8 @@ def negative_binomial(df: DataFrame, y: str, x: list[str], most: int = 25) -> Fi
         b, alpha = new, a
         if done:
             break
+    else:
+        raise DataInsufficient(f"the count model did not converge in {most} steps")
     return Fit(["Intercept", *x], b, inverse(info), n, math.inf, {"alpha": alpha})
 
 
@@ -174,6 +178,8 @@ def quantile_regression(df: DataFrame, y: str, x: list[str], q: float = 0.5, mos
         b = new
         if done:
             break
+    else:
+        raise DataInsufficient(f"the quantile regression did not converge in {most} steps")
     e = F.col(y) - _linear(b, X)
     h = 1.06 * d.agg(F.stddev(e)).first()[0] * n**-0.2
     ke = F.exp(-(e / h) ** 2 / 2) / (h * math.sqrt(2 * math.pi))

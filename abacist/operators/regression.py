@@ -223,6 +223,8 @@ def glm(df: DataFrame, y, x: list, *, family: str = "logit", vcov: str = "nonrob
             break
         bread = inverse(info)
         beta, last = bread @ np.array(row[at:], dtype=float), deviance if beta is not None else None
+    else:
+        raise DataInsufficient(f"the model did not converge in {most} steps")
     bread = inverse(info)
     phi = 1.0
     if kind in ("gamma", "gaussian"):

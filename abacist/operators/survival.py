@@ -124,6 +124,8 @@ def cox(df: DataFrame, time: str, event: str, x: list[str], ties: str = "efron",
         if last is not None and abs(ll - last) < tol * (abs(last) + 0.1):
             break
         beta, last = beta + bread @ u, ll
+    else:
+        raise DataInsufficient(f"the risk-set model did not converge in {most} steps")
     v = bread
     if robust:
         # score residuals with running sums of the baseline hazard over distinct times

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from abacist.operators import did, epi, experiments, graph, inequality, rd, series, survey
@@ -29,14 +30,46 @@ def _(t):
     return graph.hits(_edges(t))
 
 
-@query("path_lengths", f"WITH RECURSIVE e AS (SELECT src, dst FROM ({EDGES})), r AS (SELECT 0 AS node, 0 AS steps UNION SELECT e.dst, r.steps + 1 FROM r JOIN e ON e.src = r.node WHERE r.steps < 30) SELECT 0 AS source, node, min(steps) AS steps FROM r GROUP BY node")
+#: Customers of one nation and segment in two chains, by balance and by key: a sparse graph with long paths.
+CHAIN = """SELECT DISTINCT src, dst FROM (SELECT c_custkey AS src, lead(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal, c_custkey) AS dst FROM customer
+UNION ALL SELECT c_custkey, lead(c_custkey, 3) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) FROM customer) WHERE dst IS NOT NULL"""
+#: Its paths from every customer: steps, and how many shortest ones.
+WALKS = f"""e AS ({CHAIN}), r AS (SELECT c_custkey AS source, c_custkey AS node, 0 AS steps FROM customer UNION SELECT r.source, e.dst, r.steps + 1 FROM r JOIN e ON e.src = r.node WHERE r.steps < 60),
+d AS (SELECT source, node, min(steps) AS steps FROM r GROUP BY source, node)"""
+
+
+def _chain(t):
+    by = lambda *order: Window.partitionBy("c_nationkey", "c_mktsegment").orderBy(*order)
+    one_ = t.customer.select(F.col("c_custkey").alias("src"), F.lead("c_custkey").over(by("c_acctbal", "c_custkey")).alias("dst"))
+    two = t.customer.select(F.col("c_custkey").alias("src"), F.lead("c_custkey", 3).over(by("c_custkey")).alias("dst"))
+    return one_.unionByName(two).where("dst is not null").distinct().withColumn("w", F.lit(1.0))
+
+
+def _customers(t):
+    return t.customer.select(F.col("c_custkey").alias("node"))
+
+
+@query("path_lengths", f"WITH RECURSIVE {WALKS} SELECT source, node, steps FROM d")
+def _(t):
+    return graph.path_lengths(_chain(t), _customers(t))
+
+
+@query("closeness", f"WITH RECURSIVE {WALKS}, n AS (SELECT count(DISTINCT v) n FROM (SELECT src v FROM e UNION ALL SELECT dst FROM e)) SELECT source AS node, round(count(*)/sum(steps)*count(*)/(any_value(n) - 1), 8) AS closeness FROM d, n WHERE steps > 0 GROUP BY source", 8)
+def _(t):
+    return graph.closeness(_chain(t), _customers(t))
+
+
+@query("betweenness", f"""WITH RECURSIVE {WALKS}, g AS (SELECT source, node, 0 AS steps, 1.0::DOUBLE AS paths FROM d WHERE steps = 0 UNION ALL
+  SELECT g.source, e.dst, any_value(g.steps) + 1, sum(g.paths) FROM g JOIN e ON e.src = g.node JOIN d ON d.source = g.source AND d.node = e.dst AND d.steps = g.steps + 1 GROUP BY g.source, e.dst),
+b AS (SELECT x.node, sum(x.paths*y.paths/z.paths) b FROM g x JOIN g y ON y.source = x.node JOIN g z ON z.source = x.source AND z.node = y.node AND z.steps = x.steps + y.steps WHERE x.node <> x.source AND y.node <> x.node GROUP BY x.node)
+SELECT v AS node, round(coalesce(b, 0), 6) AS betweenness FROM (SELECT src v FROM e UNION SELECT dst FROM e) LEFT JOIN b ON b.node = v""")
 def _(t):
-    return graph.path_lengths(_edges(t), t.spark.createDataFrame([(0,)], "node int"))
+    return graph.betweenness_centrality(_chain(t))
 
 
-@query("closeness", f"WITH RECURSIVE e AS (SELECT src, dst FROM ({EDGES})), r AS (SELECT 0 AS node, 0 AS steps UNION SELECT e.dst, r.steps + 1 FROM r JOIN e ON e.src = r.node WHERE r.steps < 30), d AS (SELECT node, min(steps) s FROM r GROUP BY node), n AS (SELECT count(DISTINCT v) n FROM (SELECT src v FROM e UNION ALL SELECT dst FROM e)) SELECT 0 AS node, round(count(*)/sum(s)*count(*)/(any_value(n) - 1), 8) AS closeness FROM d, n WHERE s > 0", 8)
+@query("communities")
 def _(t):
-    return graph.closeness(_edges(t), t.spark.createDataFrame([(0,)], "node int"))
+    return graph.communities(_chain(t))
 
 
 @query("transitivity", f"WITH {UNDIRECTED.format(edges=PAIRS)}, d AS (SELECT sum(n*(n-1)/2.0) d FROM (SELECT count(*)::DOUBLE n FROM s GROUP BY a)), t AS (SELECT count(*)::DOUBLE n FROM s x JOIN s y ON x.a = y.a AND x.b < y.b JOIN u z ON z.a = x.b AND z.b = y.b) SELECT round(n/d, 8) AS transitivity FROM d, t", 8)
