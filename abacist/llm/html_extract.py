@@ -44,6 +44,10 @@ ROLES = _set(
     "related recommended recommendations pagination pager toolbar skip hidden"
 )
 ARTICLE = _set("article main")
+#: A list of results is content, though its name has the word search.
+SEARCH, RESULTS, NONE = _set("search"), _set("result results"), frozenset()
+FORM, BY_FORM = _set("form"), 2
+HEADINGS = _set("h1 h2 h3 h4 h5 h6")
 PROSE = _set("p h1 h2 h3 h4 h5 h6 li ul ol dl blockquote pre td th tr tbody table dt dd figure figcaption hr")
 #: Start tags that end an open paragraph.
 ENDS_P = _set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul")
@@ -106,8 +110,14 @@ def parse(html: str) -> Node:
                 names = frozenset(re.split(r"[\s_\-]+", words))
                 region |= found.get("role") in ARTICLE or found.get("itemprop") == "articlebody"
                 drop = "hidden" in found or found.get("aria-hidden") == "true"
-        drop = drop or tag in DROPPED or (bool(names and names & ROLES) and tag not in ("html", "body") and not region)
-        node = Node(tag, f"{tag}.{found.get('class', '')}" if words.strip() else tag, at, at.dropped or drop, region)
+        named = bool(names and (names & ROLES) - (SEARCH if names & RESULTS else NONE))
+        drop = drop or tag in DROPPED - FORM or (named and tag not in ("html", "body") and not region)
+        if region and not drop and at.dropped == BY_FORM:  # the form around a whole page goes, the article in it stays
+            node = at
+            while node and node.dropped == BY_FORM:
+                node.dropped, node = False, node.parent
+        kind = at.dropped or (True if drop else BY_FORM if tag in FORM else False)
+        node = Node(tag, f"{tag}.{found.get('class', '')}" if words.strip() else tag, at, kind, region)
         at.children.append(node)
         if tag in RAW:
             if lower is None:
@@ -219,9 +229,9 @@ class Page:
             whole.setdefault(id(node), []).append(t)
         digest = {k: xxhash.xxh64_intdigest("\n".join(v).encode("utf-8", "surrogatepass")) - (1 << 63) for k, v in whole.items()}
         self.digest = [digest[id(node)] for node, _ in found]
-        self.region = [_in_region(node) for node, _ in found]
+        self.region = [_in_region(node) + HEADING * (node.tag in HEADINGS) for node, _ in found]
         self.up, self.above = [], []
-        if not any(self.region):
+        if not any(r % HEADING for r in self.region):
             number: dict[int, int] = {}
             for node, _ in found:
                 up = node.parent if node.tag in PROSE and node.parent else node
@@ -235,6 +245,10 @@ class Page:
                 self.up.append(number[id(node.parent if node.tag in PROSE and node.parent else node)])
 
 
+#: Added to the region of a heading.
+HEADING = 4
+
+
 def _in_region(node: Node) -> int:
     """The nearest marked region around a node: 0 none, 1 the main part, 2 an article."""
     while node:
@@ -331,15 +345,20 @@ class Reference:
 def content(region: list[int], text: list[str], up: list[int], above: list[int], template: set[int]) -> str:
     """The text of the page: article slots, or else the container that holds most of the varying text.
 
-    A marked region without any slot stays as it is: its pages are copies of each other.
+    A heading that is the same on every page is the label of the slot that it stands before, and stays with it; other
+    constant text goes.  A marked region without any slot stays as it is: its pages are copies of each other.
     """
-    marked = [i for i, r in enumerate(region) if r]
+    marked = [i for i, r in enumerate(region) if r % HEADING]
     if marked:
         for wanted in (2, 1):
-            part = [i for i in marked if region[i] >= wanted]
-            slots = [i for i in part if i not in template]
+            part = [i for i in marked if region[i] % HEADING >= wanted]
+            slots, before = [], False
+            for i in reversed(part):
+                before = i not in template or before and region[i] >= HEADING
+                if before:
+                    slots.append(i)
             if slots:
-                return "\n".join(text[i] for i in slots)
+                return "\n".join(text[i] for i in reversed(slots))
             if part:
                 return "\n".join(text[i] for i in part)
     rest = [i for i in range(len(text)) if i not in template]

@@ -439,3 +439,27 @@ def test_deep_and_wide_trees_align():
     assert met == {i: i for i in range(len(deep.label))} and len(met) == 3001
     wide = html_extract.Page("".join(f"<div class=c{i % 7}>x</div>" for i in range(3000)))
     assert len(html_extract.Reference(wide.label, wide.parent).align(wide.label, wide.parent)) == 3001
+
+
+def _site(spark, body, n=8):
+    return spark.createDataFrame([(i, f"https://one.example.org/{i}", f"<html><body><nav>Menu</nav>{body.format(i=i)}</body></html>") for i in range(n)], "page_id long, url string, html string")
+
+
+def test_headings_that_label_slots_stay(spark):
+    """The same heading before varying text is text of the article; a notice with its heading is not."""
+    body = "<article><h1>Title {i}</h1><h2>Summary</h2><p>Text of {i}</p><h2>Notice</h2><p>We changed our terms</p><h2>More</h2><h3>References</h3><ul><li>ref {i}</li></ul></article>"
+    got = {r.page_id: r.text for r in html_extract.extract(_site(spark, body)).collect()}
+    assert got == {i: f"Title {i}\nSummary\nText of {i}\nMore\nReferences\nref {i}" for i in range(8)}
+
+
+def test_article_inside_a_form_lives(spark):
+    """Some servers wrap the page in one form: its fields go, the article in it stays."""
+    body = "<form action='/'><label>Find</label><input value='q'><div><article><h1>Title {i}</h1><p>Text of {i}</p><button>Send</button><select><option>one</option></select></article></div></form><form><p>Subscribe</p></form>"
+    got = {r.page_id: r.text for r in html_extract.extract(_site(spark, body)).collect()}
+    assert got == {i: f"Title {i}\nText of {i}" for i in range(8)}
+
+
+def test_list_of_results_is_content(spark):
+    body = "<div class='search-results'><h1>Found {i}</h1><p>Result text {i} of the page</p></div><div class='search-box'><p>Search here</p></div>"
+    got = {r.page_id: r.text for r in html_extract.extract(_site(spark, body)).collect()}
+    assert got == {i: f"Found {i}\nResult text {i} of the page" for i in range(8)}
