@@ -1,7 +1,7 @@
 """Every registered query of the library runs; those with SQL equal DuckDB's result."""
 
 import pytest
-from abacist.plans import breadth, depth, further, graphs, models, more, registry, tables  # noqa: F401
+from abacist.plans import breadth, depth, further, graphs, models, more, oracles, registry, tables  # noqa: F401
 from compare import same
 
 
