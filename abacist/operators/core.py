@@ -215,6 +215,10 @@ def lagged_meat(df: DataFrame, scores: list[Column], order: list[str], lags: int
 
 
 # ---------------------------------------------------------------- running sums without a global sort
+#: Cells of a column that exact quantiles count in, at least.
+CELLS = 200
+
+
 def in_cells(df: DataFrame, order: str, cells: int | None = None) -> DataFrame:
     """``df`` with ``__cell``: the quantile cell of ``order`` (double, not null); equal values share a cell.
 
@@ -253,30 +257,42 @@ def running(df: DataFrame, order: str, values: dict[str, Column], by: list[str]
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list[str] = []) -> DataFrame:
     """One row per group: ``by``, and ``q_<col>``, the exact interpolated quantiles at ``probs`` of each column, as an array.
 
-    The rows are first aggregated to distinct values; running counts inside quantile cells place each
-    rank, so that no task holds a column or a whole group.  Nulls and NaN count as missing; a group
-    without a value in any column has no row (one row of nulls where ``by`` is empty).
+    Approximate cuts make cells; counts per cell, combined on the map side, tell which cells hold the ranks that are
+    asked for, and only the rows of these are aggregated to distinct values.  No task holds a column or a whole group.
+    Nulls and NaN count as missing; a group without a value in any column has no row (one row of nulls where ``by`` is empty).
     """
     from pyspark.ml.feature import Bucketizer
 
     keys = [f"__by_{b}" for b in by]
     d = df.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], *[num(c).alias(f"__c{i}") for i, c in enumerate(cols)])
-    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(CELLS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = d.agg(*[F.percentile_approx(f"__c{i}", [j / n for j in range(1, n)], 10 * n) for i in range(len(cols))]).first()
     splits = [[-math.inf, *sorted({float(c) for c in row or [0.0]}), math.inf] for row in cuts]
     d = Bucketizer(splitsArray=splits, inputCols=[f"__c{i}" for i in range(len(cols))], outputCols=[f"__b{i}" for i in range(len(cols))], handleInvalid="keep").transform(d)
-    long = d.select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("__var"), F.col(f"__c{i}").alias("__value"), F.col(f"__b{i}").alias("__cell")) for i in range(len(cols))])))
-    per = long.where("__value is not null").groupBy(*keys, "__var", "__cell", "__value").agg(F.count("*").alias("__n"))
-    per = running(per, "__value", {"n": F.col("__n")}, [*keys, "__var"])
+    long = d.select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("__var"), F.col(f"__c{i}").alias("__value"), F.col(f"__b{i}").cast("int").alias("__cell")) for i in range(len(cols))]))).where("__value is not null")
+    group, cell = [*keys, "__var"], [*keys, "__var", "__cell"]
+    ranks = lambda a: [F.floor(a), F.ceil(a)]
+    at = [(F.col("__all") - 1) * F.lit(float(p)) for p in probs]
+    upto = Window.partitionBy(*group).orderBy("__cell")
+    size = long.groupBy(*cell).agg(F.count("*").alias("__m"))
+    size = size.withColumns({"__base": F.sum("__m").over(upto) - F.col("__m"), "__all": F.sum("__m").over(Window.partitionBy(*group))})
+    asked = F.lit(False)
+    for a in at:
+        for r in ranks(a):
+            asked = asked | ((F.col("__base") <= r) & (r < F.col("__base") + F.col("__m")))
+    held = size.where(asked).select(*[F.col(c).alias(f"__h{i}") for i, c in enumerate(cell)], "__base", "__all")
+    # a null key is a group like any other
+    met = long.join(held, [F.col(c).eqNullSafe(F.col(f"__h{i}")) for i, c in enumerate(cell)])
+    per = met.groupBy(*cell, "__base", "__all", "__value").agg(F.count("*").alias("__n"))
+    per = per.withColumn("__run", F.col("__base") + F.sum("__n").over(Window.partitionBy(*cell).orderBy("__value").rowsBetween(Window.unboundedPreceding, 0)))
     picks = []
-    for j, p in enumerate(probs):
-        at = (F.col("all_n") - 1) * F.lit(float(p))
-        holds = lambda r: (F.col("run_n") - F.col("__n") <= r) & (r < F.col("run_n"))
-        picks += [F.max(F.when(holds(F.floor(at)), F.col("__value"))).alias(f"lo{j}"), F.max(F.when(holds(F.ceil(at)), F.col("__value"))).alias(f"hi{j}")]
-    picked = per.groupBy(*keys, "__var").agg(F.first("all_n").alias("all_n"), *picks)
+    for j, a in enumerate(at):
+        for name, r in zip(("lo", "hi"), ranks(a)):
+            picks.append(F.max(F.when((F.col("__run") - F.col("__n") <= r) & (r < F.col("__run")), F.col("__value"))).alias(f"{name}{j}"))
+    picked = per.groupBy(*group).agg(F.first("__all").alias("__all"), *picks)
     found = []
-    for j, p in enumerate(probs):
-        at, lo, hi = (F.col("all_n") - 1) * F.lit(float(p)), F.col(f"lo{j}"), F.col(f"hi{j}")
-        found.append(F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi))
+    for j, a in enumerate(at):
+        lo, hi = F.col(f"lo{j}"), F.col(f"hi{j}")
+        found.append(F.when(lo == hi, lo).otherwise((F.ceil(a) - a) * lo + (a - F.floor(a)) * hi))
     wide = picked.select(*keys, "__var", F.array(*found).alias("__q")).groupBy(*keys).agg(*[F.max(F.when(F.col("__var") == i, F.col("__q"))).alias(f"q_{c}") for i, c in enumerate(cols)])
     return wide.select(*[F.col(k).alias(b) for b, k in zip(by, keys)], *[f"q_{c}" for c in cols])
