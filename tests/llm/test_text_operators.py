@@ -463,3 +463,59 @@ def test_list_of_results_is_content(spark):
     body = "<div class='search-results'><h1>Found {i}</h1><p>Result text {i} of the page</p></div><div class='search-box'><p>Search here</p></div>"
     got = {r.page_id: r.text for r in html_extract.extract(_site(spark, body)).collect()}
     assert got == {i: f"Found {i}\nResult text {i} of the page" for i in range(8)}
+
+
+def test_media_features_against_loops(spark, small):
+    """Stored bytes, digests and the hash of every document: chunks walked and filters undone row by row, cosine sums written out."""
+    import math
+    import struct
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    stored = {r.doc_id: bytes(r.media) for r in media.store(docs).collect()}
+    for r in media.op7_media(spark, "/root/testdata/sf0.001").collect():
+        data = stored[r.doc_id]
+        assert data[:8] == b"\x89PNG\r\n\x1a\n"
+        at, packed, size = 8, b"", None
+        while at < len(data):
+            n, kind = struct.unpack(">I4s", data[at : at + 8])
+            body = data[at + 8 : at + 8 + n]
+            assert struct.unpack(">I", data[at + 8 + n : at + 12 + n])[0] == zlib.crc32(kind + body)
+            size = struct.unpack(">II", body[:8]) if kind == b"IHDR" else size
+            packed += body if kind == b"IDAT" else b""
+            at += 12 + n
+        w, h = size
+        flat, rows = zlib.decompress(packed), []
+        for y in range(h):
+            kind, line = flat[y * (w + 1)], list(flat[y * (w + 1) + 1 : (y + 1) * (w + 1)])
+            up = rows[-1] if rows else [0] * w
+            for x in range(w):
+                a, b, c = line[x - 1] if x else 0, up[x], up[x - 1] if x else 0
+                near = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+                line[x] = (line[x] + (0, a, b, (a + b) // 2, near)[kind]) % 256
+            rows.append(line)
+        raw = b"".join(map(bytes, rows))
+        own = (text[r.doc_id] or "").encode()
+        assert raw[: len(own)] == own and set(raw[len(own) :]) <= {255} and len(raw) % 576 == 0
+        assert (r.n_bytes, r.payload_bytes, r.media_bytes) == (len(own), len(raw), len(data))
+        assert (r.payload_sha256, r.media_sha256, r.tail_crc32) == (hashlib.sha256(raw).hexdigest(), hashlib.sha256(data).hexdigest(), zlib.crc32(raw[-32:]))
+
+        def parts(n):
+            """For each of 32 equal parts of n cells: the cells it covers and how much of each, over its length."""
+            out = []
+            for k in range(32):
+                lo, hi = k * n / 32, (k + 1) * n / 32
+                out.append([(i, (min(hi, i + 1) - max(lo, i)) * 32 / n) for i in range(int(lo), min(n, math.ceil(hi))) if min(hi, i + 1) > max(lo, i)])
+            return out
+
+        across = [[sum(row[i] * v for i, v in p) for p in parts(w)] for row in rows]
+        small_ = [[sum(across[i][x] * v for i, v in p) for x in range(32)] for p in parts(h)]
+        wave = [[math.cos(math.pi * (2 * i + 1) * k / 64) for i in range(32)] for k in range(8)]
+        half = [[sum(small_[y][x] * wave[v][x] for x in range(32)) for v in range(8)] for y in range(32)]
+        f = [sum(half[y][v] * wave[u][y] for y in range(32)) for u in range(8) for v in range(8)]
+        ranked = sorted(f[1:])
+        f[0] = 0.0
+        bits = "".join(str(int(v > ranked[31])) for v in f)
+        close = [abs(v - ranked[31]) < 1e-6 * (1 + abs(ranked[31])) for v in f]
+        got = f"{int(r.feature, 16):064b}"
+        assert all(a == b or near for a, b, near in zip(bits, got, close))
