@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from abacist.operators import neighbours, rd_robust, regression, spatial
+from abacist.operators import competing, neighbours, rd_robust, regression, spatial
 from abacist.plans.registry import Tables, one, query
 
 
@@ -115,3 +115,23 @@ def _(t):
 @query("rd_robust")
 def _(t):
     return one(t.spark, rd_robust.robust(_baskets(t), "y", "x", 150000.0))
+
+
+# ---------------------------------------------------------------- competing risks
+WAIT = "SELECT date_diff('day', o_orderdate, l_shipdate)::DOUBLE AS t, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 0 END AS e, (l_quantity > 25)::INT AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+
+
+def _wait(t: Tables):
+    e = F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 2).otherwise(0)
+    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.datediff("l_shipdate", "o_orderdate").cast("double").alias("t"), e.alias("e"), (F.col("l_quantity") > 25).cast("double").alias("x"))
+
+
+@query("finegray", f"""WITH RECURSIVE d AS ({WAIT}), p AS (SELECT t, count(*)::DOUBLE c, (count(*) FILTER (e = 0))::DOUBLE z, (count(*) FILTER (e = 1))::DOUBLE m, (count(*) FILTER (e = 1 AND x = 1))::DOUBLE m1, (count(*) FILTER (x = 0))::DOUBLE a, (count(*) FILTER (x = 1))::DOUBLE b,
+  (count(*) FILTER (e = 2 AND x = 0))::DOUBLE oa, (count(*) FILTER (e = 2 AND x = 1))::DOUBLE ob FROM d GROUP BY t),
+r AS (SELECT *, sum(c) OVER w n, sum(a) OVER w ra, sum(b) OVER w rb FROM p WINDOW w AS (ORDER BY t DESC)),
+g AS (SELECT *, exp(coalesce(sum(CASE WHEN z < n THEN ln(1 - z/n) ELSE 0 END) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) g FROM r),
+s AS (SELECT m, m1, ra + g*coalesce(sum(oa/g) OVER v, 0) a, rb + g*coalesce(sum(ob/g) OVER v, 0) b FROM g WINDOW v AS (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+it AS (SELECT 0 AS k, 0.0::DOUBLE AS beta UNION ALL SELECT any_value(k) + 1, any_value(beta) + sum(m1 - m*b*exp(beta)/(a + b*exp(beta))) / sum(m*b*exp(beta)*a/power(a + b*exp(beta), 2)) FROM it, s WHERE m > 0 HAVING any_value(k) < 12),
+z AS (SELECT beta FROM it ORDER BY k DESC LIMIT 1) SELECT 'x' AS term, round(any_value(beta), 6) AS estimate, round(1/sqrt(sum(m*b*exp(beta)*a/power(a + b*exp(beta), 2))), 6) AS std_error FROM s, z WHERE m > 0""")
+def _(t):
+    return competing.finegray(_wait(t), "t", "e", ["x"]).frame(t.spark).select("term", "estimate", "std_error")
