@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from abacist.operators import competing, neighbours, rd_robust, regression, spatial
+from abacist.operators import competing, emulation, neighbours, rd_robust, regression, spatial
 from abacist.plans.registry import Tables, one, query
 
 
@@ -135,3 +135,16 @@ it AS (SELECT 0 AS k, 0.0::DOUBLE AS beta UNION ALL SELECT any_value(k) + 1, any
 z AS (SELECT beta FROM it ORDER BY k DESC LIMIT 1) SELECT 'x' AS term, round(any_value(beta), 6) AS estimate, round(1/sqrt(sum(m*b*exp(beta)*a/power(a + b*exp(beta), 2))), 6) AS std_error FROM s, z WHERE m > 0""")
 def _(t):
     return competing.finegray(_wait(t), "t", "e", ["x"]).frame(t.spark).select("term", "estimate", "std_error")
+
+
+# ---------------------------------------------------------------- trial emulation
+VISITS = "SELECT l_suppkey AS i, year(l_shipdate) AS t, (avg(l_quantity) > 25.3)::INT AS a, (avg(l_discount) > 0.05)::INT AS z FROM lineitem GROUP BY 1, 2"
+
+
+@query("clone_censor_weight", f"""WITH p AS ({VISITS}), c AS (SELECT p.*, s AS strategy, a = (s = 'always')::INT AS ok FROM p, (VALUES ('always'), ('never')) v(s)),
+m AS (SELECT *, bool_and(ok) OVER (PARTITION BY i, strategy ORDER BY t) AS follows, lead(ok) OVER (PARTITION BY i, strategy ORDER BY t) AS nxt FROM c), k AS (SELECT *, coalesce((NOT nxt)::INT, 0) AS censored FROM m WHERE follows),
+h AS (SELECT strategy, z, avg(censored) AS h FROM k WHERE nxt IS NOT NULL GROUP BY 1, 2), g AS (SELECT strategy, avg(censored) AS g FROM k WHERE nxt IS NOT NULL GROUP BY 1)
+SELECT i, t, a, z, strategy, censored, round(exp(coalesce(sum(CASE WHEN nxt IS NOT NULL THEN ln((1 - g)/(1 - h)) ELSE 0 END) OVER (PARTITION BY i, strategy ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 5) AS weight FROM k JOIN h USING (strategy, z) JOIN g USING (strategy)""", 5)
+def _(t):
+    p = t.lineitem.groupBy(F.col("l_suppkey").alias("i"), F.year("l_shipdate").alias("t")).agg((F.avg("l_quantity") > 25.3).cast("int").alias("a"), (F.avg("l_discount") > 0.05).cast("int").alias("z"))
+    return emulation.clone_censor_weight(p, "i", "t", {"always": F.col("a") == 1, "never": F.col("a") == 0}, ["z"])

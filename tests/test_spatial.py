@@ -58,12 +58,14 @@ def dense(kind, w, x, y):
 
 
 @pytest.mark.parametrize("kind", ["sar", "sem"])
-def test_against_dense_determinant(spark, kind):
-    at, x, w = world(25)
+def test_against_dense_determinant(spark, monkeypatch, kind):
+    monkeypatch.setattr(spatial, "ORDER", 16)
+    monkeypatch.setattr(spatial, "TOGETHER", 2)
+    at, x, w = world(14, k=3)
     v = standard(w)
     rng = np.random.default_rng(5)
-    A = np.linalg.inv(np.eye(25) - 0.4 * v)
-    y = A @ (1 + 2 * x + rng.normal(0, 0.7, 25)) if kind == "sar" else 1 + 2 * x + A @ rng.normal(0, 0.7, 25)
+    A = np.linalg.inv(np.eye(14) - 0.4 * v)
+    y = A @ (1 + 2 * x + rng.normal(0, 0.7, 14)) if kind == "sar" else 1 + 2 * x + A @ rng.normal(0, 0.7, 14)
     data, weights = tables(spark, w, y=y, x=x)
     r, b, ll, se = dense(kind, v, x, y)
     fit = getattr(spatial, kind)(data, weights, "y", ["x"], id_col="id")
