@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from abacist.operators import experiments as X
-from abacist.operators import graph, likelihood
+from abacist.operators import graph, likelihood, panel
 from abacist.plans.graphs import _points
 from abacist.plans.models import PANEL, _panel, _slopes
 from abacist.plans.registry import Tables, one, query
@@ -102,7 +102,9 @@ def _(t):
 
 @query("marginal_structural")
 def _(t):
-    return _slopes(X.marginal_structural(_panel(t).withColumn("a", (F.col("x") > 25.5).cast("double")), "y", "a", "i", "t", ["x"]), t)
+    # last year's quantity may drive this year's treatment without deciding it
+    p = panel.lag_lead(_panel(t), "x", "i", "t").withColumn("a", (F.col("x") > 25.5).cast("double"))
+    return _slopes(X.marginal_structural(p, "y", "a", "i", "t", ["L1_x"]), t)
 
 
 @query("bartik", "WITH h AS (SELECT l_linenumber c, avg(l_discount) h FROM lineitem GROUP BY 1), n AS (SELECT l_suppkey r, l_linenumber c, count(*)::DOUBLE n FROM lineitem GROUP BY 1, 2), z AS (SELECT r, sum(n*h)/sum(n) z FROM n JOIN h USING (c) GROUP BY 1), d AS (SELECT l_suppkey r, avg(l_extendedprice) y, avg(l_quantity) x FROM lineitem GROUP BY 1), f AS (SELECT y - avg(y) OVER () y, x - avg(x) OVER () x, z - avg(z) OVER () z FROM d JOIN z USING (r)), k AS (SELECT sum(z*y)/sum(z*x) b, sum(z*x) zx, count(*)::DOUBLE n FROM f) SELECT 'x' AS term, round(any_value(b), 3) AS estimate, round(sqrt(sum(z*z*power(y - b*x, 2))*any_value(n/(n-2)))/abs(any_value(zx)), 3) AS std_error FROM f, k", 3)
