@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from abacist.operators import competing, emulation, neighbours, rd_robust, regression, spatial
+from abacist.operators import competing, distreg, emulation, neighbours, rd_robust, regression, spatial, weak
 from abacist.plans.registry import Tables, one, query
 
 
@@ -148,3 +148,46 @@ SELECT i, t, a, z, strategy, censored, round(exp(coalesce(sum(CASE WHEN nxt IS N
 def _(t):
     p = t.lineitem.groupBy(F.col("l_suppkey").alias("i"), F.year("l_shipdate").alias("t")).agg((F.avg("l_quantity") > 25.3).cast("int").alias("a"), (F.avg("l_discount") > 0.05).cast("int").alias("z"))
     return emulation.clone_censor_weight(p, "i", "t", {"always": F.col("a") == 1, "never": F.col("a") == 0}, ["z"])
+
+
+# ---------------------------------------------------------------- weak instruments
+IV = "SELECT l_extendedprice AS y, l_quantity AS d, p_size AS z FROM lineitem JOIN part ON l_partkey = p_partkey"
+
+
+def _iv(t: Tables):
+    return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_extendedprice").alias("y"), F.col("l_quantity").alias("d"), F.col("p_size").alias("z"), F.col("l_linenumber").alias("z2"), F.col("l_discount").alias("w"), F.col("l_suppkey").alias("g"))
+
+
+@query("weak_one_instrument", f"""WITH d AS ({IV}), k AS (SELECT avg(y) my, avg(d) md, avg(z) mz, regr_slope(d, z) p, regr_slope(y - 1000*d, z) q, regr_sxx(z, z) zz, count(*) n FROM d),
+s AS (SELECT any_value(p) p, any_value(q) q, any_value(zz) zz, any_value(n) n, sum(power(z - mz, 2)*power(d - md - p*(z - mz), 2)) w, sum(power(y - my - 1000*(d - md) - q*(z - mz), 2))/(any_value(n) - 2) v FROM d, k)
+SELECT round(p*p*zz*zz/w, 6) AS rank_wald, round(p*p*zz*zz/w*(n - 2)/n, 6) AS effective_f, round(q*q*zz/v, 6) AS likelihood_ratio FROM s""")
+def _(t):
+    d = _iv(t)
+    return one(t.spark, {"rank_wald": weak.kleibergen_paap(d, ["d"], ["z"])["wald"], "effective_f": weak.effective_f(d, "d", ["z"])["effective_f"], "likelihood_ratio": weak.conditional_lr(d, "y", "d", ["z"], beta0=1000.0)["statistic"]})
+
+
+@query("weak_clustered")
+def _(t):
+    d = _iv(t)
+    r, e, c = weak.kleibergen_paap(d, ["d"], ["z", "z2"], ["w"], cluster="g"), weak.effective_f(d, "d", ["z", "z2"], ["w"], cluster="g"), weak.conditional_lr(d, "y", "d", ["z", "z2"], ["w"], 1000.0)
+    return one(t.spark, {"rank_wald": r["wald"], "p_value": r["p_value"], "cragg_donald": r["cragg_donald"], "effective_f": e["effective_f"], "likelihood_ratio": c["statistic"], "lr_p_value": c["p_value"]})
+
+
+# ---------------------------------------------------------------- distribution regression
+CUTS = list(range(10_000, 100_000, 5000))
+_HELD = "SELECT (l_returnflag = 'R')::INT g, (l_quantity > 25)::INT x, l_extendedprice y FROM lineitem"
+
+
+@query("distribution_gap", f"""WITH d AS ({_HELD}), c AS (SELECT unnest({CUTS})::DOUBLE c), n AS (SELECT g, x, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY g) AS w FROM d GROUP BY 1, 2),
+f AS (SELECT g, x, c, avg((y <= c)::INT) p FROM d, c GROUP BY 1, 2, 3)
+SELECT c AS cut, round(sum(p*n.w) FILTER (f.g = 0 AND n.g = 0), 6) AS f_0, round(sum(p*n.w) FILTER (f.g = 1 AND n.g = 1), 6) AS f_1, round(sum(p*n.w) FILTER (f.g = 0 AND n.g = 1), 6) AS f_counterfactual FROM f JOIN n USING (x) GROUP BY 1""")
+def _(t):
+    d = t.lineitem.select((F.col("l_returnflag") == "R").cast("int").alias("g"), (F.col("l_quantity") > 25).cast("int").alias("x"), F.col("l_extendedprice").alias("y"))
+    at, *f = distreg.counterfactual(d, "y", ["x"], "g", CUTS)
+    return t.spark.createDataFrame(list(zip(at, *(v.tolist() for v in f))), "cut double, f_0 double, f_1 double, f_counterfactual double")
+
+
+@query("quantile_decomposition")
+def _(t):
+    d = t.lineitem.select((F.col("l_returnflag") == "R").cast("int").alias("g"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("z"), F.col("l_extendedprice").alias("y"))
+    return distreg.cfm(d, "y", ["x", "z"], "g")
