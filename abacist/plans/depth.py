@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from abacist.operators import competing, distreg, emulation, neighbours, rd_robust, regression, spatial, weak
+from abacist.operators import competing, distreg, emulation, forest, neighbours, rd_robust, regression, spatial, weak
 from abacist.plans.registry import Tables, one, query
 
 
@@ -191,3 +191,42 @@ def _(t):
 def _(t):
     d = t.lineitem.select((F.col("l_returnflag") == "R").cast("int").alias("g"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("z"), F.col("l_extendedprice").alias("y"))
     return distreg.cfm(d, "y", ["x", "z"], "g")
+
+
+# ---------------------------------------------------------------- trees
+def _level(i: int) -> str:
+    """One level of a regression tree over ``d<i>`` (y, x, q, node n); ``d<i+1>`` has the next nodes."""
+    return f"""s{i} AS (SELECT n, 0 f, x b, count(*)::DOUBLE m, sum(y) a FROM d{i} GROUP BY ALL UNION ALL SELECT n, 1, q, count(*)::DOUBLE, sum(y) FROM d{i} GROUP BY ALL),
+c{i} AS (SELECT n, f, b, sum(m) OVER w lm, sum(a) OVER w la, sum(m) OVER g tm, sum(a) OVER g ta FROM s{i} WINDOW w AS (PARTITION BY n, f ORDER BY b), g AS (PARTITION BY n, f)),
+p{i} AS (SELECT n, f, b FROM c{i} WHERE lm >= 50 AND tm - lm >= 50 QUALIFY row_number() OVER (PARTITION BY n ORDER BY la*la/lm + (ta-la)*(ta-la)/(tm-lm) DESC, f, b) = 1),
+d{i + 1} AS (SELECT y, x, q, CASE WHEN p{i}.n IS NULL THEN d{i}.n ELSE 2*d{i}.n + (CASE f WHEN 0 THEN x ELSE q END > b)::INT END AS n FROM d{i} LEFT JOIN p{i} ON p{i}.n = d{i}.n)"""
+
+
+@query("regression_tree", "WITH d0 AS (SELECT l_extendedprice*(1 + l_discount) y, l_linenumber x, floor(l_quantity/5)::INT q, 1 AS n FROM lineitem), " + ", ".join(map(_level, range(3))) + " SELECT n AS node, count(*) AS size, round(avg(y), 4) AS mean FROM d3 GROUP BY 1", 4)
+def _(t):
+    d = t.lineitem.select((F.col("l_extendedprice") * (1 + F.col("l_discount"))).alias("y"), F.col("l_linenumber").alias("x"), F.floor(F.col("l_quantity") / 5).alias("q"), F.lit(1.0).alias("one"))
+    f = forest.grow(d, "y", "one", ["x", "q"], depth=3, least=50, cuts=[[float(v) for v in range(1, 7)], [float(v) for v in range(10)]])
+    return d.groupBy(f.leaves({"x": F.col("x"), "q": F.col("q")})[0].alias("node")).agg(F.count("*").alias("size"), F.avg("y").alias("mean"))
+
+
+def _arms(t: Tables):
+    return t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("k"), F.col("l_extendedprice").alias("y"), (F.col("l_returnflag") == "R").cast("double").alias("t"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("z"))
+
+
+@query("causal_forest_calibration")
+def _(t):
+    rows, _ = forest.causal_forest(_arms(t), "y", "t", ["x", "z"], "k", trees=8, depth=3, least=50)
+    return forest.calibration(rows, "y", "t").frame(t.spark).select("term", "estimate", "std_error")
+
+
+@query("causal_forest_ranked")
+def _(t):
+    rows, _ = forest.causal_forest(_arms(t), "y", "t", ["x", "z"], "k", trees=8, depth=3, least=50)
+    return one(t.spark, forest.ranked_effect(rows, "__score", "effect"))
+
+
+@query("ranked_effect", """WITH d AS (SELECT l_quantity p, l_extendedprice*(0.1 - l_discount) s FROM lineitem), o AS (SELECT p, s, row_number() OVER (ORDER BY p DESC) AS k, count(*) OVER ()::DOUBLE AS n FROM d), h AS (SELECT *, sum(1.0::DOUBLE/k) OVER () - coalesce(sum(1.0::DOUBLE/k) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 AS w, (n - k + 1)/n - (n + 1)/(2*n) AS v FROM o),
+g AS (SELECT p, sum(s) a, avg(w) w, avg(v) v, any_value(n) n FROM h GROUP BY 1) SELECT round(sum(w*a)/any_value(n), 4) AS autoc, round(sum(v*a)/any_value(n), 4) AS qini FROM g""", 4)
+def _(t):
+    d = t.lineitem.select(F.col("l_quantity").alias("p"), (F.col("l_extendedprice") * (0.1 - F.col("l_discount"))).alias("s"))
+    return one(t.spark, {"autoc": forest.ranked_effect(d, "s", "p")["estimate"], "qini": forest.ranked_effect(d, "s", "p", "QINI")["estimate"]})
