@@ -202,15 +202,14 @@ def psd(v: np.ndarray) -> np.ndarray:
     return v if (w >= 0).all() else (u * np.maximum(w, 0)) @ u.T
 
 
-def lagged_meat(df: DataFrame, scores: list[Column], order: list[str], lags: int, within: list[str] = []) -> np.ndarray:
+def lagged_meat(df: DataFrame, scores: list[Column], order: str, lags: int, within: list[str] = []) -> np.ndarray:
     """Newey-West sum of autocovariances of the scores with Bartlett weights, along ``order`` within groups."""
     k = len(scores)
-    w = Window.partitionBy(*[F.col(c) for c in within]).orderBy(*order)
-    f = df.select(*[s.alias(f"__s{i}") for i, s in enumerate(scores)], *order, *within)
-    lagged = f.select(*[f"__s{i}" for i in range(k)], *[F.lag(f"__s{i}", q).over(w).alias(f"__l{q}_{i}") for q in range(1, lags + 1) for i in range(k)])
+    f = df.select(*[s.alias(f"__s{i}") for i, s in enumerate(scores)], order, *[c for c in within if c != order])
+    before = lagged(f, order, [f"__s{i}" for i in range(k)], lags, within)
     sums = [F.sum(F.col(f"__s{i}") * F.col(f"__s{j}")) for i in range(k) for j in range(k)]
-    sums += [F.sum(F.col(f"__s{i}") * F.col(f"__l{q}_{j}")) for q in range(1, lags + 1) for i in range(k) for j in range(k)]
-    v = np.array([x or 0.0 for x in lagged.agg(*sums).first()]).reshape(lags + 1, k, k)
+    sums += [F.sum(F.col(f"__s{i}") * F.col(f"__s{j}_{q}")) for q in range(1, lags + 1) for i in range(k) for j in range(k)]
+    v = np.array([x or 0.0 for x in before.agg(*sums).first()]).reshape(lags + 1, k, k)
     return v[0] + sum((1 - q / (lags + 1)) * (v[q] + v[q].T) for q in range(1, lags + 1))
 
 
@@ -254,6 +253,43 @@ def running(df: DataFrame, order: str, values: dict[str, Column], by: list[str]
     return d.join(base, met).select(*df.columns, *[both(f(f"__v_{n}").over(inside), F.col(f"__b_{n}")).alias(f"run_{n}") for n in values], *[f"all_{n}" for n in values])
 
 
+#: Rows of a run within which ``lagged`` looks back.
+RUN = 100_000
+
+
+def as_number(df: DataFrame, c: str) -> Column:
+    """The column as a double that never falls where it rises: numbers, dates, timestamps, booleans, strings by their first 6 bytes."""
+    kind = dict(df.dtypes)[c]
+    if kind == "date":
+        return F.unix_date(c).cast("double")
+    if kind.startswith("timestamp"):
+        return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(c), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return F.col(c).cast("double")
+
+
+def lagged(df: DataFrame, order: str, cols: list[str], lags: int, by: list[str] = [], run: int | None = None) -> DataFrame:
+    """``df`` with ``<col>_<q>``, the value of ``col`` 1 to ``lags`` rows earlier along ``order`` within its group, null before the first.
+
+    ``order`` is not null; equal values stand in any order.  No task sorts a table or a group: rows are numbered inside
+    quantile cells from the counts of the cells before, cut into runs by number, and a run's last rows are handed to the next.
+    """
+    run = max(run or RUN, lags)
+    d = in_cells(df.withColumn("__at", as_number(df, order)), "__at")
+    keys = [*by, "__cell"]
+    size = d.groupBy(*keys).agg(F.count("*").alias("__m"))
+    ahead = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    base = size.select(*[F.col(c).alias(f"__k_{c}") for c in keys], F.coalesce(F.sum("__m").over(ahead), F.lit(0)).alias("__base"))
+    place = F.col("__base") + F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
+    d = d.join(base, [d[c].eqNullSafe(base[f"__k_{c}"]) for c in keys]).select(*df.columns, place.alias("__i"))
+    own = F.floor(F.col("__i") / run)
+    late = F.col("__i") % run >= run - lags
+    d = d.withColumn("__run", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = Window.partitionBy(*by, "__run").orderBy("__i")
+    return d.withColumns({f"{c}_{q}": F.lag(c, q).over(w) for c in cols for q in range(1, lags + 1)}).where(F.col("__run") == own).drop("__i", "__run")
+
+
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list[str] = []) -> DataFrame:
     """One row per group: ``by``, and ``q_<col>``, the exact interpolated quantiles at ``probs`` of each column, as an array.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abacist.functions import dist
-from abacist.operators.core import DataInsufficient, Fit, cluster_factor, gram, inverse, lagged_meat, meat, moments, names_of, psd, solve_ls, usable
+from abacist.operators.core import DataInsufficient, Fit, cluster_factor, gram, inverse, lagged, lagged_meat, meat, moments, names_of, psd, solve_ls, usable
 
 
 def parse(formula: str) -> tuple[str, list, list[str], bool]:
@@ -106,7 +106,7 @@ def ols(df: DataFrame, y, x: list, *, vcov: str = "nonrobust", cluster: list[str
     elif vcov == "nonrobust":
         v = s2 * bread
     elif vcov == "HAC":
-        v = bread @ lagged_meat(d, [c * e for c in design], [order], lags) @ bread * n / (n - k)
+        v = bread @ lagged_meat(d, [c * e for c in design], order, lags) @ bread * n / (n - k)
     else:
         if vcov in ("HC2", "HC3"):
             h = F.lit(0.0)
@@ -389,11 +389,8 @@ def vif(df: DataFrame, x: list[str]) -> dict[str, float]:
 
 
 def durbin_watson(df: DataFrame, y: str, x: list[str], order: str, within: str | None = None) -> float:
-    from pyspark.sql import Window
-
     d, _ = _residuals(df, y, x, tuple(c for c in (order, within) if c))
-    w = Window.partitionBy(*([within] if within else [])).orderBy(order)
-    row = d.withColumn("__d", F.col("__e") - F.lag("__e").over(w)).agg(F.sum(F.col("__d") ** 2), F.sum(F.col("__e") ** 2)).first()
+    row = lagged(d, order, ["__e"], 1, [within] if within else []).withColumn("__d", F.col("__e") - F.col("__e_1")).agg(F.sum(F.col("__d") ** 2), F.sum(F.col("__e") ** 2)).first()
     return row[0] / row[1]
 
 

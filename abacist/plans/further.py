@@ -10,7 +10,6 @@ from abacist.plans.breadth import LINE, _line
 from abacist.plans.graphs import EDGES, NEAR, PAIRS, POINTS, UNDIRECTED, _edges, _pairs, _points
 from abacist.plans.models import PANEL, _panel, _slopes
 from abacist.plans.registry import one, query
-from abacist.sources import simulate
 
 # ---------------------------------------------------------------- networks and grids
 @query("katz_centrality")
@@ -119,7 +118,9 @@ def _(t):
 
 @query("synthetic_did")
 def _(t):
-    return one(t.spark, series.synthetic_did(simulate.synthetic(t.spark), "y", "unit", "time", [0], 20))
+    d = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("s_nationkey").alias("u"), F.trunc("l_shipdate", "quarter").alias("t")).agg(F.avg("l_extendedprice").alias("y"))
+    at = d.agg(F.min("u"), F.array_sort(F.collect_set("t"))).first()
+    return one(t.spark, series.synthetic_did(d, "y", "u", "t", [at[0]], at[1][2 * len(at[1]) // 3]))
 
 
 @query("mr_leave_one_out", "WITH v AS (SELECT l_suppkey k, regr_slope(l_quantity, l_linenumber) x, regr_slope(l_extendedprice, l_linenumber) y, 1 + l_suppkey % 3 s FROM lineitem GROUP BY 1), a AS (SELECT sum(x*x/s/s) xx, sum(x*y/s/s) xy FROM v) SELECT k AS variant, round((xy - x*y/s/s)/(xx - x*x/s/s), 5) AS ivw, round(1/sqrt(xx - x*x/s/s), 5) AS std_error FROM v, a", 5)
@@ -177,9 +178,8 @@ def _(t):
 
 @query("rd_checks")
 def _(t):
-    d = simulate.discontinuity(t.spark)
-    x = [c for c in d.columns if c not in ("y", "id")][0]
-    return rd.checks(d, "y", x, 0.0, placebos=[-0.3, 0.3], donut=0.02)
+    d = t.orders.select(((F.col("o_totalprice") - 250000) / 100000).alias("x"), (F.col("o_custkey") % 97).cast("double").alias("y"), (F.col("o_orderkey") % 89).cast("double").alias("z"))
+    return rd.checks(d, "y", "x", 0.0, ["z"], placebos=[-0.3, 0.3], donut=0.02)
 
 
 @query("rd_multi_cutoff")

@@ -139,15 +139,15 @@ def _(t):
 
 @query("simulated_rct")
 def _(t):
-    d = simulate.rct(t.spark, 2000)
+    d = simulate.rct(t.spark, of=t.orders.select(F.col("o_orderkey").alias("id")))
     return d.groupBy("treatment").agg(F.count("*").alias("n"), F.avg("y").alias("y"))
 
 
 @query("simulated_staggered")
 def _(t):
-    return did.aggte(did.att_gt(simulate.staggered(t.spark, 150, 9), "y", "first_treat", "unit", "time"), "dynamic")
+    return did.aggte(did.att_gt(simulate.staggered(t.spark, periods=9, of=t.supplier.select(F.col("s_suppkey").alias("id"))), "y", "first_treat", "unit", "time"), "dynamic")
 
 
 @query("simulated_observational")
 def _(t):
-    return one(t.spark, causal.aipw(simulate.observational(t.spark, 2000), "y", "treatment", ["x1", "x2"], "id"))
+    return one(t.spark, causal.aipw(simulate.observational(t.spark, of=t.orders.select(F.col("o_orderkey").alias("id"))), "y", "treatment", ["x1", "x2"], "id"))

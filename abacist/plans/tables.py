@@ -188,9 +188,11 @@ def _(t):
     return epi.bradford_rate_ratio(_epi(t), "e", "o", "n_chars")
 
 
-@query("e_value", "SELECT round(2.5 + sqrt(2.5*1.5), 8) AS e_value, round(1.2 + sqrt(1.2*0.2), 8) AS e_value_ci", 8)
+@query("e_value", "WITH r AS (SELECT avg((l_linenumber > 4)::INT) FILTER (l_quantity > 25) / avg((l_linenumber > 4)::INT) FILTER (l_quantity <= 25) AS r FROM lineitem) SELECT round(greatest(r, 1/r) + sqrt(greatest(r, 1/r)*(greatest(r, 1/r) - 1)), 6) AS e_value FROM r")
 def _(t):
-    return one(t.spark, epi.e_value(2.5, 1.2, 4.0))
+    share = lambda c: F.avg(F.when(c, (F.col("l_linenumber") > 4).cast("int")))
+    exposed, rest = t.lineitem.agg(share(F.col("l_quantity") > 25), share(F.col("l_quantity") <= 25)).first()
+    return one(t.spark, {"e_value": epi.e_value(exposed / rest)["e_value"]})
 
 
 @query("fairness", "SELECT lang AS \"group\", count(*) AS n, round(avg(q), 8) AS selection_rate, round(avg(q) FILTER (toxic = 1), 8) AS tpr, round(avg(q) FILTER (toxic = 0), 8) AS fpr, round(avg((q = toxic)::INT), 8) AS accuracy FROM (SELECT lang, 1 - quality AS q, toxic FROM labels JOIN documents USING (doc_id)) GROUP BY 1", 8)
@@ -535,7 +537,8 @@ def _(t):
 
 @query("power")
 def _(t):
-    return one(t.spark, {"power": series.power_means(0.5, 1.0, 64), "n": series.sample_size(0.5, 1.0), "mde": series.minimum_effect(1.0, 64)})
+    sd, n = t.orders.agg(F.stddev("o_totalprice"), F.count("*")).first()
+    return one(t.spark, {"power": series.power_means(0.02 * sd, sd, n // 2), "n": series.sample_size(0.02 * sd, sd), "mde": series.minimum_effect(sd, n // 2)})
 
 
 @query("synthetic_control")

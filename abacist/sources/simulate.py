@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from abacist.functions.columns import normal, uniform
 
 
-def rct(spark: SparkSession, n: int = 1000, effect: float = 1.0, covariates: int = 3, seed: int = 0) -> DataFrame:
-    d = spark.range(n).select("id", (uniform(seed, F.col("id")) < 0.5).cast("double").alias("treatment"), *[normal(seed + 10 + k, F.col("id")).alias(f"x{k + 1}") for k in range(covariates)])
+def rct(spark: SparkSession, n: int = 1000, effect: float = 1.0, covariates: int = 3, seed: int = 0, of: DataFrame | None = None) -> DataFrame:
+    """An effect planted in a randomised trial over the ids of ``of``, or over ``n`` numbered ones."""
+    d = (spark.range(n) if of is None else of).select("id", (uniform(seed, F.col("id")) < 0.5).cast("double").alias("treatment"), *[normal(seed + 10 + k, F.col("id")).alias(f"x{k + 1}") for k in range(covariates)])
     return d.withColumn("y", effect * F.col("treatment") + sum((0.5 * F.col(f"x{k + 1}") for k in range(covariates)), F.lit(0.0)) + normal(seed + 1, F.col("id")))
 
 
-def observational(spark: SparkSession, n: int = 2000, effect: float = 2.0, seed: int = 0) -> DataFrame:
-    d = spark.range(n).select("id", normal(seed, F.col("id")).alias("x1"), normal(seed + 1, F.col("id")).alias("x2"))
+def observational(spark: SparkSession, n: int = 2000, effect: float = 2.0, seed: int = 0, of: DataFrame | None = None) -> DataFrame:
+    """Treatment by two covariates, over the ids of ``of`` or ``n`` numbered ones."""
+    d = (spark.range(n) if of is None else of).select("id", normal(seed, F.col("id")).alias("x1"), normal(seed + 1, F.col("id")).alias("x2"))
     d = d.withColumn("propensity_score", 1 / (1 + F.exp(-(0.5 * F.col("x1") - 0.25 * F.col("x2")))))
     d = d.withColumn("treatment", (uniform(seed + 2, F.col("id")) < F.col("propensity_score")).cast("double"))
     return d.withColumn("y", effect * F.col("treatment") + F.col("x1") + 0.5 * F.col("x2") + normal(seed + 3, F.col("id")))
@@ -26,9 +28,9 @@ def instrument(spark: SparkSession, n: int = 2000, effect: float = 1.0, strength
     return d.withColumn("y", effect * F.col("treatment") + F.col("u") + 0.5 * F.col("x1") + normal(seed + 4, F.col("id"))).drop("u")
 
 
-def staggered(spark: SparkSession, units: int = 200, periods: int = 10, effect: float = 1.0, seed: int = 0) -> DataFrame:
-    """A third each: treated from a third of the way, from two thirds, never (null)."""
-    d = spark.range(units).select(F.col("id").alias("unit"), normal(seed, F.col("id")).alias("a"))
+def staggered(spark: SparkSession, units: int = 200, periods: int = 10, effect: float = 1.0, seed: int = 0, of: DataFrame | None = None) -> DataFrame:
+    """A third each: treated from a third of the way, from two thirds, never (null); units are the ids of ``of``, or numbered."""
+    d = (spark.range(units) if of is None else of).select(F.col("id").alias("unit"), normal(seed, F.col("id")).alias("a"))
     first = F.when(F.col("unit") % 3 == 0, periods // 3 + 1).when(F.col("unit") % 3 == 1, 2 * periods // 3 + 1)
     d = d.withColumn("first_treat", first).withColumn("time", F.explode(F.sequence(F.lit(1), F.lit(periods))))
     on = F.coalesce((F.col("time") >= F.col("first_treat")), F.lit(False)).cast("double")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from abacist.operators import causal, core, describe
 from abacist.operators.regression import glm, ols, predicted
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
@@ -74,3 +75,18 @@ def test_median_imputation_keeps_every_row(spark):
     d = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 4.0), (None, 2.0), (None, None), ("b", None)], "g string, v double")
     got = sorted((tuple(r) for r in tabulate.impute(d, ["v"], "median", ["g"]).collect()), key=repr)
     assert got == sorted([("a", 1.0), ("a", 2.5), ("a", 4.0), (None, 2.0), (None, 2.0), ("b", None)], key=repr)
+
+
+@pytest.mark.parametrize("run", [3, 4, 100])
+@pytest.mark.parametrize("kind", ["int", "date", "timestamp", "string"])
+def test_lags_across_cells_and_runs(spark, run, kind):
+    """Values of earlier rows equal a plain window's, over groups (one of them null) of any size."""
+    of = {"int": "id", "date": "date_add(date'2020-01-01', id)", "timestamp": "timestamp_seconds(id)", "string": "lpad(id, 5, '0')"}[kind]
+    d = spark.range(61).selectExpr("cast((id * 37) % 61 as int) as id").selectExpr("id", "case when id % 7 = 0 then null when id % 7 < 3 then 'a' else 'b' end as g", "cast(id * id as double) as v")
+    d = d.withColumn("t", F.expr(of)).repartition(5)
+    w = Window.partitionBy("g").orderBy("t")
+    want = d.select("id", F.lag("v", 1).over(w), F.lag("v", 3).over(w))
+    got = core.lagged(d, "t", ["v"], 3, ["g"], run=run).select("id", "v_1", "v_3")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plain = core.lagged(d, "t", ["v"], 2, run=run).select("id", "v_2").collect()
+    assert {r.id: r.v_2 for r in plain} == {i: float((i - 2) ** 2) if i > 1 else None for i in range(61)}
