@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from abacist.operators import competing, distreg, emulation, forest, neighbours, rd_robust, regression, spatial, weak
 from abacist.plans.registry import Tables, one, query
+from abacist.streaming import particles
 
 
 
@@ -230,3 +231,10 @@ g AS (SELECT p, sum(s) a, avg(w) w, avg(v) v, any_value(n) n FROM h GROUP BY 1)
 def _(t):
     d = t.lineitem.select(F.col("l_quantity").alias("p"), (F.col("l_extendedprice") * (0.1 - F.col("l_discount"))).alias("s"))
     return one(t.spark, {"autoc": forest.ranked_effect(d, "s", "p")["estimate"], "qini": forest.ranked_effect(d, "s", "p", "QINI")["estimate"]})
+
+
+# ---------------------------------------------------------------- particles
+@query("particle_filter")
+def _(t):
+    d = t.events.select("user_id", "event_id", "value", F.lit(2.0).alias("se"))
+    return particles.particle_batch(d, "user_id", "event_id", "value", "se", particles=500, process_sd=0.5)
