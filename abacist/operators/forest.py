@@ -46,30 +46,37 @@ class Forest:
 
     def predict(self, leaves: Column, key: Column | None = None) -> Column:
         """Sums over trees, divided; with ``key`` only trees that did not draw the row (all, where every tree did)."""
-        trees = self.feature.shape[0]
-        num, den = (F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in a]) for a in (self.num, self.den))
-        used = [F.lit(True) if key is None else ~_drawn(self.seed, t, key, self.share) for t in range(trees)]
+        num, den, trees = _table(self.num, float), _table(self.den, float), _each(self.feature.shape[0])
         pick = lambda table, t: F.element_at(F.element_at(table, t + 1), F.element_at(leaves, t + 1))
-        total = lambda table, every: sum((F.when(F.lit(True) if every else used[t], pick(table, t)).otherwise(F.lit(0.0)) for t in range(trees)), F.lit(0.0))
-        every = total(num, True) / total(den, True)
-        return every if key is None else F.coalesce(F.when(total(den, False) != 0, total(num, False) / total(den, False)), every)
+        total = lambda table, used: F.aggregate(trees, F.lit(0.0), lambda s, t: s + F.when(used(t), pick(table, t)).otherwise(F.lit(0.0)))
+        ratio = lambda used: F.when(total(den, used) != 0, total(num, used) / total(den, used))
+        every = ratio(lambda t: F.lit(True))
+        return every if key is None else F.coalesce(ratio(lambda t: ~_drawn(self.seed, t, key, self.share)), every)
 
 
-def _drawn(seed: int, tree: int, key: Column, share: float) -> Column:
-    return F.lit(True) if share >= 1 else uniform(seed, F.lit("drawn"), F.lit(tree), key) < share
+def _each(trees: int) -> Column:
+    return F.sequence(F.lit(0), F.lit(trees - 1))
+
+
+def _table(a: np.ndarray, kind: type) -> Column:
+    """A small matrix as one constant, so that the size of the code does not grow with it."""
+    return F.array(*[F.array(*[F.lit(kind(v)) for v in row]) for row in a])
+
+
+def _drawn(seed: int, tree, key: Column, share: float) -> Column:
+    return F.lit(True) if share >= 1 else uniform(seed, F.lit("drawn"), tree if isinstance(tree, Column) else F.lit(tree), key) < share
 
 
 def _leaves(feature: np.ndarray, cut: np.ndarray, depth: int, x: list[Column]) -> Column:
     """The node that a row ends in, by tree: from the root, one level a step of a fold."""
-    values = F.array(*[c.cast("double") for c in x])
+    values, at, over = F.array(*[c.cast("double") for c in x]), _table(feature, int), _table(cut, float)
 
-    def one(f: np.ndarray, c: np.ndarray) -> Column:
-        # literals by node; a leaf keeps its row
-        at, over = F.array(*[F.lit(int(v)) for v in f]), F.array(*[F.lit(float(v)) for v in c])
-        step = lambda node, _: F.when(F.element_at(at, node) < 0, node).otherwise(2 * node + (F.element_at(values, F.element_at(at, node) + 1) > F.element_at(over, node)).cast("int"))
+    def walk(t: Column) -> Column:
+        f, c = F.element_at(at, t + 1), F.element_at(over, t + 1)
+        step = lambda node, _: F.when(F.element_at(f, node) < 0, node).otherwise(2 * node + (F.element_at(values, F.element_at(f, node) + 1) > F.element_at(c, node)).cast("int"))
         return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), step)
 
-    return F.array(*[one(f, c) for f, c in zip(feature, cut)])
+    return F.transform(_each(len(feature)), walk)
 
 
 def edges(df: DataFrame, x: list[str], bins: int = 32) -> list[list[float]]:
@@ -97,11 +104,9 @@ def grow(df: DataFrame, num: str, den: str, x: list[str], *, trees: int = 1, dep
     values = [F.col(f"__x{i}") for i in range(len(x))]
     spot = [sum(((F.col(f"__x{i}") > F.lit(c)).cast("int") for c in cs), F.lit(0)) for i, cs in enumerate(cuts)]
     binned = d.select("*", F.array(*spot).alias("__bins"))
-    per = []
-    for t in range(trees):
-        half = F.when(uniform(seed, F.lit("half"), F.lit(t), F.col(key)) < 0.5, 0).otherwise(1) if honest else F.lit(0)
-        per.append(F.when(_drawn(seed, t, F.col(key) if key else F.lit(0), share), half))
-    d = binned.withColumn("__half", F.array(*per))
+    who = F.col(key) if key else F.lit(0)
+    half = lambda t: F.when(uniform(seed, F.lit("half"), t, who) < 0.5, 0).otherwise(1) if honest else F.lit(0)
+    d = binned.withColumn("__half", F.transform(_each(trees), lambda t: F.when(_drawn(seed, t, who, share), half(t))))
     rows = lambda: d.select("__num", "__den", "__bins", "__half", _leaves(feature, cut, depth, values).alias("__at"))
     live: set[tuple[int, int]] = {(t, 1) for t in range(trees)}
     for level in range(depth):
@@ -128,9 +133,8 @@ def grow(df: DataFrame, num: str, den: str, x: list[str], *, trees: int = 1, dep
             feature[t, n - 1], cut[t, n - 1] = f, cuts[f][b]
             grown |= {(t, 2 * n), (t, 2 * n + 1)}
         live = grown
-    half = 1 if honest else 0
     num_, den_ = np.zeros((trees, size)), np.zeros((trees, size))
-    ends = rows().select("__num", "__den", F.posexplode(F.arrays_zip("__at", "__half")).alias("__t", "__w")).where(f"__w.__half = {half}")
+    ends = rows().select("__num", "__den", F.posexplode(F.arrays_zip("__at", "__half")).alias("__t", "__w")).where(f"__w.__half = {int(honest)}")
     for t, n, a, b, m in ends.groupBy("__t", F.col("__w.__at").alias("__n")).agg(F.sum("__num"), F.sum("__den"), F.count("*")).collect():
         num_[t, n - 1], den_[t, n - 1] = a / m, b / m
     return Forest(x, depth, feature, cut, num_, den_, seed, share, honest)

@@ -99,22 +99,49 @@ def _wide(df: DataFrame, y: str, unit: str, time: str):
     return us, ts, m
 
 
+def _gap(m: np.ndarray, pre: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """(unit ``i`` less its weighted donors by period, the weights of the others)."""
+    others = np.delete(m, i, axis=1)
+    w = simplex(m[pre, i], others[pre])
+    return m[:, i] - others @ w, w
+
+
+def _ratio(gap: np.ndarray, pre: np.ndarray) -> float:
+    return math.sqrt(np.mean(gap[~pre] ** 2) / max(np.mean(gap[pre] ** 2), 1e-300))
+
+
+def _placebos(spark, m: np.ndarray, pre: np.ndarray) -> list[float]:
+    """Every unit's ratio as if it were treated: units are dealt to tasks, the matrix (``MOST_CELLS`` at most) is broadcast."""
+    held = spark.sparkContext.broadcast((m, pre))
+
+    def solve(frames):
+        for f in frames:
+            f["ratio"] = [_ratio(_gap(held.value[0], held.value[1], int(i))[0], held.value[1]) for i in f["id"]]
+            yield f
+
+    parts = min(m.shape[1], 4 * spark.sparkContext.defaultParallelism)
+    try:
+        return [r[1] for r in sorted(spark.range(0, m.shape[1], 1, parts).mapInPandas(solve, "id long, ratio double").collect())]
+    finally:
+        held.unpersist()
+
+
 def synthetic_control(df: DataFrame, y: str, unit: str, time: str, treated, start) -> dict:
-    """Gap between a treated unit and the weighted donors, with placebo ranks of the ratio of post to pre fit."""
+    """Gap between a treated unit and the weighted donors, with placebo ranks of the ratio of post to pre fit.
+
+    The balanced units x periods matrix is bounded; the placebo fits, one per unit, run as tasks.
+    """
     us, ts, m = _wide(df, y, unit, time)
     keep = ~np.isnan(m).any(axis=0)
     us, m = [u for u, k in zip(us, keep) if k], m[:, keep]
     pre = np.array([t < start for t in ts])
-
-    def gap(i: int):
-        others = [j for j in range(len(us)) if j != i]
-        w = simplex(m[pre, i], m[np.ix_(pre, others)])
-        return m[:, i] - m[:, others] @ w, dict(zip([us[j] for j in others], w.tolist()))
-
-    g, w = gap(us.index(treated))
-    ratio = lambda x: math.sqrt(np.mean(x[~pre] ** 2) / max(np.mean(x[pre] ** 2), 1e-300))
-    ratios = [ratio(gap(i)[0]) for i in range(len(us))]
-    return {"att": float(g[~pre].mean()), "weights": w, "gaps": dict(zip(ts, g.tolist())), "p_value": sum(r >= ratio(g) for r in ratios) / len(ratios), "pre_rmse": float(math.sqrt(np.mean(g[pre] ** 2)))}
+    if treated not in us or len(us) < 2 or not pre.any() or pre.all():
+        raise DataInsufficient("the treated unit and a donor need a value in every period, before and after the start")
+    at = us.index(treated)
+    g, w = _gap(m, pre, at)
+    ratios = _placebos(df.sparkSession, m, pre)
+    weights = dict(zip([u for u in us if u != treated], w.tolist()))
+    return {"att": float(g[~pre].mean()), "weights": weights, "gaps": dict(zip(ts, g.tolist())), "p_value": sum(r >= ratios[at] for r in ratios) / len(ratios), "pre_rmse": float(math.sqrt(np.mean(g[pre] ** 2)))}
 
 
 # ---------------------------------------------------------------- summary-data (Mendelian randomisation)

@@ -220,6 +220,11 @@ def test_raking_meets_margins(spark):
 def test_synthetic_control(spark):
     r = series.synthetic_control(simulate.synthetic(spark), "y", "unit", "time", 0, 20)
     assert r["att"] == pytest.approx(3, abs=0.4) and sum(r["weights"].values()) == pytest.approx(1) and r["p_value"] <= 2 / 12
+    us, ts, m = series._wide(simulate.synthetic(spark), "y", "unit", "time")
+    pre = np.array([t < 20 for t in ts])
+    assert series._placebos(spark, m, pre) == pytest.approx([series._ratio(series._gap(m, pre, i)[0], pre) for i in range(len(us))])
+    with pytest.raises(core.DataInsufficient, match="treated unit"):
+        series.synthetic_control(simulate.synthetic(spark), "y", "unit", "time", 99, 20)
 
 
 def test_inequality_bounds(spark):
