@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -271,6 +272,12 @@ def iv(df: DataFrame, y: str, endog: list[str], instruments: list[str], exog: li
     d = usable(df, cols, (cluster,) if cluster else ())
     names = list(cols)
     g = gram(d, names)
+    # all columns around their means: an instrument that varies little about a large mean is not collinear with the constant
+    mean, spread = g.mean, np.diag(g.cross)
+    if (spread[1:] <= 1e-26 * g.n * mean[1:] ** 2).any():
+        raise DataInsufficient("a column is constant or empty")
+    d = d.withColumns({c: F.col(c) - F.lit(m) for c, m in zip(names, mean.tolist())})
+    g = replace(g, mean=np.zeros(len(names)))
     at = {c: i + 1 for i, c in enumerate(names)}
     m = moments(g, list(range(len(names))))
     Y, X, Z = [at["y"]], [0, *[at[c] for c in names if c[0] in "dx"]], [0, *[at[c] for c in names if c[0] in "xz"]]
@@ -313,6 +320,10 @@ def iv(df: DataFrame, y: str, endog: list[str], instruments: list[str], exog: li
     if len(instruments) > len(endog):
         ze = block(Z, Y)[:, 0] - block(Z, X) @ b
         sargan = float(ze @ zz @ ze / (rss / n))
+    shift = np.eye(k)  # the constant at the origin instead of at the means
+    shift[0, 1:] = -mean[[i - 1 for i in X[1:]]]
+    b, v = shift @ b, shift @ v @ shift.T
+    b[0] += mean[0]
     label = dict(zip([*[f"d{i}" for i in range(len(endog))], *[f"x{i}" for i in range(len(exog))]], [*endog, *exog]))
     extra = {"first_stage_f": f_first, "kappa": kappa, "sargan": sargan, "rss": rss}
     return Fit(["Intercept", *[label[names[i - 1]] for i in X[1:]]], b, v, n, float(n - k), extra)

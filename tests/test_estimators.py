@@ -303,3 +303,14 @@ def test_graph_without_triangles(spark):
     assert {r.node: r.component for r in graph.connected(e).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 10: 10, 11: 10}
     assert graph.triangles(e).agg(F.sum("triangles")).first()[0] == 0
     assert graph.pagerank(e).agg(F.sum("rank")).first()[0] == pytest.approx(1)
+
+
+def test_instrument_that_varies_little_about_a_large_mean(spark):
+    rows = [(float(i % 7 + 3 * (i % 5)), float(i % 5 + i % 3), 1e7 + i % 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "y double, d double, z double")
+    far = regression.iv(df, "y", ["d"], ["z"], vcov="HC1")
+    near = regression.iv(df.withColumn("z", F.col("z") - 1e7), "y", ["d"], ["z"], vcov="HC1")
+    for name in ("Intercept", "d"):
+        assert abs(far[name] - near[name]) < 1e-7 and abs(far.stderr(name) - near.stderr(name)) < 1e-7
+    with pytest.raises(core.DataInsufficient):
+        regression.iv(df.withColumn("z", F.lit(0.1)), "y", ["d"], ["z"])

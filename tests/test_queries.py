@@ -20,3 +20,11 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 2
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_bartik_where_the_instrument_varies_little(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql("create view lineitem as select * from '/root/testdata/sf0.1/lineitem.parquet'")
+    same(registry.QUERIES["bartik"](spark, "/root/testdata/sf0.1"), c.sql(registry.ORACLE_SQL["bartik"]))
