@@ -1,6 +1,8 @@
 """Clones, artificial censoring and weights on tables small enough to work out by hand."""
 
 import math
+from functools import reduce
+from operator import add
 
 import pytest
 from abacist.operators import emulation
@@ -43,3 +45,17 @@ def test_nobody_or_everybody_leaves(spark):
     assert emulation.clone_censor_weight(df.where("false"), "id", "t", {"always": F.col("a") == 1}, ["z"]).count() == 0
     with pytest.raises(DataInsufficient, match="every row leaves"):
         emulation.clone_censor_weight(df, "id", "t", {"first": F.col("t") == 0}, ["z"])
+
+
+def test_averages_at_the_bound_itself_are_not_above_it(spark, tmp_path):
+    """Six discounts of 0.05 on average, whose doubles add up to more than 0.30 in this order."""
+    from abacist.plans import depth, registry  # noqa: F401
+
+    bound = [0.05, 0.03, 0.1, 0.03, 0.07, 0.02]
+    assert reduce(add, bound) / 6 > 0.05
+    low = {(0, 0), (0, 1), (2, 1)}
+    rows = [(i, f"{1995 + y}-01-05 00:00:00", 26.0 - 2 * ((i % 3, y) in low), d) for i in range(12) for y in range(3) for d in (bound if i % 2 else [0.06])]
+    df = spark.createDataFrame(rows, "l_suppkey long, l_shipdate string, l_quantity double, l_discount double").coalesce(1)
+    df.withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.QUERIES["clone_censor_weight"](spark, str(tmp_path)).select("i", "z").distinct().collect()
+    assert {(r.i, r.z) for r in got} == {(r.i, 1 - r.i % 2) for r in got} and len(got) > 6
