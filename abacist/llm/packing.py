@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from abacist.llm.common import staged, table
+from abacist.llm.common import small_batches, staged, table
 from abacist.llm.tokens import crc32_of, offsets, token_bytes
 
 LENGTH = 2048
@@ -31,7 +31,8 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 1, length: int = LENG
     unless the last sequence ends at a power of two.  With ``with_ids`` the ids come along.
     With ``in_order`` documents read back from files that Spark wrote keep the order of writing.
     """
-    kept = staged(token_bytes(docs, tokenizer, end_id=end_id, id_col=id_col, text_col=text_col, in_order=in_order), "ids", compression="zstd")
+    with small_batches(docs.sparkSession):
+        kept = staged(token_bytes(docs, tokenizer, end_id=end_id, id_col=id_col, text_col=text_col, in_order=in_order), "ids", compression="zstd")
     before = offsets(kept, "n")
     total = kept.agg(F.sum("n")).first()[0] or 0
     last = total % length

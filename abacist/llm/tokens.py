@@ -206,8 +206,9 @@ def token_bytes(docs: DataFrame, tokenizer: str, *, end_id: int, id_col: str = "
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         part, done, after, end = TaskContext.get().partitionId(), 0, None, np.array([end_id], dtype="<u2").tobytes()
         total, kind = np.zeros(1 << 16, dtype=np.int64), None
+        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker left
         encoder = _loaded(tokenizer)
-        for some in sliced(batches, 1, 1 << 23):
+        for some in sliced(batches, 1, 1 << 21):
             kind = some.column(0).type
             ids, n = encoder.encode(some.column(1))
             if counted:

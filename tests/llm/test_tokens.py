@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from abacist.llm import packing, tokens
 from hypothesis import given, settings
@@ -123,3 +124,14 @@ def test_padding_to_a_power_of_two(spark):
     assert [r.padded for r in packing.pack(one, WORDS).collect()] == [64]
     two = spark.createDataFrame([(1, "a " * 64)], "doc_id long, text string")
     assert [r.padded for r in packing.pack(two, WORDS).collect()] == [2048]
+
+
+def test_small_batches_bound_rows_and_restore_the_setting(spark):
+    from abacist.llm.common import small_batches
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with small_batches(spark, 10):
+        count = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"]) for b in batches)
+        rows = [r.n for r in spark.range(0, 95, 1, 1).mapInArrow(count, "n long").collect()]
+    assert sum(rows) == 95 and max(rows) <= 10 and spark.conf.get(key) == before
