@@ -21,10 +21,15 @@ def _edges(t: Tables):
 PAIRS = "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey"
 
 
-def _pairs(t: Tables):
-    """Parts bought together: in one order."""
+def _met(t: Tables):
+    """Parts bought together: in one order, as often as they are."""
     a, b = (t.lineitem.select("l_orderkey", F.col("l_partkey").alias(c)) for c in ("src", "dst"))
-    return a.join(b, "l_orderkey").where("src < dst").select("src", "dst").distinct()
+    return a.join(b, "l_orderkey").where("src < dst").select("src", "dst")
+
+
+def _pairs(t: Tables):
+    """Parts bought together, each pair once."""
+    return _met(t).distinct()
 
 
 @query("network_degrees", f"WITH e AS ({EDGES}), b AS (SELECT src AS node, 1 o, 0 i, w ow, 0 iw FROM e UNION ALL SELECT dst, 0, 1, 0, w FROM e) SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, sum(ow)::DOUBLE AS out_weight, sum(iw)::DOUBLE AS in_weight FROM b GROUP BY 1")
@@ -51,7 +56,7 @@ REGIONAL = f"SELECT src, dst FROM ({EDGES}) JOIN nation x ON x.n_nationkey = src
 
 @query("triangles", f"WITH {UNDIRECTED.format(edges=PAIRS)}, d AS (SELECT a AS node, count(*) degree FROM s GROUP BY 1), t AS (SELECT x.a AS node, count(*) AS n FROM s x JOIN s y ON x.a = y.a AND x.b < y.b JOIN u z ON z.a = x.b AND z.b = y.b GROUP BY 1) SELECT node, coalesce(n, 0) AS triangles, degree, round(CASE WHEN degree > 1 THEN 2*coalesce(n, 0)/(degree*(degree-1)) ELSE 0 END, 8) AS clustering FROM d LEFT JOIN t USING (node)", 8)
 def _(t):
-    return graph.triangles(_pairs(t))
+    return graph.triangles(_met(t))  # which takes each pair once
 
 
 @query("components", f"WITH RECURSIVE {UNDIRECTED.format(edges=REGIONAL)}, r AS (SELECT a AS node, a AS root FROM s UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.node) SELECT node, min(root) AS component FROM r GROUP BY 1")

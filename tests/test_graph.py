@@ -6,6 +6,7 @@ from collections import deque
 import pytest
 from abacist.operators import graph
 from abacist.operators.core import DataInsufficient
+from pyspark.sql import functions as F
 
 
 def edges(spark, pairs):
@@ -81,3 +82,29 @@ def test_scores_that_do_not_settle_raise(spark):
         graph.pagerank(edges(spark, [(0, 1), (1, 2), (2, 0), (0, 2)]), most=1)
     with pytest.raises(DataInsufficient, match="did not settle"):
         graph.eigenvector_centrality(edges(spark, [(0, 1), (1, 2), (2, 0), (0, 2)]), most=1)
+
+
+def test_triangles_of_hubs_against_all_triples(spark):
+    rng = random.Random(7)
+    pairs = {(rng.randrange(60), rng.randrange(60)) for _ in range(500)} | {(0, i) for i in range(300)} | {(i, i + 1) for i in range(200, 240)}
+    out = {}
+    for a, b in pairs:
+        if a != b:
+            out.setdefault(a, set()).add(b)
+            out.setdefault(b, set()).add(a)
+    want = {v: (sum(len(out[w] & out[v]) for w in out[v]) // 2, len(out[v])) for v in out}
+    got = {r.node: (r.triangles, r.degree) for r in graph.triangles(edges(spark, [*pairs, *pairs])).collect()}
+    assert got == want
+
+
+def test_two_paths_without_a_closing_edge_are_not_shuffled(spark):
+    """Of 45 * 990 two-paths of a bipartite graph none closes: nearly all must go before the look-up."""
+    e = edges(spark, [(i, 1000 + j) for i in range(45) for j in range(45)])
+    o = e.select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    sets = graph._hashed_sets(o)
+    words = {r["__v"]: r.words for r in sets.collect()}
+    assert words.keys() == set(range(45)) and all(len(w) == 6 and any(w) for w in words.values())
+    inside = sets.crossJoin(spark.range(1000, 1045).withColumnRenamed("id", "w")).where(f"({graph.MASK} & words[cast(pmod(xxhash64(w), size(words)) as int)]) = {graph.MASK}")
+    assert inside.count() == 45 * 45
+    outside = sets.crossJoin(spark.range(5000, 6000).withColumnRenamed("id", "w")).where(f"({graph.MASK} & words[cast(pmod(xxhash64(w), size(words)) as int)]) = {graph.MASK}")
+    assert outside.count() < 45 * 150
