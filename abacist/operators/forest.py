@@ -1,7 +1,8 @@
 """Trees grown level by level from sums in bins: regression and causal forests, calibration, ranked effects.
 
-A tree never holds rows: every level of all trees is one aggregation by (tree, node, feature, bin), combined on the map
-side, and its size is bounded by trees, nodes and bins.  Splits come from a window over these sums.
+A tree never holds rows: they are summed once by (tree, half, bins of all features), and every level of all trees is one
+aggregation of these cells by (tree, node, feature, bin).  Where the cells could be too many, a level goes over the rows
+themselves, combined on the map side.  Splits come from a window over the sums.
 """
 
 from __future__ import annotations
@@ -17,10 +18,13 @@ from abacist.functions import dist
 from abacist.functions.columns import clip, uniform
 from abacist.operators.causal import _by_fold, _fold_logit, fold_of
 from abacist.operators.core import DataInsufficient, Fit, grouped_gram, in_cells, merged, names_of, running, solve_ls, usable
+from abacist.operators.panel import written
 from abacist.operators.regression import ols
 
 #: Trees times nodes of the deepest level, at most: what a level's splits bring to the driver.
 MOST_NODES = 100_000
+#: Cells of all trees that rows are summed to, at most; beyond, each level goes over the rows.
+MOST_CELLS = 1_000_000
 
 
 @dataclass
@@ -46,12 +50,17 @@ class Forest:
 
     def predict(self, leaves: Column, key: Column | None = None) -> Column:
         """Sums over trees, divided; with ``key`` only trees that did not draw the row (all, where every tree did)."""
-        num, den, trees = _table(self.num, float), _table(self.den, float), _each(self.feature.shape[0])
+        num, den, names = _table(self.num, float), _table(self.den, float), ("num", "den", "all_num", "all_den")
         pick = lambda table, t: F.element_at(F.element_at(table, t + 1), F.element_at(leaves, t + 1))
-        total = lambda table, used: F.aggregate(trees, F.lit(0.0), lambda s, t: s + F.when(used(t), pick(table, t)).otherwise(F.lit(0.0)))
-        ratio = lambda used: F.when(total(den, used) != 0, total(num, used) / total(den, used))
-        every = ratio(lambda t: F.lit(True))
-        return every if key is None else F.coalesce(ratio(lambda t: ~_drawn(self.seed, t, key, self.share)), every)
+        out = lambda t: ~_drawn(self.seed, t, key, self.share) if key is not None else F.lit(True)
+
+        def add(s: Column, t: Column) -> Column:
+            n, d, free = pick(num, t), pick(den, t), out(t)
+            return F.struct(*[(s[c] + v).alias(c) for c, v in zip(names, (F.when(free, n).otherwise(0.0), F.when(free, d).otherwise(0.0), n, d))])
+
+        ratio = lambda s, of: F.when(s[f"{of}den"] != 0, s[f"{of}num"] / s[f"{of}den"])
+        start = F.struct(*[F.lit(0.0).alias(c) for c in names])
+        return F.aggregate(_each(self.feature.shape[0]), start, add, lambda s: F.coalesce(ratio(s, ""), ratio(s, "all_")))
 
 
 def _each(trees: int) -> Column:
@@ -68,15 +77,15 @@ def _drawn(seed: int, tree, key: Column, share: float) -> Column:
 
 
 def _leaves(feature: np.ndarray, cut: np.ndarray, depth: int, x: list[Column]) -> Column:
-    """The node that a row ends in, by tree: from the root, one level a step of a fold."""
+    """The node that a row ends in, by tree."""
     values, at, over = F.array(*[c.cast("double") for c in x]), _table(feature, int), _table(cut, float)
+    return F.transform(_each(len(feature)), lambda t: _walk(F.element_at(at, t + 1), F.element_at(over, t + 1), depth, values))
 
-    def walk(t: Column) -> Column:
-        f, c = F.element_at(at, t + 1), F.element_at(over, t + 1)
-        step = lambda node, _: F.when(F.element_at(f, node) < 0, node).otherwise(2 * node + (F.element_at(values, F.element_at(f, node) + 1) > F.element_at(c, node)).cast("int"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), step)
 
-    return F.transform(_each(len(feature)), walk)
+def _walk(f: Column, c: Column, depth: int, values: Column) -> Column:
+    """The node of ``values`` in a tree of features and cuts: from the root, one level a step of a fold."""
+    step = lambda node, _: F.when(F.element_at(f, node) < 0, node).otherwise(2 * node + (F.element_at(values, F.element_at(f, node) + 1) > F.element_at(c, node)).cast("int"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), step)
 
 
 def edges(df: DataFrame, x: list[str], bins: int = 32) -> list[list[float]]:
@@ -101,23 +110,32 @@ def grow(df: DataFrame, num: str, den: str, x: list[str], *, trees: int = 1, dep
     cuts = cuts or edges(d, [f"__x{i}" for i in range(len(x))], bins)
     size = 2 ** (depth + 1) - 1
     feature, cut = np.full((trees, size), -1), np.zeros((trees, size))
-    values = [F.col(f"__x{i}") for i in range(len(x))]
-    spot = [sum(((F.col(f"__x{i}") > F.lit(c)).cast("int") for c in cs), F.lit(0)) for i, cs in enumerate(cuts)]
-    binned = d.select("*", F.array(*spot).alias("__bins"))
+    place = np.zeros((trees, size))  # the cuts by their number
+    B = [f"__b{i}" for i in range(len(x))]
+    spot = [sum(((F.col(f"__x{i}") > F.lit(c)).cast("int") for c in cs), F.lit(0)).alias(b) for i, (b, cs) in enumerate(zip(B, cuts))]
     who = F.col(key) if key else F.lit(0)
     half = lambda t: F.when(uniform(seed, F.lit("half"), t, who) < 0.5, 0).otherwise(1) if honest else F.lit(0)
-    d = binned.withColumn("__half", F.transform(_each(trees), lambda t: F.when(_drawn(seed, t, who, share), half(t))))
-    rows = lambda: d.select("__num", "__den", "__bins", "__half", _leaves(feature, cut, depth, values).alias("__at"))
+    drawn = F.transform(_each(trees), lambda t: F.when(_drawn(seed, t, who, share), half(t)))
+    cells = d.select("__num", "__den", *spot, F.posexplode(drawn).alias("__t", "__half")).where("__half is not null")
+    if 2 * trees * math.prod(len(c) + 1 for c in cuts) <= MOST_CELLS:
+        cells = written(cells.groupBy("__t", "__half", *B).agg(F.count("*").alias("__m"), F.sum("__num").alias("__num"), F.sum("__den").alias("__den")), df.sparkSession)
+    else:
+        cells = cells.withColumn("__m", F.lit(1))
+    cells = cells.withColumn("__bins", F.array(*B))
+
+    def placed(part: int) -> DataFrame:
+        f, c = (F.element_at(_table(v, int), F.col("__t") + 1) for v in (feature, place))
+        return cells.where(f"__half = {part}").withColumn("__n", _walk(f, c, depth, F.col("__bins")))
+
     live: set[tuple[int, int]] = {(t, 1) for t in range(trees)}
     for level in range(depth):
         if not live:
             break
-        long = rows().select("__num", "__den", "__bins", F.posexplode(F.arrays_zip("__at", "__half")).alias("__t", "__w")).where(f"__w.__half = 0 and __w.__at >= {2**level}")
-        long = long.select("__num", "__den", "__t", F.col("__w.__at").alias("__n"), F.posexplode("__bins").alias("__f", "__b"))
+        long = placed(0).where(f"__n >= {2**level}").select("__m", "__num", "__den", "__t", "__n", F.posexplode("__bins").alias("__f", "__b"))
         if features and features < len(x):
             rank = lambda f: uniform(seed, F.lit("features"), F.col("__t"), F.col("__n"), f)
             ahead = sum(((rank(F.lit(j)) < rank(F.col("__f"))).cast("int") for j in range(len(x))), F.lit(0))
-        sums = long.groupBy("__t", "__n", "__f", "__b").agg(F.count("*").alias("m"), F.sum("__num").alias("a"), F.sum("__den").alias("b"))
+        sums = long.groupBy("__t", "__n", "__f", "__b").agg(F.sum("__m").alias("m"), F.sum("__num").alias("a"), F.sum("__den").alias("b"))
         group = Window.partitionBy("__t", "__n", "__f")
         upto = group.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
         both = sums.select("__t", "__n", "__f", "__b", *[F.sum(c).over(w).alias(f"{p}{c}") for p, w in (("l", upto), ("t", group)) for c in ("m", "a", "b")])
@@ -130,12 +148,11 @@ def grow(df: DataFrame, num: str, den: str, x: list[str], *, trees: int = 1, dep
         grown = set()
         for t, n, s in first.collect():  # a row per node, bounded above
             f, b = -s[1], -s[2]
-            feature[t, n - 1], cut[t, n - 1] = f, cuts[f][b]
+            feature[t, n - 1], cut[t, n - 1], place[t, n - 1] = f, cuts[f][b], b
             grown |= {(t, 2 * n), (t, 2 * n + 1)}
         live = grown
     num_, den_ = np.zeros((trees, size)), np.zeros((trees, size))
-    ends = rows().select("__num", "__den", F.posexplode(F.arrays_zip("__at", "__half")).alias("__t", "__w")).where(f"__w.__half = {int(honest)}")
-    for t, n, a, b, m in ends.groupBy("__t", F.col("__w.__at").alias("__n")).agg(F.sum("__num"), F.sum("__den"), F.count("*")).collect():
+    for t, n, a, b, m in placed(int(honest)).groupBy("__t", "__n").agg(F.sum("__num"), F.sum("__den"), F.sum("__m")).collect():
         num_[t, n - 1], den_[t, n - 1] = a / m, b / m
     return Forest(x, depth, feature, cut, num_, den_, seed, share, honest)
 
@@ -143,7 +160,7 @@ def grow(df: DataFrame, num: str, den: str, x: list[str], *, trees: int = 1, dep
 # ---------------------------------------------------------------- causal forests
 def residuals(df: DataFrame, y: str, treat: str, x: list[str], key: str, folds: int = 5, seed: int = 0, trim: float = 0.01) -> DataFrame:
     """Usable rows with ``__m``, ``__e`` (mean outcome and chance of treatment from other folds) and ``__score``,
-    the doubly robust effect of each row; outcome models by arm, treatment by logit."""
+    the doubly robust effect of each row; outcome models by arm, treatment by logit.  They are written once."""
     d = usable(df, names_of([y, treat, *x]), (key,)).withColumn("__f", fold_of(folds, seed, F.col(key)))
     g = grouped_gram(d, [y, *x], ["__f", treat])
     rest = lambda f, v: merged([p for (h, t), p in g.items() if h != f and t == v])
@@ -153,7 +170,7 @@ def residuals(df: DataFrame, y: str, treat: str, x: list[str], key: str, folds:
     d = d.withColumn("__m", F.expr("__e * __m1 + (1 - __e) * __m0"))
     t, v = F.col(treat), F.col(y)
     score = F.col("__m1") - F.col("__m0") + t * (v - F.col("__m1")) / F.col("__e") - (1 - t) * (v - F.col("__m0")) / (1 - F.col("__e"))
-    return d.withColumn("__score", score).drop("__f", "__m1", "__m0")
+    return written(d.withColumn("__score", score).drop("__f", "__m1", "__m0"), df.sparkSession)
 
 
 def causal_forest(df: DataFrame, y: str, treat: str, x: list[str], key: str, *, trees: int = 20, depth: int = 4, least: int = 20, bins: int = 32, share: float = 0.5, features: int | None = None, folds: int = 5, seed: int = 0) -> tuple[DataFrame, Forest]:
@@ -162,8 +179,9 @@ def causal_forest(df: DataFrame, y: str, treat: str, x: list[str], key: str, *,
     u, v = F.col(y) - F.col("__m"), F.col(treat) - F.col("__e")
     d = d.withColumns({"__uv": u * v, "__vv": v * v})
     forest = grow(d, "__uv", "__vv", x, trees=trees, depth=depth, least=least, bins=bins, key=key, share=share, honest=True, features=features, seed=seed)
-    d = d.withColumn("__leaf", forest.leaves({c: F.col(c) for c in x}))
-    return d.withColumn("effect", forest.predict(F.col("__leaf"), F.col(key))).drop("__leaf", "__uv", "__vv"), forest
+    d = d.drop("__uv", "__vv").withColumn("__leaf", forest.leaves({c: F.col(c) for c in x}))
+    # what is told of the effects reads them several times
+    return written(d.withColumn("effect", forest.predict(F.col("__leaf"), F.col(key))).drop("__leaf"), df.sparkSession), forest
 
 
 def calibration(df: DataFrame, y: str, treat: str, effect: str = "effect") -> Fit:

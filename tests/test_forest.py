@@ -119,3 +119,15 @@ def test_ranked_effect(spark, target):
         forest.ranked_effect(df, "s", "p", "none")
     with pytest.raises(DataInsufficient):
         forest.ranked_effect(df.where("p > 100"), "s", "p", target)
+
+
+@pytest.mark.parametrize("bound", [forest.MOST_CELLS, 0])
+def test_rows_are_read_once_and_cells_equal_rows(spark, monkeypatch, bound):
+    X, t, y = data(300)
+    written, tables = forest.written, []
+    monkeypatch.setattr(forest, "written", lambda df, s: tables.append(written(df, s)) or tables[-1])
+    monkeypatch.setattr(forest, "MOST_CELLS", bound)
+    f = forest.grow(frame(spark, X, t, y), "y", "one", ["a", "b", "c"], depth=4, least=15, cuts=CUTS)
+    assert splits(f) == search(y, np.ones(len(y)), X, CUTS, 4, 15)
+    # sums by bins, so that no level goes over the rows again
+    assert [v.agg(F.sum("__m")).first()[0] for v in tables] == ([300] if bound else [])
