@@ -356,39 +356,64 @@ def communities(edges: DataFrame, *, resolution: float = 1.0, rounds: int = 100)
         return e.select(F.col("src").alias("node"), F.col("src").alias("community"))
     names = written(e.select(F.col("src").alias("node")).distinct().select("node", F.col("node").alias("community")), spark)
 
-    def score(e: DataFrame, at: DataFrame) -> float:
-        c = at.select(F.col("node").alias("__n"), F.col("c").alias("__c"))
-        own = e.join(at, F.col("src") == F.col("node")).join(c, F.col("dst") == F.col("__n"))
-        inside = own.agg(F.sum(F.when(F.col("c") == F.col("__c"), F.col("w")).otherwise(0.0))).first()[0]
-        return inside / total - resolution * at.groupBy("c").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") ** 2)).first()[0] / total**2
+    def weighed(e: DataFrame, at: DataFrame) -> tuple[DataFrame, float, bool]:
+        """(node, k, c, best community, whether it wants to go there), modularity of ``at``, whether any does; ``e`` has the degree ``k`` of src."""
+        size = at.groupBy("c").agg(F.sum("k").alias("size"))
+        at = at.join(size, "c").select("node", "k", "c", "size")
+        links = e.join(at.select(F.col("node").alias("dst"), "c", "size"), "dst").select(F.col("src").alias("node"), "k", "c", "size", F.col("w").alias("to"), F.lit(False).alias("stay"))
+        # a node's own community without itself, which it may have no link to
+        every = links.unionByName(at.select("node", "k", "c", "size", F.lit(0.0).alias("to"), F.lit(True).alias("stay")))
+        every = every.groupBy("node", "c").agg(F.max("k").alias("k"), F.max("size").alias("size"), F.sum("to").alias("to"), F.max("stay").alias("stay"))
+        gain = F.col("to") - resolution * F.col("k") * (F.col("size") - F.when(F.col("stay"), F.col("k")).otherwise(0.0)) / total
+        own = F.struct("gain", "c", "to", "size")
+        pick = every.withColumn("gain", gain).groupBy("node").agg(F.max("k").alias("k"), F.max(F.struct("gain", "stay", "c")).alias("b"), F.max(F.when(F.col("stay"), own)).alias("own"))
+        wants = F.col("b.gain") > F.col("own.gain") + 1e-12 * total
+        t = written(pick.select("node", "k", F.col("own.c").alias("c"), F.col("b.c").alias("best"), wants.alias("wants"), F.col("own.to").alias("to"), F.col("own.size").alias("size")), spark)
+        inside, squares, some = t.agg(F.sum("to"), F.sum(F.col("k") * F.col("size")), F.max("wants")).first()
+        return t, inside / total - resolution * squares / total**2, bool(some)
+
+    def moved(r: int):
+        """Community of each row of ``weighed`` after the draw of round ``r``."""
+        return F.when(F.col("wants") & (F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0), F.col("best")).otherwise(F.col("c"))
+
+    def scores(e: DataFrame, t: DataFrame, draws: list[int]) -> list[float]:
+        """Modularity after each of the draws, in one job."""
+        at = t.select("node", "k", F.array(*[moved(r) for r in draws]).alias("c"))
+        both = e.join(at.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(at.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst")
+        inside = both.agg(F.array(*[F.sum(F.when(F.col("cs")[i] == F.col("cd")[i], F.col("w")).otherwise(0.0)) for i in range(len(draws))]).alias("inside"))
+        sizes = at.select("k", F.posexplode("c").alias("i", "c")).groupBy("i", "c").agg(F.sum("k").alias("k"))
+        squares = sizes.agg(F.array(*[F.sum(F.when(F.col("i") == i, F.col("k") ** 2).otherwise(0.0)) for i in range(len(draws))]).alias("squares"))
+        inside, squares = inside.crossJoin(squares).first()  # a row each
+        # links of a node to itself do not change
+        return [(a + alone) / total - resolution * q / total**2 for a, q in zip(inside, squares)]
 
     def local(e: DataFrame) -> tuple[DataFrame, bool]:
-        degree = e.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"))
-        at = written(degree.select("node", "k", F.col("node").alias("c")), spark)
-        best, rose, still = score(e, at), False, 0
-        for r in range(rounds):
-            links = e.where("src <> dst").join(at.select(F.col("node").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("node"), "c").agg(F.sum("w").alias("to"))
-            size = at.groupBy("c").agg(F.sum("k").alias("size"))
-            mine = at.select("node", "k", F.col("c").alias("own"))
-            # a node's own community without itself, which it may have no link to
-            every = links.unionByName(mine.select("node", F.col("own").alias("c"), F.lit(0.0).alias("to"))).groupBy("node", "c").agg(F.sum("to").alias("to"))
-            every = every.join(mine, "node").join(size, "c")
-            gain = F.col("to") - resolution * F.col("k") * (F.col("size") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / total
-            pick = every.withColumn("gain", gain).groupBy("node", "k", "own").agg(F.max(F.struct(F.col("gain"), (F.col("c") == F.col("own")).alias("stay"), F.col("c"))).alias("b"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("now"))
-            wants = F.col("b.gain") > F.col("now") + 1e-12 * total
-            drawn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
-            pick = written(pick.select("node", "k", "own", wants.alias("wants"), F.when(wants & drawn, F.col("b.c")).otherwise(F.col("own")).alias("c")), spark)
-            if not pick.where("wants").limit(1).count():
-                return at, rose
-            new = score(e, pick)
-            if new > best + 1e-12:
-                at, best, rose, still = pick.select("node", "k", "c"), new, True, 0
-            else:
-                still += 1
-                if still == 10:  # ten draws in a row: what single nodes gain, they lose together
-                    return at, rose
+        nonlocal alone
+        degree = written(e.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")), spark)
+        alone = e.where("src = dst").agg(F.sum("w")).first()[0] or 0.0
+        e = written(e.where("src <> dst").join(degree.withColumnRenamed("node", "src"), "src"), spark)
+        t, best, some = weighed(e, degree.select("node", "k", F.col("node").alias("c")))
+        best, rose, r = best + alone / total, False, 0
+        while r < rounds:
+            if not some:
+                return t, rose
+            after, new, more = weighed(e, t.select("node", "k", moved(r).alias("c")))
+            new, r = new + alone / total, r + 1
+            if new <= best + 1e-12:
+                # nine more draws: if none rises, what single nodes gain, they lose together
+                draws = list(range(r, min(r + 9, rounds)))
+                rises = [i for i, v in zip(draws, scores(e, t, draws) if draws else []) if v > best + 1e-12]
+                if not rises:
+                    if len(draws) < 9:
+                        break
+                    return t, rose
+                r = rises[0] + 1
+                after, new, more = weighed(e, t.select("node", "k", moved(rises[0]).alias("c")))
+                new += alone / total
+            t, best, some, rose = after, new, more, True
         raise DataInsufficient(f"communities did not settle in {rounds} rounds")
 
+    alone = 0.0
     while True:
         at, rose = local(e)
         if not rose:

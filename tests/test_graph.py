@@ -108,3 +108,16 @@ def test_two_paths_without_a_closing_edge_are_not_shuffled(spark):
     assert inside.count() == 45 * 45
     outside = sets.crossJoin(spark.range(5000, 6000).withColumnRenamed("id", "w")).where(f"({graph.MASK} & words[cast(pmod(xxhash64(w), size(words)) as int)]) = {graph.MASK}")
     assert outside.count() < 45 * 150
+
+
+def test_communities_take_few_jobs_a_round(spark):
+    rng = random.Random(3)
+    links = [(a, b) for a in range(40) for b in range(a + 1, 40) if rng.random() < (0.5 if a // 8 == b // 8 else 0.06)]
+    tracker = spark.sparkContext.statusTracker()
+    e = edges(spark, links).cache()
+    before = len(tracker.getJobIdsForGroup())
+    got = graph.communities(e).collect()
+    assert len(got) == 40 and 2 < len({r.community for r in got}) < 9
+    # a table and its sums a round; draws that do not rise are scored together
+    assert len(tracker.getJobIdsForGroup()) - before < 230
+    e.unpersist()
