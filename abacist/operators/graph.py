@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from abacist.functions import dist
 from abacist.functions.columns import num
 from abacist.operators.core import DataInsufficient
-from abacist.operators.panel import written
+from abacist.operators.panel import discard, written
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -289,9 +289,52 @@ def hits(edges: DataFrame, tol: float = 1e-9, most: int = 200) -> DataFrame:
     return h.withColumnRenamed("x", "hub").join(a.withColumnRenamed("x", "authority"), "node")
 
 
+def _words(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(word, nodes): ``sources`` dealt to words of at most 64, each of one component; a source's bit is its place in ``nodes``.
+
+    Lists come from small groups by hash, so no task holds a component.
+    """
+    part = connected(edges.select("src", "dst"))
+    own = sources.select("node").dropna().distinct().join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    many = own.groupBy("component").agg(F.ceil(F.count("*") / 48).alias("m"))
+    dealt = own.join(many, "component").groupBy("component", F.pmod(F.xxhash64("node"), F.col("m")).alias("h")).agg(F.collect_list("node").alias("ns"))
+    cut = dealt.select(F.explode(F.transform(F.sequence(F.lit(0), F.expr("cast((size(ns) - 1) div 64 as int)")), lambda i: F.slice("ns", i * 64 + 1, 64))).alias("nodes"))
+    return written(cut.select(F.monotonically_increasing_id().alias("word"), "nodes"), edges.sparkSession)
+
+
+def _bit_levels(edges: DataFrame, words: DataFrame):
+    """Written tables (word, node, bits), one a level: ``node`` is reached first at this level by the word's sources in ``bits``.
+
+    All sources search at once, a level a round.  The bits seen so far are one table, which each round replaces.
+    """
+    spark = edges.sparkSession
+    e = written(edges.select("src", "dst").distinct(), spark)
+    bit = F.expr("shiftleft(1L, at)")
+    edge = written(words.select("word", F.posexplode("nodes").alias("at", "node")).select("word", "node", bit.alias("bits")), spark)
+    seen = written(edge, spark)
+    while not edge.isEmpty():
+        yield edge
+        near = edge.join(e, edge["node"] == e["src"]).groupBy("word", F.col("dst").alias("node")).agg(F.bit_or("bits").alias("near"))
+        both = written(seen.join(near, ["word", "node"], "full").select("word", "node", F.coalesce("bits", F.lit(0)).alias("old"), F.coalesce("near", F.lit(0)).alias("near")), spark)
+        discard(seen)
+        fresh = F.col("near").bitwiseAND(F.bitwise_not("old"))
+        edge = written(both.select("word", "node", fresh.alias("bits")).where("bits <> 0"), spark)
+        seen = written(both.select("word", "node", F.col("old").bitwiseOR(F.col("near")).alias("bits")), spark)
+        discard(both)
+    discard(seen)
+
+
 def path_lengths(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source, node, steps): links on the shortest directed path from each of ``sources`` (node); unreachable nodes have no row."""
-    return counted_paths(edges, sources).select("source", "node", "steps")
+    """(source, node, steps): links on the shortest directed path from each of ``sources`` (node); unreachable nodes have no row.
+
+    Levels stay as bits by word of sources; pairs are spelt out only as the result is read.
+    """
+    words = _words(edges, sources)
+    levels = [t.select("word", "node", "bits", F.lit(k).alias("steps")) for k, t in enumerate(_bit_levels(edges, words))]
+    if not levels:
+        return sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("steps")).where("false")
+    met = reduce(DataFrame.unionByName, levels).join(words, "word").select("bits", "node", "steps", F.posexplode("nodes").alias("at", "source"))
+    return met.where("shiftrightunsigned(bits, at) & 1L = 1L").select("source", "node", "steps")
 
 
 def counted_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -311,7 +354,12 @@ def counted_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
             near = near.join(seen.select("source", "node"), ["source", "node"], "left_anti")
         edge = written(near.select("source", "node", F.lit(k).alias("steps"), "paths"), spark)
         # not a table of its own for every level
-        levels = [*levels, edge] if len(levels) < 4 else [written(reduce(DataFrame.unionByName, levels), spark), edge]
+        if len(levels) < 4:
+            levels = [*levels, edge]
+        else:
+            old, levels = levels, [written(reduce(DataFrame.unionByName, levels), spark), edge]
+            for t in old:
+                discard(t)
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -429,7 +477,18 @@ def communities(edges: DataFrame, *, resolution: float = 1.0, rounds: int = 100)
 def closeness(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(node, closeness) of ``sources`` by outgoing paths, scaled by the share of nodes they reach."""
     n = edges.select(F.explode(F.array("src", "dst")).alias("v")).agg(F.count_distinct("v")).first()[0]
-    p = path_lengths(edges, sources).where("steps > 0").groupBy(F.col("source").alias("node")).agg(F.count("*").alias("r"), F.sum("steps").alias("s"))
+    spark, words, levels = edges.sparkSession, _words(edges, sources), []
+    for k, t in enumerate(_bit_levels(edges, words)):
+        if k:  # how many nodes each of a word's sources reaches at this level
+            counts = F.array(*[F.sum(F.expr(f"shiftrightunsigned(bits, {i}) & 1L")) for i in range(64)])
+            levels.append(written(t.groupBy("word").agg(counts.alias("counts")).select("word", "counts", F.lit(k).alias("steps")), spark))
+            discard(before)
+        before = t
+    if not levels:
+        return sources.select("node", F.lit(0.0).alias("closeness")).where("false")
+    per = reduce(DataFrame.unionByName, levels).select("word", "steps", F.posexplode("counts").alias("at", "m")).where("m > 0")
+    per = per.groupBy("word", "at").agg(F.sum("m").alias("r"), F.sum(F.col("m") * F.col("steps")).alias("s"))
+    p = words.select("word", F.posexplode("nodes").alias("at", "node")).join(per, ["word", "at"])
     return p.select("node", (F.col("r") / F.col("s") * F.col("r") / (n - 1)).alias("closeness"))
 
 

@@ -25,7 +25,17 @@ def written(df: DataFrame, spark) -> DataFrame:
     path = f"{root.rstrip('/')}/abacist/rounds-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``written`` that no later step reads."""
+    spark, path = df.sparkSession, df._written_to
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _made.remove(path)
 
 
 def _release() -> None:

@@ -4,7 +4,7 @@ import random
 from collections import deque
 
 import pytest
-from abacist.operators import graph
+from abacist.operators import graph, panel
 from abacist.operators.core import DataInsufficient
 from pyspark.sql import functions as F
 
@@ -121,3 +121,25 @@ def test_communities_take_few_jobs_a_round(spark):
     # a table and its sums a round; draws that do not rise are scored together
     assert len(tracker.getJobIdsForGroup()) - before < 230
     e.unpersist()
+
+
+def test_searches_of_many_sources_leave_no_table_of_pairs(spark):
+    r = random.Random(5)
+    out = {a: {b for b in (r.randrange(100) for _ in range(4)) if b != a} for a in range(100)}
+    want = {}
+    for s in out:
+        q, want[s, s] = deque([s]), 0
+        while q:
+            v = q.popleft()
+            for w in out[v]:
+                if (s, w) not in want:
+                    want[s, w] = want[s, v] + 1
+                    q.append(w)
+    e, nodes = edges(spark, [(a, b) for a in out for b in out[a]]), spark.createDataFrame([(a,) for a in out], "node long")
+    before = len(panel._made)
+    got = {x.node: x.closeness for x in graph.closeness(e, nodes).collect()}
+    left = sum(spark.read.parquet(p).count() for p in panel._made[before:])
+    far = {s: [v for (a, b), v in want.items() if a == s and v] for s in out}
+    assert got == pytest.approx({s: len(v) / sum(v) * len(v) / 99 for s, v in far.items() if v})
+    assert left < len(want) / 3
+    assert {(x.source, x.node): x.steps for x in graph.path_lengths(e, nodes).collect()} == want
