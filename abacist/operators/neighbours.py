@@ -3,23 +3,29 @@
 Points lie in a grid whose cuts are quantiles along the principal axes of the data, at most three of
 them, so that cells hold about as many points each.  A query looks at a block of cells around its own.
 It is done once its k-th distance is shorter than the way out of the block; otherwise the block grows to
-hold that distance, or to twice its reach if fewer than k points were met, and only the new cells are
-looked at.  No query meets all points unless its block has to hold them all.
+hold that distance, or to twice its reach if fewer than k points were met.  No query meets all points
+unless its block has to hold them all.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from abacist.operators.core import DataInsufficient, Fit, gram
 from abacist.operators.panel import written
 
 #: Dimensions of the grid and cuts of one dimension, at most; points of a cell, about.
 AXES, CUTS, IN_CELL = 3, 200, 64
+#: Distances that a task holds at a time.
+ENTRIES = 1 << 20
 
 
 def metric(points: DataFrame, cols: list[str], kind: str = "euclidean", weights: list[float] | None = None) -> np.ndarray:
@@ -45,22 +51,84 @@ def _cell(df: DataFrame, cuts: list[list[float]], values: list[str], into: list[
     return Bucketizer(splitsArray=[[-math.inf, *c, math.inf] for c in cuts], inputCols=values, outputCols=into).transform(df)
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, cols: list[str], *, query_id: str, point_id: str | None = None, m: np.ndarray | None = None, apart: bool = False) -> DataFrame:
-    """The ``k`` nearest points of each query: (query, rank, point, distance); ties by smaller point id.
+def _smallest(square: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` smallest values of each row in rising order, ties by column."""
+    if square.shape[1] <= k:
+        return np.argsort(square, axis=1, kind="stable")
+    some = np.sort(np.argpartition(square, k - 1, axis=1)[:, :k], axis=1)
+    value = np.take_along_axis(square, some, 1)
+    some = np.take_along_axis(some, np.argsort(value, axis=1, kind="stable"), 1)
+    tied = (square <= value.max(1)[:, None]).sum(1) > k
+    if tied.any():
+        some[tied] = np.argsort(square[tied], axis=1, kind="stable")[:, :k]
+    return some
 
-    Rows with a null in the columns or the id take no part.  With ``apart`` a point does not count as its own
-    neighbour.  A query meets fewer than ``k`` points only where there are no more.  Ids must not repeat.
+
+class _Block:
+    """The nearest points of one cell's places, while points arrive in the order of their ids."""
+
+    def __init__(self, k: int, d: int, rows: pa.Schema):
+        self.k, self.d, self.asked, self.at = k, d, [], None
+        self.held = pa.RecordBatch.from_pylist([], rows)
+
+    def meet(self, points: pa.RecordBatch) -> None:
+        """``points``: coordinates first, then what is kept of a point."""
+        if self.at is None:
+            self.at = np.concatenate([np.column_stack([b.column(i).to_numpy() for i in range(self.d)]) for b in self.asked])
+            self.square, self.index = np.full((len(self.at), 0), 0.0), np.full((len(self.at), 0), 0)
+        p = np.column_stack([points.column(i).to_numpy() for i in range(self.d)])
+        first = self.held.num_rows
+        kept = points.select(range(self.d, points.num_columns))
+        self.held = pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]) for a, b in zip(self.held.columns, kept.columns)], schema=self.held.schema)
+        step, squares, indices = max(1, ENTRIES // len(p)), [], []
+        for s in range(0, len(self.at), step):
+            own = slice(s, s + step)
+            found = sum(((self.at[own, i, None] - p[None, :, i]) ** 2 for i in range(self.d)), 0.0)
+            found = np.hstack([self.square[own], found])
+            best = _smallest(found, self.k)
+            index = np.hstack([self.index[own], np.broadcast_to(np.arange(first, first + len(p)), (len(found), len(p)))])
+            squares.append(np.take_along_axis(found, best, 1))
+            indices.append(np.take_along_axis(index, best, 1))
+        self.square, self.index = np.vstack(squares), np.vstack(indices)
+        if self.held.num_rows > self.index.size:
+            used, place = np.unique(self.index, return_inverse=True)
+            self.held, self.index = self.held.take(pa.array(used)), place.reshape(self.index.shape)
+
+    def rows(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for b in self.asked:
+            n, m = b.num_rows, 0 if self.at is None else self.index.shape[1]
+            index, square = (self.index[at : at + n], self.square[at : at + n]) if m else (np.zeros((n, 0), int), np.zeros((n, 0)))
+            kept = self.held.take(pa.array(index.ravel(), pa.int64()))
+            kind = schema.field("near").type
+            item = pa.StructArray.from_arrays([pa.array(square.ravel(), pa.float64()), *[c.cast(kind.value_type.field(i + 1).type) for i, c in enumerate(kept.columns)]], fields=[kind.value_type.field(i) for i in range(kind.value_type.num_fields)])
+            near = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * m, pa.int32()), item, type=kind)
+            far = pa.array(square[:, -1], pa.float64()) if m else pa.nulls(n, pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(n, m), pa.int32()), far, near], schema=schema)
+            at += n
+
+
+def placed(queries: DataFrame, points: DataFrame, k: int, cols: list[str], *, query_id: str, point_id: str | None = None, m: np.ndarray | None = None, more: list[str] = []) -> DataFrame:
+    """(__z0, __z1 ..., near) of each distinct place of the queries, M x: the ``k`` nearest points as (square, point, columns ``more``), ties by smaller id.
+
+    Of the points at one place only the ``k`` smallest ids take part, as no other can be among the nearest, and a place is
+    searched once however many queries lie there.  A cell's places meet the points of the blocks they look at in one task,
+    which reads them batch by batch and keeps ``k`` for each place, so that no pairs are shuffled or sorted.
     """
     spark, point_id = points.sparkSession, point_id or query_id
     m = np.eye(len(cols)) if m is None else m
-    d, Z = len(m), [f"z{i}" for i in range(len(m))]
-    plain = lambda df, i: df.select(F.col(i).alias("__id"), *[F.col(c).cast("double").alias(c) for c in cols]).dropna().select("__id", *_times(m, cols, "z"))
-    p, q = plain(points, point_id), plain(queries, query_id)
-    kind = points.schema[point_id].dataType.simpleString()
+    d, Z = len(m), [f"__z{i}" for i in range(len(m))]
+    kept = ["point", *[f"v{i}" for i in range(len(more))]]
+    p = points.select(F.col(point_id).alias("point"), *[F.col(c).alias(v) for c, v in zip(more, kept[1:])], *[F.col(c).cast("double").alias(f"__{c}") for c in cols]).dropna(subset=["point", *[f"__{c}" for c in cols]])
+    p = p.select(*kept, *_times(m, [f"__{c}" for c in cols], "__z"))
+    p = written(p.withColumn("__r", F.row_number().over(Window.partitionBy(*Z).orderBy("point"))).where(F.col("__r") <= k).drop("__r"), spark)
+    places = _plain(queries, query_id, cols, m).select(*Z).distinct()
+    item = T.StructType([T.StructField("square", T.DoubleType()), *[T.StructField(c, p.schema[v].dataType) for c, v in zip(["point", *more], kept)]])
+    result = T.StructType([*[T.StructField(z, T.DoubleType()) for z in Z], T.StructField("near", T.ArrayType(item))])
     try:
         g = gram(p, Z)
     except DataInsufficient:
-        return spark.createDataFrame([], f"query {queries.schema[query_id].dataType.simpleString()}, rank int, point {kind}, distance double")
+        return spark.createDataFrame([], result)
     axes = np.linalg.eigh(g.cross)[1].T[::-1][: min(d, AXES)]
     A, turn = [f"a{i}" for i in range(len(axes))], lambda df: df.select("*", *_times(axes, Z, "a"))
     n = min(CUTS, max(1, round((g.rows / max(IN_CELL, 4 * k)) ** (1 / len(axes)))))
@@ -68,55 +136,95 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, cols: list[str], *, q
     found = p.agg(*[F.percentile_approx(a, [i / n for i in range(1, n)] or [0.5], 100 * n) for a in A]).first()
     cuts = [sorted({float(x) for x in c}) for c in found]
     C, LO, HI = ([f"{x}{i}" for i in range(len(axes))] for x in ("c", "lo", "hi"))
-    cell = F.struct(*[F.col(c).cast("int").alias(c) for c in C])
-    p = written(_cell(p, cuts, A, C).select(F.col("__id").alias("point"), *[F.col(z).alias(f"p{z}") for z in Z], cell.alias("cell")), spark)
+    cell = sum((F.col(c).cast("long") * (CUTS + 1) ** i for i, c in enumerate(C)), F.lit(0).cast("long"))
+    p = written(_cell(p, cuts, A, C).select(*Z, *kept, cell.alias("cell")), spark)
     most = [len(c) for c in cuts]
     edge = [F.array(*[F.lit(x) for x in [-math.inf, *c, math.inf]]) for c in cuts]
     inside = lambda c, i: F.least(F.greatest(c, F.lit(0)), F.lit(most[i]))
-    start = _cell(turn(q), cuts, A, C)
-    start = start.select("__id", *Z, *A, *[inside(F.col(c).cast("int") - 1, i).alias(LO[i]) for i, c in enumerate(C)], *[inside(F.col(c).cast("int") + 1, i).alias(HI[i]) for i, c in enumerate(C)])
-    # the block that was looked at before: none
-    open_ = start.select("*", *[F.lit(0).alias(f"w{x}") for x in LO], *[F.lit(-1).alias(f"w{x}") for x in HI])
-    best, done, first = None, None, Window.partitionBy("query").orderBy("square", "point")
+    open_ = _cell(turn(places), cuts, A, C)
+    around = [inside(F.col(c).cast("int") + s, i).alias(x[i]) for s, x in ((-1, LO), (1, HI)) for i, c in enumerate(C)]
+    open_ = written(open_.select(*Z, cell.alias("home"), *around), spark)
+    state, asked = [*Z, "home", *LO, *HI], ["home", "__kind", *Z, *LO, *HI, *kept]
+    schema = T.StructType([*[open_.schema[c] for c in state], T.StructField("met", T.IntegerType()), T.StructField("far", T.DoubleType()), result["near"]])
+    arrow = to_arrow_schema(schema)
+    points_at = [asked.index(c) for c in [*Z, *kept]]
+    state_at = [asked.index(c) for c in state]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, block = None, None
+        for b in batches:
+            at = b.column(0).to_numpy()
+            ends = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+            for s, e in zip(ends, ends[1:]):
+                if e == s:
+                    continue
+                if block is None or at[s] != home:
+                    if block is not None:
+                        yield from block.rows(arrow)
+                    home, block = at[s], _Block(k, d, pa.schema([b.schema.field(asked.index(c)) for c in kept]))
+                part = b.slice(s, e - s)
+                own = int(np.searchsorted(part.column(1).to_numpy(), 1))
+                if own:
+                    block.asked.append(part.slice(0, own).select(state_at))
+                if own < e - s:
+                    block.meet(part.slice(own).select(points_at))
+        if block is not None:
+            yield from block.rows(arrow)
+
+    done = None
     while True:
-        block = open_
+        block = open_.select("home", *LO, *HI).distinct()
         for i, c in enumerate(C):
             block = block.withColumn(c, F.explode(F.sequence(LO[i], HI[i])))
-        seen = F.lit(True)
-        for i, c in enumerate(C):
-            seen = seen & F.col(c).between(F.col(f"w{LO[i]}"), F.col(f"w{HI[i]}"))
-        block = block.where(~seen).select(F.col("__id").alias("query"), *Z, cell.alias("__cell"))
-        square = sum(((F.col(z) - F.col(f"p{z}")) ** 2 for z in Z), F.lit(0.0))
-        met = block.join(p, F.col("__cell") == F.col("cell")).select("query", "point", square.alias("square"))
-        if apart:
-            met = met.where("query <> point")
-        met = met if best is None else met.unionByName(best.drop("rank").join(open_.select(F.col("__id").alias("query")), "query", "left_semi"))
-        best = met.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
-        best = written(best.select("query", "point", "square", "rank"), spark)
-        reach = best.groupBy("query").agg(F.count("*").alias("__n"), F.max("square").alias("__far"))
+        looked = block.select("home", cell.alias("cell")).distinct()
+        void = lambda c: F.lit(None).cast("int").alias(c)
+        those = looked.join(p, "cell").select("home", F.lit(1).alias("__kind"), *Z, *[void(c) for c in LO + HI], *kept)
+        these = open_.select("home", F.lit(0).alias("__kind"), *Z, *LO, *HI, *[F.lit(None).cast(p.schema[c].dataType).alias(c) for c in kept])
+        both = these.unionByName(those).repartition("home").sortWithinPartitions("home", "__kind", "point")
+        got = written(both.select(*asked).mapInArrow(search, schema), spark)
+        # a little more than the distance itself: axes and columns round differently
+        after = turn(got.drop("near")).withColumn("__r", F.sqrt("far") * (1 + 1e-9) + 1e-300)
         way, whole = F.lit(math.inf), F.lit(True)
         for i, a in enumerate(A):
             way = F.least(way, F.col(a) - F.get(edge[i], F.col(LO[i])), F.get(edge[i], F.col(HI[i]) + 1) - F.col(a))
             whole = whole & (F.col(LO[i]) == 0) & (F.col(HI[i]) == most[i])
-        # a little more than the distance itself: axes and columns round differently
-        state = open_.join(reach, F.col("__id") == F.col("query"), "left").withColumn("__r", F.sqrt("__far") * (1 + 1e-9) + 1e-300)
-        enough = F.coalesce(F.col("__n") == k, F.lit(False))
-        state = state.withColumn("__done", whole | enough & (F.col("__r") < way))
-        state = state.select("*", *[F.when(enough, F.col(a) - F.col("__r")).alias(f"u{a}") for a in A], *[F.when(enough, F.col(a) + F.col("__r")).alias(f"v{a}") for a in A])
-        left = state.where(~F.col("__done"))
-        filled = left.withColumns({f"{x}{a}": F.coalesce(f"{x}{a}", F.lit(0.0)) for a in A for x in "uv"})
-        filled = _cell(filled, cuts + cuts, [f"u{a}" for a in A] + [f"v{a}" for a in A], [f"n{x}" for x in LO + HI])
+        enough = F.col("met") == k
+        closed = whole | enough & (F.col("__r") <= way)
+        left = after.where(~closed).withColumns({f"{x}{a}": F.when(enough, F.col(a) + s * F.col("__r")).otherwise(0.0) for a in A for x, s in (("u", -1), ("v", 1))})
+        filled = _cell(left, cuts + cuts, [f"u{a}" for a in A] + [f"v{a}" for a in A], [f"n{x}" for x in LO + HI])
         wider = {}
         for i in range(len(A)):
             step = F.col(HI[i]) - F.col(LO[i])
             wider[LO[i]] = F.least(F.col(LO[i]), F.when(enough, F.col(f"n{LO[i]}").cast("int")).otherwise(inside(F.col(LO[i]) - step, i)))
             wider[HI[i]] = F.greatest(F.col(HI[i]), F.when(enough, F.col(f"n{HI[i]}").cast("int")).otherwise(inside(F.col(HI[i]) + step, i)))
-        after = written(filled.select("__id", *Z, *A, *[wider[x].alias(x) for x in LO + HI], *[F.col(x).alias(f"w{x}") for x in LO + HI]), spark)
-        some = best.join(after.select(F.col("__id").alias("query")), "query", "left_anti")
+        open_ = filled.select(*Z, "home", *[wider[x].alias(x) for x in LO + HI])
+        some = turn(got).withColumn("__r", F.sqrt("far") * (1 + 1e-9) + 1e-300).where(closed).select(*Z, "near")
         done = some if done is None else done.unionByName(some)
-        if after.isEmpty():
-            return done.select("query", "rank", "point", F.sqrt("square").alias("distance"))
-        open_ = after
+        if open_.isEmpty():
+            return done.select(*Z, F.col("near").cast(result["near"].dataType).alias("near"))
+
+
+def _plain(df: DataFrame, i: str, cols: list[str], m: np.ndarray) -> DataFrame:
+    return df.select(F.col(i).alias("query"), *[F.col(c).cast("double").alias(f"__{c}") for c in cols]).dropna().select("query", *_times(m, [f"__{c}" for c in cols], "__z"))
+
+
+def _lists(queries: DataFrame, points: DataFrame, k: int, cols: list[str], *, query_id: str, point_id: str | None = None, m: np.ndarray | None = None, apart: bool = False) -> DataFrame:
+    """(query, near): the ``k`` nearest points of each query as an array of (square, point)."""
+    m = np.eye(len(cols)) if m is None else m
+    at = placed(queries, points, k + apart, cols, query_id=query_id, point_id=point_id, m=m)
+    Z = [f"__z{i}" for i in range(len(m))]
+    near = F.filter("near", lambda v: v["point"] != F.col("query")) if apart else F.col("near")
+    return _plain(queries, query_id, cols, m).join(at, Z).select("query", F.slice(near, 1, k).alias("near"))
+
+
+def nearest(queries: DataFrame, points: DataFrame, k: int, cols: list[str], *, query_id: str, point_id: str | None = None, m: np.ndarray | None = None, apart: bool = False) -> DataFrame:
+    """The ``k`` nearest points of each query: (query, rank, point, distance); ties by smaller point id.
+
+    Rows with a null in the columns or the id take no part.  With ``apart`` a point does not count as its own
+    neighbour.  A query meets fewer than ``k`` points only where there are no more.  Ids must not repeat.
+    """
+    each = _lists(queries, points, k, cols, query_id=query_id, point_id=point_id, m=m, apart=apart).select("query", F.posexplode("near").alias("rank", "v"))
+    return each.select("query", (F.col("rank") + 1).alias("rank"), F.col("v.point").alias("point"), F.sqrt("v.square").alias("distance"))
 
 
 # ---------------------------------------------------------------- spatial weights
@@ -131,9 +239,9 @@ KERNELS = {
 
 def knn_weights(points: DataFrame, cols: list[str], k: int, *, id_col: str, standardise: bool = True) -> DataFrame:
     """(i, j, w): 1 for each of the ``k`` nearest others, or 1 over their number."""
-    near = nearest(points, points, k, cols, query_id=id_col, apart=True)
-    w = 1 / F.count("*").over(Window.partitionBy("query")) if standardise else F.lit(1.0)
-    return near.select(F.col("query").alias("i"), F.col("point").alias("j"), w.alias("w"))
+    near = _lists(points, points, k, cols, query_id=id_col, apart=True)
+    w = 1 / F.size("near") if standardise else F.lit(1.0)
+    return near.select(F.col("query").alias("i"), w.alias("w"), F.explode("near.point").alias("j")).select("i", "j", "w")
 
 
 def kernel_weights(points: DataFrame, cols: list[str], k: int, *, id_col: str, kernel: str = "triangular", bandwidth: float | None = None) -> DataFrame:
@@ -141,12 +249,13 @@ def kernel_weights(points: DataFrame, cols: list[str], k: int, *, id_col: str, k
 
     With a given bandwidth, only neighbours up to it among the ``k`` nearest count.
     """
-    near = nearest(points, points, k, cols, query_id=id_col, apart=True)
-    h = F.lit(float(bandwidth)) if bandwidth else F.max("distance").over(Window.partitionBy("query"))
-    u = F.when(F.col("h") > 0, F.col("distance") / F.col("h")).otherwise(F.lit(0.0))
-    out = near.withColumn("h", h).withColumn("u", u).where("u <= 1").select(F.col("query").alias("i"), F.col("point").alias("j"), KERNELS[kernel](F.col("u")).alias("w"))
-    own = near.select(F.col("query").alias("i")).distinct().select("i", F.col("i").alias("j"), KERNELS[kernel](F.lit(0.0)).cast("double").alias("w"))
-    return out.unionByName(own)
+    near = _lists(points, points, k, cols, query_id=id_col, apart=True).where(F.size("near") > 0)
+    h = F.lit(float(bandwidth)) if bandwidth else F.sqrt(F.element_at("near", -1)["square"])
+    # a point stands first in its own list
+    own = F.struct(F.lit(0.0).alias("square"), F.col("query").alias("point"))
+    met = near.select("query", h.alias("h"), F.posexplode(F.concat(F.array(own), F.transform("near", lambda v: F.struct(v["square"].alias("square"), v["point"].alias("point"))))).alias("rank", "v"))
+    u = F.when((F.col("rank") > 0) & (F.col("h") > 0), F.sqrt("v.square") / F.col("h")).otherwise(F.lit(0.0))
+    return met.withColumn("u", u).where("u <= 1").select(F.col("query").alias("i"), F.col("v.point").alias("j"), KERNELS[kernel](F.col("u")).cast("double").alias("w"))
 
 
 def spatial_lag(values: DataFrame, weights: DataFrame, col: str, id_col: str) -> DataFrame:

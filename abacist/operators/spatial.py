@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from abacist.operators.core import DataInsufficient, Fit, Gram, gram, moments
-from abacist.operators.neighbours import nearest
+from abacist.operators.neighbours import placed
 from abacist.operators.panel import written
 
 LOCAL = {
@@ -23,37 +23,39 @@ LOCAL = {
 
 
 # ---------------------------------------------------------------- geographically weighted regression
-def neighbourhood(points: DataFrame, coords: list[str], k: int, id_col: str) -> DataFrame:
-    """(query, rank, point, distance) of the ``k`` nearest, a point's own place included."""
-    return written(nearest(points, points, k, coords, query_id=id_col), points.sparkSession)
+def neighbourhood(points: DataFrame, y: str, x: list[str], coords: list[str], k: int, id_col: str) -> DataFrame:
+    """(__z0, __z1 ..., near) of each distinct place: its ``k`` nearest points with their outcome and regressors, those at the place included."""
+    return placed(points, points, k, coords, query_id=id_col, more=list(dict.fromkeys([y, *x])))
 
 
 def gwr(points: DataFrame, y: str, x: list[str], coords: list[str], k: int, *, id_col: str, kern: str = "bisquare", near: DataFrame | None = None) -> tuple[DataFrame, dict[str, float]]:
     """(local coefficients with errors and local R2 by point, overall figures).
 
     Each location's regression weighs its ``k`` nearest points, itself among them, by the kernel of the distance over the
-    farthest one's.  The neighbourhoods are one join, the local sums one grouped aggregation, and each batch of
-    locations is solved at once.  ``near`` may hold more neighbours than ``k``.  Rows with a null take no part.
+    farthest one's.  Points at one place share their sums, which a task adds up from the place's list of neighbours, and
+    each batch of locations is solved at once.  ``near`` may hold more neighbours than ``k``.  Rows with a null take no part.
     """
     spark = points.sparkSession
     d = points.select(F.col(id_col).alias("__id"), *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([y, *x, *coords])]).dropna()
     d = written(d, spark)
-    near = neighbourhood(d, coords, k, "__id") if near is None else near.where(F.col("rank") <= k)
-    reach = F.max("distance").over(Window.partitionBy("query"))
-    u = near.select("query", "point", F.when(reach > 0, F.col("distance") / reach).otherwise(F.col("distance")).alias("__u"))
-    weighted = u.select("query", "point", LOCAL[kern](F.col("__u")).cast("double").alias("__w"))
+    near = neighbourhood(d, y, x, coords, k, "__id") if near is None else near
+    Z = [f"__z{i}" for i in range(len(coords))]
+    used = near.select(*Z, F.slice("near", 1, k).alias("near"))
+    met = used.select(*Z, F.sqrt(F.element_at("near", -1)["square"]).alias("__h"), F.explode("near").alias("v"))
+    at = F.sqrt("v.square")
+    met = met.select(*Z, "v.*", LOCAL[kern](F.when(F.col("__h") > 0, at / F.col("__h")).otherwise(at)).cast("double").alias("__w"))
     p = len(x) + 1
     design = [F.lit(1.0), *[F.col(c) for c in x]]
     w, out = F.col("__w"), F.col(y)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    met = written(weighted.join(d.select(F.col("__id").alias("point"), y, *x), "point"), spark)
-    sums = met.groupBy("query").agg(
+    sums = met.groupBy(*Z).agg(
         F.array(*[F.sum(w * design[i] * design[j]) for i, j in pairs]).alias("__xx"), F.array(*[F.sum(w * w * design[i] * design[j]) for i, j in pairs]).alias("__ww"),
         F.array(*[F.sum(w * c * out) for c in design]).alias("__xy"), (F.sum(w * out * out) - F.sum(w * out) ** 2 / F.sum(w)).alias("__tss"),
     )
-    rows = sums.join(d.select(F.col("__id").alias("query"), y, *x), "query").select("query", "__xx", "__ww", "__xy", "__tss", y, F.array(*design).alias("__x"))
+    place = d.select(F.col("__id").alias("query"), *[F.col(c).alias(z) for c, z in zip(coords, Z)], F.col(y).alias("__y"), F.array(*design).alias("__x"))
+    rows = place.join(sums, Z).select("query", "__xx", "__ww", "__xy", "__tss", "__y", "__x", *Z)
     names = [f"b_{c}" for c in ["Intercept", *x]]
-    schema = T.StructType([points.schema[id_col], *[T.StructField(c, T.DoubleType()) for c in [*names, *[f"c_{n}" for n in names], "predicted", "residual", "hat", "hat2", "tss", "y"]]])
+    schema = T.StructType([points.schema[id_col], *[T.StructField(c, T.DoubleType()) for c in [*names, *[f"c_{n}" for n in names], "predicted", "residual", "hat", "hat2", "tss", "y", *Z]]])
 
     def full(flat: np.ndarray) -> np.ndarray:
         m = np.zeros((len(flat), p, p))
@@ -71,7 +73,7 @@ def gwr(points: DataFrame, y: str, x: list[str], coords: list[str], k: int, *, i
             value = b.column(5).to_numpy()
             # the own point has weight one in every kernel
             hat, hat2 = np.einsum("ni,nij,nj->n", own, inv, own), np.einsum("ni,nij,nj->n", own, cc, own)
-            cols = [b.column(0), *map(pa.array, beta.T), *map(pa.array, np.einsum("nii->in", cc)), *map(pa.array, (fit, value - fit, hat, hat2)), b.column(4), b.column(5)]
+            cols = [b.column(0), *map(pa.array, beta.T), *map(pa.array, np.einsum("nii->in", cc)), *map(pa.array, (fit, value - fit, hat, hat2)), b.column(4), b.column(5), *b.columns[7:]]
             yield pa.RecordBatch.from_arrays(cols, schema.names)
 
     local = written(rows.mapInArrow(solve, schema), spark)
@@ -79,8 +81,9 @@ def gwr(points: DataFrame, y: str, x: list[str], coords: list[str], k: int, *, i
     if not n:
         raise DataInsufficient("no usable rows")
     s2 = rss / max(n - 2 * hat + hat2, 1e-6)
-    fitted = met.join(local.select(F.col(id_col).alias("point"), "residual"), "point").groupBy("query").agg(F.sum(w * F.col("residual") ** 2).alias("__rss"))
-    table = local.join(fitted, F.col(id_col) == F.col("query"))
+    fitted = met.select(*Z, "point", "__w").join(local.select(F.col(id_col).alias("point"), "residual"), "point").groupBy(*Z).agg(F.sum(w * F.col("residual") ** 2).alias("__rss"))
+    # every location has its sum; where no local R2 is asked for, an outer join is dropped
+    table = local.join(fitted, Z, "left")
     table = table.select(id_col, *names, *[F.sqrt(F.greatest(s2 * F.col(f"c_{c}"), F.lit(0.0))).alias(f"se_{c[2:]}") for c in names], "predicted", "residual", F.when(F.col("tss") > 0, 1 - F.col("__rss") / F.col("tss")).alias("local_r2"))
     log = n * math.log(rss / n) + n * math.log(2 * math.pi) if rss > 0 else -math.inf
     figures = {"n": float(n), "rss": rss, "trace": hat, "sigma2": s2, "r2": 1 - rss / tss if tss else math.nan, "aic": log + n + hat, "aicc": log + n * (n + hat) / max(n - hat - 2, 1e-6), "bic": log + hat * math.log(n)}
@@ -91,7 +94,8 @@ def gwr_bandwidth(points: DataFrame, y: str, x: list[str], coords: list[str], *,
     """(number of neighbours, its corrected AIC) by golden-section search between ``least`` and ``most``; neighbours are searched once."""
     needed = [id_col, y, *x, *coords]
     d = points.select(*dict.fromkeys(needed)).dropna()
-    near, tried = neighbourhood(d, coords, most, id_col), {}
+    d = d.select(id_col, *[F.col(c).cast("double").alias(c) for c in dict.fromkeys(needed[1:])])
+    near, tried = neighbourhood(d, y, x, coords, most, id_col), {}
 
     def score(k: int) -> float:
         if k not in tried:

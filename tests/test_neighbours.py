@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -110,3 +111,14 @@ def test_matching_against_loops(spark):
 def test_scaled_metric_refuses_constant_columns(spark):
     with pytest.raises(ValueError, match="constant"):
         neighbours.metric(spark.range(5).withColumn("c", F.lit(1.0)), ["id", "c"], "scaled")
+
+
+def test_many_copies_of_a_place_do_not_meet_in_pairs(spark):
+    """40,000 points at each of two places: 3.2 thousand million pairs, of which none are made."""
+    began = time.perf_counter()
+    f = spark.range(80_000).select("id", (F.col("id") % 2).cast("double").alias("x0"), F.lit(0.0).alias("x1")).repartition(5)
+    near = neighbours.nearest(f, f, 2, ["x0", "x1"], query_id="id", apart=True).groupBy("query").agg(F.sum("point").alias("s"), F.max("distance").alias("d"), F.count("*").alias("n"))
+    # the two smallest other ids of the own place: 0, 2, 4 or 1, 3, 5
+    own = F.when(F.col("query") < 2, F.col("query") % 2 * 2 + 6).when(F.col("query") < 4, F.col("query") % 2 * 2 + 4).otherwise(F.col("query") % 2 * 2 + 2)
+    assert near.agg(F.count("*"), F.sum((F.col("s") == own).cast("int")), F.max("d"), F.min("n")).first() == (80_000, 80_000, 0.0, 2)
+    assert time.perf_counter() - began < 90
