@@ -133,25 +133,25 @@ class Powers:
         else:
             columns = [F.when(F.xxhash64("id", F.lit(p), F.lit(seed)) % 2 == 0, 1.0).otherwise(-1.0) for p in range(PROBES)]
             self.scale = 1.0 / PROBES
-        self.names = [f"u{p}" for p in range(len(columns))]
+        self.names, self.signs = [f"u{p}" for p in range(len(columns))], columns
         self.start = written(nodes.select("id", *[c.alias(n) for c, n in zip(columns, self.names)]), self.spark)
 
     def lag(self, values: DataFrame, cols: list[str], base: DataFrame | None = None) -> DataFrame:
-        """(id, columns): weighted sums over neighbours; nodes without any get zero."""
-        v = values.select(F.col("id").alias("__j"), *cols)
+        """(id, columns): weighted sums over neighbours; nodes without any get zero.
+
+        These joins are merged: vectors have a row per node, and each power would send one more of them through the driver.
+        """
+        v = values.select(F.col("id").alias("__j"), *cols).hint("merge")
         got = self.w.join(v, F.col("j") == F.col("__j")).groupBy(F.col("i").alias("__i")).agg(*[F.sum(F.col("w") * F.col(c)).alias(f"__{c}") for c in cols])
         base = (self.start if base is None else base).select("id")
-        return base.join(got, F.col("id") == F.col("__i"), "left").select("id", *[F.coalesce(f"__{c}", F.lit(0.0)).alias(c) for c in cols])
+        return base.join(got.hint("merge"), F.col("id") == F.col("__i"), "left").select("id", *[F.coalesce(f"__{c}", F.lit(0.0)).alias(c) for c in cols])
 
     def traces(self) -> np.ndarray:
         """Traces of the first ``ORDER`` powers; the first two exactly."""
-        own = [F.col(f"__{n}").alias(f"s_{n}") for n in self.names]
-        begin = self.start.select(F.col("id").alias("__s"), *[F.col(n).alias(f"__{n}") for n in self.names])
         v, seen, out = self.start, [], []
         for m in range(1, ORDER + 1):
             v, obs = self.lag(v, self.names), Observation()
-            both = v.join(begin, F.col("id") == F.col("__s")).select("id", *self.names, *own)
-            v = both.observe(obs, sum((F.sum(F.col(n) * F.col(f"s_{n}")) for n in self.names), F.lit(0.0)).alias("t")).select("id", *self.names)
+            v = v.observe(obs, sum((F.sum(F.col(n) * s) for n, s in zip(self.names, self.signs)), F.lit(0.0)).alias("t"))
             seen.append(obs)
             if m % TOGETHER == 0 or m == ORDER:
                 v = written(v, self.spark)
@@ -159,20 +159,20 @@ class Powers:
                 seen = []
         back = self.w.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("w").alias("__b"))
         out[0] = self.w.where("i = j").agg(F.sum("w")).first()[0] or 0.0
-        out[1] = self.w.join(back, ["i", "j"]).agg(F.sum(F.col("w") * F.col("__b"))).first()[0] or 0.0
+        out[1] = self.w.join(back.hint("merge"), ["i", "j"]).agg(F.sum(F.col("w") * F.col("__b"))).first()[0] or 0.0
         return np.array(out)
 
     def resolved(self, rho: float, more: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str]]:
         """W (I - rho W)^-1 times the probes and the columns of ``more`` by id: (id, g_<column>)."""
-        base = written(self.start.join(more, "id"), self.spark)
+        base = written(self.start.join(more.hint("merge"), "id"), self.spark)
         cols = [*self.names, *cols]
         g = base.select("id", *[F.lit(0.0).alias(c) for c in cols])
         for m in range(1, ORDER + 1):
-            step = base.join(g.select(F.col("id").alias("__g"), *[F.col(c).alias(f"g_{c}") for c in cols]), F.col("id") == F.col("__g")).select("id", *[(F.col(c) + rho * F.col(f"g_{c}")).alias(c) for c in cols])
+            step = base.join(g.select(F.col("id").alias("__g"), *[F.col(c).alias(f"g_{c}") for c in cols]).hint("merge"), F.col("id") == F.col("__g")).select("id", *[(F.col(c) + rho * F.col(f"g_{c}")).alias(c) for c in cols])
             g = self.lag(step, cols)
             if m % TOGETHER == 0 or m == ORDER:
                 g = written(g, self.spark)
-        return base.join(g.select(F.col("id").alias("__g"), *[F.col(c).alias(f"g_{c}") for c in cols]), F.col("id") == F.col("__g")), cols
+        return base.join(g.select(F.col("id").alias("__g"), *[F.col(c).alias(f"g_{c}") for c in cols]).hint("merge"), F.col("id") == F.col("__g")), cols
 
 
 def log_determinant(traces: np.ndarray, rho: float) -> float:
@@ -206,11 +206,11 @@ def _lagged(df: DataFrame, weights: DataFrame, y: str, x: list[str], id_col: str
     d = df.select(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(n) for c, n in zip([y, *x], cols)]).dropna()
     d = written(d, df.sparkSession)
     total = weights.groupBy("i").agg(F.sum("w").alias("__t")).where("__t <> 0")
-    own = weights.join(total, "i").select("i", "j", (F.col("w") / F.col("__t")).alias("w"))
-    own = own.join(d.select(F.col("id").alias("i")), "i", "left_semi").join(d.select(F.col("id").alias("j")), "j", "left_semi")
+    own = weights.join(total.hint("merge"), "i").select("i", "j", (F.col("w") / F.col("__t")).alias("w"))
+    own = own.join(d.select(F.col("id").alias("i")).hint("merge"), "i", "left_semi").join(d.select(F.col("id").alias("j")).hint("merge"), "j", "left_semi")
     w = Powers(own, d.select("id"))
     lag = w.lag(d, cols).select(F.col("id").alias("__l"), *[F.col(c).alias(f"w{c}") for c in cols])
-    return written(d.join(lag, F.col("id") == F.col("__l")).drop("__l"), df.sparkSession), w, cols
+    return written(d.join(lag.hint("merge"), F.col("id") == F.col("__l")).drop("__l"), df.sparkSession), w, cols
 
 
 def _blocks(g: Gram, cols: list[str]) -> np.ndarray:
@@ -267,7 +267,7 @@ def sem(df: DataFrame, weights: DataFrame, y: str, x: list[str], *, id_col: str)
     k, n = len(x), w.n
     # a constant's lag is one only where a unit has neighbours
     ones = w.lag(w.start.select("id", F.lit(1.0).alias("w1")), ["w1"]).select(F.col("id").alias("__l"), "w1")
-    d = d.join(ones, F.col("id") == F.col("__l")).drop("__l")
+    d = d.join(ones.hint("merge"), F.col("id") == F.col("__l")).drop("__l")
     m = moments(gram(d, [*cols, *[f"w{c}" for c in cols], "w1"]), list(range(2 * len(cols) + 1)))
     traces = w.traces()
     X, Y, WX, WY = [0, *range(2, k + 2)], 1, [2 * k + 3, *range(k + 3, 2 * k + 3)], k + 2

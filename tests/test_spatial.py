@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 from abacist.operators import spatial
+from pyspark.sql import functions as F
 
 
 def world(n, seed=3, k=4):
@@ -117,3 +118,11 @@ def test_local_regressions(spark):
     assert np.allclose([r["local_r2"] for r in got], r2) and math.isclose(figures["trace"], trace) and math.isclose(figures["aicc"], aicc)
     best, score = spatial.gwr_bandwidth(data, "y", ["x"], ["u", "v"], id_col="id", least=20, most=32)
     assert math.isclose(score, local(at, x, y, best)[4]) and 20 <= best <= 32 and score <= local(at, x, y, 20)[4] and score <= local(at, x, y, 32)[4]
+
+
+def test_powers_send_no_vector_through_the_driver(spark):
+    """A broadcast of each power's vectors would pass the driver 24 times and more."""
+    nodes = spark.range(100).select("id")
+    w = spatial.Powers(nodes.select(F.col("id").alias("i"), ((F.col("id") + 1) % 100).alias("j"), F.lit(1.0).alias("w")), nodes)
+    plan = w.lag(w.start, w.names)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
