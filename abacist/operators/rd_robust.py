@@ -32,7 +32,10 @@ def _weight(u: Column, kern: str) -> Column:
 
 
 def value_table(df: DataFrame, y: str, running_: str, cutoff: float) -> DataFrame:
-    """(side, x, n, s, q, before, after): distinct x - cutoff with count and sums of y, y squared; ``NEAR`` values on either way, nearest first."""
+    """(side, x, n, s, q, before, after, e, far): distinct x - cutoff with count and sums of y, y squared; ``NEAR`` values on either way, nearest first.
+
+    ``e``: the squared nearest-neighbour residuals with all of these values, ``far`` the one farthest from the cutoff; windows that hold it need no other.
+    """
     d = usable(df, {"y": F.col(y), "x": num(running_) - cutoff})
     d = d.groupBy((F.col("x") >= 0).cast("int").alias("side"), "x").agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"))
     d = written(in_cells(d, "x"), df.sparkSession)
@@ -49,34 +52,42 @@ def value_table(df: DataFrame, y: str, running_: str, cutoff: float) -> DataFram
     both = d.withColumn("__own", F.lit(True)).unionByName(more)
     item = lambda k, w: F.when(F.lag("x", k).over(w).isNotNull(), F.struct(F.lag("x", k).over(w).alias("x"), F.lag("n", k).over(w).alias("n"), F.lag("s", k).over(w).alias("s")))
     near = both.withColumns({"before": F.array_compact(F.array(*[item(k, up) for k in range(1, NEAR + 1)])), "after": F.array_compact(F.array(*[item(k, down) for k in range(1, NEAR + 1)]))})
-    return written(near.where("__own").select("side", "x", "n", "s", "q", "before", "after"), df.sparkSession)
+    near = near.where("__own").select("side", "x", "n", "s", "q", "before", "after").withColumn("__m", _met(F.col("before"), F.col("after")))
+    # a row's values lie on its side of the cutoff, in order
+    far = F.greatest(*[F.abs(F.element_at(F.when(F.size(c) > 0, F.col(c)), -1)["x"]) for c in ("before", "after")])
+    return written(near.select("side", "x", "n", "s", "q", "before", "after", _total(F.col("__m")).alias("e"), F.coalesce(far, F.lit(0.0)).alias("far")), df.sparkSession)
 
 
-def _squares(reach: Column) -> Column:
-    """Sum of squared nearest-neighbour residuals of the rows at one value; neighbours beyond ``reach`` of the cutoff do not exist.
+def _met(left: Column, right: Column) -> Column:
+    """(n, s) of a value with its nearest neighbours out of the values ``left`` and ``right``.
 
     Equal values belong together, and come before the values on either way, of which the nearer goes first, both if equally near.
     """
-    left, right = (F.filter(c, lambda v: F.abs(v["x"]) < reach) for c in ("before", "after"))
     start = F.struct(F.lit(1).alias("l"), F.lit(1).alias("r"), F.col("n").alias("n"), F.col("s").alias("s"))
 
     def step(a: Column, _: Column) -> Column:
-        lo, hi = F.get(F.col("__left"), a["l"] - 1), F.get(F.col("__right"), a["r"] - 1)
+        lo, hi = F.get(left, a["l"] - 1), F.get(right, a["r"] - 1)
         dl, dr = F.coalesce(F.col("x") - lo["x"], F.lit(math.inf)), F.coalesce(hi["x"] - F.col("x"), F.lit(math.inf))
         open_ = a["n"] - 1 < NEAR
         one, two = open_ & lo.isNotNull() & (dl <= dr), open_ & hi.isNotNull() & (dr <= dl)
         add = lambda f: F.when(one, lo[f]).otherwise(0.0) + F.when(two, hi[f]).otherwise(0.0)
         return F.struct((a["l"] + one.cast("int")).alias("l"), (a["r"] + two.cast("int")).alias("r"), (a["n"] + add("n")).alias("n"), (a["s"] + add("s")).alias("s"))
 
-    return left, right, F.aggregate(F.sequence(F.lit(1), F.lit(NEAR)), start, step)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(NEAR)), start, step)
 
 
-def _with_squares(t: DataFrame, reach: Column) -> DataFrame:
-    left, right, met = _squares(reach)
-    d = t.withColumns({"__left": left, "__right": right}).withColumn("__m", met)
-    j, s = F.col("__m.n") - 1, F.col("__m.s")
+def _total(m: Column) -> Column:
+    """Sum of squared nearest-neighbour residuals of the rows at one value."""
+    j, s = m["n"] - 1, m["s"]
     total = j / (j + 1) * (((j + 1) / j) ** 2 * F.col("q") - 2 * (j + 1) / (j * j) * s * F.col("s") + F.col("n") * s * s / (j * j))
-    return d.withColumn("__e", F.when(j > 0, F.greatest(total, F.lit(0.0))).otherwise(0.0)).drop("__left", "__right", "__m")
+    return F.when(j > 0, F.greatest(total, F.lit(0.0))).otherwise(0.0)
+
+
+def _with_squares(t: DataFrame, reach: Column) -> DataFrame:
+    """``__e``: squared residuals where neighbours beyond ``reach`` of the cutoff do not exist; only values next to it need other sums than the table's."""
+    left, right = (F.filter(c, lambda v: F.abs(v["x"]) < reach) for c in ("before", "after"))
+    at_border = F.get(F.transform(F.array(F.struct(left.alias("l"), right.alias("r"))), lambda v: _total(_met(v["l"], v["r"]))), F.lit(0))
+    return t.withColumn("__e", F.when(F.col("far") < reach, F.col("e")).otherwise(at_border))
 
 
 def _by_side(h: dict[int, float]) -> Column:
@@ -127,22 +138,13 @@ def _parts(t: DataFrame, kern: str, o: int, nu: int, o_b: int, h_v: float, h_b:
     return out
 
 
-def bandwidths(df: DataFrame, y: str, running_: str, cutoff: float = 0.0, *, select: str = "mserd", p: int = 1, q: int | None = None, deriv: int = 0, kern: str = "triangular", regular: float = 1.0, masspoints: bool = True, table: DataFrame | None = None) -> dict[str, float]:
-    """h and b on each side by the three-stage plug-in, with the reference bandwidth it starts from.
-
-    ``select``: mean-square optimal for both sides in common (mserd), for each (msetwo), for the sum (msesum), their
-    smallest (msecomb1) or median (msecomb2); cer... shrinks them for coverage.  With ``masspoints`` repeated values count
-    once in the reference bandwidth, and if a fifth of a side repeats, ten distinct values stay inside every window.
-    """
-    if select not in SELECTORS:
-        raise ValueError(f"select must be one of {SELECTORS}")
-    q = p + 1 if q is None else q
-    t = value_table(df, y, running_, cutoff) if table is None else table
-    by = {r[0]: r for r in t.groupBy("side").agg(F.count("*"), F.sum("n"), F.min("x"), F.max("x")).collect()}
+def _start(t: DataFrame, kern: str, masspoints: bool) -> tuple[float, float, dict[int, float], dict[int, float]]:
+    """(reference bandwidth, rows, the far end and the least window of each side) of a table of values."""
+    by = {r[0]: r for r in t.groupBy("side").agg(F.count("*"), F.sum("n"), F.min("x"), F.max("x"), F.sum(F.col("n") * F.col("x"))).collect()}
     if set(by) != {0, 1}:
         raise DataInsufficient("both sides need rows")
     n = by[0][2] + by[1][2]
-    mean = t.agg(F.sum(F.col("n") * F.col("x")) / n).first()[0]
+    mean = (by[0][5] + by[1][5]) / n
     sd = math.sqrt(t.agg(F.sum(F.col("n") * (F.col("x") - mean) ** 2)).first()[0] / (n - 1))
     counted = running(t.select("x", "n"), "x", {"n": F.col("n")})
     low, high = counted.agg(*[F.min(F.when(F.col("run_n") > math.floor((n - 1) * a), F.col("x"))) for a in (0.25, 0.75)]).first()
@@ -153,8 +155,25 @@ def bandwidths(df: DataFrame, y: str, running_: str, cutoff: float = 0.0, *, sel
         for s in (0, 1):
             least[s] = max(r[0] for r in t.where(F.col("side") == s).select(F.abs("x")).orderBy(F.abs("x")).limit(10).collect()) + 1e-8
     start = REFERENCE[kern] * min(sd, (high - low) / 1.349) * (by[0][1] + by[1][1] if masspoints else n) ** -0.2
-    start = max(min(start, max(wide.values())), *least.values())
-    held: dict = {}
+    return max(min(start, max(wide.values())), *least.values()), n, wide, least
+
+
+def bandwidths(df: DataFrame, y: str, running_: str, cutoff: float = 0.0, *, select: str = "mserd", p: int = 1, q: int | None = None, deriv: int = 0, kern: str = "triangular", regular: float = 1.0, masspoints: bool = True, table: DataFrame | None = None, held: dict | None = None) -> dict[str, float]:
+    """h and b on each side by the three-stage plug-in, with the reference bandwidth it starts from.
+
+    ``select``: mean-square optimal for both sides in common (mserd), for each (msetwo), for the sum (msesum), their
+    smallest (msecomb1) or median (msecomb2); cer... shrinks them for coverage.  With ``masspoints`` repeated values count
+    once in the reference bandwidth, and if a fifth of a side repeats, ten distinct values stay inside every window.
+    Calls that differ in ``select`` alone share what they find in ``held``.
+    """
+    if select not in SELECTORS:
+        raise ValueError(f"select must be one of {SELECTORS}")
+    q = p + 1 if q is None else q
+    t = value_table(df, y, running_, cutoff) if table is None else table
+    held = {} if held is None else held
+    if "start" not in held:
+        held["start"] = _start(t, kern, masspoints)
+    start, n, wide, least = held["start"]
 
     def clamp(v: float, side: int | None) -> float:
         return max(min(v, max(wide.values()) if side is None else wide[side]), max(least.values()) if side is None else least[side])
@@ -170,9 +189,11 @@ def bandwidths(df: DataFrame, y: str, running_: str, cutoff: float = 0.0, *, sel
     def cascade(form: str) -> tuple[dict, dict]:
         if "wide" not in held:
             held["wide"] = _parts(t, kern, q + 1, q + 1, q + 2, start, wide, 0.0, held)
-        d = joined(held["wide"], q + 1, form)
-        b = joined(_parts(t, kern, q, p + 1, q + 1, start, d, regular, held), q, form)
-        return joined(_parts(t, kern, p, deriv, q, start, b, regular, held), p, form), b
+        if form not in held:
+            d = joined(held["wide"], q + 1, form)
+            b = joined(_parts(t, kern, q, p + 1, q + 1, start, d, regular, held), q, form)
+            held[form] = joined(_parts(t, kern, p, deriv, q, start, b, regular, held), p, form), b
+        return held[form]
 
     kind = select[3:]
     if kind.startswith("comb"):

@@ -108,8 +108,8 @@ def _(t):
 
 @query("rd_bandwidths", digits=4)
 def _(t):
-    table = rd_robust.value_table(_baskets(t), "y", "x", 150000.0)
-    rows = [(s, *(v[c] for c in ("h_left", "h_right", "b_left", "b_right"))) for s in ("mserd", "msetwo", "cerrd") for v in [rd_robust.bandwidths(table, "y", "x", 0.0, select=s, table=table)]]
+    table, held = rd_robust.value_table(_baskets(t), "y", "x", 150000.0), {}
+    rows = [(s, *(v[c] for c in ("h_left", "h_right", "b_left", "b_right"))) for s in ("mserd", "msetwo", "cerrd") for v in [rd_robust.bandwidths(table, "y", "x", 0.0, select=s, table=table, held=held)]]
     return t.spark.createDataFrame(rows, "method string, h_left double, h_right double, b_left double, b_right double")
 
 

@@ -133,3 +133,17 @@ def test_one_side_is_refused(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 3.0)], "x double, y double")
     with pytest.raises(ValueError, match="both sides"):
         R.bandwidths(df, "y", "x")
+
+
+def test_selectors_share_their_passes(spark, monkeypatch):
+    """cerrd shrinks what mserd found: no further pass over the table."""
+    from pyspark.sql import functions as F
+
+    passes, plain = [], R._powers
+    monkeypatch.setattr(R, "_powers", lambda *a: passes.append(1) or plain(*a))
+    d = spark.range(400).select((F.col("id") / 200 - 1).alias("x"), F.sin(F.col("id")).alias("y"))
+    table, held = R.value_table(d, "y", "x", 0.0), {}
+    first = R.bandwidths(table, "y", "x", table=table, held=held)
+    before = len(passes)
+    second = R.bandwidths(table, "y", "x", select="cerrd", table=table, held=held)
+    assert len(passes) == before == 6 and second["b_left"] == first["b_left"] and second["h_left"] < first["h_left"]
