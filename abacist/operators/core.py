@@ -213,6 +213,20 @@ def lagged_meat(df: DataFrame, scores: list[Column], order: str, lags: int, with
     return v[0] + sum((1 - q / (lags + 1)) * (v[q] + v[q].T) for q in range(1, lags + 1))
 
 
+# ---------------------------------------------------------------- tasks of bounded size
+#: Rows of a task that keeps a hash table of its rows' keys.
+HELD = 400_000
+
+
+def spread(df: DataFrame, keys: list[str], held: int | None = None) -> DataFrame:
+    """``df`` partitioned by ``keys`` into tasks of about ``held`` rows, whatever the size of the table: one count, one shuffle.
+
+    An aggregation or join by these keys needs no further shuffle, nor a hash table on the map side; meant for keys that
+    seldom repeat, as all rows of a key are in one task.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / (held or HELD))), *keys)
+
+
 # ---------------------------------------------------------------- running sums without a global sort
 #: Cells of a column that exact quantiles count in, at least.
 CELLS = 200

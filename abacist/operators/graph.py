@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from abacist.functions import dist
 from abacist.functions.columns import num
-from abacist.operators.core import DataInsufficient
+from abacist.operators.core import DataInsufficient, spread
 from abacist.operators.panel import discard, written
 
 
@@ -54,6 +54,12 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tol: float = 1e-10, most:
     return rank.withColumn("rank", F.col("rank") / total)
 
 
+def undirected(edges: DataFrame) -> DataFrame:
+    """(src, dst) of the undirected simple graph, the lower node first; a task holds a bounded number of edges."""
+    e = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    return spread(e, ["src", "dst"]).distinct()
+
+
 def triangles(edges: DataFrame) -> DataFrame:
     """(node, triangles, degree, clustering) of the undirected simple graph.
 
@@ -62,7 +68,7 @@ def triangles(edges: DataFrame) -> DataFrame:
     them: of two-paths only those whose closing edge the set does not rule out are shuffled and looked up.
     """
     spark = edges.sparkSession
-    e = written(edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), spark)
+    e = written(undirected(edges).select(F.col("src").alias("a"), F.col("dst").alias("b")), spark)
     deg = written(e.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("d")), spark)
     j = e.join(deg.select(F.col("v").alias("a"), F.col("d").alias("da")), "a").join(deg.select(F.col("v").alias("b"), F.col("d").alias("db")), "b")
     swap = (F.col("da") > F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") > F.col("b")))
@@ -217,10 +223,11 @@ def modularity(edges: DataFrame, community: DataFrame) -> float:
     c = community.select("node", "c")
     e = edges.select("src", "dst", F.col("w").cast("double").alias("w") if "w" in edges.columns else F.lit(1.0).alias("w"))
     e = e.join(c.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(c.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst")
-    ends = e.select(F.explode(F.array("cs", "cd")).alias("c"), "w").groupBy("c").agg(F.sum("w").alias("k"))
-    m, inside = e.agg(F.sum("w"), F.sum(F.when(F.col("cs") == F.col("cd"), F.col("w")).otherwise(0.0))).first()
-    squares = ends.agg(F.sum(F.col("k") ** 2)).first()[0]
-    return inside / m - squares / (4 * m * m)
+    inside = F.when(F.col("cs") == F.col("cd"), F.col("w")).otherwise(0.0)
+    # each edge counts at both its ends, so that one pass gives all sums
+    ends = e.select(F.explode(F.array("cs", "cd")).alias("c"), "w", inside.alias("i")).groupBy("c").agg(F.sum("w").alias("k"), F.sum("i").alias("i"))
+    twice, within, squares = ends.agg(F.sum("k"), F.sum("i"), F.sum(F.col("k") ** 2)).first()
+    return within / twice - squares / (twice * twice)
 
 
 def core_numbers(edges: DataFrame) -> DataFrame:

@@ -311,9 +311,8 @@ def _(t):
 
 @query("modularity", f"WITH {UNDIRECTED.format(edges=PAIRS)}, e AS (SELECT a % 5 ca, b % 5 cb FROM u), m AS (SELECT count(*)::DOUBLE m, sum((ca = cb)::INT) i FROM e), k AS (SELECT sum(power(n, 2)) k FROM (SELECT count(*)::DOUBLE n FROM (SELECT ca c FROM e UNION ALL SELECT cb FROM e) GROUP BY c)) SELECT round(i/m - k/(4*m*m), 8) AS q FROM m, k", 8)
 def _(t):
-    p = _pairs(t).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     nodes = t.part.select(F.col("p_partkey").alias("node"), (F.col("p_partkey") % 5).alias("c"))
-    return one(t.spark, {"q": graph.modularity(p, nodes)})
+    return one(t.spark, {"q": graph.modularity(_pairs(t), nodes)})
 
 
 @query("core_numbers")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from abacist.operators import did, epi, experiments, graph, inequality, rd, series, survey
 from abacist.plans.breadth import LINE, _line
-from abacist.plans.graphs import EDGES, NEAR, PAIRS, POINTS, UNDIRECTED, _edges, _pairs, _points
+from abacist.plans.graphs import EDGES, NEAR, PAIRS, POINTS, UNDIRECTED, _edges, _met, _points
 from abacist.plans.models import PANEL, _panel, _slopes
 from abacist.plans.registry import one, query
 
@@ -73,7 +73,7 @@ def _(t):
 
 @query("transitivity", f"WITH {UNDIRECTED.format(edges=PAIRS)}, d AS (SELECT sum(n*(n-1)/2.0) d FROM (SELECT count(*)::DOUBLE n FROM s GROUP BY a)), t AS (SELECT count(*)::DOUBLE n FROM s x JOIN s y ON x.a = y.a AND x.b < y.b JOIN u z ON z.a = x.b AND z.b = y.b) SELECT round(n/d, 8) AS transitivity FROM d, t", 8)
 def _(t):
-    return one(t.spark, {"transitivity": graph.transitivity(_pairs(t))})
+    return one(t.spark, {"transitivity": graph.transitivity(_met(t))})
 
 
 @query("queen", f"WITH p AS ({POINTS}) SELECT a.id AS i, b.id AS j, 1.0::DOUBLE AS w FROM p a JOIN p b ON a.id <> b.id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from abacist.operators import causal, did, graph
+from abacist.operators.core import spread
 from abacist.plans.registry import Tables, one, query
 from abacist.sources import io, simulate
 from abacist.streaming import folds
@@ -23,13 +24,14 @@ PAIRS = "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a
 
 def _met(t: Tables):
     """Parts bought together: in one order, as often as they are."""
-    a, b = (t.lineitem.select("l_orderkey", F.col("l_partkey").alias(c)) for c in ("src", "dst"))
+    lines = spread(t.lineitem.select("l_orderkey", "l_partkey"), ["l_orderkey"])
+    a, b = (lines.select("l_orderkey", F.col("l_partkey").alias(c)) for c in ("src", "dst"))
     return a.join(b, "l_orderkey").where("src < dst").select("src", "dst")
 
 
 def _pairs(t: Tables):
     """Parts bought together, each pair once."""
-    return _met(t).distinct()
+    return graph.undirected(_met(t))
 
 
 @query("network_degrees", f"WITH e AS ({EDGES}), b AS (SELECT src AS node, 1 o, 0 i, w ow, 0 iw FROM e UNION ALL SELECT dst, 0, 1, 0, w FROM e) SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, sum(ow)::DOUBLE AS out_weight, sum(iw)::DOUBLE AS in_weight FROM b GROUP BY 1")

@@ -4,7 +4,7 @@ import random
 from collections import deque
 
 import pytest
-from abacist.operators import graph, panel
+from abacist.operators import core, graph, panel
 from abacist.operators.core import DataInsufficient
 from pyspark.sql import functions as F
 
@@ -143,3 +143,21 @@ def test_searches_of_many_sources_leave_no_table_of_pairs(spark):
     assert got == pytest.approx({s: len(v) / sum(v) * len(v) / 99 for s, v in far.items() if v})
     assert left < len(want) / 3
     assert {(x.source, x.node): x.steps for x in graph.path_lengths(e, nodes).collect()} == want
+
+
+def test_tasks_of_a_large_graph_stay_bounded(spark, monkeypatch):
+    """Pairs are dealt to as many tasks as their number asks for; modularity with weights equals the plain sum."""
+    monkeypatch.setattr(core, "HELD", 50)
+    pairs = [(i % 61, i * i % 53 + (0 if i % 3 else 61)) for i in range(1500)]
+    u = graph.undirected(edges(spark, pairs))
+    want = {(min(p), max(p)) for p in pairs if p[0] != p[1]}
+    assert {(r.src, r.dst) for r in u.collect()} == want and u.count() == len(want)
+    assert u.rdd.getNumPartitions() >= len(want) // 50 > 8
+    w = {p: float(p[0] % 4 + 1) for p in want}
+    k, inside, m = {}, 0.0, sum(w.values())
+    for (a, b), v in w.items():
+        k[a % 5], inside = k.get(a % 5, 0.0) + v, inside + v * (a % 5 == b % 5)
+        k[b % 5] = k.get(b % 5, 0.0) + v
+    nodes = spark.range(200).selectExpr("id as node", "id % 5 as c")
+    got = graph.modularity(u.withColumn("w", F.col("src") % 4 + 1.0), nodes)
+    assert got == pytest.approx(inside / m - sum(v * v for v in k.values()) / (4 * m * m), rel=1e-12)
