@@ -11,6 +11,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from abacist.operators.core import spread
+
+#: Rows of a task: a row costs far more time than its bytes suggest, so tasks are cut by rows.
+ROWS = 20_000
+#: Particles that move together, of one key or several.
+TOGETHER = 32_000
+#: Below so many keys each moves by itself.
+FEW = 4
+
 
 class Filter:
     """Settings and one step; draws depend on seed, key and the row's number within its key only."""
@@ -26,7 +35,9 @@ class Filter:
         return self.rng(key, 0).normal(self.mean, self.sd, self.n), np.zeros(self.n), 0
 
     def rng(self, key, row: int) -> np.random.Generator:
-        return np.random.default_rng([self.seed, zlib.crc32(b"\0" if key is None else str(key).encode()), row])
+        words = [self.seed, zlib.crc32(b"\0" if key is None else str(key).encode()), row]
+        # the same seed as a list gives, in less time
+        return np.random.default_rng(np.random.SeedSequence(np.array(words, dtype=np.uint32)) if 0 <= self.seed < 2**32 else words)
 
     def step(self, key, state: tuple, estimate: float, se: float) -> tuple[tuple, tuple]:
         """(next state, (mean, variance, low, high, effective size)).
@@ -55,6 +66,53 @@ class Filter:
             x, w = x[np.minimum(picks, self.n - 1)], np.zeros(self.n)
         return (x, w, row + 1), (mean, variance, low, high, size)
 
+    def steps(self, keys: list, rows: list[int], x: np.ndarray, w: np.ndarray, estimate: np.ndarray, se: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``step`` of several keys at once, to the last bit: (x, w, results), a row for each key; ``rows`` are the rows before."""
+        n, every = self.n, np.arange(len(keys))
+        rngs = [self.rng(k, r + 1) for k, r in zip(keys, rows)]
+        if self.transition:
+            x = np.stack([np.asarray(self.transition(v, g), dtype=float) for v, g in zip(x, rngs)])
+        elif self.process_sd > 0:
+            x = x + np.stack([g.normal(0.0, self.process_sd, n) for g in rngs])
+        told = np.isfinite(estimate) & (se > 0)
+        if self.log_density:
+            w = np.stack([v + self.log_density(float(e), u, float(s)) if t else v for t, u, v, e, s in zip(told, x, w, estimate, se)])
+        else:
+            news = -0.5 * ((estimate[:, None] - x) / np.where(told, se, 1.0)[:, None]) ** 2
+            w = w + (news if told.all() else np.where(told[:, None], news, 0.0))
+        w = w - w.max(axis=1, keepdims=True)
+        p = np.exp(w)
+        p /= p.sum(axis=1, keepdims=True)
+        dot = lambda a, b: (a[:, None, :] @ b[:, :, None])[:, 0, 0]
+        mean = dot(p, x)
+        variance, size = dot(p, (x - mean[:, None]) ** 2), 1 / dot(p, p)
+        order = np.argsort(x, axis=1)
+        ties = (np.diff(np.take_along_axis(x, order, 1), axis=1) == 0).any(axis=1)
+        if ties.any():
+            order[ties] = np.argsort(x[ties], axis=1, kind="stable")
+        reach = np.cumsum(np.take_along_axis(p, order, 1), axis=1)
+        low, high = (x[every, order[every, np.minimum(np.count_nonzero(reach < q, axis=1), n - 1)]] for q in (self.alpha / 2, 1 - self.alpha / 2))
+        few = np.flatnonzero(size < self.threshold * n)
+        if len(few):
+            # systematic draws: one uniform, equal steps along the weights
+            draws = np.array([rngs[i].random() for i in few])
+            x, w = x.copy(), w.copy()
+            x[few], w[few] = _drawn(x[few], p[few], draws), 0.0
+        return x, w, np.column_stack([mean, variance, low, high, size])
+
+
+def _drawn(x: np.ndarray, p: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Row by row, the particles at which the running weight reaches (draw + i) / n, for i below n."""
+    n, u = x.shape[1], draws[:, None]
+    reach = np.cumsum(p, axis=1)
+    # how many of the steps lie at or below each running weight; the comparisons settle what rounding leaves open
+    below = np.floor(reach * n - u)
+    below += (u + below + 1) / n <= reach
+    below -= (u + below) / n > reach
+    upto = np.clip(below + 1, 0, n).astype(np.int64)
+    upto[:, -1] = n
+    return np.repeat(x.ravel(), np.diff(upto, axis=1, prepend=0).ravel()).reshape(x.shape)
+
 
 OUT = ["mean", "variance", "low", "high", "effective"]
 
@@ -75,24 +133,46 @@ def _cols(estimates: DataFrame, key: str, order: str, estimate: str, se: str) ->
 def particle_batch(estimates: DataFrame, key: str, order: str, estimate: str, se: str, **how) -> DataFrame:
     """(key, order, mean, variance, low, high, effective) after each estimate of a key, in ``order``.
 
-    Rows are sorted by key and order within partitions and read batch by batch; a task holds one key's particles, never its
-    rows, however many it has.  A null key is a key.  Rows of one key with equal ``order`` stand in any order.
+    Rows are sorted by key and order within partitions of about ``ROWS`` rows and read batch by batch; a task holds the
+    particles of some keys, which move together, never its rows, however many they are.  A null key is a key.  Rows of one
+    key with equal ``order`` stand in any order.
     """
     f = Filter(**how)
+    together = max(1, TOGETHER // f.n)
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key_, state = None, None
+        last, held = None, None
         for rows in frames:
-            out = []
-            for k, e, s in zip(rows["__k"].map(_plain), rows["__e"], rows["__s"]):
-                if state is None or k != key_:
-                    key_, state = k, f.start(k)
-                state, r = f.step(k, state, _plain(e), _plain(s))
-                out.append(r)
-            yield pd.concat([rows[[key, order]].reset_index(drop=True), pd.DataFrame(out, columns=OUT, dtype=float)], axis=1)
-
-    d = _cols(estimates, key, order, estimate, se)
-    return d.repartition("__k").sortWithinPartitions("__k", order).mapInPandas(walk, _schema(estimates, key, order))
+            if rows.empty:
+                continue
+            e, s, out = rows["__e"].to_numpy(dtype=float), rows["__s"].to_numpy(dtype=float), np.empty((len(rows), len(OUT)))
+            names = [_plain(k) for k in rows["__k"]]
+            starts = [i for i, k in enumerate(names) if not i or k != names[i - 1]]
+            runs = [(names[i], i, j) for i, j in zip(starts, [*starts[1:], len(rows)])]
+            # longest first: keys of like length move together, and those with rows left stand in front
+            runs, new = sorted(runs, key=lambda r: r[1] - r[2]), None
+            for at in range(0, len(runs), together):
+                some = runs[at : at + together]
+                states = [held if held is not None and i == 0 and k == last else f.start(k) for k, i, _ in some]
+                x, w = np.stack([v[0] for v in states]), np.stack([v[1] for v in states])
+                keys, row = [r[0] for r in some], [v[2] for v in states]
+                first, length = np.array([r[1] for r in some]), np.array([r[2] - r[1] for r in some])
+                for step in range(length[0]):
+                    m = np.count_nonzero(length > step)
+                    here = first[:m] + step
+                    if m < FEW:
+                        for i, r in enumerate(here):
+                            (x[i], w[i], _), out[r] = f.step(keys[i], (x[i], w[i], row[i] + step), float(e[r]), float(s[r]))
+                    else:
+                        x[:m], w[:m], out[here] = f.steps(keys[:m], [r + step for r in row[:m]], x[:m], w[:m], e[here], s[here])
+                for i, (k, _, to) in enumerate(some):
+                    if to == len(rows):
+                        new = k, (x[i].copy(), w[i].copy(), row[i] + int(length[i]))
+            last, held = new
+            yield pd.concat([rows[[key, order]].reset_index(drop=True), pd.DataFrame(out, columns=OUT)], axis=1)
+
+    d = spread(_cols(estimates, key, order, estimate, se), ["__k"], ROWS)
+    return d.sortWithinPartitions("__k", order).mapInPandas(walk, _schema(estimates, key, order))
 
 
 def particle_stream(estimates: DataFrame, key: str, order: str, estimate: str, se: str, **how) -> DataFrame:

@@ -47,3 +47,27 @@ def test_stream_equals_batch(spark, tmp_path):
     assert len(got) == len(want) == 36
     for r in want:
         assert got[r.k, r.i][2:] == pytest.approx(r[2:])
+
+
+@pytest.mark.parametrize("how", [{"process_sd": 0.5}, {"threshold": 1.0}, {"transition": lambda x, r: x * 0.9 + r.normal(0, 1, len(x)), "log_density": lambda e, x, s: -abs(e - x) / s}])
+def test_keys_move_together_and_tasks_are_cut_by_rows(spark, monkeypatch, how):
+    """Rows are those of one step after another, to the last bit, over batches that cut a key and keys of any length."""
+    monkeypatch.setattr(particles, "ROWS", 50)
+    monkeypatch.setattr(particles, "TOGETHER", 600)
+    rng = np.random.default_rng(4)
+    rows = [(k, i, None if i % 7 == 3 else float(rng.normal(20 * (k % 2), 4)), 0.0 if i % 11 == 5 else 2.0) for k in range(25) for i in range(3 + 2 * k)] + [(None, i, 1.0, 1.0) for i in range(30)]
+    d = spark.createDataFrame(rows, "k int, i int, e double, s double").repartition(3)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        out = particles.particle_batch(d, "k", "i", "e", "s", particles=100, **how)
+        got = {(r.k, r.i): tuple(r[2:]) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert out.rdd.getNumPartitions() >= len(rows) // 50 > 8
+    f, want = particles.Filter(particles=100, **how), {}
+    for k in {r[0] for r in rows}:
+        state = f.start(k)
+        for _, i, e, s in sorted(r for r in rows if r[0] == k):
+            state, want[k, i] = f.step(k, state, e, s)
+    assert got == want
