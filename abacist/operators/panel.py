@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from abacist.operators.core import DataInsufficient, Fit, cluster_factor, gram, inverse, meat, names_of, psd, solve_ls, usable
+from abacist.operators.core import DataInsufficient, Fit, Gram, cluster_factor, gram, inverse, meat, names_of, psd, solve_ls, usable
 
 
 def written(df: DataFrame, spark) -> DataFrame:
@@ -68,6 +68,19 @@ def drop_singletons(df: DataFrame, effects: list[str]) -> DataFrame:
     return prune(df, effects)[0]
 
 
+def within_levels(df: DataFrame, cols: list[str], effect: str) -> tuple[Gram, int]:
+    """(Gram of the columns net of one effect, number of levels) over rows not alone in their level: one aggregation, no row is joined or written."""
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    per = df.groupBy(effect).agg(F.count("*").alias("__n"), *[F.covar_pop(cols[i], cols[j]).alias(f"__c{at}") for at, (i, j) in enumerate(pairs)]).where("__n > 1")
+    row = per.agg(F.count("*"), F.sum("__n"), *[F.sum(F.col("__n") * F.col(f"__c{at}")) for at in range(len(pairs))]).first()
+    if not row[0]:
+        raise DataInsufficient("no usable rows")
+    cross = np.zeros((len(cols),) * 2)
+    for (i, j), v in zip(pairs, row[2:]):
+        cross[i, j] = cross[j, i] = v
+    return Gram(float(row[1]), np.zeros(len(cols)), cross, row[1]), row[0]
+
+
 def demean(df: DataFrame, cols: list[str], effects: list[str], weight: str | None = None) -> DataFrame:
     """Columns net of fixed effects: means per level, joined, of one effect; of several, what ``absorb`` solves on level tables."""
     if len(effects) > 1:
@@ -86,11 +99,19 @@ def feols(df: DataFrame, y, x: list, effects: list[str], *, vcov: str = "nonrobu
     yc = y[1] if isinstance(y, tuple) else F.col(y)
     xs = names_of(x)
     cols = {"__y": yc, **{f"__x{i}": c for i, c in enumerate(xs.values())}, **({"__w": F.col(weights)} if weights else {})}
-    d = drop_singletons(usable(df, cols, tuple(dict.fromkeys([*effects, *cl]))), effects)
+    d = usable(df, cols, tuple(dict.fromkeys([*effects, *cl])))
     names = ["__y", *[f"__x{i}" for i in range(len(xs))]]
-    levels = d.agg(*[F.count_distinct(f) for f in effects]).first()
-    d = written(demean(d, names, effects, "__w" if weights else None), df.sparkSession)
-    g = gram(d, names, "__w" if weights else None)
+    if len(effects) == 1 and not weights:
+        g, count = within_levels(d, names, effects[0])
+        levels = [count]
+        if cl or vcov != "nonrobust":  # scores are sums over rows
+            d = with_levels(d, {"__n": F.count("*"), **{f"__m_{c}": F.avg(c) for c in names}}, effects[0]).where("__n > 1")
+            d = written(d.select(*[(F.col(c) - F.col(f"__m_{c}")).alias(c) for c in names], *cl), df.sparkSession)
+    else:
+        d = drop_singletons(d, effects)
+        levels = d.agg(*[F.count_distinct(f) for f in effects]).first()
+        d = written(demean(d, names, effects, "__w" if weights else None), df.sparkSession)
+        g = gram(d, names, "__w" if weights else None)
     absorbed = sum(levels) - (len(effects) - 1)
     k = len(xs)
     free = g.rows - absorbed - k

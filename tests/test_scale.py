@@ -90,3 +90,35 @@ def test_lags_across_cells_and_runs(spark, run, kind):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     plain = core.lagged(d, "t", ["v"], 2, run=run).select("id", "v_2").collect()
     assert {r.id: r.v_2 for r in plain} == {i: float((i - 2) ** 2) if i > 1 else None for i in range(61)}
+
+
+def test_one_effect_is_absorbed_by_sums_per_level(spark, monkeypatch):
+    """Rows are neither joined nor written without robust errors; all errors equal those of numpy on demeaned rows."""
+    from abacist.operators import panel
+
+    rng = np.random.default_rng(8)
+    g = np.concatenate([rng.integers(0, 20, 400), [100, 101]])  # the last two are alone
+    c, x = g % 7 * 10 + rng.integers(0, 2, 402), rng.normal(size=402) + 1e6
+    y = 0.7 * (x - 1e6) + g + rng.normal(size=402) * (1 + (x > 1e6))
+    rows = [*zip(map(int, g), map(int, c), map(float, x), map(float, y)), (None, 1, 2.0, 3.0), (1, 1, None, 3.0)]
+    d = spark.createDataFrame(rows, "g int, c int, x double, y double").repartition(4)
+    g, c, x, y = (v[:400] for v in (g, c, x, y))
+    mx, my = (np.array([v[g == k].mean() for k in g]) for v in (x, y))
+    x, y = x - mx, y - my
+    b, n, levels = (x @ y) / (x @ x), 400, len(set(g))
+    e = y - b * x
+    by = lambda v: sum((x * e)[v == k].sum() ** 2 for k in set(v))
+    many = len(set(c))
+    want = {"nonrobust": e @ e / (n - levels - 1) / (x @ x), "HC1": ((x * e) ** 2).sum() / (x @ x) ** 2 * n / (n - levels - 1), "c": by(c) / (x @ x) ** 2 * many / (many - 1) * (n - 1) / (n - 1 - levels), "g": by(g) / (x @ x) ** 2 * levels / (levels - 1) * (n - 1) / (n - 2)}
+    for kind, v in want.items():
+        fit = panel.feols(d, "y", ["x"], ["g"], **({"cluster": kind} if kind in "cg" else {"vcov": kind}))
+        assert (fit.n, fit.extra["levels"], fit.extra["absorbed"]) == (400, [levels], levels)
+        assert fit["x"] == pytest.approx(b, rel=1e-8) and fit.stderr("x") == pytest.approx(math.sqrt(v), rel=1e-8), kind
+
+    def refuse(*_):
+        raise AssertionError("rows are written")
+
+    monkeypatch.setattr(panel, "written", refuse)
+    assert panel.feols(d, "y", ["x"], ["g"])["x"] == pytest.approx(b, rel=1e-8)
+    with pytest.raises(core.DataInsufficient, match="no usable rows"):
+        panel.feols(d.where("g >= 100"), "y", ["x"], ["g"])
