@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from abacist.functions import dist
 from abacist.functions.columns import num
+from abacist.operators import search
 from abacist.operators.core import DataInsufficient, spread
 from abacist.operators.panel import discard, written
 
@@ -331,15 +332,29 @@ def _bit_levels(edges: DataFrame, words: DataFrame):
     discard(seen)
 
 
+def _by_component(edges: DataFrame, sources: DataFrame) -> tuple[str, DataFrame, DataFrame | None, DataFrame | None]:
+    """(type of a node, what ``search.dealt`` gives)."""
+    spark = edges.sparkSession
+    e = written(edges.select("src", "dst").dropna().distinct(), spark)
+    own = written(sources.select("node").dropna().distinct(), spark)
+    kind = e.select("src").union(e.select("dst")).union(own).schema[0].dataType.simpleString()
+    return kind, *search.dealt(e, written(connected(e), spark), own)
+
+
 def path_lengths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, node, steps): links on the shortest directed path from each of ``sources`` (node); unreachable nodes have no row.
 
-    Levels stay as bits by word of sources; pairs are spelt out only as the result is read.
+    Components are searched within tasks, pair by pair as the result is read; those of over ``search.BOUND`` links in rounds over
+    tables, where levels stay as bits by word of sources.
     """
+    kind, rows, links, far = _by_component(edges, sources)
+    near = search.by_bin(rows, search.lengths, f"source {kind}, node {kind}, steps int")
+    return near if links is None else near.unionByName(_far_lengths(links, far))
+
+
+def _far_lengths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     words = _words(edges, sources)
     levels = [t.select("word", "node", "bits", F.lit(k).alias("steps")) for k, t in enumerate(_bit_levels(edges, words))]
-    if not levels:
-        return sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("steps")).where("false")
     met = reduce(DataFrame.unionByName, levels).join(words, "word").select("bits", "node", "steps", F.posexplode("nodes").alias("at", "source"))
     return met.where("shiftrightunsigned(bits, at) & 1L = 1L").select("source", "node", "steps")
 
@@ -373,13 +388,27 @@ def counted_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
 def betweenness_centrality(edges: DataFrame, sources: DataFrame | None = None, *, normalised: bool = False) -> DataFrame:
     """(node, betweenness): over pairs of other nodes, the share of their shortest directed paths that pass through the node.
 
-    Paths are counted from all ``sources`` (node; by default every node) at once; then shares run back from the farthest
-    level, one round a level.  ``normalised`` divides by the number of ordered pairs of other nodes.
+    Paths are counted from all ``sources`` (node; by default every node); then shares run back from the farthest level.
+    Components are searched within tasks, for a block of sources at a time, and only sums by node leave them; those of over
+    ``search.BOUND`` links in rounds over tables of pairs.  ``normalised`` divides by the number of ordered pairs of other nodes.
     """
     spark = edges.sparkSession
     e = written(edges.where("src <> dst").select("src", "dst").distinct(), spark)
     nodes = written(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), spark)
-    p = written(counted_paths(e, nodes if sources is None else sources), spark)
+    kind, rows, links, far = _by_component(e, nodes if sources is None else sources)
+    share = search.by_bin(rows, search.shares, f"node {kind}, share double")
+    if links is not None:
+        share = share.unionByName(_far_shares(links, far))
+    total = share.groupBy(F.col("node").alias("__n")).agg(F.sum("share").alias("__b"))
+    n = nodes.count()
+    scale = 1.0 / max((n - 1) * (n - 2), 1) if normalised else 1.0
+    return nodes.join(total, F.col("node") == F.col("__n"), "left").select("node", (F.coalesce("__b", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def _far_shares(e: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, share) by source and level."""
+    spark = e.sparkSession
+    p = written(counted_paths(e, sources), spark)
     depth = p.agg(F.max("steps")).first()[0] or 0
     share, rounds = None, []
     for k in range(depth, 0, -1):
@@ -389,10 +418,8 @@ def betweenness_centrality(edges: DataFrame, sources: DataFrame | None = None, *
         back = far.join(e, "dst").join(near, ["source", "src"])
         share = written(back.groupBy("source", F.col("src").alias("node")).agg(F.sum(F.col("__from") / F.col("__to") * (1 + F.col("__d"))).alias("share")), spark)
         rounds.append(share)
-    total = reduce(DataFrame.unionByName, rounds).where("node <> source").groupBy(F.col("node").alias("__n")).agg(F.sum("share").alias("__b")) if rounds else nodes.where("false").select(F.col("node").alias("__n"), F.lit(0.0).alias("__b"))
-    n = nodes.count()
-    scale = 1.0 / max((n - 1) * (n - 2), 1) if normalised else 1.0
-    return nodes.join(total, F.col("node") == F.col("__n"), "left").select("node", (F.coalesce("__b", F.lit(0.0)) * scale).alias("betweenness"))
+    none = sources.where("false").select("node", F.lit(0.0).alias("share"))
+    return reduce(DataFrame.unionByName, [r.where("node <> source").select("node", "share") for r in rounds], none)
 
 
 def communities(edges: DataFrame, *, resolution: float = 1.0, rounds: int = 100) -> DataFrame:
@@ -482,8 +509,17 @@ def communities(edges: DataFrame, *, resolution: float = 1.0, rounds: int = 100)
 
 
 def closeness(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(node, closeness) of ``sources`` by outgoing paths, scaled by the share of nodes they reach."""
+    """(node, closeness) of ``sources`` by outgoing paths, scaled by the share of nodes they reach; a node that reaches none has no row."""
     n = edges.select(F.explode(F.array("src", "dst")).alias("v")).agg(F.count_distinct("v")).first()[0]
+    kind, rows, links, far = _by_component(edges, sources)
+    per = search.by_bin(rows, search.reaches, f"node {kind}, r long, s long")
+    if links is not None:
+        per = per.unionByName(_far_reaches(links, far))
+    return per.where("r > 0").select("node", (F.col("r") / F.col("s") * F.col("r") / (n - 1)).alias("closeness"))
+
+
+def _far_reaches(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, r, s): how many other nodes each source reaches, and its steps to them in all."""
     spark, words, levels = edges.sparkSession, _words(edges, sources), []
     for k, t in enumerate(_bit_levels(edges, words)):
         if k:  # how many nodes each of a word's sources reaches at this level
@@ -492,11 +528,10 @@ def closeness(edges: DataFrame, sources: DataFrame) -> DataFrame:
             discard(before)
         before = t
     if not levels:
-        return sources.select("node", F.lit(0.0).alias("closeness")).where("false")
+        return sources.where("false").select("node", F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("s"))
     per = reduce(DataFrame.unionByName, levels).select("word", "steps", F.posexplode("counts").alias("at", "m")).where("m > 0")
     per = per.groupBy("word", "at").agg(F.sum("m").alias("r"), F.sum(F.col("m") * F.col("steps")).alias("s"))
-    p = words.select("word", F.posexplode("nodes").alias("at", "node")).join(per, ["word", "at"])
-    return p.select("node", (F.col("r") / F.col("s") * F.col("r") / (n - 1)).alias("closeness"))
+    return words.select("word", F.posexplode("nodes").alias("at", "node")).join(per, ["word", "at"]).select("node", "r", "s")
 
 
 def transitivity(edges: DataFrame) -> float:
