@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -425,17 +425,32 @@ def _far_shares(e: DataFrame, sources: DataFrame) -> DataFrame:
 def communities(edges: DataFrame, *, resolution: float = 1.0, rounds: int = 100) -> DataFrame:
     """(node, community): local moves that raise modularity, then the same on the graph of communities, until nothing rises.
 
-    Links count in both directions.  In a round each node weighs the communities of its neighbours by the links it has
-    there against what chance would give, and moves to the best if that gains.  Of the nodes that want to move those
-    drawn by hash do, so that neighbours do not keep trading places, and a round that does not raise modularity is
-    drawn anew; ``rounds`` bounds the rounds of one level, beyond which an error says so.  A community is named by its smallest node.
+    Links count in both directions.  No community spans two components, so these are dealt to tasks: there each node in turn
+    weighs the communities of its neighbours by the links it has there against what chance would give, and moves to the best
+    if that gains.  Components of over ``search.BOUND`` links move in at most ``rounds`` rounds a level over tables.
+    A community is named by its smallest node.
     """
     spark = edges.sparkSession
-    both = edges.select("src", "dst", "w").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    one_way = edges.select("src", "dst", F.coalesce(F.col("w").cast("double"), F.lit(0.0)).alias("w")).dropna()
+    both = one_way.unionByName(one_way.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     e = written(both.groupBy("src", "dst").agg(F.sum("w").alias("w")), spark)
     total = e.agg(F.sum("w")).first()[0]
     if not total:
-        return e.select(F.col("src").alias("node"), F.col("src").alias("community"))
+        return e.select(F.col("src").alias("node"), F.col("src").alias("community")).distinct()
+    rows, links, _ = search.dealt(e, written(connected(e), spark))
+    kind = e.schema["src"].dataType.simpleString()
+    near = search.by_bin(rows, partial(search.louvain, total=total, resolution=resolution), f"node {kind}, community {kind}")
+    return near if links is None else near.unionByName(_far_communities(links, total, resolution, rounds))
+
+
+def _far_communities(edges: DataFrame, total: float, resolution: float, rounds: int) -> DataFrame:
+    """(node, community) by rounds over tables; ``edges`` are listed in both directions, ``total`` is the weight of all of the graph.
+
+    Of the nodes that want to move in a round those drawn by hash do, so that neighbours do not keep trading places, and a round
+    that does not raise modularity is drawn anew; beyond ``rounds`` of one level an error says so.
+    """
+    spark = edges.sparkSession
+    e = written(edges, spark)
     names = written(e.select(F.col("src").alias("node")).distinct().select("node", F.col("node").alias("community")), spark)
 
     def weighed(e: DataFrame, at: DataFrame) -> tuple[DataFrame, float, bool]:

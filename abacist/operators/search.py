@@ -1,4 +1,4 @@
-"""Work within components of a graph: they are dealt to tasks, and a task searches those it holds in numpy arrays.
+"""Searches and communities within components of a graph: these are dealt to tasks, and a task holds some in numpy arrays.
 
 A component of up to ``BOUND`` links goes to tasks whole, as often as its sources are cut into chunks; what its pairs of
 nodes need lives in a task for one block of sources at a time and is never written or shuffled.
@@ -6,6 +6,7 @@ nodes need lives in a task for one block of sources at a time and is never writt
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ from abacist.operators.panel import written
 BOUND = 4_000_000
 #: Sources times links of a component, summed over those of a task.
 WORK = 25_000_000
+#: Links of a bin where components move as a whole.
+LINKS = 100_000
 #: Sources of a component that share one copy of its links, at least.
 SHARED = 512
 #: Nodes and links times sources that are searched together.
@@ -45,7 +48,7 @@ def dealt(edges: DataFrame, part: DataFrame, sources: DataFrame | None = None) -
     size = written(size, spark)
     small = size.where(F.col("links") <= BOUND)
     work, above = size.agg(F.sum(F.when(F.col("links") <= BOUND, F.col("work"))), F.max("links")).first()
-    bins = max(spark.sparkContext.defaultParallelism, -(-(work or 0) // (WORK if sources is not None else BOUND // 40)))
+    bins = max(spark.sparkContext.defaultParallelism, -(-(work or 0) // (WORK if sources is not None else LINKS)))
     place = lambda c: F.pmod(F.xxhash64("component", c), F.lit(bins)).alias("bin")
     chunked = e.join(small.select("component", "chunks"), "component").withColumn("__c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = chunked.select(place(F.col("__c")), "component", F.lit(True).alias("link"), F.col("src").alias("a"), F.col("dst").alias("b"), *extra)
@@ -179,3 +182,56 @@ def shares(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         total = got if total is None else total + got
     if total is not None:
         yield pd.DataFrame({"node": ids, "share": total})
+
+
+def _settled(begin: np.ndarray, heads: np.ndarray, w: np.ndarray, k: np.ndarray, total: float, resolution: float) -> tuple[list[int], bool]:
+    """(community of each node, whether any moved): each node in turn goes where modularity gains most, until none gains."""
+    n = len(k)
+    at, size, k = list(range(n)), k.tolist(), k.tolist()
+    least, moved = 1e-12 * total, False
+    queue, waits, quiet = deque(range(n)), bytearray(b"\1") * n, True
+    while queue:
+        v = queue.popleft()
+        waits[v] = 0
+        lo, hi = begin[v], begin[v + 1]
+        near, to, own, kv = heads[lo:hi].tolist(), {}, at[v], k[v]
+        for u, x in zip(near, w[lo:hi].tolist()):
+            if u != v:
+                to[at[u]] = to.get(at[u], 0.0) + x
+        size[own] -= kv
+        scale = resolution * kv / total
+        stay = to.get(own, 0.0) - scale * size[own]
+        gain, best = max(((x - scale * size[c], -c) for c, x in to.items()), default=(stay, -own))
+        if gain > stay + least:
+            at[v], moved, quiet = -best, True, False
+            for u in near:
+                if not waits[u] and at[u] != -best:
+                    waits[u] = 1
+                    queue.append(u)
+        size[at[v]] += kv
+        if not queue and not quiet:
+            # sizes changed for all: settled only when a whole turn moves nobody
+            queue, waits, quiet = deque(range(n)), bytearray(b"\1") * n, True
+    return at, moved
+
+
+def louvain(rows: pd.DataFrame, total: float, resolution: float) -> Iterator[pd.DataFrame]:
+    """(node, community) of links listed in both directions with weights ``w``; nodes stand in the order of their ids, whatever the bin."""
+    m = len(rows)
+    ids, at = np.unique(np.concatenate([rows["a"].to_numpy(), rows["b"].to_numpy()]), return_inverse=True)
+    a, b, w, name = at[:m], at[m:], rows["w"].to_numpy(dtype=float), np.arange(len(ids))
+    n = len(ids)
+    while True:
+        begin, heads, order = csr(a, b, n)
+        to, moved = _settled(begin, heads, w[order], np.bincount(a, weights=w, minlength=n), total, resolution)
+        if not moved:
+            break
+        first = np.full(n, n)
+        np.minimum.at(first, to, np.arange(n))
+        left, to = np.unique(first[to], return_inverse=True)
+        name, n = to[name], len(left)
+        pair, at = np.unique(to[a] * n + to[b], return_inverse=True)
+        a, b, w = pair // n, pair % n, np.bincount(at, weights=w)
+    first = np.full(n, len(ids))
+    np.minimum.at(first, name, np.arange(len(ids)))
+    yield pd.DataFrame({"node": ids, "community": ids[first[name]]})

@@ -81,3 +81,39 @@ def test_searches_along_a_path_take_no_round_a_level(spark):
         assert len(tracker.getJobIdsForGroup()) - jobs < 150
         assert sum(spark.read.parquet(p).count() for p in panel._made[tables:]) < 30 * 121
     e.unpersist()
+
+
+@pytest.mark.parametrize("bound", [0, 10**6])
+def test_communities_are_cliques_at_either_bound(spark, monkeypatch, bound):
+    monkeypatch.setattr(search, "BOUND", bound)
+    pairs = [(6 * c + i, 6 * c + j) for c in range(5) for i in range(6) for j in range(i)] + [(6 * c, 6 * c + 7) for c in range(4)]
+    got = {r.node: r.community for r in graph.communities(edges(spark, pairs)).collect()}
+    assert got == {v: v // 6 * 6 for v in range(30)}
+
+
+def test_communities_settle_on_a_long_chain_without_rounds(spark):
+    """However many nodes: no bound of rounds is met, and no two neighbouring communities gain by merging."""
+    m = 3000
+    chain = [(i, i + 1) for i in range(m)]
+    got = {r.node: r.community for r in graph.communities(edges(spark, chain), rounds=0).collect()}
+    assert got.keys() == set(range(m + 1))
+    size = {}
+    for v, c in got.items():
+        size[c] = size.get(c, 0) + 2 - (v in (0, m))
+    between = {}
+    for a, b in chain:
+        if got[a] != got[b]:
+            pair = tuple(sorted((got[a], got[b])))
+            between[pair] = between.get(pair, 0) + 1
+    assert 1 < len(size) < 200 and all(n / m <= size[a] * size[b] / (2 * m * m) + 1e-9 for (a, b), n in between.items())
+
+
+def test_communities_do_not_depend_on_the_dealing(spark):
+    rng = random.Random(6)
+    pairs = [(100 * c + rng.randrange(30), 100 * c + rng.randrange(30)) for c in range(8) for _ in range(70)]
+    e = edges(spark, pairs)
+    got = {r.node: r.community for r in graph.communities(e).collect()}
+    rows = pd.DataFrame([(a, b, 1.0) for p in pairs for a, b in (p, p[::-1])], columns=["a", "b", "w"]).groupby(["a", "b"], as_index=False).sum().sample(frac=1, random_state=1)
+    one = pd.concat(search.louvain(rows, 2.0 * len(pairs), 1.0))
+    assert dict(zip(one.node, one.community)) == got and all(v // 100 == c // 100 for v, c in got.items())
+    assert graph.modularity(e, spark.createDataFrame(list(got.items()), "node long, c long")) > 0.8
