@@ -64,34 +64,45 @@ def undirected(edges: DataFrame) -> DataFrame:
 def triangles(edges: DataFrame) -> DataFrame:
     """(node, triangles, degree, clustering) of the undirected simple graph.
 
-    Edges point from lower to higher degree, which bounds the two-paths met at a hub by the square
-    root of the number of edges.  An edge carries the hashed set of its end's own neighbours, a byte for each of
-    them: of two-paths only those whose closing edge the set does not rule out are shuffled and looked up.
+    Edges point from lower to higher degree among the ``RANKED`` nodes of highest degree, to these from all others, and by node
+    among the others: a node has at most ``RANKED`` or twice the edges by ``RANKED`` edges out, and no edge is joined to look its
+    degrees up.  An edge carries the hashed set of its end's own neighbours, a byte for each of them: of two-paths only those
+    whose closing edge the set does not rule out are shuffled and looked up.  The lists of neighbours are shuffled once for all.
     """
     spark = edges.sparkSession
     e = written(undirected(edges).select(F.col("src").alias("a"), F.col("dst").alias("b")), spark)
     deg = written(e.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("d")), spark)
-    j = e.join(deg.select(F.col("v").alias("a"), F.col("d").alias("da")), "a").join(deg.select(F.col("v").alias("b"), F.col("d").alias("db")), "b")
+    n = deg.count()
+    least = deg.agg(F.percentile_approx("d", 1 - RANKED / n)).first()[0] if n > RANKED else 0
+    rank = deg.where(F.col("d") > least)
+    j = e.join(F.broadcast(rank.select(F.col("v").alias("a"), F.col("d").alias("da"))), "a", "left").join(F.broadcast(rank.select(F.col("v").alias("b"), F.col("d").alias("db"))), "b", "left")
+    j = j.fillna(0, ["da", "db"])
     swap = (F.col("da") > F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") > F.col("b")))
-    o = written(j.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("u"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("v"), F.greatest("da", "db").alias("dv")), spark)
+    o = j.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("u"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("v"), F.greatest("da", "db").alias("dv"))
     # two-paths v - u - w, v before w: the closing edge points from v to w
     two = o.join(_hashed_sets(o), F.col("v") == F.col("__v")).drop("__v")
-    two = two.join(o.select(F.col("u").alias("__u"), F.col("v").alias("w"), F.col("dv").alias("dw")), F.col("u") == F.col("__u"))
+    two = two.join(_lists(o), F.col("u") == F.col("__u")).select("u", "v", "dv", "words", F.inline("ws").alias("w", "dw"))
     two = two.where("(dv < dw or dv = dw and v < w)").where(f"({MASK} & words[cast(pmod(xxhash64(w), size(words)) as int)]) = {MASK}").select("u", "v", "w")
-    close = o.select(F.col("u").alias("x"), F.col("v").alias("y"))
-    tri = two.join(close, (F.col("v") == F.col("x")) & (F.col("w") == F.col("y")))
+    tri = two.join(_lists(o).select("__u", F.col("ws.v").alias("ws")), F.col("v") == F.col("__u")).where("array_contains(ws, w)")
     per = tri.select(F.explode(F.array("u", "v", "w")).alias("node")).groupBy("node").agg(F.count("*").alias("triangles"))
     d = deg.join(per, deg["v"] == per["node"], "left").select(F.col("v").alias("node"), F.coalesce("triangles", F.lit(0)).alias("triangles"), F.col("d").alias("degree"))
     return d.withColumn("clustering", F.when(F.col("degree") > 1, 2 * F.col("triangles") / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0))
 
 
-#: Two of a word's 64 bits, by the node's hash.
-MASK = "(shiftleft(1L, cast(shiftrightunsigned(xxhash64(w), 58) as int)) | shiftleft(1L, cast(shiftrightunsigned(xxhash64(w), 52) & 63L as int)))"
+#: Nodes whose degrees are broadcast, to point edges at them.
+RANKED = 100_000
+#: Four of a word's 64 bits, by the node's hash.
+MASK = "(" + " | ".join(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(w), {by}) & 63L as int))" for by in (58, 52, 46, 40)) + ")"
+
+
+def _lists(o: DataFrame) -> DataFrame:
+    """(__u, ws): the other columns of a node's rows in one list; the same plan wherever it is used, so that its shuffle is too."""
+    return o.groupBy(F.col("u").alias("__u")).agg(F.collect_list(F.struct(*[c for c in o.columns if c != "u"])).alias("ws"))
 
 
 def _hashed_sets(o: DataFrame) -> DataFrame:
     """(__v, words): the hashed set of ``v`` of each ``u``, a 64-bit word for every eight of them; a node without has no row."""
-    out = o.groupBy(F.col("u").alias("__v")).agg(F.collect_list("v").alias("ws")).withColumn("m", F.ceil(F.size("ws") / 8).cast("int"))
+    out = _lists(o).select(F.col("__u").alias("__v"), F.col("ws.v").alias("ws")).withColumn("m", F.ceil(F.size("ws") / 8).cast("int"))
     bits = out.select("__v", F.expr(f"explode(concat(transform(ws, w -> struct(cast(pmod(xxhash64(w), m) as int) as slot, {MASK} as word)), transform(sequence(0, m - 1), s -> struct(s as slot, 0L as word)))) as x"))
     words = bits.groupBy("__v", F.col("x.slot").alias("slot")).agg(F.bit_or("x.word").alias("word"))
     return words.groupBy("__v").agg(F.sort_array(F.collect_list(F.struct("slot", "word"))).alias("x")).select("__v", F.col("x.word").alias("words"))

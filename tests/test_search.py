@@ -117,3 +117,26 @@ def test_communities_do_not_depend_on_the_dealing(spark):
     one = pd.concat(search.louvain(rows, 2.0 * len(pairs), 1.0))
     assert dict(zip(one.node, one.community)) == got and all(v // 100 == c // 100 for v, c in got.items())
     assert graph.modularity(e, spark.createDataFrame(list(got.items()), "node long, c long")) > 0.8
+
+
+@pytest.mark.parametrize("ranked", [4, 10**6])
+def test_triangles_write_no_pointed_edges(spark, monkeypatch, ranked):
+    """Few or all degrees known: the same triangles; edges are written once, without their direction."""
+    monkeypatch.setattr(graph, "RANKED", ranked)
+    rng = random.Random(8)
+    pairs = {(rng.randrange(50), rng.randrange(50)) for _ in range(300)} | {(0, i) for i in range(120)} | {(1, i) for i in range(60, 200)}
+    out = {}
+    for a, b in pairs:
+        if a != b:
+            out.setdefault(a, set()).add(b)
+            out.setdefault(b, set()).add(a)
+    tables = len(panel._made)
+    got = {r.node: (r.triangles, r.degree) for r in graph.triangles(edges(spark, pairs)).collect()}
+    assert got == {v: (sum(len(out[w] & out[v]) for w in out[v]) // 2, len(out[v])) for v in out}
+    assert sum(spark.read.parquet(p).count() for p in panel._made[tables:]) == sum(map(len, out.values())) // 2 + len(out)
+
+
+def test_few_two_paths_pass_the_set_by_chance(spark):
+    e = edges(spark, [(i, 1000 * i + j) for i in range(45) for j in range(45)]).select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    met = graph._hashed_sets(e).crossJoin(spark.range(50_000, 51_000).withColumnRenamed("id", "w"))
+    assert met.where(f"({graph.MASK} & words[cast(pmod(xxhash64(w), size(words)) as int)]) = {graph.MASK}").count() < 45 * 32
